@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -113,3 +114,11 @@ def fresh(name: str, taken: Iterable[str]) -> str:
     while name.lower() in used:
         name = f"_{name}"
     return name
+
+
+def windows(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about ``limit`` bytes."""
+    for b in batches:
+        rows = max(1, int(b.num_rows * limit / max(b.nbytes, 1)))
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
