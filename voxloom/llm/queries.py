@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, line_dedup, quality, simhash
+from . import decontam, language_id, line_dedup, packing, quality, sharding, simhash, token_counts
 from .common import id_remainder, materialise, table
 
 
@@ -16,11 +16,31 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.sharded(table(spark, sf_dir, "documents"))
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"))
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.counts(table(spark, sf_dir, "documents"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.components(table(spark, sf_dir, "documents"))
     return out.select(F.col("doc").alias("doc_id"), simhash.hex_digits(F.col("fp")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = id_remainder("doc_id", 4) == 2
+    model = language_id.learn(docs.filter(~held_out).select("text", "lang", "doc_id"))
+    found = language_id.identified(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out.alias("held_out"), "language.lang_pred", "language.score")
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -33,7 +53,11 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality": op1_quality,
+    "op3_sharding": op3_sharding,
+    "op4_packing": op4_packing,
+    "op5_token_counts": op5_token_counts,
     "op6_simhash": op6_simhash,
+    "op7_language_id": op7_language_id,
     "op8_decontamination": op8_decontamination,
     "op10_line_dedup": op10_line_dedup,
 }
