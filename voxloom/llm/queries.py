@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, language_id, line_dedup, packing, quality, sharding, simhash, token_counts
+from . import decontam, language_id, line_dedup, packing, quality, sharding, simhash, token_counts, url_filter
 from .common import id_remainder, materialise, table
 
 
@@ -16,6 +16,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judged(table(spark, sf_dir, "pages"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded(table(spark, sf_dir, "documents"))
 
@@ -53,6 +57,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality": op1_quality,
+    "op2_url_filter": op2_url_filter,
     "op3_sharding": op3_sharding,
     "op4_packing": op4_packing,
     "op5_token_counts": op5_token_counts,
@@ -61,4 +66,4 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op10_line_dedup": op10_line_dedup,
 }
-ORACLE_SQL = {"op10_line_dedup": line_dedup.ORACLE_SQL}
+ORACLE_SQL = {"op2_url_filter": url_filter.ORACLE_SQL, "op10_line_dedup": line_dedup.ORACLE_SQL}
