@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialise
+
 FEATURES = ("length", "words", "upper", "stops", "shouts", "symbols", "digits", "distinct", "echo", "word_length", "lines", "repeated_lines", "other_bytes", "top_word", "bare")
 #: Shrinkage towards the pooled covariance, then towards the identity.
 POOL, RIDGE = 0.1, 0.05
@@ -209,4 +211,5 @@ def train(features: DataFrame, labels: DataFrame, label_col: str = "quality", fo
     """
     seen = labels.select(F.col("doc_id").alias("_id"), F.col(label_col).cast("int").alias("label")).filter("_id is not null and label is not null").distinct()
     seen = seen.filter(F.crc32(F.col("_id").cast("string")) % folds != held_out)
-    return fit(features.join(seen, F.col("doc_id") == F.col("_id")))
+    # two passes follow, over no more than the labelled rows' statistics
+    return fit(materialise(features.join(seen, F.col("doc_id") == F.col("_id")).select("features", "label")))
