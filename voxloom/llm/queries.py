@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, language_id, line_dedup, packing, quality, sharding, simhash, token_counts, url_filter
+from . import decontam, language_id, line_dedup, neighbours, packing, quality, sharding, simhash, token_counts, url_filter
 from .common import id_remainder, materialise, table
 
 
@@ -49,6 +49,10 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = line_dedup.apply(docs, line_dedup.keep_bitmaps(docs, "all", min_docs=10, min_chars=1))
@@ -64,6 +68,7 @@ QUERIES = {
     "op6_simhash": op6_simhash,
     "op7_language_id": op7_language_id,
     "op8_decontamination": op8_decontamination,
+    "op9_neighbours": op9_neighbours,
     "op10_line_dedup": op10_line_dedup,
 }
 ORACLE_SQL = {"op2_url_filter": url_filter.ORACLE_SQL, "op10_line_dedup": line_dedup.ORACLE_SQL}
