@@ -1,6 +1,6 @@
 """All queries of the reference's operators by name."""
 
-from . import corpus, sampling  # noqa: F401
+from . import corpus, models, sampling, vectors  # noqa: F401
 from .base import CATALOG
 
 __all__ = ["CATALOG"]
