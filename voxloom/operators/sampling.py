@@ -13,11 +13,25 @@ TIERS = ((10_000, 1000), (1000, 150), (200, 50))
 
 
 def ordered(rows: DataFrame, by: str, key: str, seed: int, name: str = "turn") -> DataFrame:
-    """``rows`` numbered from 1 within ``by`` in pseudo-random order."""
-    return rows.withColumn(name, F.row_number().over(W.partitionBy(by).orderBy(sample_key(seed, F.col(key)), key)))
+    """``rows`` numbered from 1 within ``by`` in pseudo-random order.
+
+    A group of a third of all rows isn't sorted by one task: rows are counted per group and leading three digits of
+    their random key, and numbered within those parts from where the part begins.
+    """
+    keyed = rows.withColumn("_k", sample_key(seed, F.col(key))).withColumn("_b", F.substring("_k", 1, 3))
+    sizes = keyed.groupBy(F.col(by).alias("_g"), F.col("_b").alias("_p")).agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(W.partitionBy("_g").orderBy("_p").rowsBetween(W.unboundedPreceding, -1))
+    begins = sizes.select("_g", "_p", F.coalesce(before, F.lit(0)).alias("_begin"))
+    within = F.row_number().over(W.partitionBy(by, "_b").orderBy("_k", key))
+    placed = keyed.withColumn("_row", within).join(begins, keyed[by].eqNullSafe(F.col("_g")) & (F.col("_b") == F.col("_p")))
+    return placed.withColumn(name, F.col("_begin") + F.col("_row")).drop("_k", "_b", "_g", "_p", "_begin", "_row")
 
 
 def sample(rows: DataFrame, by: str, key: str, n: int | Column, seed: int = 42) -> DataFrame:
+    """``n`` rows of each group; with a fixed number Spark thins the groups before the shuffle."""
+    if isinstance(n, int):
+        turn = F.row_number().over(W.partitionBy(by).orderBy("_k", key))
+        return rows.withColumn("_k", sample_key(seed, F.col(key))).withColumn("_turn", turn).filter(F.col("_turn") <= n).drop("_k", "_turn")
     return ordered(rows, by, key, seed).filter(F.col("turn") <= n).drop("turn")
 
 
@@ -52,24 +66,17 @@ def split_groups(groups: DataFrame, order: list[Column], ratio: float) -> DataFr
 
 def split_within(rows: DataFrame, by: str, key: str, ratio: float, seed: int = 42) -> DataFrame:
     """max(1, floor(ratio * n)) rows of each group are train, the others val."""
-    n = F.count("*").over(W.partitionBy(by))
-    turned = ordered(rows.withColumn("_n", n), by, key, seed)
+    sizes = counts(rows, by).select(F.col(by).alias("_g"), F.col("n").alias("_n"))
+    turned = ordered(rows, by, key, seed)
+    turned = turned.join(sizes, turned[by].eqNullSafe(F.col("_g"))).drop("_g")
     return turned.withColumn("split", F.when(F.col("turn") <= F.greatest(F.lit(1), F.floor(F.col("_n") * ratio)), "train").otherwise("val")).drop("_n", "turn")
 
 
 def split_all(rows: DataFrame, key: str, ratio: float, seed: int = 42) -> DataFrame:
-    """floor(ratio * all) rows are train, whatever their group.
-
-    The threshold is exact without one global sort task: rows are counted per leading two bytes of their random key, and
-    ranks are taken within those
-    """
-    keyed = rows.withColumn("_k", sample_key(seed, F.col(key))).withColumn("_b", F.conv(F.substring("_k", 1, 4), 16, 10).cast("int"))
-    sizes = keyed.groupBy("_b").agg(F.count("*").alias("_m"))
-    upto = sizes.withColumn("_end", F.sum("_m").over(W.orderBy("_b"))).withColumn("_cut", F.floor(F.sum("_m").over(W.partitionBy()) * ratio))
-    place = upto.select("_b", (F.col("_cut") - (F.col("_end") - F.col("_m"))).alias("_left"))
-    turn = F.row_number().over(W.partitionBy("_b").orderBy("_k", key))
-    out = keyed.withColumn("_turn", turn).join(F.broadcast(place), "_b")  # 65,536 rows at most
-    return out.withColumn("split", F.when(F.col("_turn") <= F.col("_left"), "train").otherwise("val")).drop("_k", "_b", "_turn", "_left")
+    """floor(ratio * all) rows are train, whatever their group: one group of all rows, numbered in parts."""
+    turned = ordered(rows.withColumn("_all", F.lit(1)), "_all", key, seed)
+    total = rows.agg(F.floor(F.count("*") * ratio).alias("_cut"))
+    return turned.crossJoin(F.broadcast(total)).withColumn("split", F.when(F.col("turn") <= F.col("_cut"), "train").otherwise("val")).drop("_all", "_cut", "turn")
 
 
 def split_fixed(rows: DataFrame, by: str, key: str, train: int, val: int, seed: int = 42) -> DataFrame:
@@ -83,7 +90,7 @@ def pk_batches(rows: DataFrame, by: str, key: str, p: int, k: int, seed: int = 4
     whole = groups.withColumn("_all", F.count("*").over(W.partitionBy())).filter(F.col("_r") < F.floor(F.col("_all") / p) * p)
     wanted = whole.select(by, F.floor(F.col("_r") / p).alias("batch"), F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("item"), "n")
     turned = ordered(rows, by, key, seed).select(by, F.col(key), F.col("turn"))
-    return wanted.withColumn("turn", (F.pmod("item", "n") + 1).cast("int")).join(turned, [by, "turn"]).select("batch", by, "item", key)
+    return wanted.withColumn("turn", (F.pmod("item", "n") + 1)).join(turned, [by, "turn"]).select("batch", by, "item", key)
 
 
 def triplets(rows: DataFrame, by: str, key: str, n: int, seed: int = 42) -> DataFrame:

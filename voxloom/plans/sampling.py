@@ -52,7 +52,7 @@ def tiered_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.sample(sized, "lang", "doc_id", F.col("size")).select("lang", "doc_id")
 
 
-@query("WIN2", f"WITH {TURN} SELECT doc_id, source, turn::INT AS turn FROM t")
+@query("WIN2", f"WITH {TURN} SELECT doc_id, source, turn::BIGINT AS turn FROM t")
 def permutation_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.ordered(docs(spark, sf_dir), "source", "doc_id", 42).select("doc_id", "source", "turn")
 
