@@ -4,8 +4,8 @@
    their classes look closer to normal). Ids, languages and sources are never among them.
 2. Class moments (count, sum, products) over every labelled training row are native sums per moment, so
    only (1 + d + d(d+1)/2) numbers per class reach the driver whatever the number of rows.
-3. Each class covariance is shrunk towards the pooled covariance and then towards a multiple of the
-   identity; its Cholesky factor is computed once, kept in the model and shipped to the tasks. A score is
+3. Each class covariance is shrunk towards the pooled covariance, the more the fewer rows it has, and then
+   towards the pooled diagonal; its Cholesky factor is computed once, kept in the model and shipped to the tasks. A score is
    the difference of the two log densities: Mahalanobis distances by triangular solves, plus the log
    determinants and log priors.
 4. The difference is calibrated by a logistic curve fitted to a histogram of the training rows.
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import materialise
 
 FEATURES = ("length", "words", "upper", "stops", "shouts", "symbols", "digits", "distinct", "echo", "word_length", "lines", "repeated_lines", "other_bytes", "top_word", "bare")
-#: Shrinkage towards the pooled covariance, then towards the identity.
+#: Least shrinkage towards the pooled covariance, then towards its diagonal. Classes of few rows are shrunk more.
 POOL, RIDGE = 0.1, 0.05
 BINS = 400
 REACH = 60.0
@@ -122,7 +122,9 @@ class Model:
         return score(text)
 
 
-def shrunk(cov: np.ndarray, pooled: np.ndarray, pool: float = POOL, ridge: float = RIDGE) -> np.ndarray:
+def shrunk(cov: np.ndarray, pooled: np.ndarray, n: float, pool: float = POOL, ridge: float = RIDGE) -> np.ndarray:
+    """The covariance of n rows, blended with the pooled one and its diagonal; by d / (n + d) at least."""
+    pool = max(pool, len(cov) / (n + len(cov)))
     mixed = (1 - pool) * cov + pool * pooled
     return (1 - ridge) * mixed + ridge * np.diag(np.diag(pooled)) + 1e-6 * np.eye(len(cov))
 
@@ -167,7 +169,7 @@ def fit(rows: DataFrame, features: str = "features", label: str = "label") -> Mo
         for (i, j), v in zip(upper, got[c, 1 + d :], strict=True):
             covs[c, i, j] = covs[c, j, i] = v / n[c] - means[c, i] * means[c, j]
     pooled = (n[:, None, None] * covs).sum(axis=0) / n.sum()
-    factors = np.stack([np.linalg.cholesky(shrunk(covs[c], pooled)) for c in (0, 1)])
+    factors = np.stack([np.linalg.cholesky(shrunk(covs[c], pooled, n[c])) for c in (0, 1)])
     model = Model(means, factors, np.log(np.diagonal(factors, axis1=1, axis2=2)).sum(axis=1), np.log(n / n.sum()))
     return calibrated(model, rows, features, label)
 
