@@ -113,7 +113,7 @@ def bit_planes(fps: np.ndarray) -> np.ndarray:
     padded = np.zeros(blocks * 64, np.uint64)
     padded[: len(fps)] = fps
     bits = np.unpackbits(padded.view(np.uint8).reshape(blocks, 64, 8), axis=2, bitorder="little")
-    return np.packbits(bits.transpose(0, 2, 1), axis=2, bitorder="little").view(np.uint64).reshape(blocks, 64)
+    return np.ascontiguousarray(np.packbits(bits.transpose(0, 2, 1), axis=2, bitorder="little")).view(np.uint64).reshape(blocks, 64)
 
 
 def sliced_pairs(fps: np.ndarray, group: np.ndarray, slab: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -219,8 +219,10 @@ def hex_digits(fp: Column) -> Column:
 def keep_one(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row for each group of near copies: that whose id names the component.
 
-    A text's rows meet their verdict through the id, so only ids and verdicts are shuffled beside the texts.
+    Of rows that repeat that id one stays. Rows with a null id can't name a group; they all stay. Only ids and
+    verdicts are shuffled beside the texts, which meet them in one join.
     """
     name = fresh("_survivor", docs.columns)
     kept = components(docs, doc_col, text_col).filter(F.col("doc") == F.col("component")).select(F.col("doc").alias(name)).distinct()
-    return docs.join(kept, F.col(doc_col).cast("long") == F.col(name), "left_semi").dropDuplicates([doc_col])
+    named = docs.join(kept, F.col(doc_col).cast("long") == F.col(name), "left_semi").dropDuplicates([doc_col])
+    return named.unionByName(docs.filter(F.col(doc_col).isNull()))
