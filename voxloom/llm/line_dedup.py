@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, ascii_lower, fresh, shuffle_partitions
+from .common import ASCII_SPACE, ascii_lower, fresh, materialise, shuffle_partitions
 
 
 def lines_of(text: Column) -> Column:
@@ -50,8 +50,9 @@ def keep_bitmaps(docs: DataFrame, mode: str = "all", min_docs: int = 10, min_cha
     text = F.col(text_col)
     exploded = docs.select(F.col(doc_col).alias("doc"), F.xxhash64(text).alias("text_hash"), F.posexplode(lines_of(text)).alias("pos", "line"))
     keyed = exploded.withColumn("key", line_key(F.col("line"))).filter(F.char_length("key") >= min_chars)
+    # sampling the ranges and both uses below read the hashes; texts are split only once
     hashed = keyed.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"), F.coalesce(F.pmod(F.xxhash64("doc", "text_hash"), F.lit(n)), F.lit(0)).cast("int").alias("bucket"), "doc", "text_hash", "pos")
-    ordered = hashed.repartitionByRange("h1", "bucket").sortWithinPartitions("h1", "h2", "bucket", "doc", "text_hash", "pos")
+    ordered = materialise(hashed).repartitionByRange("h1", "bucket").sortWithinPartitions("h1", "h2", "bucket", "doc", "text_hash", "pos")
     run = W.partitionBy("h1", "h2", "bucket").orderBy("doc", "text_hash", "pos")
     before = F.lag(F.struct("doc", "text_hash")).over(run)
     streamed = ordered.withColumn("opens", (before.isNull() | ~before.eqNullSafe(F.struct("doc", "text_hash"))).cast("int"))
