@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import windows
+from .common import materialise, windows
 
 SAMPLE_DOCS = 4000
 MAX_GRAMS = 50_000
@@ -180,7 +180,8 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sampl
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(ks)), pa.array(ks), pa.array(ns)], names=["lang", "gram", "n"])
 
     pairs = taken.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInArrow(count, "lang string, gram long, n long")
-    summed = pairs.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    # every language reads the sums below; texts are counted only once
+    summed = materialise(pairs.groupBy("lang", "gram").agg(F.sum("n").alias("n")))
     totals = {r["lang"]: r["n"] for r in summed.filter("gram >= 0").groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     top = None
     for name in langs:
