@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from voxloom.llm import decontam, line_dedup, packing, queries, simhash, token_counts
+from voxloom.llm import decontam, line_dedup, near_copies, packing, queries, simhash, token_counts
 from voxloom.llm.token_counts import Counter
 from voxloom.llm.tokenizer_ids import WordIds
 
@@ -171,11 +171,11 @@ def test_simhash_awkward_rows(awkward, empty):
     by = {r["doc"]: r["component"] for r in got}
     assert len(got) == 9 and by[2] == by[3] == by[4] == 2 and by[6] == by[1] == 1
     assert simhash.components(empty).count() == 0
-    kept = simhash.keep_one(awkward)
+    kept = near_copies.keep_one(awkward)
     assert kept.columns == awkward.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 2, 5, 7, 8]
     nameless = awkward.withColumn("doc_id", F.when(F.col("doc_id") < 5, F.col("doc_id")))
     assert simhash.components(nameless).count() == 9
-    assert sorted(str(r["doc_id"]) for r in simhash.keep_one(nameless).collect()) == ["1", "2", *["None"] * 4]
+    assert sorted(str(r["doc_id"]) for r in near_copies.keep_one(nameless).collect()) == ["1", "2", *["None"] * 4]
 
 
 def brute_lines(docs, mode, least):
@@ -282,3 +282,38 @@ def test_decontamination_awkward_rows(spark, awkward, empty):
     assert kept.columns == awkward.columns and sorted(r["doc_id"] for r in kept.collect()) == [2, 3, 4, 5, 7, 8]
     assert decontam.hits(empty, bench).count() == 0 and decontam.clean(awkward, bench.filter("item_id < 0")).count() == 9
     assert kept.filter(F.col("n_chars").isNull()).count() == 1
+
+
+def test_near_copies_against_brute_force(spark):
+    random.seed(3)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    texts = []
+    for _ in range(40):
+        base = random.choices(vocabulary, k=random.randint(3, 400))
+        texts.append(" ".join(base))
+        for _ in range(random.randint(0, 6)):
+            near = list(base)
+            for _ in range(random.randint(0, max(1, len(base) // 25))):
+                near[random.randrange(len(near))] = random.choice(vocabulary)
+            texts.append(random.choice(("\n", "  ")).join(near).upper())
+    hot = random.choices(vocabulary, k=300)
+    for i in range(60):  # a group of near copies that takes several parts
+        texts.append(" ".join([*hot[:i], f"u{i}", *hot[i + 1 :]]))
+    texts += [None, "", " \t", "one two", "one  two"]
+    random.shuffle(texts)
+    sets = [set(near_copies.shingle_set(t).tolist()) for t in texts]
+    n = len(texts)
+    near = {(i, j) for i in range(n) for j in range(i + 1, n) if sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    closure = list(range(n))
+    for _ in range(n):
+        before = list(closure)
+        for i, j in near:
+            closure[i] = closure[j] = min(closure[i], closure[j])
+        if closure == before:
+            break
+    for part in (near_copies.PART, 8):
+        got = {r["doc"]: r["component"] for r in near_copies.components(docs_of(spark, texts), part=part).collect()}
+        assert len(got) == n and all(closure[i] == closure[c] for i, c in got.items())
+        kept = [i for i, c in got.items() if i == c]
+        assert not [p for p in near if p[0] in kept and p[1] in kept]
+        assert set(got.values()) == set(kept)

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, ASCII_UPPER, Stage, connected_components, fresh, materialise
+from .common import ASCII_LOWER, ASCII_UPPER, Stage, connected_components, materialise
 
 RADIUS = 2
 GROUP_CAP = 1024
@@ -34,25 +34,40 @@ CHUNK = 100_000
 _LOWER = bytes.maketrans(ASCII_UPPER.encode(), ASCII_LOWER.encode())
 
 
-def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
-    """The 64-bit SimHash of a text's ``width``-word shingles; 0 for a text without words."""
-    words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
-    if not words:
-        return 0
+def shingle_hashes(words: list[bytes], width: int, seed: int = 42) -> Iterator[np.ndarray]:
+    """The XXH64 of each shingle of ``width`` words, a chunk at a time; fewer words are one shingle."""
+    digest = xxhash.xxh64_intdigest
     if len(words) < width:
-        return xxhash.xxh64_intdigest(b" ".join(words), seed)
-    n, votes, digest = len(words) - width + 1, np.zeros(64, np.int64), xxhash.xxh64_intdigest
-    for at in range(0, n, CHUNK):
+        yield np.array([digest(b" ".join(words), seed)], np.uint64)
+        return
+    for at in range(0, len(words) - width + 1, CHUNK):
         part = words[at : at + CHUNK + width - 1]
         buf = b" ".join(part)
-        ends = np.cumsum(np.fromiter(map(len, part), np.int64, len(part)) + 1)
-        starts, stops = (ends - np.fromiter(map(len, part), np.int64, len(part)) - 1).tolist(), (ends - 1).tolist()
-        count = len(part) - width + 1
-        h = np.fromiter((digest(buf[a:b], seed) for a, b in zip(starts, stops[width - 1 :], strict=False)), np.uint64, count)
+        lengths = np.fromiter(map(len, part), np.int64, len(part))
+        ends = np.cumsum(lengths + 1) - 1
+        spans = zip((ends - lengths).tolist(), ends[width - 1 :].tolist(), strict=False)
+        yield np.fromiter((digest(buf[a:b], seed) for a, b in spans), np.uint64, len(part) - width + 1)
+
+
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
+
+
+def majority(chunks: Iterator[np.ndarray]) -> int:
+    """The bits set in over half of the hashes."""
+    n, votes = 0, np.zeros(64, np.int64)
+    for h in chunks:
+        n += len(h)
         votes += np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(sum(1 << b for b in np.flatnonzero(votes * 2 > n).tolist()))
 
 
+def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
+    """The 64-bit SimHash of a text's ``width``-word shingles; 0 for a text without words."""
+    words = words_of(text)
+    return majority(shingle_hashes(words, width, seed)) if words else 0
+
+
 def fingerprints(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
     """(doc, fp) for each row of ``docs``; fp is the fingerprint as a signed long."""
 
@@ -116,18 +131,21 @@ def bit_planes(fps: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(np.packbits(bits.transpose(0, 2, 1), axis=2, bitorder="little")).view(np.uint64).reshape(blocks, 64)
 
 
-def sliced_pairs(fps: np.ndarray, group: np.ndarray, slab: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs i < j of the same group within the radius; ``group`` ascends.
+def sliced_pairs(fps: np.ndarray, group: np.ndarray, radius: int = RADIUS, leads: np.ndarray | None = None, slab: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs i < j of the same group within the radius; ``group`` ascends. ``leads``: the rows that may be i.
 
     Each fingerprint is compared with the 64-member blocks that hold later members of its group. Planes are
-    taken eight at a time; a comparison ends once no lane of its block can still be within the radius.
+    taken eight at a time; a comparison ends once no lane of its block can still be within the radius. Counters
+    begin at such a value that they overflow where the distance first exceeds the radius.
     """
-    n = len(fps)
+    n, width = len(fps), radius.bit_length()
     planes = bit_planes(fps)
     ends = np.searchsorted(group, group, side="right")
     index = np.arange(n)
     first, last = (index + 1) // 64, (ends - 1) // 64
     counts = np.where(ends > index + 1, last - first + 1, 0)
+    if leads is not None:
+        counts = np.where(leads, counts, 0)
     todo = np.flatnonzero(counts)
     cuts = np.searchsorted(np.cumsum(counts[todo]), np.arange(slab, counts.sum() + slab, slab)) + 1
     full = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -139,19 +157,17 @@ def sliced_pairs(fps: np.ndarray, group: np.ndarray, slab: int = 1 << 18) -> Ite
         low = np.clip(i + 1 - k * 64, 0, 63).astype(np.uint64)
         high = np.clip(ends[i] - k * 64, 1, 64).astype(np.uint64)
         alive = (full << low) & (full >> (np.uint64(64) - high))
-        ones = np.zeros(len(i), np.uint64)
-        twos = np.zeros(len(i), np.uint64)
+        bias = (1 << width) - 1 - radius
+        counters = [np.full(len(i), full if bias >> c & 1 else 0, np.uint64) for c in range(width)]
         for start in range(0, 64, 8):
             for b in range(start, start + 8):
-                differ = planes[k, b] ^ (np.uint64(0) - ((fps[i] >> np.uint64(b)) & np.uint64(1)))
-                carry = ones & differ
-                ones = ones ^ differ
-                alive &= ~(twos & carry)
-                twos = twos ^ carry
-                alive &= ~(ones & twos)
+                carry = planes[k, b] ^ (np.uint64(0) - ((fps[i] >> np.uint64(b)) & np.uint64(1)))
+                for c in range(width):
+                    counters[c], carry = counters[c] ^ carry, counters[c] & carry
+                alive &= ~carry
             keep = alive != 0
             if not keep.all():
-                i, k, ones, twos, alive = i[keep], k[keep], ones[keep], twos[keep], alive[keep]
+                i, k, alive, counters = i[keep], k[keep], alive[keep], [c[keep] for c in counters]
             if not len(i):
                 break
         if len(i):
@@ -214,15 +230,3 @@ def components(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text",
 def hex_digits(fp: Column) -> Column:
     """A fingerprint as 16 lower-case hexadecimal digits."""
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
-
-
-def keep_one(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row for each group of near copies: that whose id names the component.
-
-    Of rows that repeat that id one stays. Rows with a null id can't name a group; they all stay. Only ids and
-    verdicts are shuffled beside the texts, which meet them in one join.
-    """
-    name = fresh("_survivor", docs.columns)
-    kept = components(docs, doc_col, text_col).filter(F.col("doc") == F.col("component")).select(F.col("doc").alias(name)).distinct()
-    named = docs.join(kept, F.col(doc_col).cast("long") == F.col(name), "left_semi").dropDuplicates([doc_col])
-    return named.unionByName(docs.filter(F.col(doc_col).isNull()))
