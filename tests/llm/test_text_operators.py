@@ -317,3 +317,32 @@ def test_near_copies_against_brute_force(spark):
         kept = [i for i, c in got.items() if i == c]
         assert not [p for p in near if p[0] in kept and p[1] in kept]
         assert set(got.values()) == set(kept)
+
+
+def test_near_copies_of_a_star_are_the_closure(spark):
+    """Copies similar to the original only: some are pivots before it, and the links through it must still be found."""
+    random.seed(8)
+    texts = []
+    for star in range(4):
+        base = [f"s{star}w{random.randrange(3000)}" for _ in range(300)]
+        texts.append(" ".join(base))
+        for copy in range(40):
+            edited = list(base)
+            for at in random.sample(range(5, 295, 10), 5):
+                edited[at] = f"c{copy}x{at}"
+            texts.append(" ".join(edited))
+    random.shuffle(texts)
+    n = len(texts)
+    sets = [set(near_copies.shingle_set(t).tolist()) for t in texts]
+    near = [(i, j) for i in range(n) for j in range(i + 1, n) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    closure = list(range(n))
+    while True:
+        before = list(closure)
+        for i, j in near:
+            closure[i] = closure[j] = min(closure[i], closure[j])
+        if closure == before:
+            break
+    assert len(set(closure)) == 4
+    for part in (near_copies.PART, 8):
+        got = {r["doc"]: r["component"] for r in near_copies.components(docs_of(spark, texts), part=part).collect()}
+        assert got == dict(enumerate(closure))

@@ -5,13 +5,14 @@ At that similarity fingerprints differ in about ten bits, too many to index by b
 1. One pass over the texts gives a SimHash, the number of distinct shingles and ``BANDS`` keys, each of ``ROWS``
    minima of permuted shingle hashes. A pair at 0.8 shares one of 20 keys of five minima with a chance of 0.9996.
 2. Texts with equal words become one node, by a partial aggregate.
-3. In rounds, the smallest nodes of each key's group (1, then 8, 64, ...) are its pivots. The bit-sliced comparison
-   of simhash.py counts distances of pivots to members and abandons words beyond ``WIDE`` bits (five deviations
+3. In rounds, a few nodes of each key's group (1, then 8, 64, ...) are its pivots. The bit-sliced comparison of
+   simhash.py counts distances of pivots to members and abandons words beyond ``WIDE`` bits (five deviations
    beyond what 0.8 gives); a group is cut into parts of ``PART`` members, each with the pivots, so no task holds a
    whole group. What is left is verified exactly on the shingle sets, by built-in array functions.
-4. A pivot leaves its group after its round, as it has met all others there, and so do members found similar to
-   one; a group of near copies thus costs one link a member, never all pairs. No two nodes that stay are similar,
-   if they share a key.
+4. Links of a round merge components. A pivot leaves its group after its round, as it has met all others there; a
+   member found similar to one stays, as it may link others, until it was a pivot itself or all that remain in the
+   group are of one component. Only pairs already of one component are skipped, so a group of near copies costs one
+   link a member, and the result is the closure of all links between nodes that share a key.
 """
 
 from __future__ import annotations
@@ -86,29 +87,35 @@ def sets_of(docs: DataFrame, nodes: DataFrame, doc_col: str, text_col: str) -> D
     return named.mapInArrow(run, "node long, shingles array<long>, w1 long, w2 long").groupBy("node", "w1", "w2").agg(F.collect_set("shingles").alias("sets")).select("node", F.explode("sets").alias("shingles"))
 
 
-def near_pivots(batches: Iterator[pa.RecordBatch], rows: int = 1 << 15) -> Iterator[pa.RecordBatch]:
-    """Rows (key, part, place, node, fp, lead) sorted by the first three to pairs (key, a, b): a pivot and a member near it."""
+def near_pivots(similarity: float, rows: int = 1 << 15):
+    """Rows (key, part, place, node, fp, lead, label, n) sorted by the first three to pairs (a, b, la, lb): a pivot and
+    a member of another component near it and of a size that allows ``similarity``, the smaller node first."""
 
-    def pairs(cols: list[np.ndarray]) -> pa.RecordBatch:
-        key, part, _, node, fp, lead = cols
+    def pairs(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        key, part, _, node, fp, lead, label, n = cols
         new = np.r_[False, (key[1:] != key[:-1]) | (part[1:] != part[:-1])]
-        got = list(sliced_pairs(np.ascontiguousarray(fp).view(np.uint64), np.cumsum(new), WIDE, lead.astype(bool)))
-        i, j = (np.concatenate([g[x] for g in got]) if got else np.zeros(0, np.int64) for x in (0, 1))
-        return pa.RecordBatch.from_arrays([pa.array(key[i]), pa.array(node[i]), pa.array(node[j])], names=["key", "a", "b"])
-
-    held: list[np.ndarray] | None = None
-    for batch in batches:
-        cols = [batch.column(x).to_numpy(zero_copy_only=False) for x in range(6)]
-        held = cols if held is None else [np.concatenate(x) for x in zip(held, cols, strict=True)]
-        if len(held[0]) < rows:
-            continue
-        other = np.flatnonzero((held[0] != held[0][-1]) | (held[1] != held[1][-1]))
-        if len(other):
-            cut = int(other[-1]) + 1
-            yield pairs([x[:cut] for x in held])
-            held = [x[cut:] for x in held]
-    if held is not None and len(held[0]):
-        yield pairs(held)
+        for i, j in sliced_pairs(np.ascontiguousarray(fp).view(np.uint64), np.cumsum(new), WIDE, lead.astype(bool), 1 << 15):
+            fit = (label[i] != label[j]) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]))
+            i, j = i[fit], j[fit]
+            i, j = np.where(node[i] < node[j], i, j), np.where(node[i] < node[j], j, i)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (node[i], node[j], label[i], label[j])], names=["a", "b", "la", "lb"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] | None = None
+        for batch in batches:
+            cols = [batch.column(x).to_numpy(zero_copy_only=False) for x in range(8)]
+            held = cols if held is None else [np.concatenate(x) for x in zip(held, cols, strict=True)]
+            if len(held[0]) < rows:
+                continue
+            other = np.flatnonzero((held[0] != held[0][-1]) | (held[1] != held[1][-1]))
+            if len(other):
+                cut = int(other[-1]) + 1
+                yield from pairs([x[:cut] for x in held])
+                held = [x[cut:] for x in held]
+        if held is not None and len(held[0]):
+            yield from pairs(held)
+
+    return run
 
 
 def similar(a: Column, b: Column, similarity: float) -> Column:
@@ -116,35 +123,43 @@ def similar(a: Column, b: Column, similarity: float) -> Column:
     return shared >= similarity * (F.size(a) + F.size(b) - shared)
 
 
-def links(docs: DataFrame, nodes: DataFrame, doc_col: str, text_col: str, similarity: float, part: int) -> DataFrame:
-    """Verified links (a, b) between nodes (node, w1, w2, fp, n, keys)."""
-    spark = docs.sparkSession
+def leaders(members: DataFrame, within: list[str], pivots: int) -> DataFrame:
+    """The next pivots: components take turns, so that small ones are soon through, the most linked member first."""
+    turn = F.row_number().over(W.partitionBy(*within, "label").orderBy(F.desc("links"), "node"))
+    place = F.row_number().over(W.partitionBy(*within).orderBy("turn", F.desc("links"), "node"))
+    return members.withColumn("turn", turn).withColumn("place", place).filter(F.col("place") <= pivots)
+
+
+def linked(docs: DataFrame, nodes: DataFrame, doc_col: str, text_col: str, similarity: float, part: int) -> DataFrame:
+    """(node, component) of those of nodes (node, w1, w2, fp, n, keys) that share a key, by verified links."""
     keyed = materialise(nodes.filter("n > 0").select("node", "fp", "n", F.explode("keys").alias("key")))
     shared = keyed.groupBy("key").count().filter("count > 1").select("key")
-    members = materialise(keyed.join(shared, "key"))
-    sets = materialise(sets_of(docs, nodes.join(members.select("node").distinct(), "node", "left_semi"), doc_col, text_col))
-    sizes = members.select("node", "n").distinct()
-    found, pivots = spark.createDataFrame([], "a long, b long"), 1
+    members = materialise(keyed.join(shared, "key").select("key", "node", "fp", "n", F.col("node").alias("label"), F.lit(0).cast("long").alias("links")))
+    named = materialise(members.select("node", F.col("node").alias("component")).distinct())
+    sets = materialise(sets_of(docs, nodes.join(named, "node", "left_semi"), doc_col, text_col))
+    pivots = 1
     while not members.isEmpty():
         counted = members.groupBy("key").agg(F.ceil(F.count("*") / part).alias("parts"))
-        ranked = members.select("key", "node", "fp").join(counted, "key").withColumn("part", F.pmod(F.xxhash64("node"), "parts"))
-        # the smallest nodes of a key, thinned in its parts first, so that no task ranks a whole hot group
-        few = ranked.withColumn("place", F.row_number().over(W.partitionBy("key", "part").orderBy("node"))).filter(F.col("place") <= pivots)
-        leads = few.withColumn("place", F.row_number().over(W.partitionBy("key").orderBy("node"))).filter(F.col("place") <= pivots)
-        leads = materialise(leads.select("key", "node", "fp", "parts"))
-        spread = leads.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(0).alias("place"), "node", "fp", F.lit(True).alias("lead"))
-        rest = ranked.join(leads.select("key", "node"), ["key", "node"], "left_anti").select("key", "part", F.lit(1).alias("place"), "node", "fp", F.lit(False).alias("lead"))
+        ranked = members.join(counted, "key").withColumn("part", F.pmod(F.xxhash64("node"), "parts"))
+        # thinned in its parts first, so that no task ranks a whole hot group
+        leads = leaders(leaders(ranked, ["key", "part"], pivots), ["key"], pivots)
+        leads = materialise(leads.select("key", "node", "fp", "label", "n", "parts"))
+        spread = leads.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(0).alias("place"), "node", "fp", F.lit(True).alias("lead"), "label", "n")
+        rest = ranked.join(leads.select("key", "node"), ["key", "node"], "left_anti").select("key", "part", F.lit(1).alias("place"), "node", "fp", F.lit(False).alias("lead"), "label", "n")
         met = spread.unionByName(rest).repartition("key", "part").sortWithinPartitions("key", "part", "place", "node")
-        near = materialise(met.mapInArrow(near_pivots, "key long, a long, b long").distinct())
-        edge = near.select("a", "b").distinct().join(sizes.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
-        edge = edge.filter(F.least("na", "nb") >= similarity * F.greatest("na", "nb")).select("a", "b")
-        both = edge.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
-        true = materialise(both.filter(similar(F.col("sa"), F.col("sb"), similarity)).select("a", "b"))
-        gone = leads.select("key", "node").unionByName(near.join(true, ["a", "b"], "left_semi").select("key", F.col("b").alias("node"))).distinct()
-        left = members.join(gone, ["key", "node"], "left_anti")
-        members = materialise(left.join(left.groupBy("key").count().filter("count > 1").select("key"), "key"))
-        found, pivots = found.unionByName(true), min(pivots * GROWTH, part)
-    return found
+        near = materialise(met.mapInArrow(near_pivots(similarity), "a long, b long, la long, lb long").distinct())
+        both = near.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
+        true = materialise(both.filter(similar(F.col("sa"), F.col("sb"), similarity)).select("a", "b", "la", "lb"))
+        left = members.join(leads.select("key", "node"), ["key", "node"], "left_anti")
+        if not true.isEmpty():
+            merged = materialise(connected_components(true.select(F.col("la").alias("a"), F.col("lb").alias("b"))).select(F.col("node").alias("label"), F.col("component").alias("into")))
+            named = materialise(named.join(merged, named.component == merged.label, "left").select("node", F.coalesce("into", "component").alias("component")))
+            more = true.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("more"))
+            left = left.join(merged, "label", "left").join(more, "node", "left").select("key", "node", "fp", "n", F.coalesce("into", "label").alias("label"), (F.col("links") + F.coalesce("more", F.lit(0))).alias("links"))
+        several = left.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
+        members = materialise(left.join(several, "key").select("key", "node", "fp", "n", "label", "links"))
+        pivots = min(pivots * GROWTH, part)
+    return named
 
 
 def components(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, part: int = PART) -> DataFrame:
@@ -156,7 +171,7 @@ def components(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text",
     """
     seen = materialise(sketches(docs, doc_col, text_col))
     nodes = materialise(seen.filter("doc is not null").groupBy("w1", "w2").agg(F.min("doc").alias("node"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("keys").alias("keys")))
-    comps = connected_components(links(docs, nodes, doc_col, text_col, similarity, part))
+    comps = linked(docs, nodes, doc_col, text_col, similarity, part)
     of_words = nodes.join(comps, "node", "left").select("w1", "w2", F.coalesce("component", "node").alias("component"))
     return seen.select("doc", "w1", "w2").join(of_words, ["w1", "w2"], "left").select("doc", "component")
 
