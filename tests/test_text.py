@@ -66,3 +66,35 @@ def test_paraphrase_retries_and_dead_letters(spark):
     df = spark.createDataFrame([(1, "A", "one"), (2, "", "two"), (3, "B", None), (4, "B", "four"), (5, "C", "five")], "id long, speaker string, origin_text string")
     got = {r["id"]: (r["status"], r["attempts"], r["text"]) for r in C.paraphrased(df, EchoClient(), 100).collect()}
     assert got == {1: ("ok", 2, "one"), 2: ("unusable", 0, None), 3: ("unusable", 0, None), 4: ("ok", 2, "four"), 5: ("ok", 2, "five")}
+
+
+def test_pairs_beyond_ascii_are_scored(spark, tmp_path):
+    """Similarity queries over Chinese, accented and astral text, against brute force over code points."""
+    from voxloom.plans.catalog import CATALOG
+
+    said = ["你好，旅行者！", "你好啊，旅行者", "Café au lait", "Cafe au lait", "😀 fine day", "😀😀 fine days", " ", "end"]
+    turns = [(1, i, "ab"[i % 2], t) for i, t in enumerate(said)]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    def score(a, b):
+        ga, gb = ({t[i : i + 3] for i in range(len(t) - 2)} for t in (a, b))
+        return (len(ga & gb) / len(ga | gb) + 1 - distance(a, b) / max(len(a), len(b))) / 2
+
+    want = {1000 + i: score(a, b) for i, (a, b) in enumerate(zip(said, said[1:], strict=False)) if a.strip() and b.strip()}
+    assert len(want) == 5
+    got = {r["id"]: r["similarity"] for r in CATALOG["pair_similarity"].run(spark, str(tmp_path)).collect()}
+    assert got == pytest.approx(want, abs=1e-6)
+    updated = {r["id"]: r for r in CATALOG["update_similarity"].run(spark, str(tmp_path)).collect()}
+    assert {i for i, r in updated.items() if not r["still_pending"]} == set(want) and len(updated) == len(said)
+    stats = {r["speaker"]: r for r in CATALOG["similarity_stats_by_speaker"].run(spark, str(tmp_path)).collect()}
+    for who, odd in (("a", 0), ("b", 1)):
+        part = [v for i, v in want.items() if i % 2 == odd]
+        assert stats[who]["n"] == len(part) and [stats[who][c] for c in ("mean", "low", "high")] == pytest.approx([sum(part) / len(part), min(part), max(part)], abs=1e-6)

@@ -73,21 +73,45 @@ s AS (SELECT id, speaker, CASE WHEN len(ga) = 0 AND len(gb) = 0 THEN 1.0 ELSE le
   WHERE {sql_strip('a')} <> '' AND {sql_strip('b')} <> '')"""
 
 
-def ascii_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def text_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = dialogues(spark, sf_dir).select("id", "speaker", F.col("origin_text").alias("a"), F.col("para_text").alias("b"))
-    return cut.filter(F.col("b").isNotNull() & F.col("a").rlike(X.ASCII_ONLY) & F.col("b").rlike(X.ASCII_ONLY) & (X.strip(F.col("a")) != "") & (X.strip(F.col("b")) != ""))
+    return cut.filter(F.col("b").isNotNull() & (X.strip(F.col("a")) != "") & (X.strip(F.col("b")) != ""))
+
+
+def ascii_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs that SQL can check: DuckDB's levenshtein counts bytes, which are characters in ASCII texts only."""
+    return text_pairs(spark, sf_dir).filter(F.col("a").rlike(X.ASCII_ONLY) & F.col("b").rlike(X.ASCII_ONLY))
+
+
+def scores_of(pairs: DataFrame) -> DataFrame:
+    a, b = F.col("a"), F.col("b")
+    return pairs.select("id", micro(X.jaccard(a, b), "jaccard"), micro(X.edit_similarity(a, b), "edit"), micro(X.pair_similarity(a, b), "similarity"))
+
+
+def stats_of(pairs: DataFrame) -> DataFrame:
+    return C.similarity_stats(pairs.select("speaker", X.scored_pair(F.col("a"), F.col("b")).alias("similarity")), "speaker")
+
+
+@query("STR1 STR2 STR4 STR5 STR6 STR7 FIL6 M3")
+def pair_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Similarity of every pair without blanks; pair_similarity_ascii is the part of it that SQL checks."""
+    return scores_of(text_pairs(spark, sf_dir))
 
 
 @query("STR1 STR2 STR4 STR5 STR6 STR7 FIL6 M3", f"WITH {PAIRS_SQL} SELECT id, round(jaccard, 6) AS jaccard, round(edit, 6) AS edit, round((jaccard + edit) / 2, 6) AS similarity FROM s")
 def pair_similarity_ascii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, b = F.col("a"), F.col("b")
-    return ascii_pairs(spark, sf_dir).select("id", micro(X.jaccard(a, b), "jaccard"), micro(X.edit_similarity(a, b), "edit"), micro(X.pair_similarity(a, b), "similarity"))
+    return scores_of(ascii_pairs(spark, sf_dir))
 
 
-@query("AGG3 STR7", f"WITH {PAIRS_SQL} SELECT speaker, count(*)::BIGINT AS n, round(avg((jaccard + edit) / 2), 6) AS mean, round(min((jaccard + edit) / 2), 6) AS low, round(max((jaccard + edit) / 2), 6) AS high FROM s GROUP BY speaker")
+@query("AGG3 STR7")
 def similarity_stats_by_speaker(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = ascii_pairs(spark, sf_dir).select("speaker", X.scored_pair(F.col("a"), F.col("b")).alias("similarity"))
-    return C.similarity_stats(scored, "speaker")
+    """Statistics of every pair without blanks; similarity_stats_by_speaker_ascii is what SQL checks."""
+    return stats_of(text_pairs(spark, sf_dir))
+
+
+@query("AGG3 STR7", f"WITH {PAIRS_SQL} SELECT speaker, count(*)::BIGINT AS n, round(avg((jaccard + edit) / 2), 6) AS mean, round(min((jaccard + edit) / 2), 6) AS low, round(max((jaccard + edit) / 2), 6) AS high FROM s GROUP BY speaker")
+def similarity_stats_by_speaker_ascii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats_of(ascii_pairs(spark, sf_dir))
 
 
 @query("STR3 SET1", f"""WITH {DIALOGUES}, p AS (SELECT id, origin_text AS a, para_text AS b FROM dialogues WHERE para_text IS NOT NULL),
@@ -141,14 +165,24 @@ def pending_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dialogues(spark, sf_dir).filter("para_text is null").orderBy("id").offset(25).limit(25).select("id")
 
 
-@query("SNK5 JN1 JN4", f"""WITH {PAIRS_SQL} SELECT d.id, round((s.jaccard + s.edit) / 2, 6) AS similarity, s.id IS NULL AS still_pending FROM dialogues d LEFT JOIN s ON d.id = s.id""")
-def update_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = ascii_pairs(spark, sf_dir).select("id", X.scored_pair(F.col("a"), F.col("b")).alias("similarity"))
+def updated_by(pairs: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = pairs.select("id", X.scored_pair(F.col("a"), F.col("b")).alias("similarity"))
     current = dialogues(spark, sf_dir).withColumn("similarity", F.lit(None).cast("double"))
     out = C.updated(current, scores, "id", "similarity")
     return out.select("id", micro(F.col("similarity"), "similarity"), F.col("similarity").isNull().alias("still_pending"))
 
 
+@query("SNK5 JN1 JN4")
+def update_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Updated by every pair without blanks; update_similarity_ascii is what SQL checks."""
+    return updated_by(text_pairs(spark, sf_dir), spark, sf_dir)
+
+
+@query("SNK5 JN1 JN4", f"""WITH {PAIRS_SQL} SELECT d.id, round((s.jaccard + s.edit) / 2, 6) AS similarity, s.id IS NULL AS still_pending FROM dialogues d LEFT JOIN s ON d.id = s.id""")
+def update_similarity_ascii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return updated_by(ascii_pairs(spark, sf_dir), spark, sf_dir)
+
+
 @query("STR12 STR14 STR15", rf"""WITH {DIALOGUES} SELECT id, {sql_strip('speaker')} || '：' || {sql_strip("replace(replace(origin_text, chr(10), ' '), chr(13), '')")} AS line, left(replace(origin_text, chr(10), ' '), 80) AS preview FROM dialogues""")
 def format_prompt_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dialogues(spark, sf_dir).select("id", X.prompt_line(F.col("speaker"), F.col("origin_text")).alias("line"), X.preview(F.col("origin_text")).alias("preview"))
