@@ -184,6 +184,23 @@ def test_neighbours_edges(spark):
     assert neighbours.nearest(big, F.col("vec_id") == 0).count() == 1
 
 
+@pytest.mark.parametrize("distinct", [3])
+def test_neighbours_of_few_vectors_are_all_compared(spark, distinct):
+    """Few distinct vectors and many shuffle partitions: each query has its whole result."""
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.standard_normal((distinct, 8))] * 2)
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        got = neighbours.nearest(df, F.col("vec_id") < 3).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    want = brute_nearest(np.arange(len(x)), x, range(3), 5)
+    for q in range(3):
+        assert sorted((r["vec_id"], round(r["score"], 6)) for r in got if r["query_id"] == q) == sorted((i, round(s, 6)) for i, s in want[q])
+
+
 def test_pipeline_against_brute_force(spark, sf_dir):
     import corpus_pipeline
     from voxloom.llm import decontam

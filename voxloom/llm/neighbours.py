@@ -4,7 +4,8 @@
    result can show are kept, the smallest ids. Nodes carry their direction as 16-bit floats.
 2. A first graph: ``TREES`` times, nodes are range-partitioned by the signs of random projections about their
    medians (medians of a sample of ``SAMPLE`` nodes) and then by one more projection. Each task compares blocks of
-   ``LEAF`` consecutive nodes, so that a crowd of almost equal vectors is split like any other.
+   ``LEAF`` consecutive nodes, so that a crowd of almost equal vectors is split like any other. The number of
+   partitions follows from the nodes alone; up to ``LEAF`` nodes are one block, compared whole.
 3. NN-descent: ``ROUNDS`` times, each node gathers its neighbours and up to ``REVERSE`` nodes it is a neighbour of;
    a join brings their vectors, all pairs of such a neighbourhood are compared, and every node keeps its
    ``DEGREE`` best. These are joins, groups of bounded size, and windows over (node, neighbour, similarity).
@@ -25,7 +26,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Stage, materialise, shuffle_partitions
+from .common import Stage, materialise
 
 TREES, LEAF, PER_TREE, SAMPLE = 12, 2048, 10, 8192
 DEGREE, REVERSE, PER_JOIN, ROUNDS = 24, 20, 10, 3
@@ -85,10 +86,12 @@ def within_blocks(leaf: int, per_tree: int):
         if len(nodes) < 2:
             return None
         s = x @ x.T
-        np.fill_diagonal(s, -2)
+        # a block across two trees may hold a node twice
+        s[nodes[:, None] == nodes[None, :]] = -2
         m = min(per_tree, len(nodes) - 1)
         at = best_of(s, m)[:, :m]
-        return edge_batch(np.repeat(nodes, m), nodes[at].ravel(), np.take_along_axis(s, at, 1).ravel())
+        u, v, near = np.repeat(nodes, m), nodes[at].ravel(), np.take_along_axis(s, at, 1).ravel()
+        return edge_batch(u[near > -2], v[near > -2], near[near > -2])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nodes, x = np.zeros(0, np.int64), None
@@ -99,7 +102,9 @@ def within_blocks(leaf: int, per_tree: int):
             new = as_matrix(b.column(1))
             x = new if x is None else np.concatenate([x, new])
             while len(nodes) >= 2 * leaf:
-                yield edges(nodes[:leaf], x[:leaf])
+                out = edges(nodes[:leaf], x[:leaf])
+                if out is not None:
+                    yield out
                 nodes, x = nodes[leaf:], x[leaf:]
         if x is not None:
             half = len(nodes) if len(nodes) <= leaf else -(-len(nodes) // 2)
@@ -112,6 +117,8 @@ def within_blocks(leaf: int, per_tree: int):
 
 
 def first_graph(nodes: DataFrame, n: int, seed: int, trees: int, leaf: int, per_tree: int, sample: int) -> DataFrame:
+    if n <= leaf:  # one block, compared whole
+        return nodes.select("node", "code").coalesce(1).mapInArrow(within_blocks(n, per_tree), EDGES)
     rows = nodes.filter(F.pmod(F.xxhash64("node", F.lit(seed)), F.lit(1_000_000)) < int(1_000_000 * min(1.0, sample / n)) + 1).limit(2 * sample).select("code").toArrow()
     known = as_matrix(rows.column(0).combine_chunks()) if rows.num_rows else None
     bits = max(0, int(np.ceil(np.log2(max(1, n / leaf)))))
@@ -131,7 +138,7 @@ def first_graph(nodes: DataFrame, n: int, seed: int, trees: int, leaf: int, per_
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.full(len(x), t, np.int32)), pa.array(cell.astype(np.int64)), pa.array(p[:, bits])], names=["node", "code", "tree", "cell", "along"])
 
     placed = nodes.select("node", "code").mapInArrow(place, "node long, code binary, tree int, cell long, along float")
-    parts = max(shuffle_partitions(nodes.sparkSession), min(4096, -(-n * trees // (8 * leaf))))
+    parts = max(1, -(-n * trees // (8 * leaf)))
     ordered = placed.repartitionByRange(parts, "tree", "cell", "along").sortWithinPartitions("tree", "cell", "along", "node")
     return ordered.select("node", "code").mapInArrow(within_blocks(leaf, per_tree), EDGES)
 
@@ -251,9 +258,10 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_
     heads = base.join(owners, (base.id == owners.node) & (base.g1 == owners.g1) & (base.g2 == owners.g2)).select("node", "vector").dropDuplicates(["node"])
     nodes = materialise(heads.mapInArrow(encode, "node long, code binary"))
     members = materialise(smallest(base.select("g1", "g2", "id").distinct(), ["g1", "g2"], [F.col("id")], k + 1, "id").join(owners, ["g1", "g2"]).select("node", "id"))
-    n = nodes.count()
-    graph = Stage(keep_best(first_graph(nodes, max(n, 1), seed, trees, leaf, PER_TREE, SAMPLE), degree))
-    for _ in range(rounds if n > leaf else 1):
+    n, degree = nodes.count(), max(degree, 4 * k + 4)
+    # a table of one block has its exact graph at once: as many neighbours of each node as a result is chosen from
+    graph = Stage(keep_best(first_graph(nodes, max(n, 1), seed, trees, leaf, PER_TREE if n > leaf else degree, SAMPLE), degree))
+    for _ in range(rounds if n > leaf else 0):
         better = Stage(descend(graph.df, nodes, degree, REVERSE, PER_JOIN))
         graph.drop()
         graph = better
