@@ -229,6 +229,16 @@ def test_line_dedup_query_equals_sql(spark, sf_dir):
     assert got == want and hashlib.sha256(b"").hexdigest()
 
 
+def test_line_dedup_of_null_texts_equals_sql(spark, tmp_path):
+    rows = [(1, None), (2, ""), (3, "one\ntwo"), (4, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    c = duckdb.connect()
+    c.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = sorted(c.execute(line_dedup.ORACLE_SQL).fetchall())
+    got = sorted(tuple(r) for r in queries.op10_line_dedup(spark, str(tmp_path)).select("doc_id", "n_lines", "n_dropped", "kept_sha256").collect())
+    assert got == want
+
+
 def brute_distance(pattern, words):
     """Least edits of the pattern to any stretch of words."""
     row = [0] * (len(words) + 1)
