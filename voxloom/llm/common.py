@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
+import re
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,10 +40,13 @@ def id_remainder(doc_id: str | Column, modulus: int) -> Column:
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared checkpoint folder: the session's own if set, else a temporary one (local tests)."""
+    """The shared checkpoint folder: the session's own if set, else, for a local master only, a temporary one."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="voxloom-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="voxloom-"))
     return sc.getCheckpointDir()
 
 
@@ -67,7 +76,7 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """Component of each node of an undirected graph, as (node, component): component is its smallest node.
 
     ``edges`` has columns a and b (long); rows with a = b or a null are dropped. Alternates the
@@ -87,7 +96,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     stage = Stage(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = signature(stage.df)
-    for _ in range(max_rounds):
+    while True:
         e = stage.df
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
         large = with_min(both).filter("v > u").select(F.col("v").alias("u"), F.col("low").alias("v")).filter("u <> v").distinct()
@@ -102,8 +111,6 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if after == before:
             break
         before = after
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     stars = stage.df.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return stars.union(stage.df.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
@@ -116,9 +123,33 @@ def fresh(name: str, taken: Iterable[str]) -> str:
     return name
 
 
-def windows(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
-    """The batches in slices of about ``limit`` bytes."""
+def windows(batches: Iterator[pa.RecordBatch], limit: int, column: int = 1) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most ``limit`` bytes of text in ``column``; a longer text is a slice by itself."""
     for b in batches:
-        rows = max(1, int(b.num_rows * limit / max(b.nbytes, 1)))
-        for at in range(0, b.num_rows, rows):
-            yield b.slice(at, rows)
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < b.num_rows:
+            before = int(ends[at - 1]) if at else 0
+            stop = max(at + 1, int(np.searchsorted(ends, before + limit, side="right")))
+            yield b.slice(at, stop - at)
+            at = stop
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, and what it freed goes back to the system when its task ends: later stages use the same Python workers."""
+
+    def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return trimmed
+
+
+def strings(column: pa.Array) -> np.ndarray:
+    """A column of strings as Python objects (null: None), faster than to_pylist."""
+    return column.to_numpy(zero_copy_only=False)

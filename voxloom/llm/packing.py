@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import windows
+from .common import lean, windows
 from .tokenizer_ids import loaded
 
 TOKENIZER = "word_bpe_49k.json"
@@ -37,7 +37,7 @@ TIERS = (2048, 1024, 512, 256)
 END_ID = 1
 STEP_TOKENS = 65_536
 #: Bytes of text in a window of packing.
-WINDOW_BYTES = 6_000_000
+WINDOW_BYTES = 3_000_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_id long"
 
 Piece = tuple[int, int, int]  # item, start in it, length
@@ -140,5 +140,5 @@ def packed(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text", tok
     null or empty text is its end id alone; a very long text fills sequences of its own. ``tier`` is the length a
     sequence is padded to. Other columns are ignored. An empty table gives no rows.
     """
-    lean = docs.select(F.col(doc_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return lean.mapInArrow(packer(tokenizer, step_tokens, with_ids), SCHEMA + (", ids array<int>" if with_ids else ""))
+    kept = docs.select(F.col(doc_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return kept.mapInArrow(lean(packer(tokenizer, step_tokens, with_ids)), SCHEMA + (", ids array<int>" if with_ids else ""))

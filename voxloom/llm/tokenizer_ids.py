@@ -8,19 +8,22 @@ from __future__ import annotations
 
 import os
 import re
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Words held in a worker's cache; it takes no more once it has as many.
-CACHE_WORDS = 800_000
+from .common import strings
+
+#: Bytes that a worker's cache of words may take; it takes no more words then. Each needs about ``ENTRY`` beside its characters.
+CACHE_BYTES, ENTRY = 64_000_000, 130
 _LATIN_END = "ɐ"
 _TAIL = re.compile(r"(?<=[A-Za-z0-9])([!-&(-/:-@\[-`{-~]+)$")
 
 
 class WordIds:
-    """Ids of words and texts. Words live in Arrow arrays, so that lookups of a batch's words make no Python objects."""
+    """Ids of words and texts. A word's place in the cache is found by one hash lookup, however large the cache is."""
 
     def __init__(self, name: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -28,7 +31,8 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(public_tokenizers.path(name))
-        self.words = pa.array([], pa.string())
+        self.place: dict[str, int] = {}
+        self.room = CACHE_BYTES
         self.flat, self.ends = np.zeros(0, "<u4"), np.zeros(1, np.int64)  # ids of word i: flat[ends[i]:ends[i + 1]]
 
     def ids_of(self, words: list[str]) -> list[np.ndarray]:
@@ -36,8 +40,9 @@ class WordIds:
         out: dict[str, np.ndarray] = {}
         tails = {w: (w[: m.start()], m[1]) for w in words if not w.isalpha() and "<|" not in w and (m := _TAIL.search(w))}
         parts = list({x for ab in tails.values() for x in ab})
-        for x, i in zip(parts, self.places(pa.array(parts, pa.string())).tolist(), strict=True):
-            if i >= 0:
+        for x in parts:
+            i = self.place.get(x)
+            if i is not None:
                 out[x] = self.flat[self.ends[i] : self.ends[i + 1]]
         rest = {x for x in (*words, *parts) if x not in out and x not in tails}
         plain = [x for x in rest if x.isalpha() and max(x) < _LATIN_END]
@@ -57,25 +62,23 @@ class WordIds:
             if owner[-1:].tolist() == [len(part) - 1]:  # else a word that the library splits or drops: asked one by one
                 out.update(zip(part, np.split(np.array(e.ids, "<u4"), np.searchsorted(owner, np.arange(1, len(part)))), strict=True))
 
-    def places(self, keys: pa.Array) -> np.ndarray:
-        return pc.fill_null(pc.index_in(keys, value_set=self.words), -1).to_numpy(zero_copy_only=False)
-
     def lookup(self, vocab: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(flat, starts, sizes) of the ids of distinct words. The cache takes new words until it is full."""
         plain = pc.and_(pc.string_is_ascii(vocab), pc.invert(pc.match_substring(vocab, "<|")))
-        keys = pc.if_else(plain, pc.ascii_lower(vocab), vocab)
-        at, flat, ends = self.places(keys), self.flat, self.ends
-        unknown = at < 0
-        if unknown.any():
-            asked = keys.filter(pa.array(unknown))
-            new = asked.unique()
-            ids = self.ids_of(new.to_pylist())
-            at = at.copy()
-            at[unknown] = pc.index_in(asked, value_set=new).to_numpy() + len(self.words)
+        keys = strings(pc.if_else(plain, pc.ascii_lower(vocab), vocab))
+        at, flat, ends = np.fromiter(map(self.place.get, keys, repeat(-1)), np.int64, len(keys)), self.flat, self.ends
+        unknown = np.flatnonzero(at < 0)
+        if len(unknown):
+            asked = keys[unknown].tolist()
+            new = {w: i for i, w in enumerate(dict.fromkeys(asked), len(ends) - 1)}
+            ids = self.ids_of(list(new))
+            at[unknown] = [new[w] for w in asked]
             flat = np.concatenate([flat, *ids])
             ends = np.concatenate([ends, ends[-1] + np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))])
-            if len(self.words) < CACHE_WORDS:
-                self.words, self.flat, self.ends = pa.concat_arrays([self.words, new]), flat, ends
+            if self.room > 0:
+                self.place.update(new)
+                self.room -= sum(map(len, new)) + ENTRY * len(new)
+                self.flat, self.ends = flat, ends
         return flat, ends[at], ends[at + 1] - ends[at]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
