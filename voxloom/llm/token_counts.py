@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -20,14 +21,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import windows
+from .common import lean, strings, windows
 
 MODEL = "piece_bpe_32k.model"
 LIMIT = 4096
-#: Pre-tokens held in a worker's cache; it takes no more once it has as many.
-CACHE_WORDS = 800_000
+#: Bytes that a worker's cache of pre-tokens may take; it takes no more then. Each needs about ``ENTRY`` beside its characters.
+CACHE_BYTES, ENTRY = 64_000_000, 110
 #: Bytes of text counted at a time.
-WINDOW_BYTES = 8_000_000
+WINDOW_BYTES = 4_000_000
 SPACE = "▁"
 _NONE = np.int64(-1)
 
@@ -64,7 +65,8 @@ class Counter:
         self.inner = np.unique(np.array([(ord(a) << 21) | ord(b) for p in pieces for a, b in zip(p, p[1:], strict=False)], np.int64))
         spaced = {c for p in pieces for c, d in zip(p, p[1:], strict=False) if d == SPACE and c != SPACE}
         self.can_split = not spaced and not any("\n" in p and len(p) > 1 for p in pieces)
-        self.words, self.counts = pa.array([], pa.string()), np.zeros(0, np.int64)
+        self.known: dict[str, int] = {}
+        self.room = CACHE_BYTES
 
     def pairs(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Merged symbol (-1: none) and score of each pair; unknown characters (-1) never merge."""
@@ -160,14 +162,15 @@ class Counter:
 
     def lookup(self, vocab: pa.Array) -> np.ndarray:
         """Tokens of distinct pre-tokens, from the worker's cache or counted now."""
-        at = pc.fill_null(pc.index_in(vocab, value_set=self.words), -1).to_numpy(zero_copy_only=False)
-        out = np.where(at >= 0, self.counts[at] if len(self.counts) else 0, 0)
-        missing = at < 0
-        if missing.any():
-            new = vocab.filter(pa.array(missing))
-            out[missing] = counted = self.count(new.to_pylist())
-            if len(self.words) < CACHE_WORDS:
-                self.words, self.counts = pa.concat_arrays([self.words, new]), np.concatenate([self.counts, counted])
+        words = strings(vocab)
+        out = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(out < 0)
+        if len(missing):
+            new = words[missing].tolist()
+            out[missing] = counted = self.count(new)
+            if self.room > 0:
+                self.known.update(zip(new, counted.tolist(), strict=True))
+                self.room -= sum(map(len, new)) + ENTRY * len(new)
         return out
 
     def texts(self, texts: pa.Array) -> np.ndarray:
@@ -217,5 +220,5 @@ def counts(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text", mod
             n_bytes = pc.fill_null(pc.binary_length(b.column(1)), 0).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), n_bytes, pa.array(_LOADED[model].texts(b.column(1)))], names=["doc_id", "n_bytes", "n_tokens"])
 
-    lean = docs.select(F.col(doc_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return lean.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
+    kept = docs.select(F.col(doc_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return kept.mapInArrow(lean(run), "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
