@@ -227,3 +227,13 @@ def test_pipeline_against_brute_force(spark, sf_dir):
     matcher = decontam.Matcher(list(zip(items["item_id"].tolist(), items["text"], strict=True)))
     assert set(clean["doc_id"]) == {d for d, t in zip(single["doc_id"], single["text"], strict=True) if not matcher.hits(t)}
     assert set(pieces["doc_id"]) == set(clean["doc_id"])
+
+
+def test_language_of_texts_without_letters(spark):
+    rows = [("en", "the house and the tree"), ("ru", "дом и дерево")] * 3
+    model = language_id.learn(spark.createDataFrame(rows, "lang string, text string"))
+    texts = ["́", "12 ́̂ .", "́ the tree", "á"]
+    got = language_id.identified(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model)
+    by = {r["doc_id"]: r["language"] for r in got.collect()}
+    assert [by[i]["lang_pred"] for i in range(4)] == ["und", "und", "en", "en"] and by[0]["score"] == by[1]["score"] == 0
+    assert [s["n_words"] for s in by[2]["spans"]] == [2]

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, windows
+from .common import lean, materialise, windows
 
 SAMPLE_DOCS = 4000
 MAX_GRAMS = 50_000
@@ -46,15 +46,17 @@ _SCRIPT_OF_RANGE = np.array([_NAMES.index(n) for _, n in SCRIPTS])
 
 
 def words_of(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
-    """Words (runs of letters, lower-cased) of texts: code of each word, distinct words, and each text's first word."""
+    """Words (runs of letters and their marks, lower-cased) of texts: code of each word, distinct words, and each text's first word."""
     lists = pc.split_pattern_regex(pc.utf8_lower(pc.fill_null(texts.cast(pa.string()), "")), r"[^\p{L}\p{M}]+")
     coded = lists.flatten().dictionary_encode()
     codes, distinct = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
     offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-    empty = pc.index_in(pa.array([""]), value_set=distinct)[0].as_py()
-    if empty is not None:
-        kept = codes != empty
+    # combining marks alone are no word, and an empty string isn't either
+    word = pc.match_substring_regex(distinct, r"\p{L}").to_numpy(zero_copy_only=False).astype(bool)
+    if not word.all():
+        kept = word[codes]
         offsets, codes = np.r_[0, np.cumsum(kept)][offsets], codes[kept]
+        codes, distinct = (np.cumsum(word) - 1)[codes], distinct.filter(pa.array(word))
     return codes, distinct, offsets
 
 
@@ -123,10 +125,7 @@ class Model:
         codes, distinct, offsets = words_of(texts)
         if not self.langs:
             return [{"lang_pred": UNKNOWN, "score": 0.0, "spans": []}] * len(texts)
-        names = distinct.to_pylist()
-        used = np.array([bool(w) for w in names], bool)
-        scores = np.zeros((len(names), len(self.langs)))
-        scores[used] = self.word_scores([w for w in names if w])
+        scores = self.word_scores(distinct.to_pylist())
         letters = pc.utf8_length(distinct).to_numpy(zero_copy_only=False).astype(float)
         sure = np.abs(scores).max(axis=1, initial=0) > 0
         labels = self.viterbi(scores[codes], np.diff(offsets))
@@ -164,22 +163,19 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sampl
             lang = np.array(b.column(0).to_pylist(), object)
             for name in np.unique(lang):
                 codes, distinct, _ = words_of(b.column(1).filter(pa.array(lang == name)))
-                names = distinct.to_pylist()
-                times = np.bincount(codes, minlength=len(names))
-                used = np.flatnonzero([bool(w) for w in names])
-                if not len(used):
+                if not len(codes):
                     continue
-                keys, owner, scripts = trigrams([names[i] for i in used])
-                per_word = times[used]
+                per_word = np.bincount(codes, minlength=len(distinct))
+                keys, owner, scripts = trigrams(distinct.to_pylist())
                 grams, back = np.unique(keys, return_inverse=True)
-                letters = np.bincount(owner, minlength=len(used)) * per_word
+                letters = np.bincount(owner, minlength=len(distinct)) * per_word
                 scr = np.bincount(scripts, letters, len(_NAMES))
                 seen = np.flatnonzero(scr)
                 ks = np.concatenate([grams, -1 - seen])
                 ns = np.concatenate([np.bincount(back, per_word[owner]), scr[seen]]).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(ks)), pa.array(ks), pa.array(ns)], names=["lang", "gram", "n"])
 
-    pairs = taken.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInArrow(count, "lang string, gram long, n long")
+    pairs = taken.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInArrow(lean(count), "lang string, gram long, n long")
     # every language reads the sums below; texts are counted only once
     summed = materialise(pairs.groupBy("lang", "gram").agg(F.sum("n").alias("n")))
     totals = {r["lang"]: r["n"] for r in summed.filter("gram >= 0").groupBy("lang").agg(F.sum("n").alias("n")).collect()}
@@ -212,7 +208,7 @@ def language_column(text: Column, model: Model) -> Column:
     @F.pandas_udf(RESULT)
     def predict(texts: pd.Series) -> pd.DataFrame:
         batch, rows = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"]), []
-        for b in windows(iter([batch]), WINDOW_BYTES):
+        for b in windows(iter([batch]), WINDOW_BYTES, 0):
             rows += model.predict(b.column(0))
         return pd.DataFrame(rows, columns=["lang_pred", "score", "spans"])
 
@@ -222,8 +218,9 @@ def language_column(text: Column, model: Model) -> Column:
 def identified(docs: DataFrame, model: Model, text_col: str = "text", name: str = "language") -> DataFrame:
     """``docs`` with a struct column ``name``: lang_pred, score and spans; a clashing column is replaced.
 
-    Texts that are null, empty or without a letter get ``und`` and score 0, and so does every text if nothing was
-    learned. Equal weights go to the language with more learning rows, then the smaller name. The score is the
+    Texts that are null, empty or without a letter (combining marks are none) get ``und`` and score 0, and so does
+    every text if nothing was learned. Very long texts are labelled whole, repeated rows each get the same result, an
+    empty table gives no rows. Equal weights go to the language with more learning rows, then the smaller name. The score is the
     share of letters in spans of the language, where letters of scripts that were never learned count as a guess.
     """
     return docs.withColumn(name, language_column(F.col(text_col), model))
