@@ -1,40 +1,44 @@
 """Near copies by SimHash: documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-At that similarity fingerprints differ in about ten bits, too many to index by bits. So:
+At that similarity fingerprints differ in about ten bits, too many to index by bits. So candidates come from keys of
+minima, and the bit-sliced comparison thins them:
 
 1. One pass over the texts gives a SimHash, the number of distinct shingles and ``BANDS`` keys, each of ``ROWS``
-   minima of permuted shingle hashes. A pair at 0.8 shares one of 20 keys of five minima with a chance of 0.9996.
+   minima of permuted shingle hashes. A pair at 0.8 shares one of 25 keys of four minima with a chance of 0.999998.
 2. Texts with equal words become one node, by a partial aggregate.
-3. In rounds, a few nodes of each key's group (1, then 8, 64, ...) are its pivots. The bit-sliced comparison of
-   simhash.py counts distances of pivots to members and abandons words beyond ``WIDE`` bits (five deviations
-   beyond what 0.8 gives); a group is cut into parts of ``PART`` members, each with the pivots, so no task holds a
-   whole group. What is left is verified exactly on the shingle sets, by built-in array functions.
-4. Links of a round merge components. A pivot leaves its group after its round, as it has met all others there; a
-   member found similar to one stays, as it may link others, until it was a pivot itself or all that remain in the
-   group are of one component. Only pairs already of one component are skipped, so a group of near copies costs one
-   link a member, and the result is the closure of all links between nodes that share a key.
+3. In rounds, a few nodes of each key's group are its pivots: the smallest node, then about 8, 64, ... of the rest. The
+   bit-sliced comparison of simhash.py counts distances of pivots to members and abandons words beyond ``WIDE`` bits
+   (five deviations beyond what 0.8 gives); a group is cut into parts of ``PART`` members, each with the pivots, so no
+   task holds a whole group. What is left is verified exactly on the shingle sets, by built-in array functions; a pivot
+   of very many members has a copy of its set for each ``SHARE`` of them, so that no task joins them all.
+4. A pivot leaves its group after its round, as it has met all others there; a member found similar to one stays, as it
+   may link others, until it was a pivot itself or all that remain in the group have one label. Links of a round pass
+   on the smaller label (two steps), which only serves to skip pairs that are already of one component.
+5. Connected components over all links: the closure of all links between nodes that share a key.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import connected_components, fresh, materialise
+from .common import connected_components, fresh, lean, materialise, windows
 from .simhash import majority, shingle_hashes, sliced_pairs, words_of
 
 WIDTH, SIMILARITY = 5, 0.8
-BANDS, ROWS = 20, 5
+BANDS, ROWS = 25, 4
 WIDE = 24
-PART = 8192
-#: Pivots of a group in a round are this many times those of the round before.
+PART, SHARE = 8192, 512
+#: Expected pivots of a group in the second round; then this many times those of the round before.
 GROWTH = 8
+#: Bytes of text sketched at a time.
+WINDOW_BYTES = 2_000_000
 _RANDOM = np.random.default_rng(42)
 _FACTORS = _RANDOM.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _SHIFTS = _RANDOM.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
@@ -60,36 +64,49 @@ def sketches(docs: DataFrame, doc_col: str, text_col: str) -> DataFrame:
     """(doc, w1, w2, fp, n, keys): hashes of the words, SimHash and size of the shingle set, keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ints, keys = np.zeros((4, b.num_rows), np.int64), []
+        for b in windows(batches, WINDOW_BYTES):
+            ints, keys = np.zeros((4, b.num_rows), np.int64), np.zeros((b.num_rows, BANDS), np.int64)
             for i, t in enumerate(b.column(1)):
                 text = t.as_py()
-                joined, s = b" ".join(words_of(text)), shingle_set(text)
+                s = shingle_set(text)
                 fp = majority(iter([s])) if len(s) else 0
-                ints[:, i] = np.array([xxhash.xxh64_intdigest(joined, 0), xxhash.xxh64_intdigest(joined, 1), fp, len(s)], np.uint64).view(np.int64)
-                keys.append(band_keys(s))
-            yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, ints), pa.array(keys, pa.list_(pa.int64()))], names=["doc", "w1", "w2", "fp", "n", "keys"])
+                ints[:, i] = np.array([*words_hash(text), fp, len(s)], np.uint64).view(np.int64)
+                keys[i] = band_keys(s)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * BANDS, pa.int32()), pa.array(keys.ravel()))
+            yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, ints), lists], names=["doc", "w1", "w2", "fp", "n", "keys"])
 
     kept = docs.select(F.col(doc_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    return kept.mapInArrow(run, "doc long, w1 long, w2 long, fp long, n long, keys array<long>")
+    return kept.mapInArrow(lean(run), "doc long, w1 long, w2 long, fp long, n long, keys array<long>")
+
+
+def words_hash(text: str | None) -> tuple[int, int]:
+    joined = b" ".join(words_of(text))
+    return xxhash.xxh64_intdigest(joined, 0), xxhash.xxh64_intdigest(joined, 1)
 
 
 def sets_of(docs: DataFrame, nodes: DataFrame, doc_col: str, text_col: str) -> DataFrame:
-    """(node, shingles) of the named documents."""
+    """(node, shingles) of the documents named by ``nodes`` (node, w1, w2)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [shingle_set(t.as_py()).view(np.int64) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64())), b.column(2), b.column(3)], names=["node", "shingles", "w1", "w2"])
-
-    named = docs.select(F.col(doc_col).cast("long").alias("node"), F.col(text_col).alias("text")).join(nodes.select("node", "w1", "w2"), "node")
-    # an id may repeat with other texts: the set must be that of the node's own words
-    return named.mapInArrow(run, "node long, shingles array<long>, w1 long, w2 long").groupBy("node", "w1", "w2").agg(F.collect_set("shingles").alias("sets")).select("node", F.explode("sets").alias("shingles"))
+        for b in windows(batches, WINDOW_BYTES):
+            texts = [t.as_py() for t in b.column(1)]
+            words = np.array([words_hash(t) for t in texts], np.uint64).view(np.int64).reshape(-1, 2)
+            own = np.flatnonzero((words[:, 0] == b.column(2).to_numpy()) & (words[:, 1] == b.column(3).to_numpy()))
+            if len(own):
+                sets = [shingle_set(texts[i]).view(np.int64) for i in own]
+                ends = np.r_[0, np.cumsum([len(x) for x in sets])]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(own)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets)))], names=["node", "shingles"])
+
+    texts = docs.select(F.col(doc_col).cast("long").alias("node"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
+    named = texts.join(nodes.select("node", "w1", "w2"), "node")
+    # an id may repeat, with the same text or with others; the set is that of the node's own words
+    once = named.dropDuplicates(["node", "w1", "w2", "h"]).select("node", "text", "w1", "w2")
+    return once.mapInArrow(lean(run), "node long, shingles array<long>")
 
 
 def near_pivots(similarity: float, rows: int = 1 << 15):
     """Rows (key, part, place, node, fp, lead, label, n) sorted by the first three to pairs (a, b, la, lb): a pivot and
-    a member of another component near it and of a size that allows ``similarity``, the smaller node first."""
+    a member of another label near it and of a size that allows ``similarity``, the smaller node first."""
 
     def pairs(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         key, part, _, node, fp, lead, label, n = cols
@@ -123,66 +140,93 @@ def similar(a: Column, b: Column, similarity: float) -> Column:
     return shared >= similarity * (F.size(a) + F.size(b) - shared)
 
 
-def leaders(members: DataFrame, within: list[str], pivots: int) -> DataFrame:
-    """The next pivots: components take turns, so that small ones are soon through, the most linked member first."""
-    turn = F.row_number().over(W.partitionBy(*within, "label").orderBy(F.desc("links"), "node"))
-    place = F.row_number().over(W.partitionBy(*within).orderBy("turn", F.desc("links"), "node"))
-    return members.withColumn("turn", turn).withColumn("place", place).filter(F.col("place") <= pivots)
+def with_sets(pairs: DataFrame, sets: DataFrame, side: str, name: str) -> DataFrame:
+    """``pairs`` with the shingle sets of one side's nodes; a node of very many pairs has a copy for each ``SHARE`` of them."""
+    other = "b" if side == "a" else "a"
+    busy = pairs.groupBy(side).agg(F.ceil(F.count("*") / SHARE).alias("copies")).filter("copies > 1")
+    slot = F.pmod(F.xxhash64(other), F.coalesce("copies", F.lit(1)))
+    dealt = pairs.join(busy, side, "left").withColumn("slot", slot).drop("copies")
+    copied = sets.join(busy.withColumnRenamed(side, "node"), "node", "left")
+    copied = copied.select(F.col("node").alias(side), F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("copies", F.lit(1)) - 1)).alias("slot"), F.col("shingles").alias(name))
+    return dealt.join(copied, [side, "slot"]).drop("slot")
+
+
+def smaller_labels(links: DataFrame) -> DataFrame:
+    """(label, into) of linked labels (la, lb): the smallest label at most two links away."""
+    both = links.select(F.col("la").alias("label"), F.col("lb").alias("next")).union(links.select("lb", "la")).distinct()
+    near = both.groupBy("label").agg(F.least("label", F.min("next")).alias("into"))
+    far = both.join(near.select(F.col("label").alias("next"), "into"), "next")
+    return far.groupBy("label").agg(F.least("label", F.min("into")).alias("into"))
+
+
+def chosen(members: DataFrame, pivots: int, turn: int) -> DataFrame:
+    """``members`` of groups with several labels, with the group's size ``total`` and whether they are pivots (``lead``).
+
+    Labels of a group share its pivots evenly, so that small ones are soon through. A hash of node and turn decides, so
+    nothing is ranked; a group of no more than ``pivots`` members gives all of them.
+    """
+    of_label = members.groupBy("key", "label").agg(F.count("*").alias("same"))
+    of_key = of_label.groupBy("key").agg(F.count("*").alias("labels"), F.sum("same").alias("total")).filter("labels > 1")
+    share = F.shiftrightunsigned(F.xxhash64("node", F.lit(turn)), 11) / float(1 << 53)
+    lead = (F.col("total") <= pivots) | (share * F.col("same") * F.col("labels") < pivots)
+    return members.join(of_label.join(of_key, "key"), ["key", "label"]).select("key", "node", "fp", "n", "label", "total", lead.alias("lead"))
 
 
 def linked(docs: DataFrame, nodes: DataFrame, doc_col: str, text_col: str, similarity: float, part: int) -> DataFrame:
-    """(node, component) of those of nodes (node, w1, w2, fp, n, keys) that share a key, by verified links."""
-    keyed = materialise(nodes.filter("n > 0").select("node", "fp", "n", F.explode("keys").alias("key")))
-    shared = keyed.groupBy("key").count().filter("count > 1").select("key")
-    members = materialise(keyed.join(shared, "key").select("key", "node", "fp", "n", F.col("node").alias("label"), F.lit(0).cast("long").alias("links")))
-    named = materialise(members.select("node", F.col("node").alias("component")).distinct())
-    sets = materialise(sets_of(docs, nodes.join(named, "node", "left_semi"), doc_col, text_col))
-    pivots = 1
-    while not members.isEmpty():
-        counted = members.groupBy("key").agg(F.ceil(F.count("*") / part).alias("parts"))
-        ranked = members.join(counted, "key").withColumn("part", F.pmod(F.xxhash64("node"), "parts"))
-        # thinned in its parts first, so that no task ranks a whole hot group
-        leads = leaders(leaders(ranked, ["key", "part"], pivots), ["key"], pivots)
-        leads = materialise(leads.select("key", "node", "fp", "label", "n", "parts"))
-        spread = leads.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(0).alias("place"), "node", "fp", F.lit(True).alias("lead"), "label", "n")
-        rest = ranked.join(leads.select("key", "node"), ["key", "node"], "left_anti").select("key", "part", F.lit(1).alias("place"), "node", "fp", F.lit(False).alias("lead"), "label", "n")
-        met = spread.unionByName(rest).repartition("key", "part").sortWithinPartitions("key", "part", "place", "node")
-        near = materialise(met.mapInArrow(near_pivots(similarity), "a long, b long, la long, lb long").distinct())
-        both = near.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
-        true = materialise(both.filter(similar(F.col("sa"), F.col("sb"), similarity)).select("a", "b", "la", "lb"))
-        left = members.join(leads.select("key", "node"), ["key", "node"], "left_anti")
-        if not true.isEmpty():
-            merged = materialise(connected_components(true.select(F.col("la").alias("a"), F.col("lb").alias("b"))).select(F.col("node").alias("label"), F.col("component").alias("into")))
-            named = materialise(named.join(merged, named.component == merged.label, "left").select("node", F.coalesce("into", "component").alias("component")))
-            more = true.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("more"))
-            left = left.join(merged, "label", "left").join(more, "node", "left").select("key", "node", "fp", "n", F.coalesce("into", "label").alias("label"), (F.col("links") + F.coalesce("more", F.lit(0))).alias("links"))
-        several = left.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
-        members = materialise(left.join(several, "key").select("key", "node", "fp", "n", "label", "links"))
+    """(node, component) of those of nodes (node, w1, w2, fp, n, keys) that have links, by verified links."""
+    keyed = nodes.filter("n > 0").select("node", "fp", "n", F.explode("keys").alias("key"))
+    shared = keyed.groupBy("key").agg(F.count("*").alias("total"), F.min("node").alias("low")).filter("total > 1")
+    columns = ["key", "node", "fp", "n", F.col("node").alias("label"), "total", (F.col("node") == F.col("low")).alias("lead")]
+    ranked = materialise(keyed.join(shared, "key").select(*columns))
+    sets = materialise(sets_of(docs, nodes.join(ranked.select("node").distinct(), "node", "left_semi"), doc_col, text_col))
+    links, pivots, turn = [], GROWTH, 0
+    while not ranked.isEmpty():
+        dealt = ranked.withColumn("parts", F.ceil(F.col("total") / part))
+        leads = dealt.filter("lead").select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(0).alias("place"), "node", "fp", "lead", "label", "n")
+        rest = dealt.filter("not lead").select("key", F.pmod(F.xxhash64("node"), "parts").alias("part"), F.lit(1).alias("place"), "node", "fp", "lead", "label", "n")
+        met = leads.unionByName(rest).repartition("key", "part").sortWithinPartitions("key", "part", "place", "node")
+        near = materialise(met.mapInArrow(lean(near_pivots(similarity)), "a long, b long, la long, lb long").distinct())
+        left = ranked.filter("not lead").select("key", "node", "fp", "n", "label")
+        if not near.isEmpty():
+            both = with_sets(with_sets(near, sets, "a", "sa"), sets, "b", "sb")
+            true = materialise(both.filter(similar(F.col("sa"), F.col("sb"), similarity)).select("a", "b", "la", "lb"))
+            links.append(true.select("a", "b"))
+            left = left.join(smaller_labels(true), "label", "left").select("key", "node", "fp", "n", F.coalesce("into", "label").alias("label"))
+        turn += 1
+        ranked = materialise(chosen(left, pivots, turn))
         pivots = min(pivots * GROWTH, part)
-    return named
+    none = docs.sparkSession.createDataFrame([], "a long, b long")
+    return connected_components(reduce(DataFrame.unionByName, links, none))
+
+
+def classes(docs: DataFrame, doc_col: str, text_col: str, similarity: float, part: int) -> tuple[DataFrame, DataFrame]:
+    """The sketches (doc, w1, w2, ...) of all rows, and (w1, w2, node, component) of each distinct sequence of words."""
+    seen = materialise(sketches(docs, doc_col, text_col))
+    nodes = materialise(seen.filter("doc is not null").groupBy("w1", "w2").agg(F.min("doc").alias("node"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("keys").alias("keys")))
+    comps = linked(docs, nodes, doc_col, text_col, similarity, part)
+    return seen, nodes.join(comps, "node", "left").select("w1", "w2", "node", F.coalesce("component", "node").alias("component"))
 
 
 def components(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, part: int = PART) -> DataFrame:
     """(doc, component) for each row of ``docs``: component is the smallest id of its group of near copies.
 
     Words are as in simhash.py; a text of fewer than five words is one shingle, and texts without words are copies
-    of each other. Rows that repeat stay. A null id takes no part: its row's component is that of an equal text,
-    else null. Other columns are ignored; an empty table gives no rows.
+    of each other. Very long texts are compared whole. Rows that repeat stay; different texts of one id are one
+    document. A null id takes no part: its row's component is that of an equal text, else null. Other columns are
+    ignored; an empty table gives no rows.
     """
-    seen = materialise(sketches(docs, doc_col, text_col))
-    nodes = materialise(seen.filter("doc is not null").groupBy("w1", "w2").agg(F.min("doc").alias("node"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("keys").alias("keys")))
-    comps = linked(docs, nodes, doc_col, text_col, similarity, part)
-    of_words = nodes.join(comps, "node", "left").select("w1", "w2", F.coalesce("component", "node").alias("component"))
-    return seen.select("doc", "w1", "w2").join(of_words, ["w1", "w2"], "left").select("doc", "component")
+    seen, of_words = classes(docs, doc_col, text_col, similarity, part)
+    return seen.select("doc", "w1", "w2").join(of_words.select("w1", "w2", "component"), ["w1", "w2"], "left").select("doc", "component")
 
 
-def keep_one(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, part: int = PART) -> DataFrame:
     """``docs`` with one row for each group of near copies: that whose id names the component.
 
-    Of rows that repeat that id one stays. Rows with a null id can't name a group; they all stay. Only ids and
-    verdicts are shuffled beside the texts, which meet them in one join.
+    Of rows that repeat that id one stays. Rows with a null id can't name a group; they all stay. Columns stay as they
+    are, whatever their names. Only the ids of survivors are shuffled beside the texts, which meet them in one join.
     """
     name = fresh("_survivor", docs.columns)
-    kept = components(docs, doc_col, text_col).filter(F.col("doc") == F.col("component")).select(F.col("doc").alias(name)).distinct()
+    _, of_words = classes(docs, doc_col, text_col, similarity, part)
+    kept = of_words.filter("node = component").select(F.col("node").alias(name)).distinct()
     named = docs.join(kept, F.col(doc_col).cast("long") == F.col(name), "left_semi").dropDuplicates([doc_col])
     return named.unionByName(docs.filter(F.col(doc_col).isNull()))
