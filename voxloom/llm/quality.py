@@ -5,9 +5,9 @@
 2. Class moments (count, sum, products) over every labelled training row are native sums per moment, so
    only (1 + d + d(d+1)/2) numbers per class reach the driver whatever the number of rows.
 3. Each class covariance is shrunk towards the pooled covariance, the more the fewer rows it has, and then
-   towards the pooled diagonal; its Cholesky factor is computed once, kept in the model and shipped to the tasks. A score is
-   the difference of the two log densities: Mahalanobis distances by triangular solves, plus the log
-   determinants and log priors.
+   towards the pooled diagonal; its Cholesky factor and that factor's inverse are computed once, kept in the model and
+   shipped to the tasks. A score is the difference of the two log densities: Mahalanobis distances by one product with
+   the cached inverse factor, plus the log determinants and log priors.
 4. The difference is calibrated by a logistic curve fitted to a histogram of the training rows.
 """
 
@@ -90,12 +90,15 @@ class Model:
     slope: float = 1.0
     shift: float = 0.0
 
+    def __post_init__(self) -> None:
+        self.whiten = np.stack([np.linalg.inv(f) for f in self.factors])
+
     def difference(self, x: np.ndarray) -> np.ndarray:
         """Log density of class 1 less that of class 0, priors included, for rows of statistics."""
         logs = []
         for c in (0, 1):
-            z = np.linalg.solve(self.factors[c], (x - self.means[c]).T)
-            logs.append(self.log_priors[c] - self.log_dets[c] - 0.5 * (z * z).sum(axis=0))
+            z = (x - self.means[c]) @ self.whiten[c].T
+            logs.append(self.log_priors[c] - self.log_dets[c] - 0.5 * (z * z).sum(axis=1))
         return logs[1] - logs[0]
 
     def score(self, x: np.ndarray) -> np.ndarray:
@@ -201,17 +204,33 @@ def calibrated(model: Model, rows: DataFrame, features: str, label: str) -> Mode
 
 
 def extract(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, features) for each row. Null and empty texts have the statistics of zero counts."""
+    """(doc_id, features) for each row. Null and empty texts have the statistics of zero counts.
+
+    Very long texts are read whole; rows that repeat stay, each with its statistics; other columns are ignored,
+    whatever their names; an empty table gives no rows.
+    """
     return docs.select(F.col(doc_col).alias("doc_id"), feature_column(F.col(text_col)).alias("features"))
 
 
-def train(features: DataFrame, labels: DataFrame, label_col: str = "quality", folds: int = 5, held_out: int = 0) -> Model:
-    """Fit on the labelled documents outside the held-out fold (crc32 of the id's text modulo ``folds``).
+def training_labels(labels: DataFrame, label_col: str = "quality", folds: int = 5, held_out: int = 0) -> DataFrame:
+    """(_id, label) outside the held-out fold (crc32 of the id's text modulo ``folds``).
 
     A label row that repeats counts once; a document with both labels counts for each; ids and labels that are
-    null are skipped; labels of unknown documents are ignored.
+    null are skipped.
     """
     seen = labels.select(F.col("doc_id").alias("_id"), F.col(label_col).cast("int").alias("label")).filter("_id is not null and label is not null").distinct()
-    seen = seen.filter(F.crc32(F.col("_id").cast("string")) % folds != held_out)
+    return seen.filter(F.crc32(F.col("_id").cast("string")) % folds != held_out)
+
+
+def train(features: DataFrame, labels: DataFrame, label_col: str = "quality", folds: int = 5, held_out: int = 0) -> Model:
+    """Fit on the statistics (doc_id, features) of labelled documents; labels of unknown documents are ignored."""
+    seen = training_labels(labels, label_col, folds, held_out)
     # two passes follow, over no more than the labelled rows' statistics
     return fit(materialise(features.join(seen, F.col("doc_id") == F.col("_id")).select("features", "label")))
+
+
+def train_texts(docs: DataFrame, labels: DataFrame, doc_col: str = "doc_id", text_col: str = "text", **folds: int) -> Model:
+    """``train`` on whole documents: only texts with a label are read into statistics."""
+    seen = training_labels(labels, **folds)
+    known = docs.select(F.col(doc_col).alias("doc_id"), F.col(text_col).alias("text")).join(seen.select("_id").distinct(), F.col("doc_id") == F.col("_id"), "left_semi")
+    return train(extract(known, "doc_id", "text"), labels, **folds)
