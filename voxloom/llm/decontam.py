@@ -7,24 +7,29 @@ integer as a column of the edit matrix, words as its alphabet) verifies the whol
 letters, digits and underscores, lower-cased, so layout and punctuation don't matter.
 
 The documents stay where they are: no shuffle. The items are broadcast in blocks of at most
-``BLOCK_CHARS`` characters; a larger benchmark takes more passes, not more memory.
+``BLOCK_CHARS`` characters; a larger benchmark takes more passes over the documents, each a job of its own
+whose broadcast is freed before the next, and not more memory.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import ahocorasick
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh
+from .common import lean, materialise, windows
 
 RATE = 0.2
 BLOCK_CHARS = 16_000_000
-HIT = "array<struct<item_id:long,edits:int,first_word:int,n_words:int,occurrences:int>>"
+#: Bytes of text searched at a time.
+WINDOW_BYTES = 4_000_000
+HIT = "item_id long, edits int, first_word int, n_words int, occurrences int"
 _WORD = re.compile(r"\w+")
 
 
@@ -94,13 +99,14 @@ class Matcher:
         if found:
             self.auto.make_automaton()
 
-    def hits(self, text: str | None) -> list[dict]:
+    def hits(self, text: str | None) -> list[tuple[int, int, int, int, int]]:
+        """(item_id, edits, first word, words, occurrences) of the best match of each item found, by item."""
         words = words_of(text)
         if not words or not self.items:
             return []
         joined = f" {' '.join(words)} "
         starts: dict[int, int] | None = None
-        best: dict[int, list] = {}
+        found: dict[int, Found] = {}
         seen: set[tuple[int, int]] = set()
         for end, (length, at) in self.auto.iter(joined):
             if starts is None:
@@ -110,15 +116,15 @@ class Matcher:
                     pos += len(w) + 1
             q = starts[end - length + 1]
             for k, offset in at:
-                if (k, q - offset) in seen:
-                    continue
-                seen.add((k, q - offset))
-                self.verify(words, k, q - offset, best)
-        return [{"item_id": self.items[k][0], "edits": v[0], "first_word": v[1], "n_words": v[2] - v[1], "occurrences": len(v[3])} for k, v in sorted(best.items())]
+                if (k, q - offset) not in seen:
+                    seen.add((k, q - offset))
+                    self.verify(words, k, q - offset, found)
+        return [(self.items[k][0], f.edits, f.first, f.stop - f.first, f.times) for k, f in sorted(found.items())]
 
-    def verify(self, words: list[str], k: int, begin: int, best: dict[int, list]) -> None:
+    def verify(self, words: list[str], k: int, begin: int, found: dict[int, Found]) -> None:
         _, m, e, forward, backward = self.items[k]
-        if k in best and any(abs(begin - x) <= e for x in best[k][3]):
+        f = found.get(k)
+        if f and f.holds(begin, e):
             return
         low = max(0, begin - e)
         scores = myers(forward, m, words[low : begin + m + e])
@@ -128,31 +134,90 @@ class Matcher:
         stop = low + scores.index(edits) + 1
         back = myers(backward, m, words[max(0, stop - m - e) : stop][::-1], anchored=True)
         first = stop - back.index(edits) - 1 if edits in back else low
-        if k not in best:
-            best[k] = [edits, first, stop, [begin]]
-        else:
-            best[k][3].append(begin)
-            if edits < best[k][0]:
-                best[k][:3] = [edits, first, stop]
+        if not f:
+            f = found[k] = Found()
+        f.add(begin, e, edits, first, stop)
+
+
+class Found:
+    """The occurrences of one item in one text, with the best of them; a place is looked up in constant time."""
+
+    def __init__(self) -> None:
+        self.places: dict[int, list[int]] = {}  # begins by begin // (e + 1)
+        self.times, self.edits, self.first, self.stop = 0, 1 << 30, 0, 0
+
+    def holds(self, begin: int, e: int) -> bool:
+        """Whether an occurrence begins at most ``e`` words away."""
+        at = begin // (e + 1)
+        return any(abs(begin - x) <= e for cell in (at - 1, at, at + 1) for x in self.places.get(cell, ()))
+
+    def add(self, begin: int, e: int, edits: int, first: int, stop: int) -> None:
+        self.places.setdefault(begin // (e + 1), []).append(begin)
+        self.times += 1
+        if edits < self.edits:
+            self.edits, self.first, self.stop = edits, first, stop
 
 
 _MATCHERS: dict[tuple, Matcher] = {}
 
 
-def hit_column(text: Column, items: list[tuple[int, str]], spark, rate: float = RATE) -> Column:
-    """A column of the hits of one block of items in ``text``."""
-    shared = spark.sparkContext.broadcast(items)
-    key = (id(shared), len(items), hash(tuple(i for i, _ in items)))
+def matcher(shared, rate: float) -> Matcher:
+    """This worker's matcher of a broadcast block of items; one is kept at a time."""
+    key = (shared.id, rate)
+    if key not in _MATCHERS:
+        _MATCHERS.clear()
+        _MATCHERS[key] = Matcher(shared.value, rate)
+    return _MATCHERS[key]
+
+
+class Shared:
+    """A broadcast value with a name that tells it from others in a worker's cache."""
+
+    def __init__(self, broadcast):
+        self.id, self.broadcast = uuid.uuid4().hex, broadcast
+
+    @property
+    def value(self):
+        return self.broadcast.value
+
 
-    @F.pandas_udf(HIT)
-    def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        if key not in _MATCHERS:
-            _MATCHERS.clear()
-            _MATCHERS[key] = Matcher(shared.value, rate)
-        for texts in batches:
-            yield pd.Series([_MATCHERS[key].hits(t) for t in texts], dtype=object)
+class Block:
+    """A block of items, broadcast to the tasks."""
 
-    return find(text)
+    def __init__(self, spark, items: list[tuple[int, str]], rate: float):
+        self.broadcast, self.rate = spark.sparkContext.broadcast(items), rate
+        self.shared = Shared(self.broadcast)
+
+    def hits(self, docs: DataFrame) -> DataFrame:
+        """One row for each hit in ``docs`` (doc_id, text); a text is searched once."""
+        shared, rate = self.shared, self.rate
+        names = ["doc_id", *(x.split()[0] for x in HIT.split(", "))]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in windows(batches, WINDOW_BYTES):
+                m, at, rows = matcher(shared, rate), [], []
+                for i, t in enumerate(b.column(1)):
+                    for hit in m.hits(t.as_py()):
+                        at.append(i)
+                        rows.append(hit)
+                cols = list(zip(*rows, strict=True)) or [()] * 5
+                kinds = (pa.int64(), *[pa.int32()] * 4)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], names=names)
+
+        kind = dict(docs.dtypes)["doc_id"]
+        return docs.mapInArrow(lean(run), f"doc_id {kind}, {HIT}")
+
+    def clean(self, text: Column) -> Column:
+        """Whether a text has no hit."""
+        shared, rate = self.shared, self.rate
+
+        @F.pandas_udf("boolean")
+        def none(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for texts in batches:
+                m = matcher(shared, rate)
+                yield pd.Series([not m.hits(t) for t in texts], dtype=bool)
+
+        return none(text)
 
 
 def blocks(items: DataFrame, item_col: str, text_col: str, limit: int = BLOCK_CHARS) -> Iterator[list[tuple[int, str]]]:
@@ -169,25 +234,43 @@ def blocks(items: DataFrame, item_col: str, text_col: str, limit: int = BLOCK_CH
         yield block
 
 
-def with_hits(docs: DataFrame, items: DataFrame, name: str = "hits", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", rate: float = RATE, limit: int = BLOCK_CHARS) -> DataFrame:
-    """``docs`` with an array column of hits: item_id, edits, first_word, n_words and occurrences of the best match.
+def in_turn(todo: Iterator[list]) -> Iterator[tuple[list, bool]]:
+    """Each block, and whether it is the last."""
+    held = next(todo, None)
+    while held is not None:
+        after = next(todo, None)
+        yield held, after is None
+        held = after
 
-    Null and empty texts have no hits; items that are null, without an id or without words match nothing; items
-    with the same words all match; repeated item rows count once. Every row and column of ``docs`` stays (a column
-    called ``name`` is replaced). With no items at all the arrays are empty.
-    """
-    found = [hit_column(F.col(text_col), b, docs.sparkSession, rate) for b in blocks(items, item_col, item_text_col, limit)]
-    col = F.concat(*found) if len(found) > 1 else found[0] if found else F.array().cast(HIT)
-    return docs.withColumn(name, col)
 
+def hits(docs: DataFrame, items: DataFrame, doc_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", rate: float = RATE, limit: int = BLOCK_CHARS) -> DataFrame:
+    """One row (doc_id, item_id, edits, first_word, n_words, occurrences) for each item found in each row of ``docs``.
 
-def hits(docs: DataFrame, items: DataFrame, doc_col: str = "doc_id", text_col: str = "text", rate: float = RATE, limit: int = BLOCK_CHARS) -> DataFrame:
-    """One row (doc_id, item_id, edits, first_word, n_words, occurrences) for each item found in each document."""
-    lean = docs.select(F.col(doc_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return with_hits(lean, items, "hits", rate=rate, limit=limit).select("doc_id", F.inline("hits"))
+    edits, first_word and n_words are those of the best match; occurrences begin more than the edit budget apart. Null
+    and empty texts have no hits and very long ones are searched whole; rows that repeat are searched each; items that
+    are null, without an id or without words match nothing; items with the same words all match; repeated item rows
+    count once. Null ids stay. Other columns of ``docs`` are ignored; an empty table, or no items, give no rows.
+    """
+    kept, out = docs.select(F.col(doc_col).alias("doc_id"), F.col(text_col).alias("text")), None
+    for items_of, last in in_turn(blocks(items, item_col, item_text_col, limit)):
+        block = Block(docs.sparkSession, items_of, rate)
+        found = block.hits(kept)
+        if not (last and out is None):
+            found = materialise(found)
+            block.broadcast.destroy()
+        out = found if out is None else out.unionByName(found)
+    return docs.sparkSession.createDataFrame([], f"doc_id {dict(kept.dtypes)['doc_id']}, {HIT}") if out is None else out
 
 
-def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", rate: float = RATE) -> DataFrame:
-    """The rows of ``docs`` without any hit, with their columns."""
-    name = fresh("_hits", docs.columns)
-    return with_hits(docs, items, name, text_col, rate=rate).filter(F.size(name) == 0).drop(name)
+def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", rate: float = RATE, limit: int = BLOCK_CHARS) -> DataFrame:
+    """The rows of ``docs`` without any hit, with their columns, whatever their names.
+
+    Rows as in ``hits``: null and empty texts stay, repeated rows stay or go together, an empty table stays empty.
+    """
+    for items_of, last in in_turn(blocks(items, item_col, item_text_col, limit)):
+        block = Block(docs.sparkSession, items_of, rate)
+        docs = docs.filter(block.clean(F.col(text_col)))
+        if not last:
+            docs = materialise(docs)
+            block.broadcast.destroy()
+    return docs
