@@ -19,7 +19,7 @@ LEAST_QUALITY = 0.3
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score, by a model learned from the labelled ones, is at least ``LEAST_QUALITY``."""
-    model = quality.train(quality.extract(docs), table(spark, sf_dir, "labels"))
+    model = quality.train_texts(docs, table(spark, sf_dir, "labels"))
     return docs.filter(model.score_text(F.col("text")) >= LEAST_QUALITY)
 
 
