@@ -1,37 +1,43 @@
 """Approximate nearest neighbours: an NN-descent graph, searched greedily.
 
-1. Equal vectors become one node (a partial aggregate over 128-bit hashes); of a node's rows only as many as a
-   result can show are kept, the smallest ids. Nodes carry their direction as 16-bit floats.
-2. A first graph: ``TREES`` times, nodes are range-partitioned by the signs of random projections about their
-   medians (medians of a sample of ``SAMPLE`` nodes) and then by one more projection. Each task compares blocks of
-   ``LEAF`` consecutive nodes, so that a crowd of almost equal vectors is split like any other. The number of
-   partitions follows from the nodes alone; up to ``LEAF`` nodes are one block, compared whole.
-3. NN-descent: ``ROUNDS`` times, each node gathers its neighbours and up to ``REVERSE`` nodes it is a neighbour of;
-   a join brings their vectors, all pairs of such a neighbourhood are compared, and every node keeps its
-   ``DEGREE`` best. These are joins, groups of bounded size, and windows over (node, neighbour, similarity).
+1. Equal vectors become one node, named by a hash (a partial aggregate); of a node's rows only as many as a result can
+   show are kept, the smallest ids. Nodes carry their direction as 8-bit integers.
+2. A seed graph from small blocks of at most 2 * ``LEAF`` nodes: ``TREES`` times, nodes are range-partitioned by the
+   signs of random projections about their medians (medians of a sample of ``SAMPLE`` nodes) and then by one more
+   projection, so that a crowd of almost equal vectors is split like any other; and once they are dealt at random,
+   which ties the graph together whatever the partitions are. Each node keeps its ``DEGREE`` best.
+3. NN-descent: each node gathers ``PICK`` new and ``PICK`` old neighbours and as many nodes it is a neighbour of, with
+   their vectors, by a join; pairs with a new member are compared, and each member is sent those better than its worst
+   neighbour. Rounds go on until at most ``SETTLED`` of all list entries are new, at every size.
 4. Search: a query starts at its own node. Each round expands its best unexpanded nodes, joins the neighbours of
    those, scores them and keeps the best ``BEAM``; it ends when the best ``DEPTH`` of every query are expanded.
-5. The best nodes' rows are scored anew with the original vectors in double precision.
+5. The best nodes are scored anew with the original vectors in double precision, then give way to their rows.
+
+A node's list and a query's beam are arrays of one row; a round merges them with what was sent by one shuffle each.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import count
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import Stage, materialise
+from .common import Stage, lean, materialise
 
-TREES, LEAF, PER_TREE, SAMPLE = 12, 2048, 10, 8192
-DEGREE, REVERSE, PER_JOIN, ROUNDS = 24, 20, 10, 3
-BEAM, DEPTH, EXPAND, SEARCH_ROUNDS = 128, 72, 24, 12
-SALTS = 64
+TREES, LEAF, PER_BLOCK, SAMPLE = 6, 128, 10, 8192
+DEGREE, PICK, PER_JOIN, SETTLED = 40, 20, 8, 0.1
+BEAM, DEPTH, EXPAND = 128, 96, 32
+#: Rows that a task merges at a time.
+ROWS = 40_000
+NODE = "node long, code binary, nbrs array<long>, sims array<float>, fresh array<boolean>, worst float, asks array<struct<v:long,new:boolean>>"
+SENT = "u long, vs array<long>, ss array<float>"
+BEAMS = "q long, code binary, ids array<long>, sims array<float>, done array<boolean>, front array<long>"
 
 
 def valid(vector: Column) -> Column:
@@ -40,123 +46,195 @@ def valid(vector: Column) -> Column:
     return vector.isNotNull() & ~F.coalesce(bad, F.lit(True)) & F.coalesce(F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def smallest(df: DataFrame, keys: list[str], order: list[Column], n: int, spread: str) -> DataFrame:
-    """The first ``n`` rows of each key. A key's rows are thinned in salted parts first, so none meets in one task."""
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)))
-    first = salted.withColumn("_r", F.row_number().over(W.partitionBy(*keys, "_salt").orderBy(*order))).filter(F.col("_r") <= n)
-    return first.withColumn("_r", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter(F.col("_r") <= n).drop("_r", "_salt")
-
-
-def unit_rows(column: pa.Array) -> np.ndarray:
-    """Rows of a list column as unit vectors of doubles."""
-    values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    x = values.reshape(len(column), -1)
-    x = x / np.abs(x).max(axis=1, keepdims=True)
-    return x / np.linalg.norm(x, axis=1, keepdims=True)
+def first_rows(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
+    """The first ``n`` rows of each key. Spark thins the rows of a key before the shuffle, so that no task meets a hot one."""
+    return df.withColumn("_r", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter(F.col("_r") <= n).drop("_r")
 
 
-def as_matrix(codes: pa.Array) -> np.ndarray:
-    """Half-precision codes (binary) as rows of single-precision floats."""
-    return np.frombuffer(b"".join(codes.to_pylist()), np.float16).reshape(len(codes), -1).astype(np.float32) if len(codes) else np.zeros((0, 1), np.float32)
+def matrix(column: pa.Array) -> np.ndarray:
+    """Rows of a list column as doubles."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
 def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         if b.num_rows:
-            half = unit_rows(b.column(1)).astype(np.float16)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in half], pa.binary())], names=["node", "code"])
+            x = matrix(b.column(1))
+            x = np.round(127 * (x / np.abs(x).max(axis=1, keepdims=True))).astype(np.int8)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in x], pa.binary())], names=["node", "code"])
+
+
+def directions(codes: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Codes (none null) as rows of unit length."""
+    if isinstance(codes, pa.ChunkedArray):
+        codes = codes.combine_chunks()
+    if not len(codes):
+        return np.zeros((0, 1), np.float32)
+    ends = np.frombuffer(codes.buffers()[1], np.int32)[codes.offset : codes.offset + len(codes) + 1]
+    x = np.frombuffer(codes.buffers()[2], np.int8)[ends[0] : ends[-1]].reshape(len(codes), -1).astype(np.float32)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def best_of(sims: np.ndarray, m: int) -> np.ndarray:
-    """Column numbers of the m largest entries of each row (any order)."""
-    return np.argpartition(-sims, m - 1, axis=-1)[..., :m] if m < sims.shape[-1] else np.broadcast_to(np.arange(sims.shape[-1]), sims.shape)
+def groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and length of each run of equal keys."""
+    start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+    return start, np.diff(np.r_[start, len(key)])
 
 
-EDGES = "u long, v long, s float"
+def by_runs(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.Table]:
+    """Sorted rows in tables of whole runs of the first column, of about ``rows`` rows (more where one run has more)."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append(b)
+        n += b.num_rows
+        if n >= rows:
+            t = pa.Table.from_batches(held)
+            key = t.column(0).to_numpy()
+            last = np.flatnonzero(key != key[-1])
+            if len(last):
+                yield t.slice(0, int(last[-1]) + 1)
+                rest = t.slice(int(last[-1]) + 1)
+                held, n = rest.to_batches(), rest.num_rows
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def lists(values: np.ndarray, sizes: np.ndarray, kind: pa.DataType) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(values, kind))
 
 
-def edge_batch(u: np.ndarray, v: np.ndarray, s: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(s.astype(np.float32))], names=["u", "v", "s"])
+def best_of(sims: np.ndarray, m: int) -> np.ndarray:
+    """Column numbers of the m largest entries of each row (any order)."""
+    return np.argpartition(-sims, m - 1, axis=-1)[..., :m] if m < sims.shape[-1] else np.broadcast_to(np.arange(sims.shape[-1]), sims.shape)
 
 
-def within_blocks(leaf: int, per_tree: int):
-    """Sorted nodes in blocks of ``leaf``: each node's best others of its block."""
+def within_blocks(leaf: int, per_block: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (group, node, code), sorted, in blocks of a group's consecutive nodes: each node's best others of its block."""
 
-    def edges(nodes: np.ndarray, x: np.ndarray) -> pa.RecordBatch | None:
-        if len(nodes) < 2:
-            return None
+    def best(nodes: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
         s = x @ x.T
-        # a block across two trees may hold a node twice
-        s[nodes[:, None] == nodes[None, :]] = -2
-        m = min(per_tree, len(nodes) - 1)
+        np.fill_diagonal(s, -2)
+        m = min(per_block, len(nodes) - 1)
         at = best_of(s, m)[:, :m]
-        u, v, near = np.repeat(nodes, m), nodes[at].ravel(), np.take_along_axis(s, at, 1).ravel()
-        return edge_batch(u[near > -2], v[near > -2], near[near > -2])
+        sizes = np.full(len(nodes), m)
+        return pa.RecordBatch.from_arrays([pa.array(nodes), lists(nodes[at].ravel(), sizes, pa.int64()), lists(np.take_along_axis(s, at, 1).ravel(), sizes, pa.float32())], names=["u", "vs", "ss"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        nodes, x = np.zeros(0, np.int64), None
+        held = None
         for b in batches:
-            if not b.num_rows:
-                continue
-            nodes = np.concatenate([nodes, b.column(0).to_numpy()])
-            new = as_matrix(b.column(1))
-            x = new if x is None else np.concatenate([x, new])
-            while len(nodes) >= 2 * leaf:
-                out = edges(nodes[:leaf], x[:leaf])
-                if out is not None:
-                    yield out
-                nodes, x = nodes[leaf:], x[leaf:]
-        if x is not None:
-            half = len(nodes) if len(nodes) <= leaf else -(-len(nodes) // 2)
-            for at in range(0, len(nodes), half):
-                out = edges(nodes[at : at + half], x[at : at + half])
-                if out is not None:
-                    yield out
+            cols = [b.column(0).to_numpy(), b.column(1).to_numpy(), directions(b.column(2))]
+            if b.num_rows:
+                held = cols if held is None else [np.concatenate(c) for c in zip(held, cols, strict=True)]
+            while held is not None and len(held[0]):
+                n = int(np.searchsorted(held[0], held[0][0], side="right"))  # rows of the first group
+                if n == len(held[0]) and n <= 2 * leaf:
+                    break  # it may go on
+                cut = n if n <= 2 * leaf else leaf
+                if cut > 1:
+                    yield best(held[1][:cut], held[2][:cut])
+                held = [c[cut:] for c in held]
+        if held is not None and len(held[0]) > 1:
+            yield best(held[1], held[2])
 
     return run
 
 
-def first_graph(nodes: DataFrame, n: int, seed: int, trees: int, leaf: int, per_tree: int, sample: int) -> DataFrame:
-    if n <= leaf:  # one block, compared whole
-        return nodes.select("node", "code").coalesce(1).mapInArrow(within_blocks(n, per_tree), EDGES)
-    rows = nodes.filter(F.pmod(F.xxhash64("node", F.lit(seed)), F.lit(1_000_000)) < int(1_000_000 * min(1.0, sample / n)) + 1).limit(2 * sample).select("code").toArrow()
-    known = as_matrix(rows.column(0).combine_chunks()) if rows.num_rows else None
-    bits = max(0, int(np.ceil(np.log2(max(1, n / leaf)))))
+def seeds(nodes: DataFrame, n: int, seed: int, trees: int, leaf: int, per_block: int, sample: int) -> DataFrame:
+    """(u, vs, ss): neighbours of each node within blocks of projections and of a random dealing."""
+    share = min(1.0, sample / max(n, 1))
+    taken = nodes.filter(F.pmod(F.xxhash64("node", F.lit(seed)), F.lit(1_000_000)) < int(1_000_000 * share) + 1).limit(2 * sample).select("code").collect()
+    bits = max(0, int(np.ceil(np.log2(max(1, n / leaf / 8)))))
     rng = np.random.default_rng(seed)
-    dim = known.shape[1] if known is not None else 1
-    planes = rng.standard_normal((trees, bits + 1, dim)).astype(np.float32)
-    middle = np.median(np.einsum("sd,tbd->stb", known, planes), axis=0) if known is not None else np.zeros((trees, bits + 1))
+    known = directions(pa.array([bytes(r["code"]) for r in taken], pa.binary())) if taken else np.zeros((1, 1), np.float32)
+    planes = rng.standard_normal((trees, bits + 1, known.shape[1])).astype(np.float32)
+    middle = np.median(np.einsum("sd,tbd->stb", known, planes), axis=0).astype(np.float32)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            x = as_matrix(b.column(1))
+            x = directions(b.column(1))
             for t in range(trees):
-                p = x @ planes[t].T - middle[t].astype(np.float32)
-                cell = ((p[:, :bits] > 0) * (1 << np.arange(bits))).sum(axis=1) if bits else np.zeros(len(x), np.int64)
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.full(len(x), t, np.int32)), pa.array(cell.astype(np.int64)), pa.array(p[:, bits])], names=["node", "code", "tree", "cell", "along"])
+                p = x @ planes[t].T - middle[t]
+                cell = ((p[:, :bits] > 0) * (1 << np.arange(bits))).sum(axis=1).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t)), b.column(0), b.column(1), pa.array(cell), pa.array(p[:, bits])], names=["tree", "node", "code", "cell", "along"])
 
-    placed = nodes.select("node", "code").mapInArrow(place, "node long, code binary, tree int, cell long, along float")
-    parts = max(1, -(-n * trees // (8 * leaf)))
-    ordered = placed.repartitionByRange(parts, "tree", "cell", "along").sortWithinPartitions("tree", "cell", "along", "node")
-    return ordered.select("node", "code").mapInArrow(within_blocks(leaf, per_tree), EDGES)
+    placed = nodes.select("node", "code").mapInArrow(place, "tree long, node long, code binary, cell long, along float")
+    order = ["tree", "cell", "along", "node"]
+    near = placed.repartitionByRange(max(1, -(-n * trees // (16 * leaf))), *order[:3]).sortWithinPartitions(*order).select("tree", "node", "code")
+    mixed = nodes.select(F.pmod(F.xxhash64("node", F.lit(seed + 1)), F.lit(max(1, n // leaf))).alias("bucket"), "node", "code")
+    mixed = mixed.repartition("bucket").sortWithinPartitions("bucket", "node")
+    blocks = within_blocks(leaf, per_block)
+    return near.mapInArrow(lean(blocks), SENT).unionByName(mixed.mapInArrow(lean(blocks), SENT))
 
 
-def keep_best(edges: DataFrame, degree: int) -> DataFrame:
-    """Each node's ``degree`` best distinct neighbours."""
-    once = edges.groupBy("u", "v").agg(F.max("s").alias("s"))
-    rank = F.row_number().over(W.partitionBy("u").orderBy(F.desc("s"), "v"))
-    return once.withColumn("r", rank).filter(F.col("r") <= degree)
+def merged(degree: int, pick: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (node, sent, code, nbrs, sims, fresh) sorted by the first two to a new row of each node: its list with what was sent.
+
+    A node's own row (sent: 0) comes first. Entries of the old list that were gathered as new are old now.
+    """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in by_runs(batches):
+            t = t.combine_chunks()
+            node, sent = t.column("node").to_numpy(), t.column("sent").to_numpy()
+            nbrs, sims = (t.column(c).combine_chunks() for c in ("nbrs", "sims"))
+            size = np.diff(nbrs.offsets.to_numpy())
+            u, v, s = np.repeat(node, size), nbrs.flatten().to_numpy(), sims.flatten().to_numpy()
+            old = np.repeat(sent == 0, size)
+            fresh = np.ones(len(u), bool)
+            fresh[old] = t.column("fresh").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+            fresh[old] &= ~gathered(np.repeat(np.arange(len(node)), size)[old], fresh[old], pick)
+            # an old entry comes before the same neighbour sent again
+            order = np.lexsort((~old, v, -s, u))
+            u, v, s, fresh = u[order], v[order], s[order], fresh[order]
+            first = np.zeros(len(u), bool)
+            once = np.lexsort((np.arange(len(u)), v, u))
+            first[once[np.r_[True, (u[once][1:] != u[once][:-1]) | (v[once][1:] != v[once][:-1])]] if len(u) else once] = True
+            u, v, s, fresh = u[first], v[first], s[first], fresh[first]
+            start, length = groups(u)
+            top = np.arange(len(u)) - np.repeat(start, length) < degree
+            u, v, s, fresh = u[top], v[top], s[top], fresh[top]
+            own = np.flatnonzero(sent == 0)
+            start, length = groups(u)
+            at = np.searchsorted(node[own], u)
+            sizes = np.bincount(at, minlength=len(own))
+            worst = np.full(len(own), -2, np.float32)
+            full = sizes >= degree
+            worst[full] = s[(np.cumsum(sizes) - 1)[full]]
+            asks = gathered(u, fresh, pick) | gathered(u, ~fresh, pick)
+            wanted = pa.StructArray.from_arrays([pa.array(v[asks]), pa.array(fresh[asks])], names=["v", "new"])
+            asked = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.bincount(at[asks], minlength=len(own)))], pa.int32()), wanted)
+            cols = [pa.array(node[own]), t.column("code").combine_chunks().take(pa.array(own)), lists(v, sizes, pa.int64()), lists(s, sizes, pa.float32()), lists(fresh, sizes, pa.bool_()), pa.array(worst), asked]
+            yield pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in NODE.split(", ")])
+
+    return run
 
-def local_joins(per_join: int, width: int, rows: int = 40_000):
-    """Rows (centre, member, code, worst) sorted by centre to edges between members that would improve a member's list."""
 
-    def compare(centre: np.ndarray, member: np.ndarray, code: list, worst: np.ndarray) -> Iterator[pa.RecordBatch]:
-        x = np.frombuffer(b"".join(code), np.float16).reshape(len(member), -1).astype(np.float32)
-        start = np.flatnonzero(np.r_[True, centre[1:] != centre[:-1]])
-        size = np.diff(np.r_[start, len(centre)])
+def gathered(row: np.ndarray, fresh: np.ndarray, pick: int) -> np.ndarray:
+    """Which list entries a row gathers of those in ``fresh``: the first ``pick``."""
+    start, length = groups(row)
+    before = np.cumsum(fresh) - fresh
+    return fresh & (before - np.repeat(before[start], length) < pick)
+
+
+def update(graph: DataFrame, sent: DataFrame, degree: int, pick: int) -> DataFrame:
+    own = graph.select("node", F.lit(0).alias("sent"), "code", "nbrs", "sims", "fresh")
+    new = sent.select(F.col("u").alias("node"), F.lit(1).alias("sent"), F.lit(None).cast("binary").alias("code"), F.col("vs").alias("nbrs"), F.col("ss").alias("sims"), F.lit(None).cast("array<boolean>").alias("fresh"))
+    return own.unionByName(new).repartition("node").sortWithinPartitions("node", "sent").mapInArrow(lean(merged(degree, pick)), NODE)
+
+
+def local_joins(pick: int, per_join: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (centre, back, turn, member, new, code, worst), sorted by the first three, to what each member is sent.
+
+    Of a centre's rows that came back along an edge the first ``pick`` new and old ones count.
+    """
+
+    def compare(centre: np.ndarray, member: np.ndarray, new: np.ndarray, x: np.ndarray, worst: np.ndarray) -> Iterator[pa.RecordBatch]:
+        start, size = groups(centre)
         for at in range(0, len(start), 256):
             st, sz = start[at : at + 256], size[at : at + 256]
             w = int(sz.max())
@@ -164,113 +242,178 @@ def local_joins(per_join: int, width: int, rows: int = 40_000):
                 continue
             idx = np.minimum(st[:, None] + np.arange(w), len(centre) - 1)
             real = np.arange(w) < sz[:, None]
-            y = x[idx]
+            y, who, fresh = x[idx], member[idx], new[idx] & real
             s = y @ y.transpose(0, 2, 1)
-            s[~(real[:, :, None] & real[:, None, :])] = -2
+            s[~((fresh[:, :, None] | fresh[:, None, :]) & real[:, :, None] & real[:, None, :])] = -2
             s[:, np.arange(w), np.arange(w)] = -2
-            m = min(per_join, w - 1)
-            to = best_of(s, m)[..., :m]
-            v = np.take_along_axis(s, to, 2)
-            good = (v > worst[idx][:, :, None]) & (v > -2)
+            good = (s > worst[idx][:, :, None]) & (s > -2)
+            g, i = np.nonzero(good.sum(axis=2) > per_join)
+            if len(g):  # too many for a member: only the best
+                best = np.zeros((len(g), w), bool)
+                np.put_along_axis(best, best_of(np.where(good[g, i], s[g, i], -2), per_join)[:, :per_join], True, 1)
+                good[g, i] &= best
             g, i, j = np.nonzero(good)
-            yield edge_batch(member[idx[g, i]], member[idx[g, to[g, i, j]]], v[g, i, j])
+            sizes = good.sum(axis=2).ravel()
+            some = sizes > 0
+            yield pa.RecordBatch.from_arrays([pa.array(who.ravel()[some]), lists(who[g, j], sizes[some], pa.int64()), lists(s[g, i, j], sizes[some], pa.float32())], names=["u", "vs", "ss"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+    def thinned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Drops what a centre doesn't count as it streams by, so that a node that is everyone's neighbour isn't held."""
+        open_centre, open_counts = None, {True: 0, False: 0}
         for b in batches:
-            cols = [b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_pylist(), b.column(3).to_numpy()]
-            held = cols if held is None else [np.concatenate([held[0], cols[0]]), np.concatenate([held[1], cols[1]]), held[2] + cols[2], np.concatenate([held[3], cols[3]])]
-            if len(held[0]) >= rows:
-                cut = int(np.searchsorted(held[0], held[0][-1]))
-                if cut:
-                    yield from compare(*[c[:cut] for c in held])
-                    held = [c[cut:] for c in held]
-        if held is not None and len(held[0]):
-            yield from compare(*held)
+            if not b.num_rows:
+                continue
+            centre, back, new = (b.column(c).to_numpy(zero_copy_only=False) for c in ("centre", "back", "new"))
+            start, size = groups(centre)
+            keep = back == 0
+            for kind in (True, False):
+                mine = (back == 1) & (new == kind)
+                before = np.cumsum(mine) - mine
+                rank = before - np.repeat(before[start], size)
+                if centre[0] == open_centre:
+                    rank[: size[0]] += open_counts[kind]
+                keep |= mine & (rank < pick)
+                open_counts[kind] = int(mine[start[-1] :].sum()) + (open_counts[kind] if centre[-1] == open_centre else 0)
+            open_centre = centre[-1]
+            yield b.filter(pa.array(keep))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in by_runs(thinned(batches)):
+            centre, member, new, worst = (t.column(c).to_numpy() for c in ("centre", "member", "new", "worst"))
+            order = np.lexsort((~new, member, centre))
+            c, m = centre[order], member[order]
+            order = order[np.r_[True, (c[1:] != c[:-1]) | (m[1:] != m[:-1])]]
+            yield from compare(centre[order], member[order], new[order], directions(t.column("code"))[order], worst[order])
 
     return run
 
 
-def descend(graph: DataFrame, nodes: DataFrame, degree: int, reverse: int, per_join: int) -> DataFrame:
-    """One round: the graph's edges (u, v, s, r) joined with those of neighbours of neighbours."""
-    back = smallest(graph.select(F.col("v").alias("centre"), F.col("u").alias("member"), "s"), ["centre"], [F.desc("s"), F.col("member")], reverse, "member")
-    hood = graph.select(F.col("u").alias("centre"), F.col("v").alias("member")).union(back.select("centre", "member")).distinct()
-    worst = graph.filter(F.col("r") == degree).select(F.col("u").alias("member"), F.col("s").alias("worst"))
-    known = nodes.select(F.col("node").alias("member"), "code").join(worst, "member", "left").withColumn("worst", F.coalesce("worst", F.lit(-2.0).cast("float")))
-    rows = hood.join(known, "member").select("centre", "member", "code", "worst")
-    found = rows.repartition("centre").sortWithinPartitions("centre", "member").mapInArrow(local_joins(per_join, degree + reverse), EDGES)
-    return keep_best(graph.select("u", "v", "s").union(found), degree)
-
-
-@F.pandas_udf(T.FloatType())
-def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    if not len(a):
-        return pd.Series([], dtype="float32")
-    x, y = (np.frombuffer(b"".join(c), np.float16).reshape(len(c), -1).astype(np.float32) for c in (a, b))
-    return pd.Series((x * y).sum(axis=1))
-
-
-@F.pandas_udf(T.DoubleType())
-def cosine(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Cosine of the original vectors in double precision."""
-    if not len(a):
-        return pd.Series([], dtype=float)
-    x, y = (np.stack(c.to_list()).astype(np.float64) for c in (a, b))
-    return pd.Series((x * y).sum(axis=1) / (np.sqrt((x * x).sum(axis=1)) * np.sqrt((y * y).sum(axis=1))))
-
-
-def searched(starts: DataFrame, graph: DataFrame, nodes: DataFrame, beam: int, depth: int, expand: int, rounds: int) -> DataFrame:
-    """(q, v, s): the beam of each query node of ``starts`` (q) after a greedy search that begins at the node itself."""
-    adjacent = graph.select(F.col("u").alias("at"), F.col("v"))
-    origin = nodes.select(F.col("node").alias("q"), F.col("code").alias("q_code")).join(starts, "q", "left_semi")
-    state = Stage(starts.select("q", F.col("q").alias("v"), F.lit(1.0).cast("float").alias("s"), F.lit(False).alias("done"), F.lit(1).alias("rank")))
-    for _ in range(rounds):
-        open_nodes = state.df.filter((~F.col("done")) & (F.col("rank") <= depth))
-        turn = F.row_number().over(W.partitionBy("q").orderBy(F.desc("s"), "v"))
-        front = Stage(open_nodes.select("q", "v", turn.alias("turn"), "s").filter(F.col("turn") <= expand).select("q", F.col("v").alias("at")))
-        if front.df.isEmpty():
-            front.drop()
-            break
-        pairs = front.df.join(adjacent, "at").select("q", "v").distinct().join(state.df.select("q", "v"), ["q", "v"], "left_anti")
-        scored = pairs.join(nodes.select(F.col("node").alias("v"), "code"), "v").join(origin, "q").select("q", "v", similarity("q_code", "code").alias("s"), F.lit(False).alias("done"))
-        old = state.df.join(front.df.withColumn("hit", F.lit(True)).withColumnRenamed("at", "v"), ["q", "v"], "left").select("q", "v", "s", (F.col("done") | F.coalesce("hit", F.lit(False))).alias("done"))
-        rank = F.row_number().over(W.partitionBy("q").orderBy(F.desc("s"), "v"))
-        nxt = Stage(old.union(scored).withColumn("rank", rank).filter(F.col("rank") <= beam))
-        front.drop()
+def descended(graph: DataFrame, degree: int, pick: int, per_join: int, turn: int) -> DataFrame:
+    """The graph after one round of NN-descent."""
+    edges = graph.select(F.col("node").alias("u"), "code", "worst", F.inline("asks"))
+    back = edges.select(F.col("v").alias("centre"), F.lit(1).alias("back"), F.xxhash64("u", "v", F.lit(turn)).alias("turn"), F.col("u").alias("member"), "new", "code", "worst")
+    known = graph.select(F.col("node").alias("v"), "code", "worst")
+    ahead = edges.select("u", "v", "new").join(known, "v").select(F.col("u").alias("centre"), F.lit(0).alias("back"), F.lit(0).cast("long").alias("turn"), F.col("v").alias("member"), "new", "code", "worst")
+    met = ahead.unionByName(back).repartition("centre").sortWithinPartitions("centre", "back", "turn")
+    return update(graph, met.mapInArrow(lean(local_joins(pick, per_join)), SENT), degree, pick)
+
+
+def neighbour_graph(nodes: DataFrame, seed: int = 7, trees: int = TREES, leaf: int = LEAF, degree: int = DEGREE, pick: int = PICK, per_join: int = PER_JOIN, settled: float = SETTLED) -> DataFrame:
+    """(node, code, nbrs, sims, ...) of ``nodes`` (node, code): NN-descent from seeds until few entries are new."""
+    none = lambda kind: F.array().cast(kind)
+    bare = nodes.select("node", "code", none("array<long>").alias("nbrs"), none("array<float>").alias("sims"), none("array<boolean>").alias("fresh"))
+    graph = Stage(update(bare, seeds(nodes, nodes.count(), seed, trees, leaf, PER_BLOCK, SAMPLE), degree, pick))
+    for turn in count():
+        better = Stage(descended(graph.df, degree, pick, per_join, turn))
+        graph.drop()
+        graph = better
+        new = F.aggregate("fresh", F.lit(0), lambda n, x: n + x.cast("int"))
+        n = graph.df.agg(F.coalesce(F.sum(new), F.lit(0)).alias("new"), F.coalesce(F.sum(F.size("nbrs")), F.lit(0)).alias("all")).first()
+        if n["new"] <= settled * n["all"]:
+            return graph.df
+
+
+def beams(beam: int, depth: int, expand: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (q, sent, code, ids, sims, done, v), sorted by the first two, to the next beams: a query's row, then nodes sent to it."""
+
+    def step(x: np.ndarray, ids: np.ndarray, sims: np.ndarray, done: np.ndarray, new: np.ndarray) -> tuple:
+        """``x``: directions of the query and of the nodes sent to it (``new``)."""
+        if len(new):
+            new, first = np.unique(new, return_index=True)
+            unseen = ~np.isin(new, ids)
+            new, first = new[unseen], first[unseen]
+        if len(new):
+            ids = np.r_[ids, new]
+            sims = np.r_[sims, x[1 + first] @ x[0]]
+            done = np.r_[done, np.zeros(len(new), bool)]
+        order = np.lexsort((ids, -sims))[:beam]
+        ids, sims, done = ids[order], sims[order], done[order]
+        front = np.flatnonzero(~done[:depth])[:expand]
+        done = done.copy()
+        done[front] = True
+        return ids, sims, done, ids[front]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in by_runs(batches, ROWS // 4):
+            t = t.combine_chunks()
+            q, v, x = t.column("q").to_numpy(), pc.fill_null(t.column("v"), 0).to_numpy(), directions(t.column("code"))
+            ids, sims, done = (t.column(c).combine_chunks() for c in ("ids", "sims", "done"))
+            out = []
+            start, size = groups(q)
+            for a, n in zip(start.tolist(), size.tolist(), strict=True):
+                mine = [ids[a].values.to_numpy(), sims[a].values.to_numpy(), done[a].values.to_numpy(zero_copy_only=False)]
+                out.append(step(x[a : a + n], *mine, v[a + 1 : a + n]))
+            kinds = (pa.int64(), pa.float32(), pa.bool_(), pa.int64())
+            cols = [lists(np.concatenate([o[i] for o in out]), np.array([len(o[i]) for o in out]), k) for i, k in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([pa.array(q[start]), t.column("code").take(pa.array(start)).combine_chunks(), *cols], names=["q", "code", "ids", "sims", "done", "front"])
+
+    return run
+
+
+def searched(starts: DataFrame, graph: DataFrame, beam: int = BEAM, depth: int = DEPTH, expand: int = EXPAND) -> DataFrame:
+    """(q, ids, sims): the beam of each query node of ``starts`` (q), best first, after a greedy search from the node itself."""
+    codes = graph.select(F.col("node").alias("v"), "code")
+    origin = codes.join(starts.select(F.col("q").alias("v")), "v", "left_semi")
+    state = Stage(origin.select(F.col("v").alias("q"), "code", F.array("v").alias("ids"), F.array(F.lit(1.0).cast("float")).alias("sims"), F.array(F.lit(True)).alias("done"), F.array("v").alias("front")))
+    while True:
+        asks = state.df.select("q", F.explode("front").alias("node"))
+        if asks.isEmpty():
+            return state.df.select("q", "ids", "sims")
+        near = asks.join(graph.select("node", "nbrs"), "node").select("q", F.explode("nbrs").alias("v"))
+        # once a query and node; the join below needs rows by node, too
+        sent = near.repartition("v").dropDuplicates(["v", "q"]).join(codes, "v")
+        own = state.df.select("q", F.lit(0).alias("sent"), "code", "ids", "sims", "done", F.lit(None).cast("long").alias("v"))
+        new = sent.select("q", F.lit(1).alias("sent"), "code", F.lit(None).cast("array<long>").alias("ids"), F.lit(None).cast("array<float>").alias("sims"), F.lit(None).cast("array<boolean>").alias("done"), "v")
+        after = Stage(own.unionByName(new).repartition("q").sortWithinPartitions("q", "sent").mapInArrow(lean(beams(beam, depth, expand)), BEAMS))
         state.drop()
-        state = nxt
-    return state.df.select("q", "v", "s")
+        state = after
+
+
+def cosines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (q, v, a, b) to (q, v, score): the cosine of original vectors in double precision."""
+    for b in batches:
+        if b.num_rows:
+            # powers of two change no digit of a cosine, and keep very large and small vectors finite
+            x, y = (np.ldexp(m, -np.frexp(np.abs(m).max(axis=1))[1][:, None]) for m in (matrix(b.column(2)), matrix(b.column(3))))
+            s = (x * y).sum(axis=1) / (np.sqrt((x * x).sum(axis=1)) * np.sqrt((y * y).sum(axis=1)))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s)], names=["q", "v", "score"])
+
 
+def named(base: DataFrame) -> DataFrame:
+    """``base``, written, with a column ``node``: a hash of its vector that differs for different vectors of the table."""
+    for salt in count():
+        hashed = Stage(base.withColumn("node", F.xxhash64(F.lit(salt), "vector")).withColumn("check", F.xxhash64(F.lit(~salt), "vector")))
+        if hashed.df.groupBy("node").agg((F.min("check") != F.max("check")).alias("two")).filter("two").isEmpty():
+            return hashed.df.drop("check")
+        hashed.drop()
 
-def nearest(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", seed: int = 7, trees: int = TREES, leaf: int = LEAF, rounds: int = ROUNDS, degree: int = DEGREE, beam: int = BEAM, depth: int = DEPTH) -> DataFrame:
+
+def nearest(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", seed: int = 7, trees: int = TREES, leaf: int = LEAF, degree: int = DEGREE, beam: int = BEAM, depth: int = DEPTH) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest rows found of each row for which ``queries`` (a condition) holds.
 
-    Nearness is the largest cosine, ties to the smaller id; a query's own id is no candidate. Vectors that are null,
+    Nearness is the largest cosine, ties to the smaller id; a query's own row is no candidate. Vectors that are null,
     empty, zero, or hold null or non-finite components take no part, nor do those of other than the most frequent
-    length. Rows that repeat an id and vector count once; rows with a null id are skipped. With k or fewer candidates
-    all are returned; an empty table gives no rows. Other columns are ignored.
+    length. Rows that repeat an id and vector count once; different vectors of one id are different rows, each with a
+    result of its own where the id is a query's. Rows with a null id are skipped. With k or fewer candidates all are
+    returned; an empty table gives no rows. Other columns are ignored, whatever their names.
     """
     ok = vectors.filter(F.col(id_col).isNotNull() & valid(F.col(vector_col)))
     lengths = ok.groupBy(F.size(vector_col).alias("d")).count().orderBy(F.desc("count"), "d").first()
     usual = lengths["d"] if lengths else 0
-    base = materialise(ok.filter(F.size(vector_col) == usual).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"), queries.alias("is_query")).select("*", F.xxhash64("vector").alias("g1"), F.xxhash64(F.lit(1), "vector").alias("g2")))
-    owners = materialise(base.groupBy("g1", "g2").agg(F.min("id").alias("node")))
-    heads = base.join(owners, (base.id == owners.node) & (base.g1 == owners.g1) & (base.g2 == owners.g2)).select("node", "vector").dropDuplicates(["node"])
+    rows = ok.filter(F.size(vector_col) == usual).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"), queries.alias("is_query"))
+    base = named(rows)
+    heads = materialise(base.groupBy("node").agg(F.first("vector").alias("vector")))
     nodes = materialise(heads.mapInArrow(encode, "node long, code binary"))
-    members = materialise(smallest(base.select("g1", "g2", "id").distinct(), ["g1", "g2"], [F.col("id")], k + 1, "id").join(owners, ["g1", "g2"]).select("node", "id"))
-    n, degree = nodes.count(), max(degree, 4 * k + 4)
-    # a table of one block has its exact graph at once: as many neighbours of each node as a result is chosen from
-    graph = Stage(keep_best(first_graph(nodes, max(n, 1), seed, trees, leaf, PER_TREE if n > leaf else degree, SAMPLE), degree))
-    for _ in range(rounds if n > leaf else 0):
-        better = Stage(descend(graph.df, nodes, degree, REVERSE, PER_JOIN))
-        graph.drop()
-        graph = better
-    asked = materialise(base.filter("is_query").select("id", "g1", "g2", "vector").dropDuplicates(["id", "g1", "g2"]).join(owners, ["g1", "g2"]).select(F.col("id").alias("query_id"), F.col("node").alias("q"), F.col("vector").alias("q_vector")))
-    found = searched(asked.select("q").distinct(), graph.df, nodes, beam, depth, EXPAND, SEARCH_ROUNDS)
-    near = found.withColumn("r", F.row_number().over(W.partitionBy("q").orderBy(F.desc("s"), "v"))).filter(F.col("r") <= 4 * k + 4)
-    rows = near.join(members.withColumnRenamed("node", "v"), "v").select("q", F.col("id").alias("vec_id"))
-    pairs = rows.join(asked.select("q", "query_id"), "q").filter("vec_id <> query_id").select("query_id", "vec_id").distinct()
-    exact = pairs.join(base.select(F.col("id").alias("vec_id"), "vector").dropDuplicates(["vec_id"]), "vec_id").join(asked.select("query_id", "q_vector").dropDuplicates(["query_id"]), "query_id")
-    scored = exact.select("query_id", "vec_id", cosine("q_vector", "vector").alias("score"))
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return scored.withColumn("rank", rank.cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    graph = neighbour_graph(nodes, seed, trees, leaf, max(degree, 4 * k + 4))
+    asked = materialise(base.filter("is_query").select(F.col("id").alias("query_id"), F.col("node").alias("q")).distinct())
+    found = searched(asked.select("q").distinct(), graph, beam, depth)
+    pairs = found.select("q", F.explode(F.slice("ids", 1, 4 * k + 4)).alias("v"))
+    exact = pairs.join(heads.select(F.col("node").alias("v"), F.col("vector").alias("b")), "v").join(heads.select(F.col("node").alias("q"), F.col("vector").alias("a")), "q")
+    scored = exact.select("q", "v", "a", "b").mapInArrow(cosines, "q long, v long, score double")
+    # a node's first k + 1 rows are all that a result can show, the query's own row included
+    owners = first_rows(base.select("node", "id").distinct(), ["node"], [F.col("id")], k + 1).select(F.col("node").alias("v"), "id")
+    ranked = first_rows(scored.join(owners, "v").select("q", "v", "id", "score"), ["q"], [F.desc("score"), F.col("id")], k + 1)
+    own = (F.col("v") == F.col("q")) & (F.col("id") == F.col("query_id"))
+    results = asked.join(ranked, "q").filter(~own)
+    rank = F.row_number().over(W.partitionBy("query_id", "q").orderBy(F.desc("score"), "id", "v"))
+    return results.withColumn("rank", rank.cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias("vec_id"), "score")
