@@ -6,14 +6,16 @@ minima, and the bit-sliced comparison thins them:
 1. One pass over the texts gives a SimHash, the number of distinct shingles and ``BANDS`` keys, each of ``ROWS``
    minima of permuted shingle hashes. A pair at 0.8 shares one of 25 keys of four minima with a chance of 0.999998.
 2. Texts with equal words become one node, by a partial aggregate.
-3. In rounds, a few nodes of each key's group are its pivots: the smallest node, then about 8, 64, ... of the rest. The
-   bit-sliced comparison of simhash.py counts distances of pivots to members and abandons words beyond ``WIDE`` bits
-   (five deviations beyond what 0.8 gives); a group is cut into parts of ``PART`` members, each with the pivots, so no
-   task holds a whole group. What is left is verified exactly on the shingle sets, by built-in array functions; a pivot
-   of very many members has a copy of its set for each ``SHARE`` of them, so that no task joins them all.
-4. A pivot leaves its group after its round, as it has met all others there; a member found similar to one stays, as it
-   may link others, until it was a pivot itself or all that remain in the group have one label. Links of a round pass
-   on the smaller label (two steps), which only serves to skip pairs that are already of one component.
+3. First the smallest node of each key's group is its pivot. The bit-sliced comparison of simhash.py counts distances
+   of pivots to members and abandons words beyond ``WIDE`` bits (five deviations beyond what 0.8 gives). The pairs left
+   are verified exactly on the shingle sets, by built-in array functions; a pivot of very many members has a copy of
+   its set for each ``SHARE`` of them, so that no task joins them all. This links most copies.
+4. Groups whose members still have several labels get their members' sets, once a member and not once a pair. A group of
+   up to ``PART`` members is compared whole, in one task; of a larger one pivots (about 64, 512, ... in turn) meet all
+   others in parts. Candidates of the bit-sliced comparison are verified there at once, and only links leave the task.
+   A pivot then leaves its group, as it has met all others; a member found similar to one stays, as it may link
+   others, until it was a pivot itself or all that remain have one label: links merge labels, so that pairs that are
+   already of one component are skipped.
 5. Connected components over all links: the closure of all links between nodes that share a key.
 """
 
@@ -34,9 +36,11 @@ from .simhash import majority, shingle_hashes, sliced_pairs, words_of
 WIDTH, SIMILARITY = 5, 0.8
 BANDS, ROWS = 25, 4
 WIDE = 24
-PART, SHARE = 8192, 512
-#: Expected pivots of a group in the second round; then this many times those of the round before.
-GROWTH = 8
+#: Members of a group that are compared whole, and shingles for each of them that a task may hold.
+PART, PART_SHINGLES = 1024, 2048
+SHARE = 512
+#: Expected pivots of a larger group at first, and their growth from turn to turn.
+PIVOTS, GROWTH = 64, 8
 #: Bytes of text sketched at a time.
 WINDOW_BYTES = 2_000_000
 _RANDOM = np.random.default_rng(42)
@@ -104,33 +108,93 @@ def sets_of(docs: DataFrame, nodes: DataFrame, doc_col: str, text_col: str) -> D
     return once.mapInArrow(lean(run), "node long, shingles array<long>")
 
 
-def near_pivots(similarity: float, rows: int = 1 << 15):
-    """Rows (key, part, place, node, fp, lead, label, n) sorted by the first three to pairs (a, b, la, lb): a pivot and
-    a member of another label near it and of a size that allows ``similarity``, the smaller node first."""
+def whole_runs(batches: Iterator[pa.RecordBatch], rows: int, numbers: int = 1 << 40) -> Iterator[pa.Table]:
+    """Rows sorted by key and part in tables of whole runs of both, of about ``rows`` rows or ``numbers`` shingles."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append(b)
+        if sum(x.num_rows for x in held) >= rows or sum(x.nbytes for x in held) >= 8 * numbers:
+            t = pa.Table.from_batches(held)
+            key, part = t.column("key").to_numpy(), t.column("part").to_numpy()
+            other = np.flatnonzero((key != key[-1]) | (part != part[-1]))
+            if len(other):
+                yield t.slice(0, int(other[-1]) + 1)
+                held = t.slice(int(other[-1]) + 1).to_batches()
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def candidates(t: pa.Table, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (i, j) of a pivot and a member of its run with another label, near it and of a size that allows ``similarity``."""
+    key, part, fp, lead, label, n = (t.column(c).to_numpy() for c in ("key", "part", "fp", "lead", "label", "n"))
+    run = np.cumsum(np.r_[False, (key[1:] != key[:-1]) | (part[1:] != part[:-1])])
+    for i, j in sliced_pairs(np.ascontiguousarray(fp).view(np.uint64), run, WIDE, lead, 1 << 15):
+        fit = (label[i] != label[j]) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]))
+        yield i[fit], j[fit]
+
+
+def pairs_of(t: pa.Table, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+    """(a, b, la, lb), the smaller node first."""
+    node, label = t.column("node").to_numpy(), t.column("label").to_numpy()
+    i, j = np.where(node[i] < node[j], i, j), np.where(node[i] < node[j], j, i)
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (node[i], node[j], label[i], label[j])], names=["a", "b", "la", "lb"])
 
-    def pairs(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        key, part, _, node, fp, lead, label, n = cols
-        new = np.r_[False, (key[1:] != key[:-1]) | (part[1:] != part[:-1])]
-        for i, j in sliced_pairs(np.ascontiguousarray(fp).view(np.uint64), np.cumsum(new), WIDE, lead.astype(bool), 1 << 15):
-            fit = (label[i] != label[j]) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]))
-            i, j = i[fit], j[fit]
-            i, j = np.where(node[i] < node[j], i, j), np.where(node[i] < node[j], j, i)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (node[i], node[j], label[i], label[j])], names=["a", "b", "la", "lb"])
+
+def near_pivots(similarity: float):
+    """Rows sorted by (key, part, place) to the candidates of each run's pivots."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None
-        for batch in batches:
-            cols = [batch.column(x).to_numpy(zero_copy_only=False) for x in range(8)]
-            held = cols if held is None else [np.concatenate(x) for x in zip(held, cols, strict=True)]
-            if len(held[0]) < rows:
-                continue
-            other = np.flatnonzero((held[0] != held[0][-1]) | (held[1] != held[1][-1]))
-            if len(other):
-                cut = int(other[-1]) + 1
-                yield from pairs([x[:cut] for x in held])
-                held = [x[cut:] for x in held]
-        if held is not None and len(held[0]):
-            yield from pairs(held)
+        for t in whole_runs(batches, 1 << 15):
+            for i, j in candidates(t, similarity):
+                yield pairs_of(t, i, j)
+
+    return run
+
+
+def true_links(similarity: float, numbers: int):
+    """Rows with shingles, sorted by (key, part, place), to verified links of each run's pivots."""
+
+    def verified(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        sets, label = t.column("shingles").combine_chunks(), t.column("label").to_numpy().tolist()
+        begin = sets.offsets.to_numpy().astype(np.int64) - sets.offsets[0].as_py()
+        distinct, number = np.unique(sets.flatten().to_numpy(), return_inverse=True)
+        size, mark = np.diff(begin), np.zeros(len(distinct), bool)
+        up: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while x in up:
+                x = up[x]
+            return x
+
+        for i, j in candidates(t, similarity):
+            order = np.argsort(i, kind="stable")
+            i, j = i[order], j[order]
+            linked_i, linked_j = [], []
+            for at in np.split(np.arange(len(i)), np.flatnonzero(np.diff(i)) + 1):
+                if not len(at):
+                    continue
+                p, mine = int(i[at[0]]), top(label[i[at[0]]])
+                others = np.array([x for x in j[at].tolist() if top(label[x]) != mine], np.int64)
+                if not len(others):
+                    continue
+                mark[number[begin[p] : begin[p + 1]]] = True
+                lengths = size[others]
+                first = np.cumsum(lengths) - lengths
+                shared = np.add.reduceat(mark[number[np.repeat(begin[others] - first, lengths) + np.arange(lengths.sum())]], first, dtype=np.int64)
+                mark[number[begin[p] : begin[p + 1]]] = False
+                for x in others[shared >= similarity * (size[p] + lengths - shared)].tolist():
+                    low, high = sorted((top(label[p]), top(label[x])))
+                    if low != high:
+                        up[high] = low
+                        linked_i.append(p)
+                        linked_j.append(x)
+            yield pairs_of(t, np.array(linked_i, np.int64), np.array(linked_j, np.int64))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_runs(batches, 1 << 12, numbers):
+            yield from verified(t)
 
     return run
 
@@ -151,52 +215,58 @@ def with_sets(pairs: DataFrame, sets: DataFrame, side: str, name: str) -> DataFr
     return dealt.join(copied, [side, "slot"]).drop("slot")
 
 
-def smaller_labels(links: DataFrame) -> DataFrame:
-    """(label, into) of linked labels (la, lb): the smallest label at most two links away."""
-    both = links.select(F.col("la").alias("label"), F.col("lb").alias("next")).union(links.select("lb", "la")).distinct()
-    near = both.groupBy("label").agg(F.least("label", F.min("next")).alias("into"))
-    far = both.join(near.select(F.col("label").alias("next"), "into"), "next")
-    return far.groupBy("label").agg(F.least("label", F.min("into")).alias("into"))
-
-
-def chosen(members: DataFrame, pivots: int, turn: int) -> DataFrame:
-    """``members`` of groups with several labels, with the group's size ``total`` and whether they are pivots (``lead``).
+def chosen(members: DataFrame, pivots: int, turn: int, part: int) -> DataFrame:
+    """``members`` of groups with several labels, whether they are pivots (``lead``), and the group's number of ``parts``.
 
     Labels of a group share its pivots evenly, so that small ones are soon through. A hash of node and turn decides, so
-    nothing is ranked; a group of no more than ``pivots`` members gives all of them.
+    nothing is ranked; a group of up to ``part`` members gives all of them. Parts and pivots of a group are so many that
+    their shingles fit a task.
     """
-    of_label = members.groupBy("key", "label").agg(F.count("*").alias("same"))
-    of_key = of_label.groupBy("key").agg(F.count("*").alias("labels"), F.sum("same").alias("total")).filter("labels > 1")
+    limit = part * PART_SHINGLES
+    of_label = members.groupBy("key", "label").agg(F.count("*").alias("same"), F.sum("n").alias("weight"))
+    of_key = of_label.groupBy("key").agg(F.count("*").alias("labels"), F.sum("same").alias("total"), F.sum("weight").alias("weight")).filter("labels > 1")
+    small = ((F.col("total") <= part) & (F.col("weight") <= limit)) | (F.col("total") <= 4)
+    wanted = F.greatest(F.lit(4.0), F.least(F.lit(float(min(pivots, part))), F.col("total") * (limit / 2) / F.col("weight")))
     share = F.shiftrightunsigned(F.xxhash64("node", F.lit(turn)), 11) / float(1 << 53)
-    lead = (F.col("total") <= pivots) | (share * F.col("same") * F.col("labels") < pivots)
-    return members.join(of_label.join(of_key, "key"), ["key", "label"]).select("key", "node", "fp", "n", "label", "total", lead.alias("lead"))
+    lead = small | (share * F.col("same") * F.col("labels") < wanted)
+    parts = F.when(small, F.lit(1)).otherwise(F.ceil(F.col("weight") / limit)).cast("long")
+    sized = of_label.drop("weight").join(of_key, "key")
+    return members.join(sized, ["key", "label"]).select("key", "node", "fp", "n", "label", lead.alias("lead"), parts.alias("parts"))
+
+
+def in_parts(ranked: DataFrame, *more: str) -> DataFrame:
+    """Members in parts of their groups, pivots (place 0) in each; sorted for ``whole_runs``."""
+    columns = [F.col(c) for c in ("node", "fp", "lead", "label", "n", *more)]
+    leads = ranked.filter("lead").select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(0).alias("place"), *columns)
+    rest = ranked.filter("not lead").select("key", F.pmod(F.xxhash64("node"), "parts").alias("part"), F.lit(1).alias("place"), *columns)
+    return leads.unionByName(rest).repartition("key", "part").sortWithinPartitions("key", "part", "place", "node")
+
+
+def relabelled(members: DataFrame, links: DataFrame) -> DataFrame:
+    """``members`` with the labels that ``links`` (la, lb) merge replaced by the smallest of each group."""
+    merged = materialise(connected_components(links.select(F.col("la").alias("a"), F.col("lb").alias("b"))).select(F.col("node").alias("label"), F.col("component").alias("into")))
+    return members.join(merged, "label", "left").select("key", "node", "fp", "n", F.coalesce("into", "label").alias("label"))
 
 
 def linked(docs: DataFrame, nodes: DataFrame, doc_col: str, text_col: str, similarity: float, part: int) -> DataFrame:
     """(node, component) of those of nodes (node, w1, w2, fp, n, keys) that have links, by verified links."""
+    pair = "a long, b long, la long, lb long"
     keyed = nodes.filter("n > 0").select("node", "fp", "n", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("total"), F.min("node").alias("low")).filter("total > 1")
-    columns = ["key", "node", "fp", "n", F.col("node").alias("label"), "total", (F.col("node") == F.col("low")).alias("lead")]
-    ranked = materialise(keyed.join(shared, "key").select(*columns))
+    parts = F.ceil(F.col("total") / (8 * part)).alias("parts")
+    ranked = materialise(keyed.join(shared, "key").select("key", "node", "fp", "n", F.col("node").alias("label"), (F.col("node") == F.col("low")).alias("lead"), parts))
     sets = materialise(sets_of(docs, nodes.join(ranked.select("node").distinct(), "node", "left_semi"), doc_col, text_col))
-    links, pivots, turn = [], GROWTH, 0
-    while not ranked.isEmpty():
-        dealt = ranked.withColumn("parts", F.ceil(F.col("total") / part))
-        leads = dealt.filter("lead").select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(0).alias("place"), "node", "fp", "lead", "label", "n")
-        rest = dealt.filter("not lead").select("key", F.pmod(F.xxhash64("node"), "parts").alias("part"), F.lit(1).alias("place"), "node", "fp", "lead", "label", "n")
-        met = leads.unionByName(rest).repartition("key", "part").sortWithinPartitions("key", "part", "place", "node")
-        near = materialise(met.mapInArrow(lean(near_pivots(similarity)), "a long, b long, la long, lb long").distinct())
-        left = ranked.filter("not lead").select("key", "node", "fp", "n", "label")
-        if not near.isEmpty():
-            both = with_sets(with_sets(near, sets, "a", "sa"), sets, "b", "sb")
-            true = materialise(both.filter(similar(F.col("sa"), F.col("sb"), similarity)).select("a", "b", "la", "lb"))
-            links.append(true.select("a", "b"))
-            left = left.join(smaller_labels(true), "label", "left").select("key", "node", "fp", "n", F.coalesce("into", "label").alias("label"))
-        turn += 1
-        ranked = materialise(chosen(left, pivots, turn))
-        pivots = min(pivots * GROWTH, part)
-    none = docs.sparkSession.createDataFrame([], "a long, b long")
-    return connected_components(reduce(DataFrame.unionByName, links, none))
+    near = materialise(in_parts(ranked).mapInArrow(lean(near_pivots(similarity)), pair).distinct())
+    both = with_sets(with_sets(near, sets, "a", "sa"), sets, "b", "sb")
+    links = [materialise(both.filter(similar(F.col("sa"), F.col("sb"), similarity)).select("a", "b", "la", "lb"))]
+    pivots, turn = PIVOTS, 0
+    while True:
+        ranked = materialise(chosen(relabelled(ranked.filter("not lead"), links[-1]), pivots, turn, part))
+        if ranked.isEmpty():
+            return connected_components(reduce(DataFrame.unionByName, links).select("a", "b"))
+        met = in_parts(ranked.join(sets, "node"), "shingles")
+        links.append(materialise(met.mapInArrow(lean(true_links(similarity, part * PART_SHINGLES)), pair).distinct()))
+        pivots, turn = pivots * GROWTH, turn + 1
 
 
 def classes(docs: DataFrame, doc_col: str, text_col: str, similarity: float, part: int) -> tuple[DataFrame, DataFrame]:
