@@ -28,6 +28,6 @@ def test_equals_sql(spark, duck, sf_dir, name):
     assert rows(q.run(spark, sf_dir).toPandas()) == rows(duck.execute(q.oracle).fetchdf())
 
 
-@pytest.mark.parametrize("name", [n for n, q in CATALOG.items() if not q.oracle and n not in ("kmeans_sweep", "gmm_bic", "hierarchy_elbow")])
+@pytest.mark.parametrize("name", [n for n, q in CATALOG.items() if not q.oracle])
 def test_runs(spark, sf_dir, name):
     assert CATALOG[name].run(spark, sf_dir).count() > 0

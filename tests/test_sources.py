@@ -2,6 +2,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from voxloom.operators import corpus, sampling
 from voxloom.sources import services, tables
 from voxloom.streaming import scoring
 
@@ -12,7 +13,8 @@ def test_json_records(spark, tmp_path):
     got = {(r["I"], r["S"], r["T"]) for r in tables.read_records(spark, str(path)).collect()}
     assert got == {("1", "A", "x"), (None, "B", None), ("3", None, "z\n")}
     rows = tables.as_dialogues(tables.read_records(spark, str(path)))
-    assert rows.count() == 3 and rows.filter("para_text is null and similarity is null").count() == 3
+    assert [(r["id"], r["speaker"]) for r in rows.orderBy("id").collect()] == [(1, "A"), (2, "B"), (3, "")]
+    assert rows.filter("para_text is null and similarity is null").count() == 3
 
 
 def test_cache_is_written_once(spark, tmp_path):
@@ -51,3 +53,61 @@ def test_stream_scores_each_file_once(spark, tmp_path):
     scoring.run_available(scoring.pending_pairs(spark, folder), out, marks).awaitTermination()
     got = {r["id"]: (r["similarity"], r["skipped"]) for r in spark.read.parquet(out).collect()}
     assert set(got) == {1, 2, 3} and got[2] == (None, True) and got[3] == (1.0, False) and 0 < got[1][0] < 1
+
+
+class Flaky:
+    """Asks to slow down, then fails, then answers wrongly, then rightly."""
+
+    def __init__(self, folder):
+        self.folder = folder
+
+    def paraphrase(self, lines, strict):
+        import pathlib
+
+        marks = pathlib.Path(self.folder)
+        n = len(list(marks.iterdir()))
+        (marks / str(n)).touch()
+        if n == 0:
+            raise corpus.RateLimited
+        if n == 1:
+            raise OSError
+        return "\n".join(lines if strict else lines[1:])
+
+
+def test_paraphrase_retries(spark, tmp_path):
+    rows = [(i * 1000, "A", f"text {i}") for i in range(1, 6)] + [(1, " ", "x"), (2, "B", None)]
+    df = spark.createDataFrame(rows, "id long, speaker string, origin_text string").coalesce(1)
+    (tmp_path / "a").mkdir()
+    got = {r["id"]: r for r in corpus.paraphrased(df, Flaky(str(tmp_path / "a")), batch_size=75, retries=5).collect()}
+    assert {got[i]["status"] for i in (1, 2)} == {"unusable"} and got[1]["attempts"] == 0
+    good = [got[i * 1000] for i in range(1, 6)]
+    assert {(r["status"], r["attempts"], r["batch"]) for r in good} == {("ok", 4, 0)} and good[2]["text"] == "text 3"
+    assert len(good[0]["errors"]) == 1 and good[0]["errors"][0].startswith("3: count_mismatch: ")
+    (tmp_path / "b").mkdir()
+    out = corpus.paraphrased(df, Flaky(str(tmp_path / "b")), batch_size=75, retries=2).filter("id >= 1000").collect()
+    assert {(r["status"], r["attempts"], r["text"]) for r in out} == {("error: OSError", 2, None)}
+
+
+def test_batches_are_full_whatever_the_ids(spark):
+    df = spark.createDataFrame([(i * i * 100_000, "A", f"t{i}") for i in range(1, 11)], "id long, speaker string, origin_text string")
+    got = corpus.paraphrased(df, services.EchoClient(), batch_size=4).groupBy("batch").count().collect()
+    assert sorted(r["count"] for r in got) == [2, 4, 4]
+
+
+def test_numbered_rows(spark):
+    ids = [5, 5_000_000, 7, 9000, 12, None, 8192]
+    df = spark.createDataFrame([(i, "ab"[n % 2]) for n, i in enumerate(ids)], "id long, g string")
+    got = {r["id"]: r["number"] for r in sampling.numbered(df, "id").collect()}
+    known = sorted(i for i in ids if i is not None)
+    assert [got[i] - got[known[0]] for i in known] == list(range(6)) and sorted(got.values()) == list(range(1, 8))
+    by = {r["id"]: r["number"] for r in sampling.numbered(df, "id", "g").collect()}
+    assert [by[i] for i in (5, 7, 12, 8192)] == [1, 2, 3, 4]
+
+
+def test_pilot_report_by_hand(spark):
+    runs = [(True, 2, 10, 20, 1.0, ["abcd", "efgh"], ["abcd", "ef"]), (False, 2, 99, 99, 9.0, ["x", "y"], None)]
+    df = spark.createDataFrame(runs, "success boolean, lines int, prompt_tokens int, completion_tokens int, elapsed double, origins array<string>, paras array<string>")
+    r = corpus.pilot_report(df, corpus_rows=100, batch_size=30, system_words=2).first()
+    assert (r["success_rate"], r["length_change"], r["cache_rate"]) == (0.5, -25.0, 20.0)
+    assert (r["input_tokens_for_all"], r["output_tokens_for_all"], r["seconds_for_all"]) == (500, 1000, 4.0)
+    assert r["mean_similarity"] == round((1 + (0 + 0.5) / 2) / 2, 6)

@@ -133,3 +133,100 @@ def test_triplets_are_valid(spark):
     got = S.triplets(df, "g", "id", 200).collect()
     assert len(got) == 200
     assert all(r["anchor"] % 4 == r["positive"] % 4 != r["negative"] % 4 and r["anchor"] != r["positive"] for r in got)
+
+
+def test_ward_by_brute_force():
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((14, 3))
+    clusters, got = {i: [i] for i in range(14)}, K.ward_merges(x)
+    for step, (a, b, distance, size) in enumerate(got):
+        # the increase of the sum of squares, as a distance: sqrt(2 |A| |B| / (|A| + |B|)) times that of the means
+        cost = {(i, j): np.sqrt(2 * len(p) * len(q) / (len(p) + len(q))) * np.linalg.norm(x[p].mean(axis=0) - x[q].mean(axis=0)) for i, p in clusters.items() for j, q in clusters.items() if i < j}
+        low = min(cost.values())
+        assert distance == pytest.approx(low) and cost[a, b] == pytest.approx(low)
+        clusters[14 + step] = clusters.pop(a) + clusters.pop(b)
+        assert size == len(clusters[14 + step])
+
+
+def test_ward_elbow_of_blobs(spark):
+    rng = np.random.default_rng(7)
+    x = np.concatenate([rng.standard_normal((5, 2)) * 0.1 + c for c in ([0, 0], [10, 0], [0, 10])])
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "label int, vec array<double>")
+    merges = K.ward(df, "label")
+    assert merges.count() == 14
+    last = [r["distance"] for r in merges.orderBy("merge").collect()]
+    want = len(last) - int(np.argmax(np.diff(last, 2)))
+    assert K.ward_elbow(merges).first()["k"] == want
+
+
+def test_diagonal_mixture_by_numpy(spark):
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.standard_normal((60, 3)) * [1, 0.5, 2], rng.standard_normal((40, 3)) + [8, 8, 8]])
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "id int, vec array<double>")
+    got = K.diagonal_mixture(df, 2, tolerance=1e-6)
+    weight, parts = [0.6, 0.4], [x[:60], x[60:]]
+    logs = np.stack([np.log(w) - 0.5 * (np.log(2 * np.pi * p.var(axis=0)).sum() + ((x - p.mean(axis=0)) ** 2 / p.var(axis=0)).sum(axis=1)) for w, p in zip(weight, parts, strict=True)])
+    assert got == pytest.approx(np.logaddexp(*logs).mean(), abs=1e-4)
+    sweep = {r["k"]: r for r in K.mixture_sweep(df, [2, 30]).collect()}
+    assert sweep[2]["covariance"] == "full" and sweep[30]["covariance"] == "diag" and sweep[2]["best"]
+
+
+def test_kmeans_sweep_finds_blobs(spark):
+    rng = np.random.default_rng(9)
+    x = np.concatenate([rng.standard_normal((6, 3)) * 0.05 + c for c in np.eye(3) * 5])
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "id int, vec array<double>")
+    got = {r["k"]: r for r in K.kmeans_sweep(df, [2, 3, 4], "id", seeds=3).collect()}
+    assert got[3]["best_silhouette"] and got[3]["silhouette"] > 0.9 and not got[2]["best_silhouette"]
+    assert K.sweep_range(10) == list(range(2, 10)) and K.sweep_range(100)[-1] == 30
+
+
+def test_auto_shrinkage_by_numpy(spark):
+    rng = np.random.default_rng(10)
+    x = rng.standard_normal((30, 6)) @ np.diag([3, 1, 1, 0.5, 1, 1])
+    x -= x.mean(axis=0)
+    n, d = x.shape
+    cov = x.T @ x / n
+    mu = np.trace(cov) / d
+    beta = sum(((np.outer(r, r) - cov) ** 2).sum() for r in x) / n / n / d
+    delta = ((cov - mu * np.eye(d)) ** 2).sum() / d
+    outer, squares = R.moments(spark.createDataFrame([(v,) for v in x.tolist()], "vec array<double>"), "vec")
+    assert np.allclose(outer / n, cov) and R.ledoit_wolf(outer / n, squares / n, n) == pytest.approx(min(beta, delta) / delta)
+    df = frame(spark, [(i % 3, v) for i, v in enumerate((x + np.repeat(np.eye(3, 6) * 4, 10, axis=0)[np.argsort(np.tile(range(3), 10), kind="stable").argsort()]).tolist())])
+    assert R.discriminant(df, 2, shrinkage="auto").scalings.shape == (6, 2)
+
+
+def test_unit_vectors_of_many_dimensions(spark):
+    rng = np.random.default_rng(11)
+    x = rng.standard_normal((50, 1024))
+    got = np.array([r[0] for r in frame(spark, [(0, v) for v in x.tolist()]).select(V.unit(F.col("vec"))).collect()])
+    assert np.allclose(got, x / np.linalg.norm(x, axis=1, keepdims=True))
+
+
+def test_logits_in_blocks_equal_arrays(spark):
+    rng = np.random.default_rng(12)
+    df = frame(spark, [(i % 4, v) for i, v in enumerate(rng.standard_normal((20, 5)).tolist())])
+    w = spark.createDataFrame([(c, v) for c, v in enumerate(rng.standard_normal((4, 5)).tolist())], "class int, w array<double>")
+    one = {(r["id"], r["class"]): r["logit"] for r in M.row_logits(df, w, "id").select("id", F.inline("logits")).collect()}
+    for got in (M.margin_logits(df, w, "id", block=10), M.row_logits(df, w, "id", block=10).select("id", F.inline("logits"))):
+        assert {(r["id"], r["class"]): r["logit"] for r in got.collect()} == pytest.approx(one)
+
+
+def test_triplet_head_learns(spark):
+    rng = np.random.default_rng(13)
+    y = np.repeat([0, 1, 2], 20)
+    df = frame(spark, list(zip(y.tolist(), (np.eye(3, 8)[y] * 2 + rng.standard_normal((60, 8))).tolist(), strict=True)))
+    head = T.triplet_head(df, "id", width=4, epochs=6, draws=128, rate=0.05)
+    assert head.losses[-1] < head.losses[0] * 0.9
+    flat = T.Head([rng.standard_normal((8, 5)), rng.standard_normal((5, 4))], np.zeros((1, 4)))
+    x = [rng.standard_normal((6, 8)) for _ in range(3)]
+    loss, grads = T.triplet_gradient(flat, x, 0.3)
+    flat.layers[0][2, 3] += 1e-6
+    assert (T.triplet_gradient(flat, x, 0.3)[0] - loss) / 1e-6 == pytest.approx(grads[0][2, 3], rel=1e-3, abs=1e-4)
+
+
+def test_margin_head_in_minibatches(spark):
+    rng = np.random.default_rng(14)
+    y = rng.integers(0, 3, 120)
+    df = frame(spark, list(zip(y.tolist(), (np.eye(3, 8)[y] * 4 + rng.standard_normal((120, 8)) * 0.3).tolist(), strict=True)))
+    head = T.margin_head(df, 3, width=4, epochs=8, rate=0.05, key="id", batch=40, cosine=True)
+    assert head.losses[-1] < head.losses[0] * 0.8

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 FLOOR = 1e-10
 EDGE = 1e-7
 
@@ -27,8 +29,12 @@ def norm(v: Column) -> Column:
 
 def unit(v: Column, floor: float = FLOOR) -> Column:
     """The vector over its norm, or over ``floor`` where that is larger."""
-    length = F.greatest(norm(v), F.lit(floor))
-    return F.transform(as_double(v), lambda x: x / length)
+
+    def scaled(held: Column) -> Column:
+        return F.transform(held["v"], lambda x: x / held["length"])
+
+    # the length is bound once; inside the lambda it would be computed for each element
+    return let(F.struct(as_double(v).alias("v"), F.greatest(norm(v), F.lit(floor)).alias("length")), scaled)
 
 
 def subtract(a: Column, b: Column) -> Column:

@@ -1,11 +1,15 @@
-"""Clusterings with Spark ML, and density clusters as connected components."""
+"""Clusterings with Spark ML, mixtures, Ward linkage of class centroids, and density clusters as connected components."""
 
 from __future__ import annotations
 
 import math
+import re
 import tempfile
+from collections.abc import Iterator
 
-from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans
+import numpy as np
+import pandas as pd
+from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -14,42 +18,160 @@ from pyspark.sql import functions as F
 from ..functions import vectors as V
 from . import metrics as M
 
+#: Class centroids that Ward linkage takes: it needs the distances of all pairs, 8 bytes each, in one task.
+WARD_ROWS = 5000
 
-def kmeans_sweep(rows: DataFrame, ks: list[int], key: str, vector: str = "vec", seeds: int = 3, seed: int = 42) -> DataFrame:
-    """(k, inertia, silhouette, calinski_harabasz) of the best of several seeded runs for each k."""
-    x = rows.select(key, vector, array_to_vector(vector).alias("_x")).cache()
+
+def checkpoint_folder(rows: DataFrame) -> None:
+    """Set the checkpoint folder: the session's shared one, or for a local master only a temporary one."""
+    sc = rows.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        shared = rows.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="voxloom-"))
+
+
+def sweep_range(rows: int) -> list[int]:
+    """The numbers of clusters that are tried: 2 to 30, below the number of rows."""
+    return list(range(2, min(31, rows)))
+
+
+def kmeans_sweep(rows: DataFrame, ks: list[int] | None, key: str, vector: str = "vec", seeds: int = 10, seed: int = 42) -> DataFrame:
+    """(k, inertia, silhouette, calinski_harabasz, best_silhouette, best_ch) of the best of several seeded runs for each k.
+
+    ``ks``: by default ``sweep_range`` of the rows. The last two columns mark the k with the largest value, ties to the
+    smaller k.
+    """
+    checkpoint_folder(rows)
+    x = rows.select(key, vector, array_to_vector(vector).alias("_x")).checkpoint()
     out = []
-    for k in ks:
+    for k in ks or sweep_range(x.count()):
         models = [KMeans(k=k, seed=seed + s, featuresCol="_x", predictionCol="label").fit(x) for s in range(seeds)]
         best = min(models, key=lambda m: m.summary.trainingCost)
         labelled = best.transform(x).select(key, vector, "label")
         sil = M.silhouette(labelled, key, "label", vector).agg(F.avg("silhouette")).first()[0]
         ch = M.calinski_harabasz(labelled, "label", vector).first()["score"]
         out.append((k, float(best.summary.trainingCost), sil, ch))
-    x.unpersist()
-    return rows.sparkSession.createDataFrame(out, "k int, inertia double, silhouette double, calinski_harabasz double")
+    top = [max((r[i] for r in out if r[i] is not None), default=None) for i in (2, 3)]
+    marks = [next((r[0] for r in out if r[i] == t and t is not None), None) for i, t in zip((2, 3), top, strict=True)]
+    return rows.sparkSession.createDataFrame([(*r, r[0] == marks[0], r[0] == marks[1]) for r in out], "k int, inertia double, silhouette double, calinski_harabasz double, best_silhouette boolean, best_ch boolean")
+
 
+def diagonal_mixture(rows: DataFrame, k: int, vector: str = "vec", seed: int = 42, rounds: int = 100, tolerance: float = 1e-3, floor: float = 1e-6) -> float:
+    """The mean log likelihood per row of a Gaussian mixture with diagonal covariances, fitted by EM from k-means clusters.
 
-def mixture_sweep(rows: DataFrame, ks: list[int], vector: str = "vec", seed: int = 42) -> DataFrame:
-    """(k, log_likelihood, bic) of full-covariance Gaussian mixtures."""
-    x = rows.select(array_to_vector(vector).alias("_x")).cache()
-    n, d = x.count(), rows.select(F.size(vector).alias("d")).first()["d"]
+    Each round is one pass: tasks add weights, sums and squares per component (k * (2d + 1) numbers), Spark adds those
+    of tasks.
+    """
+    d = rows.select(F.size(vector).alias("d")).first()["d"]
+    model = KMeans(k=k, seed=seed, featuresCol="_x", predictionCol="_c").fit(rows.select(array_to_vector(vector).alias("_x")))
+    centres = np.array(model.clusterCenters())
+    state, before = None, -np.inf
+    for _ in range(rounds):
+
+        def partial(batches: Iterator[pd.DataFrame], state=state) -> Iterator[pd.DataFrame]:
+            total = np.zeros((k, 2 * d + 1))
+            fit = np.zeros(2)
+            for b in batches:
+                if not len(b):
+                    continue
+                x = np.stack(b["v"].to_list())
+                if state is None:  # the clusters themselves
+                    share = np.eye(k)[((x[:, None, :] - centres[None]) ** 2).sum(axis=2).argmin(axis=1)]
+                else:
+                    weight, mean, var = state
+                    logs = np.log(weight) - 0.5 * (np.log(2 * np.pi * var).sum(axis=1) + ((x[:, None, :] - mean) ** 2 / var).sum(axis=2))
+                    high = logs.max(axis=1, keepdims=True)
+                    norm = high[:, 0] + np.log(np.exp(logs - high).sum(axis=1))
+                    share = np.exp(logs - norm[:, None])
+                    fit += norm.sum(), 0
+                fit[1] += len(x)
+                total += np.concatenate([share.sum(axis=0)[:, None], share.T @ x, share.T @ (x * x)], axis=1)
+            flat = np.r_[fit, total.ravel()]
+            yield pd.DataFrame({"at": np.arange(len(flat)), "x": flat})
+
+        got = rows.select(F.col(vector).alias("v")).mapInPandas(partial, "at long, x double").groupBy("at").agg(F.sum("x").alias("x")).toPandas().sort_values("at")["x"].to_numpy()
+        n, sums = got[1], got[2:].reshape(k, 2 * d + 1)
+        if state is not None:
+            now = got[0] / n
+            if abs(now - before) < tolerance:
+                return float(now)
+            before = now
+        many = sums[:, :1] + 10 * np.finfo(float).eps
+        mean = sums[:, 1 : 1 + d] / many
+        state = (many[:, 0] / n, mean, np.maximum(sums[:, 1 + d :] / many - mean**2, 0) + floor)
+    return float(before)
+
+
+def mixture_sweep(rows: DataFrame, ks: list[int] | None = None, vector: str = "vec", seed: int = 42) -> DataFrame:
+    """(k, covariance, log_likelihood, bic, best) of Gaussian mixtures: full covariances where rows exceed k * (d + 1), else diagonal ones."""
+    checkpoint_folder(rows)
+    x = rows.select(vector, array_to_vector(vector).alias("_x")).checkpoint()
+    n, d = x.count(), x.select(F.size(vector).alias("d")).first()["d"]
     out = []
-    for k in ks:
-        fitted = GaussianMixture(k=k, seed=seed, featuresCol="_x", maxIter=20).fit(x)
-        parameters = k - 1 + k * d + k * d * (d + 1) // 2
-        ll = float(fitted.summary.logLikelihood)
-        out.append((k, ll, parameters * math.log(n) - 2 * ll))
-    x.unpersist()
-    return rows.sparkSession.createDataFrame(out, "k int, log_likelihood double, bic double")
+    for k in ks or sweep_range(n):
+        full = n > k * (d + 1)
+        if full:
+            ll = float(GaussianMixture(k=k, seed=seed, featuresCol="_x", maxIter=100).fit(x).summary.logLikelihood)
+        else:
+            ll = n * diagonal_mixture(x, k, vector, seed)
+        parameters = k - 1 + k * d + k * (d * (d + 1) // 2 if full else d)
+        out.append((k, "full" if full else "diag", ll, parameters * math.log(n) - 2 * ll))
+    low = min((r[3] for r in out), default=None)
+    first = next((r[0] for r in out if r[3] == low), None)
+    return rows.sparkSession.createDataFrame([(*r, r[0] == first) for r in out], "k int, covariance string, log_likelihood double, bic double, best boolean")
+
+
+def ward_merges(x: np.ndarray) -> list[tuple[int, int, float, int]]:
+    """Ward linkage of rows: (cluster, cluster, distance, size) of each merge; merge i makes cluster n + i."""
+    n = len(x)
+    square = (x * x).sum(axis=1)
+    d = np.sqrt(np.maximum(square[:, None] + square[None, :] - 2 * x @ x.T, 0))
+    np.fill_diagonal(d, np.inf)
+    name, size, out = np.arange(n), np.ones(n), []
+    for step in range(n - 1):
+        i, j = sorted(divmod(int(d.argmin()), n))
+        low = float(d[i, j])
+        a, b = sorted((int(name[i]), int(name[j])))
+        both = size[i] + size[j]
+        alive = np.isfinite(d[i]) & np.isfinite(d[j])
+        s = size[alive]
+        new = np.sqrt(np.maximum(((size[i] + s) * d[i, alive] ** 2 + (size[j] + s) * d[j, alive] ** 2 - s * low**2) / (both + s), 0))
+        d[j, :] = d[:, j] = np.inf
+        d[i, alive] = d[alive, i] = new
+        d[i, i] = np.inf
+        name[i], size[i] = n + step, both
+        out.append((a, b, low, int(both)))
+    return out
+
+
+def ward(rows: DataFrame, key: str, vector: str = "vec") -> DataFrame:
+    """(merge, a, b, distance, size) of Ward linkage over class centroids, in the order of ``key``, as linkage matrices have it.
+
+    Merging goes one pair at a time over all distances, so it is for class centroids, which are few: at most
+    ``WARD_ROWS``, which is checked; one task does it.
+    """
+    n = rows.count()
+    if n > WARD_ROWS:
+        raise ValueError(f"{n} rows: Ward linkage is for up to {WARD_ROWS} class centroids")
 
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        got = ward_merges(np.stack(pdf.sort_values("k")["v"].to_list()).astype(float)) if len(pdf) else []
+        return pd.DataFrame([(i, *r) for i, r in enumerate(got)], columns=["merge", "a", "b", "distance", "size"])
 
-def bisecting_costs(rows: DataFrame, ks: list[int], vector: str = "vec", seed: int = 42) -> DataFrame:
-    """(k, cost) of a hierarchy of bisections: the scalable stand-in for merging classes one by one."""
-    x = rows.select(array_to_vector(vector).alias("_x")).cache()
-    out = [(k, float(BisectingKMeans(k=k, seed=seed, featuresCol="_x").fit(x).summary.trainingCost)) for k in ks]
-    x.unpersist()
-    return rows.sparkSession.createDataFrame(out, "k int, cost double")
+    return rows.select(F.col(key).alias("k"), F.col(vector).alias("v"), F.lit(1).alias("g")).groupBy("g").applyInPandas(merge, "merge int, a int, b int, distance double, size int")
+
+
+def ward_elbow(merges: DataFrame, last: int = 30) -> DataFrame:
+    """(k): the number of clusters where the last merges' distances bend most: last - argmax of their second differences."""
+    total = merges.count()
+    n = min(last, total)
+    tail = merges.filter(F.col("merge") >= total - n)
+    w = W.orderBy("merge")
+    bend = tail.select("merge", (F.lead("distance", 2).over(w) - 2 * F.lead("distance", 1).over(w) + F.col("distance")).alias("bend")).filter("bend is not null")
+    best = bend.agg(F.min_by("merge", F.struct((-F.col("bend")).alias("b"), "merge")).alias("m"))
+    return best.select((F.lit(n) - (F.col("m") - (total - n))).cast("int").alias("k"))
 
 
 def elbow(levels: DataFrame, order: str, value: str) -> DataFrame:
@@ -72,14 +194,12 @@ def close_pairs(rows: DataFrame, key: str, vector: str = "vec") -> DataFrame:
     return u.join(F.broadcast(w), F.col("a") < F.col("b")).select("a", "b", F.round(1 - V.dot(F.col("x"), F.col("y")), 9).alias("distance"))
 
 
-def smallest_reachable(nodes: DataFrame, edges: DataFrame, key: str, rounds: int = 50) -> DataFrame:
+def smallest_reachable(nodes: DataFrame, edges: DataFrame, key: str) -> DataFrame:
     """(key, component): the smallest key reachable, by rounds of neighbours' minima, each written to the checkpoint folder."""
-    sc = nodes.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(nodes.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="voxloom-"))
+    checkpoint_folder(nodes)
     both = edges.union(edges.select("b", "a")).toDF("u", "v").checkpoint()
     state = nodes.select(F.col(key).alias("u"), F.col(key).alias("component")).checkpoint()
-    for _ in range(rounds):
+    while True:
         low = both.join(state.withColumnRenamed("u", "v"), "v").groupBy("u").agg(F.min("component").alias("low"))
         new = state.join(low, "u", "left").select("u", F.least("component", F.coalesce("low", "component")).alias("component"))
         jumped = new.join(new.select(F.col("u").alias("component"), F.col("component").alias("next")), "component", "left").select("u", F.coalesce("next", "component").alias("component")).checkpoint()
@@ -87,7 +207,6 @@ def smallest_reachable(nodes: DataFrame, edges: DataFrame, key: str, rounds: int
         state = jumped
         if moved:
             return state.withColumnRenamed("u", key)
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
 def density_clusters(rows: DataFrame, eps: list[float], key: str, vector: str = "vec") -> DataFrame:

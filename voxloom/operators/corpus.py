@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import time
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from .sampling import numbered
 
 RECORD = "I string, S string, T string"
-BATCH_RESULT = "batch long, id long, status string, attempts int, text string"
+BATCH_RESULT = "batch long, id long, status string, attempts int, text string, errors array<string>"
 
 
 def parse_records(raw: DataFrame, column: str = "value") -> DataFrame:
@@ -51,7 +55,8 @@ def import_summary(rows: DataFrame) -> DataFrame:
 
 def duplicate_stats(rows: DataFrame, key: str) -> DataFrame:
     """How many keys occur more than once, and how many rows exceed one per key; a missing key counts as a key."""
-    n = rows.groupBy(key).agg(F.count("*").alias("n"))
+    # hashes of keys are shuffled, not whole texts
+    n = rows.groupBy(F.xxhash64(key), F.xxhash64(F.lit(1), key)).agg(F.count("*").alias("n"))
     return n.agg(F.count_if(F.col("n") > 1).alias("duplicated_keys"), F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n") - 1)), F.lit(0)).alias("surplus_rows"))
 
 
@@ -60,13 +65,32 @@ def similarity_stats(rows: DataFrame, by: str, score: str = "similarity") -> Dat
     return rows.filter(s.isNotNull()).groupBy(by).agg(F.count("*").alias("n"), F.round(F.avg(s), 6).alias("mean"), F.round(F.min(s), 6).alias("low"), F.round(F.max(s), 6).alias("high"))
 
 
+def gram_multisets(texts: pd.Series, n: int) -> list[np.ndarray]:
+    """For each text the sorted numbers of its n-grams, repeats included; equal n-grams of a batch have equal numbers."""
+    codes: dict[str, int] = {}
+    return [np.sort(np.fromiter((codes.setdefault(t[i : i + n], len(codes)) for i in range(len(t) - n + 1)), np.int64)) for t in texts]
+
+
+def shared_counts(x: np.ndarray, y: np.ndarray) -> tuple[int, int]:
+    """Sums of the lesser and of the greater counts of two sorted multisets."""
+    values, first, counts = np.unique(x, return_index=True, return_counts=True)
+    common = (np.minimum(np.searchsorted(y, values, side="right") - np.searchsorted(y, values), counts)).sum() if len(values) else 0
+    return int(common), len(x) + len(y) - int(common)
+
+
 def multiset_jaccard(pairs: DataFrame, n: int) -> DataFrame:
-    """(id, score) of pairs (id, a, b): common n-grams with their counts over all; 1 if neither has any."""
-    grams = lambda c, side: pairs.select("id", F.explode(X.char_ngrams(F.col(c), n)).alias("g"), F.lit(side).alias("side"))
-    both = grams("a", 1).union(grams("b", 0))
-    counted = both.groupBy("id", "g").agg(F.sum("side").alias("x"), F.sum(1 - F.col("side")).alias("y"))
-    score = counted.groupBy("id").agg((F.sum(F.least("x", "y")) / F.sum(F.greatest("x", "y"))).alias("score"))
-    return pairs.select("id").join(score, "id", "left").select("id", F.coalesce("score", F.lit(1.0)).alias("score"))
+    """(id, score) of pairs (id, a, b): common n-grams with their counts over all; 1 if neither has any.
+
+    Pairs are scored where they lie, a batch at a time; nothing is shuffled. A null text counts as empty.
+    """
+
+    @F.pandas_udf("double")
+    def score(a: pd.Series, b: pd.Series) -> pd.Series:
+        both = gram_multisets(pd.concat([a, b]).fillna(""), n)
+        least = [shared_counts(x, y) for x, y in zip(both[: len(a)], both[len(a) :], strict=True)]
+        return pd.Series([c / u if u else 1.0 for c, u in least], dtype=float)
+
+    return pairs.select("id", score("a", "b").alias("score"))
 
 
 def line_pairs(rows: DataFrame, a: str, b: str) -> DataFrame:
@@ -106,20 +130,45 @@ def parsed_responses(batches: DataFrame) -> DataFrame:
     return out.withColumn("texts", F.when(F.col("status") == "ok", F.zip_with("_lines", "speakers", rest))).drop("_lines")
 
 
-def pilot_report(runs: DataFrame, corpus_rows: int, batch_size: int) -> DataFrame:
-    """Of trial batches (success, lines, prompt_tokens, completion_tokens, elapsed): rates, and what the whole corpus would take."""
-    tokens = F.sum(F.col("prompt_tokens") + F.col("completion_tokens"))
-    done = F.sum(F.when(F.col("success"), F.col("lines")).otherwise(0))
-    batches = -(-corpus_rows // batch_size)
-    return runs.agg(
+def pilot_report(runs: DataFrame, corpus_rows: int, batch_size: int, system_words: int = 0) -> DataFrame:
+    """Of trial batches: how they went, and what ``corpus_rows`` rows would take.
+
+    ``runs`` has success, lines, prompt_tokens, completion_tokens, elapsed, and of successful batches arrays of the
+    original and new texts (origins, paras). Rates and means of rows are over successful batches; the cache rate is the
+    share of the system prompt's words in those words and the characters sent.
+    """
+    ok = F.col("success")
+    done = F.sum(F.when(ok, F.col("lines")).otherwise(0))
+    size = lambda texts: F.aggregate(texts, F.lit(0), lambda n, x: n + F.char_length(x))
+    pairs = F.zip_with("origins", "paras", lambda a, b: X.pair_similarity(a, b))
+    scored = runs.withColumn("_sim", F.when(ok, F.aggregate(pairs, F.lit(0.0), lambda s, x: s + x))).withColumn("_from", F.when(ok, size(F.col("origins")))).withColumn("_to", F.when(ok, size(F.col("paras"))))
+    scale = lambda c: F.floor(F.try_divide(F.sum(F.when(ok, F.col(c))) * float(corpus_rows), done))
+    seconds = F.avg(F.when(ok, F.col("elapsed")))
+    return scored.agg(
         F.count("*").alias("batches"),
-        F.round(F.avg(F.col("success").cast("int")), 6).alias("success_rate"),
-        F.floor(F.try_divide(tokens * float(corpus_rows), done)).alias("tokens_for_all"),
-        F.round(F.avg("elapsed"), 6).alias("seconds_per_batch"),
-        F.round(F.avg("elapsed") * batches, 4).alias("seconds_for_all"),
+        F.round(F.try_divide(done * 1.0, F.sum("lines")), 6).alias("success_rate"),
+        F.round(F.try_divide(F.sum("_sim"), done), 6).alias("mean_similarity"),
+        F.round(F.try_divide((F.sum("_to") - F.sum("_from")) * 100.0, F.sum("_from")), 6).alias("length_change"),
+        scale("prompt_tokens").alias("input_tokens_for_all"),
+        scale("completion_tokens").alias("output_tokens_for_all"),
+        F.round(F.try_divide(F.lit(100.0 * system_words), F.sum("_from") + system_words), 6).alias("cache_rate"),
+        F.round(seconds, 6).alias("seconds_per_batch"),
+        F.round(seconds * -(-corpus_rows // batch_size), 4).alias("seconds_for_all"),
     )
 
 
+def previewed(rows: DataFrame, batch_size: int, batches: int = 3, lines: int = 3) -> DataFrame:
+    """(batch, records, first_id, last_id, shown) of the first batches of pending rows (id, speaker, origin_text), and their first prompt lines.
+
+    Nothing is sent. The number of batches and lines is the operator's limit.
+    """
+    head = rows.orderBy("id").limit(batches * batch_size)
+    batch = (F.floor((F.row_number().over(W.orderBy("id")) - 1) / batch_size) + 1).alias("batch")
+    listed = head.select("id", X.prompt_line(F.col("speaker"), F.col("origin_text")).alias("line"), batch)
+    grouped = listed.groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("id", "line"))).alias("r"))
+    return grouped.select("batch", F.size("r").alias("records"), F.col("r.id")[0].alias("first_id"), F.element_at("r.id", -1).alias("last_id"), F.slice("r.line", 1, lines).alias("shown"))
+
+
 def spread_sample(rows: DataFrame, batch: str, order: Column, total: int) -> DataFrame:
     """At most ``total`` rows, the first ceil(total / batches) of each batch."""
     n = rows.select(batch).distinct().count()
@@ -128,36 +177,50 @@ def spread_sample(rows: DataFrame, batch: str, order: Column, total: int) -> Dat
     return rows.withColumn("_turn", turn).filter(F.col("_turn") <= each).orderBy(batch, "_turn").limit(total).drop("_turn")
 
 
-def paraphrased(rows: DataFrame, client, batch_size: int = 75, retries: int = 3) -> DataFrame:
-    """One row per dialogue (batch, id, status, attempts, text), through an injected client.
+def paraphrased(rows: DataFrame, client, batch_size: int = 75, retries: int = 3, delay: float = 0.0) -> DataFrame:
+    """One row per dialogue (batch, id, status, attempts, text, errors), through an injected client.
 
     Rows with a blank speaker or no text never reach the client: their status is ``unusable``. Others go in batches of
-    a stretch of ids, each retried up to ``retries`` times, with the strict prompt after a response that doesn't parse.
-    ``client`` has ``paraphrase(lines, strict) -> str`` and may raise; it is pickled to the tasks.
+    ``batch_size`` in the order of ids, each tried up to ``retries`` times: after a response that doesn't parse with the
+    strict prompt, after ``delay`` seconds; after ``RateLimited`` after ``delay`` times the number of the attempt; after
+    any other error after ``delay``. ``errors`` are the responses that failed, as "attempt: reason: response" (the
+    dead-letter log). ``client`` has ``paraphrase(lines, strict) -> str`` and may raise; it is pickled to the tasks.
     """
-    keyed = rows.select((F.col("id") / batch_size).cast("long").alias("batch"), "id", "speaker", X.prompt_line(F.col("speaker"), F.col("origin_text")).alias("line"))
+    line = X.prompt_line(F.col("speaker"), F.col("origin_text"))
+    keyed = rows.select("id", "speaker", line.alias("line")).withColumn("usable", F.col("line").isNotNull())
+    # numbered apart, so that batches are full whatever the ids and the unusable rows
+    turned = numbered(keyed, "id", "usable").select("*", F.floor((F.col("number") - 1) / batch_size).alias("batch"))
 
-    def attempt(pdf: pd.DataFrame) -> pd.DataFrame:
+    def attempt(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id")
-        good = pdf[pdf["line"].notna()]
-        status, texts, tries, strict = "failed", [None] * len(good), 0, False
-        while tries < retries and status != "ok" and len(good):
+        status, texts, tries, strict, errors = "unusable", [None] * len(pdf), 0, False, []
+        while key[0] and tries < retries and status != "ok":
             tries += 1
+            if tries > 1:
+                time.sleep(wait)
+            wait = delay
             try:
-                answer = client.paraphrase(good["line"].tolist(), strict)
+                answer = client.paraphrase(pdf["line"].tolist(), strict)
+            except RateLimited:
+                status, wait = "error: RateLimited", delay * tries
             except Exception as e:
                 status = f"error: {type(e).__name__}"
-                continue
-            status, got = client_lines(answer, good["speaker"].tolist())
-            strict = status != "ok"
-            texts = got if status == "ok" else texts
+            else:
+                status, got = client_lines(answer, pdf["speaker"].tolist())
+                texts = got if status == "ok" else texts
+                if status != "ok":
+                    strict = True
+                    errors.append(f"{tries}: {status}: {answer}")
         out = pdf[["batch", "id"]].copy()
-        out["status"], out["attempts"], out["text"] = "unusable", 0, None
-        out.loc[good.index, "status"], out.loc[good.index, "attempts"] = status, tries
-        out.loc[good.index, "text"] = texts
+        out["status"], out["attempts"], out["text"] = status, tries, texts
+        out["errors"] = [errors] * len(out)
         return out.astype({"attempts": "int32"})
 
-    return keyed.groupBy("batch").applyInPandas(attempt, BATCH_RESULT)
+    return turned.groupBy("usable", "batch").applyInPandas(attempt, BATCH_RESULT)
+
+
+class RateLimited(Exception):
+    """Raised by a client whose service asks to slow down."""
 
 
 def client_lines(answer: str, speakers: list[str]) -> tuple[str, list[str]]:

@@ -1,30 +1,58 @@
 """Metrics of labelled vectors in linear time: class sums stand in for all pairs of a class.
 
-Class sums are native aggregates of exploded dimensions (partial sums before the shuffle, so a class of a third of
-all rows costs no more). Rows then meet the class sums by a broadcast of blocks of classes, each bounded.
+Each batch of rows becomes one row of sums per class before anything is shuffled, so a class of a third of all rows
+costs no more. Rows then meet the class sums by a broadcast of blocks of classes; more classes than a block holds take
+more passes over the rows, each in tasks of its own.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..functions.text import let
 
 #: Numbers of a block of class sums, at most.
 BLOCK = 4_000_000
 SILHOUETTE = "own double, own_n long, other double"
 
 
+def batch_sums(rows: DataFrame, label: str, vector: Column) -> DataFrame:
+    """(label, n, s, q): rows, sums and sums of squares by dimension of each class within each batch; classes may repeat."""
+    lean = rows.select(F.xxhash64(label).alias("code"), F.col(label).alias("label"), vector.alias("v")).filter("v is not null")
+    kind = lean.schema["label"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = b.column(2).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+            _, first, which, n = np.unique(b.column(0).to_numpy(), return_index=True, return_inverse=True, return_counts=True)
+            order, cuts = np.argsort(which, kind="stable"), np.cumsum(n) - n
+            ends = pa.array(np.arange(len(n) + 1) * x.shape[1], pa.int32())
+            sums = [pa.ListArray.from_arrays(ends, pa.array(np.add.reduceat(y[order], cuts, axis=0).ravel())) for y in (x, x * x)]
+            yield pa.RecordBatch.from_arrays([b.column(1).take(pa.array(first)), pa.array(n), *sums], names=["label", "n", "s", "q"])
+
+    return lean.mapInArrow(run, f"label {kind}, n long, s array<double>, q array<double>")
+
+
+def cell_sums(rows: DataFrame, label: str, vector: Column) -> DataFrame:
+    """(label, dim, n, s, q) over all rows: a few rows a batch and class are exploded, never those of the table."""
+    cells = batch_sums(rows, label, vector).select("label", "n", F.posexplode(F.arrays_zip("s", "q")).alias("dim", "c"))
+    return cells.groupBy(F.col("label").alias(label), "dim").agg(F.sum("n").alias("n"), F.sum("c.s").alias("s"), F.sum("c.q").alias("q"))
+
+
 def class_sums(rows: DataFrame, label: str = "label", vector: str = "vec", normal: bool = True) -> DataFrame:
     """(label, n, sums, squares): rows, sum of unit vectors by dimension, and sum of their squared norms."""
-    v = V.unit(F.col(vector)) if normal else V.as_double(F.col(vector))
-    cells = rows.select(label, F.posexplode(v).alias("dim", "x")).groupBy(label, "dim").agg(F.sum("x").alias("s"), F.count("*").alias("n"), F.sum(F.col("x") * F.col("x")).alias("q"))
+    cells = cell_sums(rows, label, V.unit(F.col(vector)) if normal else V.as_double(F.col(vector)))
     return cells.groupBy(label).agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("dim", "s"))).alias("cells"), F.sum("q").alias("squares")).select(label, "n", F.col("cells.s").alias("sums"), "squares")
 
 
@@ -78,14 +106,13 @@ def silhouette(rows: DataFrame, key: str, label: str = "label", vector: str = "v
     spark = rows.sparkSession
     unit = rows.select(key, label, V.unit(F.col(vector)).alias("unit"))
     sums = class_sums(rows, label, vector)
-    parts = [block_column(F.col("unit"), F.col(label), b, spark) for b in class_blocks(sums, label, block)]
-    if not parts:
+    square = V.dot(F.col("unit"), F.col("unit")).alias("square")
+    passes = [unit.select(key, label, square, block_column(F.col("unit"), F.col(label), b, spark).alias("p")) for b in class_blocks(sums, label, block)]
+    if not passes:
         return unit.select(key, label, F.lit(None).cast("double").alias("silhouette"))
-    scored = unit.select(key, label, V.dot(F.col("unit"), F.col("unit")).alias("square"), F.array(*parts).alias("p"))
-    own = F.aggregate("p", F.lit(None).cast("double"), lambda s, x: F.coalesce(s, x["own"]))
-    n = F.aggregate("p", F.lit(0).cast("long"), lambda s, x: s + x["own_n"])
-    b = F.array_min(F.transform("p", lambda x: x["other"]))
-    scored = scored.select(key, label, "square", own.alias("own"), n.alias("n"), b.alias("b"))
+    scored = reduce(DataFrame.unionByName, passes).select(key, label, "square", F.col("p.own").alias("own"), F.col("p.own_n").alias("n"), F.col("p.other").alias("b"))
+    if len(passes) > 1:
+        scored = scored.groupBy(key, label).agg(F.max("square").alias("square"), F.max("own").alias("own"), F.max("n").alias("n"), F.min("b").alias("b"))
     a = ((F.col("n") - 1) - (F.col("own") - F.col("square"))) / F.greatest(F.col("n") - 1, F.lit(1))
     value = F.when(F.col("b").isNull(), None).when(F.col("n") == 1, 0.0).otherwise(F.coalesce(F.try_divide(F.col("b") - a, F.greatest(F.col("b"), a)), F.lit(0.0)))
     return scored.select(key, label, value.alias("silhouette"))
@@ -106,7 +133,9 @@ def nearest_column(vector: Column, label: Column, block: pd.DataFrame, spark) ->
         order = sorted(range(len(names)), key=lambda i: names[i])
         names = [names[i] for i in order]
         d = 1 - np.stack(v.to_list()) @ c[order].T
-        d[np.array([[x == o for o in names] for x in y])] = np.inf
+        place = {x: i for i, x in enumerate(names)}
+        own = np.array([place.get(x, -1) for x in y])
+        d[np.flatnonzero(own >= 0), own[own >= 0]] = np.inf
         at = np.round(d, 12).argmin(axis=1)  # ties go to the smaller label
         low = d[np.arange(len(d)), at]
         none = np.isinf(low)
@@ -121,11 +150,13 @@ def nearest_centroids(cents: DataFrame, label: str = "label") -> DataFrame:
     Every class is compared with blocks of classes, by the same bounded broadcast as rows are.
     """
     sums = cents.select(label, "n", F.col("centroid").alias("sums"))
-    found = [nearest_column(F.col("centroid"), F.col(label), b, cents.sparkSession) for b in class_blocks(sums, label)]
-    if not found:
+    passes = [cents.select(label, nearest_column(F.col("centroid"), F.col(label), b, cents.sparkSession).alias("p")) for b in class_blocks(sums, label)]
+    if not passes:
         return cents.select(label, F.lit(None).cast("string").alias("nearest"), F.lit(None).cast("double").alias("distance"))
-    best = F.array_min(F.filter(F.array(*found), lambda x: x["distance"].isNotNull()))
-    return cents.select(label, best.alias("best")).select(label, F.col("best.nearest").alias("nearest"), F.col("best.distance").alias("distance"))
+    none = float("inf")
+    found = reduce(DataFrame.unionByName, passes).select(label, F.coalesce("p.distance", F.lit(none)).alias("distance"), F.col("p.nearest").alias("nearest"))
+    best = found.groupBy(label).agg(F.min(F.struct("distance", "nearest")).alias("best"))
+    return best.select(label, F.col("best.nearest").alias("nearest"), F.when(F.col("best.distance") < none, F.col("best.distance")).alias("distance"))
 
 
 def separability(rows: DataFrame, label: str = "label", vector: str = "vec") -> DataFrame:
@@ -140,7 +171,7 @@ def separability(rows: DataFrame, label: str = "label", vector: str = "vec") ->
 
 def calinski_harabasz(rows: DataFrame, label: str = "label", vector: str = "vec") -> DataFrame:
     """One row (classes, rows, score); null with fewer than two classes or no scatter within them."""
-    cells = rows.select(label, F.posexplode(V.as_double(F.col(vector))).alias("dim", "x")).groupBy(label, "dim").agg(F.sum("x").alias("s"), F.count("*").alias("n"), F.sum(F.col("x") * F.col("x")).alias("q"))
+    cells = cell_sums(rows, label, V.as_double(F.col(vector)))
     all_s, all_n = F.sum("s").over(W.partitionBy("dim")), F.sum("n").over(W.partitionBy("dim"))
     parts = cells.select(label, "dim", (F.col("q") - F.col("s") * F.col("s") / F.col("n")).alias("within"), (F.col("n") * F.pow(F.col("s") / F.col("n") - all_s / all_n, 2)).alias("between"), all_n.alias("rows"))
     out = parts.agg(F.count_distinct(label).alias("classes"), F.max("rows").alias("rows"), F.sum("within").alias("w"), F.sum("between").alias("b"))
@@ -155,7 +186,7 @@ def residuals(pairs: DataFrame, a: str, b: str) -> DataFrame:
 
 def mean_vector(rows: DataFrame, vector: str = "vec") -> DataFrame:
     """One row (mean) of the mean by dimension."""
-    cells = rows.select(F.posexplode(V.as_double(F.col(vector))).alias("dim", "x")).groupBy("dim").agg(F.avg("x").alias("m"))
+    cells = cell_sums(rows.withColumn("_all", F.lit(0)), "_all", V.as_double(F.col(vector))).select("dim", (F.col("s") / F.col("n")).alias("m"))
     return cells.agg(F.array_sort(F.collect_list(F.struct("dim", "m"))).alias("c")).select(F.col("c.m").alias("mean"))
 
 
@@ -164,26 +195,55 @@ def centred(rows: DataFrame, fitted_on: DataFrame, vector: str = "vec") -> DataF
     return rows.crossJoin(F.broadcast(mean_vector(fitted_on, vector))).withColumn(vector, V.subtract(F.col(vector), F.col("mean"))).drop("mean")
 
 
-def margin_logits(rows: DataFrame, weights: DataFrame, key: str, label: str = "label", vector: str = "vec", scale: float = 30.0, margin: float = 0.5) -> DataFrame:
-    """(key, label, class, logit) of each row and class; ``weights`` (class, w) are few and checked before the broadcast."""
+def margin_logits(rows: DataFrame, weights: DataFrame, key: str, label: str = "label", vector: str = "vec", scale: float = 30.0, margin: float = 0.5, block: int = BLOCK) -> DataFrame:
+    """(key, label, class, logit) of each row and class of ``weights`` (class, w).
+
+    Both sides are normalised once, before they meet. Weights are broadcast in blocks of classes of at most ``block``
+    numbers; more classes take more passes over the rows, not more memory.
+    """
+    sides = weights.select("class", V.unit(F.col("w")).alias("w"))
+    width = sides.select(F.max(F.size("w")).alias("d"), F.count("*").alias("n")).first()
+    blocks = max(1, -(-(width["n"] or 0) * (width["d"] or 1) // block))
+    units = rows.select(key, label, V.unit(F.col(vector)).alias("unit"))
+    target = F.col("class") == F.col(label)
+    parts = []
+    for at in range(blocks):
+        part = sides if blocks == 1 else sides.filter(F.pmod(F.xxhash64("class"), F.lit(blocks)) == at)
+        grid = units.crossJoin(F.broadcast(part))
+        parts.append(grid.select(key, label, "class", V.margin_logit(V.dot(F.col("unit"), F.col("w")), target, scale, margin).alias("logit")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def row_logits(rows: DataFrame, weights: DataFrame, key: str, label: str = "label", vector: str = "vec", scale: float = 30.0, margin: float = 0.5, block: int = BLOCK) -> DataFrame:
+    """(key, label, logits): one array of (class, logit) a row, for losses and predictions, without a row per class.
+
+    The weights must fit one block; more classes go through ``margin_logits``.
+    """
     size = weights.select(F.sum(F.size("w")).alias("n")).first()["n"] or 0
-    if size > BLOCK:
-        raise ValueError(f"{size} weights exceed {BLOCK}: apply blocks of classes")
-    cosine = V.dot(V.unit(F.col(vector)), V.unit(F.col("w")))
-    grid = rows.select(key, label, vector).crossJoin(F.broadcast(weights.select("class", "w")))
-    return grid.select(key, label, "class", V.margin_logit(cosine, F.col("class") == F.col(label), scale, margin).alias("logit"))
+    if size > block:
+        logits = margin_logits(rows, weights, key, label, vector, scale, margin, block)
+        return logits.groupBy(key, label).agg(F.collect_list(F.struct("class", "logit")).alias("logits"))
+    sides = weights.select("class", V.unit(F.col("w")).alias("w")).agg(F.collect_list(F.struct("class", "w")).alias("classes"))
+    units = rows.select(key, label, V.unit(F.col(vector)).alias("unit")).crossJoin(F.broadcast(sides))
+    one = lambda c: F.struct(c["class"].alias("class"), V.margin_logit(V.dot(F.col("unit"), c["w"]), c["class"] == F.col(label), scale, margin).alias("logit"))
+    return units.select(key, label, F.transform("classes", one).alias("logits"))
 
 
 def cross_entropy(logits: DataFrame, key: str, label: str = "label") -> DataFrame:
-    """(key, loss): log of the sum of exponentials, shifted by the largest, less the target's logit."""
-    g = logits.groupBy(key).agg(F.max("logit").alias("top"), F.collect_list("logit").alias("all"), F.max(F.when(F.col("class") == F.col(label), F.col("logit"))).alias("target"))
-    spread = F.aggregate("all", F.lit(0.0), lambda s, x: s + F.exp(x - F.col("top")))
-    return g.select(key, (F.col("top") + F.log(spread) - F.col("target")).alias("loss"))
+    """(key, loss) of rows (key, label, logits): log of the sum of exponentials, shifted by the largest, less the target's logit."""
+    values = F.transform("logits", lambda x: x["logit"])
+    target = F.get(F.filter("logits", lambda x: x["class"] == F.col(label)), F.lit(0))["logit"]
+
+    def shifted(held: Column) -> Column:
+        return held["top"] + F.log(F.aggregate(held["values"], F.lit(0.0), lambda s, x: s + F.exp(x - held["top"])))
+
+    return logits.select(key, (let(F.struct(values.alias("values"), F.array_max(values).alias("top")), shifted) - target).alias("loss"))
 
 
 def predicted_class(logits: DataFrame, key: str, label: str = "label") -> DataFrame:
-    """(key, label, predicted): the class of the largest logit, ties to the smaller class."""
-    return logits.groupBy(key, label).agg(F.max_by("class", F.struct("logit", (-F.col("class")).alias("c"))).alias("predicted"))
+    """(key, label, predicted) of rows (key, label, logits): the class of the largest logit, ties to the smaller class."""
+    ranked = F.array_max(F.transform("logits", lambda x: F.struct(x["logit"].alias("l"), (-x["class"]).alias("c"))))
+    return logits.select(key, label, (-ranked["c"]).alias("predicted"))
 
 
 def triplet_loss(rows: DataFrame, margin: float = 0.3) -> DataFrame:

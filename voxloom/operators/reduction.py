@@ -1,7 +1,7 @@
 """Projections: principal components, subspace removal, linear discriminants.
 
-Second moments are sums over rows of a d x d matrix, built per partition by numpy and added by a native aggregate of
-their cells; only the matrix itself (d squared numbers, checked) is decomposed on the driver.
+Second moments are sums over rows of a d x d matrix, built per partition by numpy, sent in stripes of ``STRIPE`` numbers
+and added stripe by stripe in tasks; only the matrix itself (d squared numbers) is decomposed on the driver.
 """
 
 from __future__ import annotations
@@ -11,12 +11,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_DIM = 8192
+from . import metrics as M
+
+#: Numbers of a stripe.
+STRIPE = 1 << 20
 
 
 def matrix_of(vectors: pd.Series) -> np.ndarray:
@@ -56,14 +60,19 @@ def principal_components(rows: DataFrame, k: int, vector: str = "vec") -> tuple[
     return model.pc.toArray().T, model.explainedVariance.toArray()
 
 
-def without_main_space(rows: DataFrame, ratio: float = 0.9, vector: str = "vec") -> tuple[DataFrame, int]:
-    """``rows`` with the components that explain ``ratio`` of the variance projected out, and their number."""
-    d = rows.select(F.size(vector).alias("d")).first()["d"]
-    parts, shares = principal_components(rows, d, vector)
+def without_space_of(rows: DataFrame, other: DataFrame, ratio: float, vector: str = "vec") -> tuple[DataFrame, int]:
+    """``rows`` less their part in the components that explain ``ratio`` of the variance of ``other``, and their number."""
+    d = other.select(F.size(vector).alias("d")).first()["d"]
+    parts, shares = principal_components(other, d, vector)
     k = min(components_for(shares, ratio), len(parts))
     return rows.withColumn(vector, removed(F.col(vector), parts[:k])), k
 
 
+def without_main_space(rows: DataFrame, ratio: float = 0.9, vector: str = "vec") -> tuple[DataFrame, int]:
+    """``rows`` with the components that explain ``ratio`` of the variance projected out, and their number."""
+    return without_space_of(rows, rows, ratio, vector)
+
+
 @dataclass
 class Discriminant:
     mean: np.ndarray
@@ -71,48 +80,94 @@ class Discriminant:
     ratios: np.ndarray
 
 
-def scatter(rows: DataFrame, label: str, vector: str) -> tuple[dict, np.ndarray]:
-    """Per class (n, sum of vectors), and the sum of outer products over all rows."""
+def stripes_added(parts: DataFrame, width: int) -> np.ndarray:
+    """The sum of flat matrices that tasks emit as rows (stripe, x) of ``width`` numbers in bytes.
+
+    Stripes are added by tasks of a shuffle, one stripe at a time; the driver gets the sum alone.
+    """
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, np.zeros(0)
+        for b in batches:
+            for stripe, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                part = np.frombuffer(x.as_buffer(), np.float64)
+                if stripe != at:
+                    if at is not None:
+                        yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([held.tobytes()], pa.binary())], names=["stripe", "x"])
+                    at, held = stripe, np.zeros(len(part))
+                held = held + part
+        if at is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([held.tobytes()], pa.binary())], names=["stripe", "x"])
+
+    summed = parts.repartition("stripe").sortWithinPartitions("stripe").mapInArrow(add, "stripe long, x binary")
+    return np.concatenate([np.zeros(0), *[np.frombuffer(bytes(r["x"]), np.float64) for r in sorted(summed.collect(), key=lambda r: r["stripe"])]])
+
+
+def in_stripes(total: np.ndarray, width: int) -> pa.RecordBatch:
+    cuts = [total[at : at + width].tobytes() for at in range(0, len(total), width)]
+    return pa.RecordBatch.from_arrays([pa.array(np.arange(len(cuts))), pa.array(cuts, pa.binary())], names=["stripe", "x"])
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        outer, sums = None, {}
+
+def moments(rows: DataFrame, vector: str, centre: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(sum of outer products, sum of outer products of squares) of vectors, less those of a mean if given."""
+    d = rows.select(F.size(vector).alias("d")).first()["d"]
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        outer = np.zeros((2, d, d))
         for b in batches:
-            if not len(b):
-                continue
-            x = matrix_of(b["v"])
-            outer = x.T @ x if outer is None else outer + x.T @ x
-            for y in b["y"].unique():
-                part = x[(b["y"] == y).to_numpy()]
-                n, s = sums.get(y, (0, 0.0))
-                sums[y] = (n + len(part), s + part.sum(axis=0))
-        for y, (n, s) in sums.items():
-            yield pd.DataFrame({"y": [str(y)] * (len(s) + 1), "at": np.arange(-1, len(s)), "x": np.r_[n, s]})
-        if outer is not None:
-            yield pd.DataFrame({"y": [None] * outer.size, "at": np.arange(outer.size), "x": outer.ravel()})
-
-    cells = rows.select(F.col(label).cast("string").alias("y"), F.col(vector).alias("v")).filter("y is not null").mapInPandas(partial, "y string, at long, x double")
-    got = cells.groupBy("y", "at").agg(F.sum("x").alias("x")).toPandas()
-    outer = got[got["y"].isna()].sort_values("at")["x"].to_numpy()
-    d = int(round(len(outer) ** 0.5))
-    classes = {y: (g.sort_values("at")["x"].to_numpy()[0], g.sort_values("at")["x"].to_numpy()[1:]) for y, g in got[got["y"].notna()].groupby("y")}
-    return classes, outer.reshape(d, d)
-
-
-def discriminant(rows: DataFrame, k: int, label: str = "label", vector: str = "vec", shrinkage: float = 0.0) -> Discriminant:
+            x = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+            x = x if centre is None else x - centre
+            outer[0] += x.T @ x
+            outer[1] += (x * x).T @ (x * x)
+        yield in_stripes(outer.ravel(), STRIPE)
+
+    got = stripes_added(rows.select(F.col(vector).cast("array<double>").alias("v")).filter("v is not null").mapInArrow(partial, "stripe long, x binary"), STRIPE)
+    return got.reshape(2, d, d)[0], got.reshape(2, d, d)[1]
+
+
+def ledoit_wolf(covariance: np.ndarray, squares: np.ndarray, n: float) -> float:
+    """The shrinkage towards a multiple of the identity that Ledoit and Wolf's formula gives, for n centred rows.
+
+    ``squares``: the mean over rows of products of squared components.
+    """
+    d = len(covariance)
+    mean = np.trace(covariance) / d
+    delta = ((covariance - mean * np.eye(d)) ** 2).sum() / d
+    beta = min((squares.sum() - (covariance**2).sum()) / (d * n), delta)
+    return float(beta / delta) if delta > 0 else 0.0
+
+
+def discriminant(rows: DataFrame, k: int, label: str = "label", vector: str = "vec", shrinkage: float | str = 0.0) -> Discriminant:
     """Linear discriminant analysis: directions that maximise scatter between classes over that within.
 
-    ``shrinkage`` blends the covariance within classes with a multiple of the identity, which a singular one needs.
+    ``shrinkage`` blends the covariance within classes with a multiple of the identity, which a singular one needs;
+    "auto" takes Ledoit and Wolf's estimate for each class, on components scaled to unit variance, weighted by the class
+    sizes. Sums by class come from ``metrics.class_sums``; second moments are d x d numbers a task, added in stripes.
     """
-    d = rows.select(F.size(vector).alias("d")).first()["d"]
-    if d > MAX_DIM:
-        raise ValueError(f"{d} dimensions exceed {MAX_DIM}")
-    classes, outer = scatter(rows, label, vector)
-    n = sum(c[0] for c in classes.values())
-    mean = sum(c[1] for c in classes.values()) / n
-    within = (outer - sum(np.outer(s, s) / m for m, s in classes.values())) / n
-    between = sum(m * np.outer(s / m - mean, s / m - mean) for m, s in classes.values()) / n
-    within = (1 - shrinkage) * within + (shrinkage * np.trace(within) / d + 1e-10) * np.eye(d)
+    sums = [(r[label], r["n"], np.array(r["sums"])) for r in M.class_sums(rows.filter(F.col(label).isNotNull()), label, vector, normal=False).collect()]
+    n = sum(c[1] for c in sums)
+    mean = sum(c[2] for c in sums) / n
+    d = len(mean)
+    between = sum(m * np.outer(s / m - mean, s / m - mean) for _, m, s in sums) / n
+    if shrinkage == "auto":
+        within = np.zeros((d, d))
+        for name, m, s in sums:
+            mine = rows.filter(F.col(label) == F.lit(name))
+            outer, _ = moments(mine, vector, s / m)
+            scale = np.sqrt(np.maximum(np.diag(outer) / m, 0))
+            scale[scale == 0] = 1
+            scaled = mine.select(projected(F.col(vector), np.diag(1 / scale), s / m).alias("v"))
+            unit, squares = moments(scaled, "v")
+            unit, squares = unit / m, squares / m
+            rate = ledoit_wolf(unit, squares, m)
+            shrunk = (1 - rate) * unit + rate * np.trace(unit) / d * np.eye(d)
+            within += m / n * scale[:, None] * shrunk * scale[None, :]
+        within += 1e-10 * np.eye(d)
+    else:
+        outer, _ = moments(rows.filter(F.col(label).isNotNull()), vector)
+        within = (outer - sum(np.outer(s, s) / m for _, m, s in sums)) / n
+        within = (1 - shrinkage) * within + (shrinkage * np.trace(within) / d + 1e-10) * np.eye(d)
     inverse = np.linalg.inv(np.linalg.cholesky(within))
     values, vectors = np.linalg.eigh(inverse @ between @ inverse.T)
-    order = np.argsort(-values)[: min(k, len(classes) - 1)]
+    order = np.argsort(-values)[: min(k, len(sums) - 1)]
     return Discriminant(mean, inverse.T @ vectors[:, order], values[order])

@@ -27,6 +27,22 @@ def ordered(rows: DataFrame, by: str, key: str, seed: int, name: str = "turn") -
     return placed.withColumn(name, F.col("_begin") + F.col("_row")).drop("_k", "_b", "_g", "_p", "_begin", "_row")
 
 
+def numbered(rows: DataFrame, key: str, by: str | None = None, name: str = "number", span: int = 4096) -> DataFrame:
+    """``rows`` numbered from 1 in the order of a whole-number key, within ``by`` if given; other columns stay.
+
+    Rows are counted per stretch of ``span`` keys and numbered within those from where the stretch begins, so neither a
+    large group nor the whole table is sorted by one task. Keys may have gaps and repeat (repeated rows in any order).
+    """
+    group = F.lit(0) if by is None else F.col(by)
+    keyed = rows.withColumn("_g", group).withColumn("_p", F.floor(F.col(key) / span))
+    sizes = keyed.groupBy("_g", "_p").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(W.partitionBy("_g").orderBy("_p").rowsBetween(W.unboundedPreceding, -1))
+    begins = sizes.select(F.col("_g").alias("_h"), F.col("_p").alias("_q"), F.coalesce(before, F.lit(0)).alias("_begin"))
+    row = F.row_number().over(W.partitionBy("_g", "_p").orderBy(key))
+    placed = keyed.withColumn("_row", row).join(begins, F.col("_g").eqNullSafe(F.col("_h")) & F.col("_p").eqNullSafe(F.col("_q")))
+    return placed.withColumn(name, F.col("_begin") + F.col("_row")).drop("_g", "_p", "_h", "_q", "_begin", "_row")
+
+
 def sample(rows: DataFrame, by: str, key: str, n: int | Column, seed: int = 42) -> DataFrame:
     """``n`` rows of each group; with a fixed number Spark thins the groups before the shuffle."""
     if isinstance(n, int):
@@ -40,7 +56,11 @@ def counts(rows: DataFrame, by: str) -> DataFrame:
 
 
 def ranked(rows: DataFrame, by: str) -> DataFrame:
-    """(by, n, rank): groups by descending count, ties by name. One row per group meets in the window, not one per row."""
+    """(by, n, rank): groups by descending count, ties by name. One row per group meets in the window, not one per row.
+
+    As for ``labels``, ``split_groups`` and ``pk_batches``, groups are speakers: one task ranks them, so that many millions
+    of groups are more than it is meant for.
+    """
     return counts(rows, by).withColumn("rank", F.row_number().over(W.orderBy(F.desc("n"), by)))
 
 

@@ -1,18 +1,23 @@
-"""Heads trained by full-batch gradient steps: tasks add gradients over their rows, the driver holds the weights only.
+"""Heads trained by gradient steps: tasks add gradients over their rows, the driver holds the weights only.
 
-Weights have (dimensions * width + classes * width) numbers, whatever the number of rows; every epoch is one Spark job.
+Weights have (dimensions * width + classes * width) numbers, whatever the number of rows. Every epoch is one Spark job
+over all rows or a minibatch drawn by hash; a task sends its sum of gradients in stripes, which tasks add in turn.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .reduction import STRIPE, in_stripes, stripes_added
+from .sampling import triplets
+
 #: Backbones by name: widths of hidden layers.
 ARCHS = {"linear": (), "1h-256": (256,), "1h-512": (512,), "2h-1k": (1024, 512), "1h-2k": (2048,)}
 
@@ -75,38 +80,108 @@ class Head:
         return loss, [*grads[::-1], dw]
 
 
-def margin_head(rows: DataFrame, classes: int, arch: str = "linear", width: int = 32, epochs: int = 10, rate: float = 1e-2, label: str = "label", vector: str = "vec", seed: int = 42) -> Head:
-    """Train by Adam on the mean gradient over all rows; labels are 0 to classes - 1."""
-    d = rows.select(F.size(vector).alias("d")).first()["d"]
+class Adam:
+    """Adam over a list of arrays, changed in place; ``total`` epochs bend the rate to zero along a cosine."""
+
+    def __init__(self, weights: list[np.ndarray], rate: float, total: int | None = None):
+        self.weights, self.rate, self.total, self.step_no = weights, rate, total, 0
+        self.first, self.second = ([np.zeros_like(w) for w in weights] for _ in range(2))
+
+    def step(self, flat: np.ndarray) -> None:
+        rate = self.rate if self.total is None else self.rate * 0.5 * (1 + np.cos(np.pi * self.step_no / self.total))
+        self.step_no += 1
+        at = 0
+        for k, p in enumerate(self.weights):
+            g = flat[at : at + p.size].reshape(p.shape)
+            at += p.size
+            self.first[k] = 0.9 * self.first[k] + 0.1 * g
+            self.second[k] = 0.999 * self.second[k] + 0.001 * g * g
+            p -= rate * (self.first[k] / (1 - 0.9**self.step_no)) / (np.sqrt(self.second[k] / (1 - 0.999**self.step_no)) + 1e-8)
+
+
+def fresh_head(d: int, classes: int, arch: str, width: int, seed: int) -> Head:
     rng = np.random.default_rng(seed)
     dims = [d, *ARCHS[arch], width]
-    head = Head([rng.standard_normal((a, b)) * (2 / a) ** 0.5 for a, b in zip(dims, dims[1:], strict=False)], rng.standard_normal((classes, width)))
-    data = rows.select(F.col(label).cast("int").alias("y"), F.col(vector).alias("v")).cache()
-    first = [np.zeros_like(p) for p in [*head.layers, head.classes]]
-    second = [np.zeros_like(p) for p in first]
-    for epoch in range(1, epochs + 1):
+    return Head([rng.standard_normal((a, b)) * (2 / a) ** 0.5 for a, b in zip(dims, dims[1:], strict=False)], rng.standard_normal((classes, width)))
+
+
+def added(rows: DataFrame, gradient: Callable[[pd.DataFrame], tuple[float, list[np.ndarray]]]) -> tuple[float, np.ndarray]:
+    """(mean loss, mean gradient, flat) over rows; ``gradient`` gives the sums of a batch."""
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        loss, n, total = 0.0, 0, None
+        for b in batches:
+            if b.num_rows:
+                part, grads = gradient(b.to_pandas())
+                flat = np.concatenate([g.ravel() for g in grads])
+                loss, n, total = loss + part, n + b.num_rows, flat if total is None else total + flat
+        if total is not None:
+            yield in_stripes(np.r_[loss, n, total], STRIPE)
+
+    got = stripes_added(rows.mapInArrow(partial, "stripe long, x binary"), STRIPE)
+    if not len(got):
+        return 0.0, np.zeros(0)
+    return float(got[0] / got[1]), got[2:] / got[1]
+
+
+def margin_head(rows: DataFrame, classes: int, arch: str = "linear", width: int = 32, epochs: int = 10, rate: float = 1e-2, label: str = "label", vector: str = "vec", seed: int = 42, key: str | None = None, batch: int | None = None, cosine: bool = False) -> Head:
+    """Train by Adam; labels are 0 to classes - 1.
+
+    An epoch's gradient is that of all rows, or with ``batch`` of a minibatch: about so many rows, drawn by a hash of
+    ``key`` and the epoch. ``cosine`` lets the rate fall to zero along a cosine over the epochs.
+    """
+    sizes = rows.agg(F.max(F.size(vector)).alias("d"), F.count("*").alias("n")).first()
+    head = fresh_head(sizes["d"], classes, arch, width, seed)
+    data = rows.select(*([F.col(key).alias("k")] if key else []), F.col(label).cast("int").alias("y"), F.col(vector).alias("v"))
+    adam = Adam([*head.layers, head.classes], rate, epochs if cosine else None)
+    for epoch in range(epochs):
         shared = rows.sparkSession.sparkContext.broadcast(head)
+        drawn = data
+        if batch and key:
+            share = F.shiftrightunsigned(F.xxhash64("k", F.lit(epoch), F.lit(seed)), 11) / float(1 << 53)
+            drawn = data.filter(share < batch / max(sizes["n"], 1))
+        loss, flat = added(drawn, lambda b, shared=shared: shared.value.gradient(np.stack(b["v"].to_list()), b["y"].to_numpy()))
+        shared.unpersist()
+        if len(flat):
+            head.losses.append(loss)
+            adam.step(flat)
+    return head
+
+
+def triplet_gradient(head: Head, x: list[np.ndarray], margin: float) -> tuple[float, list[np.ndarray]]:
+    """Sum of hinge losses of rows of anchors, positives and negatives, and its gradient by layers."""
+    outs = [head.forward(v) for v in x]
+    norms = [np.maximum(np.linalg.norm(o[-1], axis=1, keepdims=True), 1e-12) for o in outs]
+    unit = [o[-1] / n for o, n in zip(outs, norms, strict=True)]
+    near, far = unit[0] - unit[1] + 1e-6, unit[0] - unit[2] + 1e-6
+    dp, dn = (np.linalg.norm(v, axis=1, keepdims=True) for v in (near, far))
+    gap = dp - dn + margin
+    on = (gap > 0).astype(float)
+    toward, away = on * near / np.maximum(dp, 1e-12), on * far / np.maximum(dn, 1e-12)
+    grads = [np.zeros_like(w) for w in head.layers]
+    for o, n, u, g in zip(outs, norms, unit, (toward - away, -toward, away), strict=True):
+        delta = (g - u * (g * u).sum(axis=1, keepdims=True)) / n
+        for i in range(len(head.layers) - 1, -1, -1):
+            grads[i] += o[i].T @ delta
+            if i:
+                delta = (delta @ head.layers[i].T) * (o[i] > 0)
+    return float((gap * on).sum()), grads
 
-        def partial(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            loss, n, total = 0.0, 0, None
-            for b in batches:
-                if len(b):
-                    part, grads = shared.value.gradient(np.stack(b["v"].to_list()), b["y"].to_numpy())
-                    loss, n = loss + part, n + len(b)
-                    flat = np.concatenate([g.ravel() for g in grads])
-                    total = flat if total is None else total + flat
-            if total is not None:
-                yield pd.DataFrame({"at": np.arange(-2, len(total)), "x": np.r_[loss, n, total]})
-
-        summed = data.mapInPandas(partial, "at long, x double").groupBy("at").agg(F.sum("x").alias("x")).toPandas().sort_values("at")["x"].to_numpy()
+
+def triplet_head(rows: DataFrame, key: str, arch: str = "linear", width: int = 32, epochs: int = 10, draws: int = 512, rate: float = 1e-3, margin: float = 0.3, label: str = "label", vector: str = "vec", seed: int = 42) -> Head:
+    """Train a backbone on ``draws`` triplets an epoch: two rows of one label and one of another, drawn by ``sampling.triplets``."""
+    d = rows.select(F.size(vector).alias("d")).first()["d"]
+    head = fresh_head(d, 1, arch, width, seed)
+    adam = Adam(head.layers, rate)
+    vectors = rows.select(F.col(key).alias("_k"), F.col(vector).alias("_v"))
+    for epoch in range(epochs):
+        drawn = triplets(rows, label, key, draws, seed + epoch)
+        for name, short in (("anchor", "a"), ("positive", "p"), ("negative", "n")):
+            drawn = drawn.join(vectors.select(F.col("_k").alias(name), F.col("_v").alias(short)), name)
+        shared = rows.sparkSession.sparkContext.broadcast(head)
+        loss, flat = added(drawn.select("a", "p", "n"), lambda b, shared=shared: triplet_gradient(shared.value, [np.stack(b[c].to_list()) for c in "apn"], margin))
         shared.unpersist()
-        head.losses.append(float(summed[0] / summed[1]))
-        at, grad = 0, summed[2:] / summed[1]
-        for k, p in enumerate([*head.layers, head.classes]):
-            g = grad[at : at + p.size].reshape(p.shape)
-            at += p.size
-            first[k] = 0.9 * first[k] + 0.1 * g
-            second[k] = 0.999 * second[k] + 0.001 * g * g
-            p -= rate * (first[k] / (1 - 0.9**epoch)) / (np.sqrt(second[k] / (1 - 0.999**epoch)) + 1e-8)
-    data.unpersist()
+        if len(flat):
+            head.losses.append(loss)
+            adam.step(flat)
     return head

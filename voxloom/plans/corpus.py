@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import corpus as C
+from ..operators.sampling import numbered
 from .base import DIALOGUES, dialogues, micro, query, sql_strip, table
 
 LINES_SQL = "lines AS (SELECT unnest(string_split(text, chr(10))) AS line FROM documents)"
@@ -34,7 +35,7 @@ def clean_kept_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT id::BIGINT AS id, '[ID: ' || id || '] [' || CASE WHEN reason = 'too_short' THEN 'too_short(' || length({sql_strip('line')}) || ')' ELSE reason END || '] line: ' || line AS report FROM c WHERE reason IS NOT NULL""")
 def removal_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "documents").select(F.explode(F.split("text", "\n")).alias("line"))
-    counted = lines.groupBy("line").agg(F.count("*").alias("id"))
+    counted = lines.groupBy(F.xxhash64("line"), F.xxhash64(F.lit(1), "line")).agg(F.count("*").alias("id"), F.first("line").alias("line"))
     return C.removal_report(counted.select("id", F.lit("line").alias("speaker"), F.col("line").alias("origin_text")))
 
 
@@ -85,7 +86,8 @@ def ascii_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scores_of(pairs: DataFrame) -> DataFrame:
     a, b = F.col("a"), F.col("b")
-    return pairs.select("id", micro(X.jaccard(a, b), "jaccard"), micro(X.edit_similarity(a, b), "edit"), micro(X.pair_similarity(a, b), "similarity"))
+    scored = pairs.select("id", X.jaccard(a, b).alias("jaccard"), X.edit_similarity(a, b).alias("edit"))
+    return scored.select("id", micro(F.col("jaccard"), "jaccard"), micro(F.col("edit"), "edit"), micro((F.col("jaccard") + F.col("edit")) / 2, "similarity"))
 
 
 def stats_of(pairs: DataFrame) -> DataFrame:
@@ -132,9 +134,9 @@ g AS (SELECT *, list_distinct([a[i:i+2] FOR i IN range(1, length(a) - 1)]) AS ga
 SELECT doc_id, line, round(CASE WHEN len(ga) = 0 AND len(gb) = 0 THEN 1.0 ELSE len(list_intersect(ga, gb))::DOUBLE / len(list_distinct(list_concat(ga, gb))) END, 6) AS jaccard FROM g""")
 def line_by_line_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    # ids are consecutive, so the next document is found by an equi-join
-    other = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("other"))
-    return C.line_pairs(docs.join(other, "doc_id"), "text", "other").select("doc_id", F.col("line").cast("long").alias("line"), micro(X.jaccard(F.col("a"), F.col("b")), "jaccard"))
+    docs = numbered(docs, "doc_id")
+    other = docs.select((F.col("number") - 1).alias("number"), F.col("text").alias("other"))
+    return C.line_pairs(docs.join(other, "number"), "text", "other").select("doc_id", F.col("line").cast("long").alias("line"), micro(X.jaccard(F.col("a"), F.col("b")), "jaccard"))
 
 
 @query("STR8 STR9 STR10", rf"""SELECT doc_id, length(regexp_replace(text, '[\s\p{{Z}}\x1c-\x1f\x85]', '', 'g'))::BIGINT AS solid, length(translate(text, 'aeiou', ''))::BIGINT AS no_vowels,
@@ -183,7 +185,7 @@ def update_similarity_ascii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return updated_by(ascii_pairs(spark, sf_dir), spark, sf_dir)
 
 
-@query("STR12 STR14 STR15", rf"""WITH {DIALOGUES} SELECT id, {sql_strip('speaker')} || '：' || {sql_strip("replace(replace(origin_text, chr(10), ' '), chr(13), '')")} AS line, left(replace(origin_text, chr(10), ' '), 80) AS preview FROM dialogues""")
+@query("STR12 STR15", rf"""WITH {DIALOGUES} SELECT id, {sql_strip('speaker')} || '：' || {sql_strip("replace(replace(origin_text, chr(10), ' '), chr(13), '')")} AS line, left(replace(origin_text, chr(10), ' '), 80) AS preview FROM dialogues""")
 def format_prompt_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dialogues(spark, sf_dir).select("id", X.prompt_line(F.col("speaker"), F.col("origin_text")).alias("line"), X.preview(F.col("origin_text")).alias("preview"))
 
@@ -195,16 +197,15 @@ r AS (SELECT speaker, batch, ids, speakers, CASE WHEN batch % 5 = 4 THEN answer[
 
 def batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Batches of ten turns of a speaker with a made-up response: some lines lack, name another speaker, or are blank."""
-    turn = F.row_number().over(W.partitionBy("speaker").orderBy("id"))
-    rows = dialogues(spark, sf_dir).withColumn("batch", F.floor((turn - 1) / 10))
+    rows = numbered(dialogues(spark, sf_dir), "id", "speaker").withColumn("batch", F.floor((F.col("number") - 1) / 10))
     said = F.when(F.col("id") % 11 == 0, F.lit(" ")).otherwise(X.strip(F.replace(F.col("origin_text"), F.lit("\n"), F.lit(" "))))
     line = F.concat(F.when(F.col("id") % 7 == 0, F.lit("x")).otherwise(F.col("speaker")), F.lit("："), said)
-    grouped = rows.groupBy("speaker", "batch").agg(F.array_sort(F.collect_list(F.struct("id", F.lit(None).cast("string").alias("z"), line.alias("line"), F.col("speaker").alias("who")))).alias("rows"))
+    grouped = rows.groupBy("speaker", "batch").agg(F.array_sort(F.collect_list(F.struct("id", F.lit(None).cast("string").alias("z"), line.alias("line"), F.col("speaker").alias("who"), F.col("origin_text").alias("text")))).alias("rows"))
     answer = F.when(F.col("batch") % 5 == 4, F.slice("rows.line", 2, 1000)).otherwise(F.col("rows.line"))
-    return grouped.select("speaker", "batch", F.col("rows.id").alias("ids"), F.col("rows.who").alias("speakers"), F.array_join(answer, "\n").alias("response"))
+    return grouped.select("speaker", "batch", F.col("rows.id").alias("ids"), F.col("rows.who").alias("speakers"), F.array_join(answer, "\n").alias("response"), F.col("rows.text").alias("origins"))
 
 
-@query("STR13 TOP3", f"""WITH {BATCH_SQL} SELECT speaker, batch, CASE WHEN len(answer) <> len(ids) THEN 'count_mismatch'
+@query("STR13", f"""WITH {BATCH_SQL} SELECT speaker, batch, CASE WHEN len(answer) <> len(ids) THEN 'count_mismatch'
   WHEN len(list_filter(range(1, len(ids) + 1), lambda i: NOT starts_with(answer[i], speakers[i] || '：'))) > 0 AND (len(list_filter(range(1, len(ids) + 1), lambda i: starts_with(answer[i], speakers[i] || '：') AND {sql_strip("substr(answer[i], length(speakers[i]) + 2)")} = '')) = 0
     OR list_min(list_filter(range(1, len(ids) + 1), lambda i: NOT starts_with(answer[i], speakers[i] || '：'))) < list_min(list_filter(range(1, len(ids) + 1), lambda i: starts_with(answer[i], speakers[i] || '：') AND {sql_strip("substr(answer[i], length(speakers[i]) + 2)")} = ''))) THEN 'speaker_mismatch'
   WHEN len(list_filter(range(1, len(ids) + 1), lambda i: starts_with(answer[i], speakers[i] || '：') AND {sql_strip("substr(answer[i], length(speakers[i]) + 2)")} = '')) > 0 THEN 'empty_text' ELSE 'ok' END AS status FROM r""")
@@ -229,20 +230,69 @@ def split_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", parts.cast("long").alias("blocks"), (parts == 2).alias("is_pair"))
 
 
-@query("AGG14", f"""WITH {BATCH_SQL}, s AS (SELECT *, len(answer) = len(ids) AS success, 40 + len(ids) * 12 AS prompt_tokens, len(ids) * 9 AS completion_tokens, 0.5 + batch * 0.01 AS elapsed FROM r)
-SELECT count(*)::BIGINT AS batches, round(avg(success::INT), 6) AS success_rate, floor(sum(prompt_tokens + completion_tokens) * 283972.0 / sum(CASE WHEN success THEN len(ids) ELSE 0 END))::BIGINT AS tokens_for_all, round(avg(elapsed), 6) AS seconds_per_batch,
-  round(avg(elapsed) * ceil(283972.0 / 10), 4) AS seconds_for_all FROM s""")
+@query("AGG14", f"""WITH {BATCH_SQL}, s AS (SELECT *, len(answer) = len(ids) AS success, 40 + len(ids) * 12 AS prompt_tokens, len(ids) * 9 AS completion_tokens, 0.5 + batch * 0.01 AS elapsed FROM r),
+c AS (SELECT b.speaker, b.batch, sum(length(d.origin_text)) AS chars, sum(length(substr(d.origin_text, 1, length(d.origin_text) // 2))) AS half FROM (SELECT speaker, batch, unnest(ids) AS id FROM s WHERE success) b JOIN dialogues d ON b.id = d.id GROUP BY ALL)
+SELECT count(*)::BIGINT AS batches, round(sum(CASE WHEN success THEN len(ids) ELSE 0 END)::DOUBLE / sum(len(ids)), 6) AS success_rate,
+  round((sum(half) - sum(chars)) * 100.0 / sum(chars), 6) AS length_change, floor(sum(prompt_tokens) FILTER (WHERE success) * 5000.0 / sum(CASE WHEN success THEN len(ids) ELSE 0 END))::BIGINT AS input_tokens_for_all,
+  floor(sum(completion_tokens) FILTER (WHERE success) * 5000.0 / sum(CASE WHEN success THEN len(ids) ELSE 0 END))::BIGINT AS output_tokens_for_all, round(12000.0 / (sum(chars) + 120), 6) AS cache_rate,
+  round(avg(elapsed) FILTER (WHERE success), 6) AS seconds_per_batch, round(avg(elapsed) FILTER (WHERE success) * ceil(5000.0 / 10), 4) AS seconds_for_all FROM s LEFT JOIN c ON s.speaker = c.speaker AND s.batch = c.batch""")
 def pilot_run_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = batches(spark, sf_dir)
-    n = F.size("ids")
-    runs = b.select((F.size(F.split("response", "\n")) == n).alias("success"), n.alias("lines"), (40 + n * 12).alias("prompt_tokens"), (n * 9).alias("completion_tokens"), (0.5 + F.col("batch") * 0.01).alias("elapsed"))
-    return C.pilot_report(runs, corpus_rows=283_972, batch_size=10)
+    """A pilot's report for a corpus of 5000 rows; new texts are made up, as the first half of the old. Similarities are in pilot_similarity."""
+    return C.pilot_report(pilot_runs(spark, sf_dir), corpus_rows=5000, batch_size=10, system_words=120).drop("mean_similarity")
 
 
-@query("EXT1 EXT3 SNK9 STR12 STR13")
+@query("AGG14 STR7")
+def pilot_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.pilot_report(pilot_runs(spark, sf_dir), corpus_rows=5000, batch_size=10).select("batches", "mean_similarity")
+
+
+def pilot_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b, n = batches(spark, sf_dir), F.size("ids")
+    halves = F.transform("origins", lambda x: F.substring(x, F.lit(1), F.floor(F.char_length(x) / 2).cast("int")))
+    return b.select((F.size(F.split("response", "\n")) == n).alias("success"), n.alias("lines"), (40 + n * 12).alias("prompt_tokens"), (n * 9).alias("completion_tokens"), (0.5 + F.col("batch") * 0.01).alias("elapsed"), "origins", halves.alias("paras"))
+
+
+@query("EXT2 SRC4 STR12", f"""WITH {DIALOGUES}, n AS (SELECT *, row_number() OVER (ORDER BY id) AS i FROM dialogues WHERE para_text IS NULL), b AS (SELECT *, floor((i - 1) / 25)::BIGINT + 1 AS batch FROM n WHERE i <= 75)
+SELECT batch, count(*)::INT AS records, min(id) AS first_id, max(id) AS last_id, array_to_string(list({sql_strip('speaker')} || '：' || {sql_strip("replace(replace(origin_text, chr(10), ' '), chr(13), '')")} ORDER BY id)[1:3], chr(10)) AS shown FROM b GROUP BY batch""")
+def dry_run_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first three batches of pending rows and three of their prompt lines each: the limits are the operator."""
+    pending = dialogues(spark, sf_dir).filter("para_text is null")
+    shown = C.previewed(pending, batch_size=25)
+    return shown.withColumn("shown", F.array_join("shown", "\n"))
+
+
+@query("STR14", f"WITH {DIALOGUES} SELECT id, replace(replace('Rewrite:' || chr(10) || '{{lines}}' || chr(10) || '{{strict}}', '{{lines}}', speaker), '{{strict}}', CASE WHEN id % 2 = 0 THEN 'Keep the format.' ELSE '' END) AS prompt FROM dialogues")
+def filled_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    strict = F.when(F.col("id") % 2 == 0, "Keep the format.").otherwise("")
+    return dialogues(spark, sf_dir).select("id", X.filled("Rewrite:\n{lines}\n{strict}", lines=F.col("speaker"), strict=strict).alias("prompt"))
+
+
+@query("TOP3", f"""WITH {DIALOGUES}, n AS (SELECT *, floor((row_number() OVER (PARTITION BY speaker ORDER BY id) - 1) / 10)::BIGINT AS batch FROM dialogues WHERE id < 8000), c AS (SELECT DISTINCT speaker, batch FROM n),
+b AS (SELECT speaker || ':' || batch AS b, id FROM n), t AS (SELECT *, row_number() OVER (PARTITION BY b ORDER BY id) AS turn FROM b) SELECT b AS batch, id FROM t WHERE turn <= ceil(10.0 / (SELECT count(*) FROM c)) ORDER BY b, turn LIMIT 10""")
+def spread_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """At most ten rows spread over the batches of a pilot: the limit is the operator."""
+    rows = numbered(dialogues(spark, sf_dir).filter("id < 8000"), "id", "speaker")
+    named = rows.select(F.concat_ws(":", "speaker", F.floor((F.col("number") - 1) / 10).cast("string")).alias("batch"), "id")
+    return C.spread_sample(named, "batch", F.col("id"), 10).select("batch", "id")
+
+
+@query("EXT1 SNK9 STR12 STR13")
 def paraphrase_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paraphrase batches through an injected client; rows that can't be used come back with their reason."""
     from ..sources.services import EchoClient
 
     return C.paraphrased(dialogues(spark, sf_dir), EchoClient(), batch_size=25)
 
+
+
+@query("EXT3 EXT1 AGG14")
+def pilot_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pilot of the first 30 batches through an injected client, without a write; the number of batches is the operator."""
+    from ..sources.services import EchoClient
+
+    pending = dialogues(spark, sf_dir).filter("para_text is null").orderBy("id").limit(30 * 25)
+    done = C.paraphrased(pending, EchoClient(), batch_size=25)
+    joined = done.join(pending.select("id", "origin_text"), "id").filter("status <> 'unusable'")
+    batch = joined.groupBy("batch").agg(F.count("*").cast("int").alias("lines"), (F.min("status") == "ok").alias("success"), F.array_sort(F.collect_list(F.struct("id", "origin_text", "text"))).alias("r"))
+    runs = batch.select("success", "lines", (40 + F.col("lines") * 12).alias("prompt_tokens"), (F.col("lines") * 9).alias("completion_tokens"), F.lit(1.0).alias("elapsed"), F.col("r.origin_text").alias("origins"), F.col("r.text").alias("paras"))
+    return C.pilot_report(runs, corpus_rows=5000, batch_size=25, system_words=120)

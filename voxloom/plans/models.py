@@ -15,7 +15,7 @@ from .base import DIALOGUES, dialogues, micro, query
 from .vectors import CENT_SQL, embeddings
 
 
-@query("ML1 MTH5 MTH6 WIN3")
+@query("ML1 MTH5 MTH6")
 def pca_project_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors without their main space: the consistency that is left per label, and the number of components."""
     rows, k = R.without_main_space(embeddings(spark, sf_dir), 0.9)
@@ -30,22 +30,48 @@ def lda_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.consistency(e.withColumn("vec", R.projected(F.col("vec"), fitted.scalings, fitted.mean))).select("label", "n", micro(F.col("consistency"), "consistency"))
 
 
+def centroid_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.centroids(embeddings(spark, sf_dir)).select("label", F.col("centroid").alias("vec"))
+
+
 @query("ML3 AGG17")
 def kmeans_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.kmeans_sweep(embeddings(spark, sf_dir), [2, 4, 6], "vec_id", seeds=2)
+    """Class centroids in 2 to min(30, classes - 1) clusters, ten seeds each."""
+    return K.kmeans_sweep(centroid_rows(spark, sf_dir), None, "label")
 
 
 @query("ML4")
 def gmm_bic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = embeddings(spark, sf_dir)
-    parts, _ = R.principal_components(e, 4)
-    return K.mixture_sweep(e.withColumn("vec", R.projected(F.col("vec"), parts.T)), [2, 3, 4])
+    """Mixtures of class centroids by BIC, diagonal where classes are few."""
+    return K.mixture_sweep(centroid_rows(spark, sf_dir))
+
+
+@query("ML5 M13")
+def ward_linkage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return K.ward(centroid_rows(spark, sf_dir), "label")
 
 
 @query("ML5 MTH11 WIN4")
 def hierarchy_elbow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cents = M.centroids(embeddings(spark, sf_dir)).select("label", F.col("centroid").alias("vec"))
-    return K.elbow(K.bisecting_costs(cents, [2, 3, 4, 5, 6]), "k", "cost")
+    return K.ward_elbow(K.ward(centroid_rows(spark, sf_dir), "label"))
+
+
+@query("ML2")
+def lda_auto_shrinkage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As lda_transform, with the shrinkage estimated from the rows."""
+    e = embeddings(spark, sf_dir)
+    fitted = R.discriminant(e.filter("label < 8"), 4, shrinkage="auto")
+    return M.consistency(e.withColumn("vec", R.projected(F.col("vec"), fitted.scalings, fitted.mean))).select("label", "n", micro(F.col("consistency"), "consistency"))
+
+
+@query("ML10 SMP2 MTH9")
+def triplet_head(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A head trained on drawn triplets of labels below 8: loss before and after, consistency of seen and unseen labels."""
+    e = embeddings(spark, sf_dir)
+    head = T.triplet_head(e.filter("label < 8"), "vec_id", width=16, epochs=5, draws=256)
+    z = e.withColumn("vec", head.embed(F.col("vec"))).withColumn("group", F.struct(F.when(F.col("label") < 8, "train").otherwise("gen").alias("split"), "label"))
+    out = M.consistency(z, "group").groupBy(F.col("group.split").alias("split")).agg(F.avg("consistency").alias("consistency"))
+    return out.select("split", "consistency", F.lit(head.losses[0]).alias("first_loss"), F.lit(head.losses[-1]).alias("last_loss"))
 
 
 @query("MTH11 WIN4", """WITH c AS (SELECT label, count(*)::DOUBLE AS n FROM embeddings GROUP BY label), d AS (SELECT *, n - 2 * lag(n, 1) OVER (ORDER BY label) + lag(n, 2) OVER (ORDER BY label) AS second FROM c)
@@ -70,18 +96,21 @@ def dbscan_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("ML8 ML9 AGG16 POOL9")
 def mlp_arcface_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two backbones trained on labels below 8, then judged on seen and unseen labels."""
+    """Two backbones trained on labels below 8 in minibatches with a cosine rate, then judged on seen and unseen labels.
+
+    The grid is cut to two of five backbones, one width and five epochs, as each epoch is a Spark job.
+    """
     e = embeddings(spark, sf_dir)
     out = None
     for arch in ("linear", "1h-256"):
-        head = T.margin_head(e.filter("label < 8"), 8, arch, width=16, epochs=5)
+        head = T.margin_head(e.filter("label < 8"), 8, arch, width=16, epochs=5, key="vec_id", batch=256, cosine=True)
         z = e.withColumn("vec", head.embed(F.col("vec"))).withColumn("group", F.struct(F.when(F.col("label") < 8, "train").otherwise("gen").alias("split"), "label"))
         row = M.consistency(z, "group").groupBy(F.col("group.split").alias("split")).agg(F.avg("consistency").alias("consistency")).select(F.lit(arch).alias("arch"), "split", "consistency", F.lit(head.losses[-1]).alias("loss"))
         out = row if out is None else out.unionByName(row)
     return out
 
 
-@query("JN8 TOP2 SRT1 M11 EXT0", """WITH g AS (SELECT p.pool, l.layer, m.method, round(((l.layer * 7 + length(p.pool) * 3 + length(m.method)) % 13 - 4) / 10.0, 6) AS val_sil, round(((l.layer * 5 + length(p.pool) + length(m.method) * 2) % 11 - 5) / 10.0, 6) AS gen_sil
+@query("JN8 TOP2 SRT1 M11", """WITH g AS (SELECT p.pool, l.layer, m.method, round(((l.layer * 7 + length(p.pool) * 3 + length(m.method)) % 13 - 4) / 10.0, 6) AS val_sil, round(((l.layer * 5 + length(p.pool) + length(m.method) * 2) % 11 - 5) / 10.0, 6) AS gen_sil
   FROM (VALUES ('last'), ('attn'), ('comp'), ('inv')) p(pool), (SELECT unnest(range(0, 29)) AS layer) l, (VALUES ('lda'), ('linear-32'), ('linear-64'), ('mlp-32'), ('mlp-64')) m(method))
 SELECT pool, layer::INT AS layer, method, val_sil::DOUBLE AS val_sil, gen_sil::DOUBLE AS gen_sil, CASE WHEN val_sil > 0 AND gen_sil > 0 THEN '***' ELSE '' END AS flag FROM g ORDER BY val_sil DESC, pool, layer, method LIMIT 20""")
 def experiment_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,7 +133,7 @@ def cache_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.join(have, ["layer", "pool"], "left_anti")
 
 
-@query("SRC7 SRC8 SRC9", f"WITH {DIALOGUES} SELECT id, 16::BIGINT AS dim FROM dialogues")
+@query("SRC7", f"WITH {DIALOGUES} SELECT id, 16::BIGINT AS dim FROM dialogues")
 def embed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts through an injected embedder; here a stand-in."""
     rows = embedded(dialogues(spark, sf_dir), HashEmbedder(16), "origin_text", batch=64)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import vectors as V
 from ..operators import metrics as M
 from ..operators import pooling as P
+from ..operators import reduction as R
 from .base import micro, query, table
 
 E_SQL = "e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), u AS (SELECT vec_id, label, v, [x / greatest(sqrt(list_dot_product(v, v)), 1e-10) FOR x IN v] AS n FROM e)"
@@ -104,7 +105,15 @@ def vector_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy(F.col("group.mode").alias("mode")).agg(micro(F.avg("consistency"), "consistency"))
 
 
-@query("MTH4 WIN3", f"""WITH {E_SQL}, t AS (SELECT unnest(range(1, len(v) + 1)) AS i, unnest(v) AS x FROM e WHERE label < 8), m AS (SELECT list(a ORDER BY i) AS m FROM (SELECT i, avg(x) AS a FROM t GROUP BY i)),
+@query("MTH3b MTH5 MTH6")
+def vector_mode_pca50(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Residuals without the space that explains half of the variance of the second vectors: consistency and components."""
+    pairs = vector_pairs(spark, sf_dir)
+    out, k = R.without_space_of(M.residuals(pairs, "a", "b"), pairs.select(F.col("b").alias("vec")), 0.5)
+    return M.consistency(out).agg(F.avg("consistency").alias("consistency"), F.count("*").alias("classes")).withColumn("components", F.lit(k))
+
+
+@query("MTH4", f"""WITH {E_SQL}, t AS (SELECT unnest(range(1, len(v) + 1)) AS i, unnest(v) AS x FROM e WHERE label < 8), m AS (SELECT list(a ORDER BY i) AS m FROM (SELECT i, avg(x) AS a FROM t GROUP BY i)),
 c AS (SELECT vec_id, [v[i] - m[i] FOR i IN range(1, len(v) + 1)] AS c FROM e, m) SELECT vec_id, {sql_digest('c')} AS digest FROM c""")
 def center_train_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All vectors less the mean of the training speakers (labels below 8)."""
@@ -117,12 +126,12 @@ ARC_SQL = f"""{CENT_SQL}, l AS (SELECT u.vec_id, u.label, z.label AS class, 30 *
 
 def logits(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = embeddings(spark, sf_dir)
-    return M.margin_logits(e, M.centroids(e).select(F.col("label").alias("class"), F.col("centroid").alias("w")), "vec_id")
+    return M.row_logits(e, M.centroids(e).select(F.col("label").alias("class"), F.col("centroid").alias("w")), "vec_id")
 
 
 @query("MTH7 JN7", f"WITH {ARC_SQL} SELECT vec_id, label, class, round(logit, 6) + 0.0 AS logit FROM l")
 def arcface_logits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return logits(spark, sf_dir).select("vec_id", "label", "class", micro(F.col("logit"), "logit"))
+    return logits(spark, sf_dir).select("vec_id", "label", F.inline("logits")).select("vec_id", "label", "class", micro(F.col("logit"), "logit"))
 
 
 @query("MTH8", f"WITH {ARC_SQL}, top AS (SELECT *, max(logit) OVER (PARTITION BY vec_id) AS t FROM l) SELECT vec_id, round(max(t) + ln(sum(exp(logit - t))) - max(logit) FILTER (WHERE class = label), 6) AS loss FROM top GROUP BY vec_id")
@@ -220,8 +229,13 @@ def layer_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.fused_layers(last, weights, ["sample_id"]).select("sample_id", micro(digest(F.col("vec")), "digest"))
 
 
-@query("TOK1 M8", "SELECT label, least(count(*), 128)::BIGINT AS real_tokens, 128::BIGINT AS length FROM embeddings GROUP BY label")
+@query("TOK1 M8", """WITH r AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS pos FROM embeddings)
+SELECT label, (count(*) FILTER (WHERE pos <= 128))::BIGINT AS real_tokens, 128::BIGINT AS length, (sum(vec_id * pos) FILTER (WHERE pos <= 128) + sum(pos) FILTER (WHERE pos <= 128) - 128 * 129 / 2)::BIGINT AS digest FROM r GROUP BY label""")
 def padded_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = embeddings(spark, sf_dir).groupBy("label").agg(F.collect_list(F.col("vec_id").cast("int")).alias("ids"))
+    """Ids of a label's first 128 rows, filled with -1: ranked before they are collected, so that a large label is never held."""
+    rank = F.row_number().over(W.partitionBy("label").orderBy("vec_id"))
+    first = table(spark, sf_dir, "embeddings").select("label", "vec_id").withColumn("pos", rank).filter("pos <= 128")
+    ids = first.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("pos", F.col("vec_id").cast("int").alias("id")))).alias("r")).select("label", F.col("r.id").alias("ids"))
     filled, mask = P.pad_tokens(F.col("ids"), pad=-1)
-    return ids.select("label", F.aggregate(mask, F.lit(0), lambda s, x: s + x).cast("long").alias("real_tokens"), F.size(filled).cast("long").alias("length"))
+    weighed = F.aggregate(F.transform(filled, lambda x, i: x.cast("long") * (i + 1)), F.lit(0).cast("long"), lambda s, x: s + x)
+    return ids.select("label", F.aggregate(mask, F.lit(0), lambda s, x: s + x).cast("long").alias("real_tokens"), F.size(filled).cast("long").alias("length"), weighed.alias("digest"))

@@ -15,10 +15,16 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 
 
 def as_dialogues(records: DataFrame) -> DataFrame:
-    """Records as new rows of the dialogue table; ids go up in the order of I and text, without gaps within a speaker."""
-    rows = records.select(F.coalesce("S", F.lit("")).alias("speaker"), F.col("T").alias("origin_text"), "I")
-    order = F.row_number().over(W.partitionBy("speaker").orderBy("I", "origin_text"))
-    return rows.select("speaker", order.cast("long").alias("turn"), "origin_text", F.lit(None).cast("string").alias("para_text"), F.lit(None).cast("double").alias("similarity"))
+    """Records as new rows of the dialogue table; ids go up in the order of the file's records, from 1.
+
+    Spark reads a file's records in order, so numbers that grow within and over partitions keep it; they are then
+    closed up by counts per partition.
+    """
+    rows = records.select(F.monotonically_increasing_id().alias("_at"), F.coalesce("S", F.lit("")).alias("speaker"), F.col("T").alias("origin_text"))
+    placed = rows.withColumn("_part", F.shiftright("_at", 33)).withColumn("_row", F.col("_at").bitwiseAND((1 << 33) - 1))
+    before = F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
+    begins = placed.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(before, F.lit(0)).alias("_begin"))
+    return placed.join(begins, "_part").select((F.col("_begin") + F.col("_row") + 1).alias("id"), "speaker", "origin_text", F.lit(None).cast("string").alias("para_text"), F.lit(None).cast("double").alias("similarity"))
 
 
 def read_database(spark: SparkSession, url: str, name: str, key: str, low: int, high: int, parts: int = 16) -> DataFrame:
