@@ -136,7 +136,8 @@ def assign(groups: DataFrame, shards: int = SHARDS, bucket: int = BUCKET, bundle
         yield pd.DataFrame({"is_group": all_items["is_group"].astype(bool), "a": all_items["a"].astype(np.int64), "b": all_items["b"].astype(np.int64), "shard": shard.astype(np.int32)})
 
     # at most last + shards * LARGE items: bounded by parameters, whatever the number of documents
-    settled = materialise(items.coalesce(1).mapInPandas(final, "is_group boolean, a long, b long, shard int"))
+    # a shuffle to one task, so that the scan of all groups above it stays spread
+    settled = materialise(items.repartition(1).mapInPandas(final, "is_group boolean, a long, b long, shard int"))
     bundled = place.join(F.broadcast(settled.filter("not is_group").select(F.col("a").alias("node"), F.col("b").alias("slot"), "shard")), ["node", "slot"]).select("g1", "g2", "shard")
     alone = settled.filter("is_group").select(F.col("a").alias("g1"), F.col("b").alias("g2"), "shard")
     return bundled.unionByName(alone).unionByName(fixed)
