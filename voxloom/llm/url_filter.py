@@ -3,28 +3,28 @@
 Every rule carries a regular expression and the literal tokens that any URL it matches must contain. Token
 frequencies over the whole table (only of tokens that rules have, so the counts are as few as those) decide
 which token of a rule is its rarest, and the rule is filed under that one. A URL's own tokens then fetch the
-candidate rules, and only candidates' expressions run. The index is broadcast after a check of its size; a
-larger rule set is applied in blocks of rules, each a pass of its own over the URLs.
+candidate rules, and only candidates' expressions run. Rules are broadcast in blocks of at most ``BLOCK_BYTES``; a
+larger rule set takes more passes over the URLs, each a job of its own that keeps the better of its winner and those
+before, and whose broadcast is freed before the next.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import ascii_lower, materialise
 
-#: Rules of a block: what is broadcast at once stays under about 50 MB.
-BLOCK_RULES = 100_000
+#: Bytes of a block of rules: their names, patterns and literals, and about ``RULE_BYTES`` for each rule beside.
+BLOCK_BYTES, RULE_BYTES = 32_000_000, 200
 #: A token of a URL: a run of ASCII letters and digits, or of other characters that are not ASCII.
 TOKEN = r"[0-9A-Za-z\x80-\U0010FFFF]+"
 _TOKEN = re.compile(TOKEN)
-VERDICT = "struct<rule:string,verdict:string>"
 
 
 @dataclass(frozen=True)
@@ -111,10 +111,13 @@ class Index:
         return won
 
 
-def winner_column(host: Column, path: Column, rules: tuple[Rule, ...], frequency: dict[str, int], spark) -> Column:
-    shared = spark.sparkContext.broadcast((rules, frequency))
+RANKED = "struct<rank:string,rule:string,verdict:string>"
 
-    @F.pandas_udf("struct<rank:string,rule:string,verdict:string>")
+
+def winner_column(host: Column, path: Column, shared) -> Column:
+    """The winner of a broadcast block of (rules, frequency): its rank, name (of listed rules) and verdict; nulls if none fits."""
+
+    @F.pandas_udf(RANKED)
     def judge(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         index = Index(*shared.value)
         for hosts, paths in batches:
@@ -128,23 +131,39 @@ def winner_column(host: Column, path: Column, rules: tuple[Rule, ...], frequency
     return judge(host, path)
 
 
-def judged(pages: DataFrame, rules: tuple[Rule, ...] = DEFAULT_RULES, default: str = "allow", id_col: str = "page_id", url_col: str = "url", block_rules: int = BLOCK_RULES) -> DataFrame:
+def blocks(rules: Iterable[Rule], limit: int) -> Iterator[tuple[Rule, ...]]:
+    """Rules in blocks of at most ``limit`` bytes (at least one rule each)."""
+    block, size = [], 0
+    for r in rules:
+        n = RULE_BYTES + sum(len(x.encode()) for x in (r.name, r.pattern, *r.literals))
+        if block and size + n > limit:
+            yield tuple(block)
+            block, size = [], 0
+        block.append(r)
+        size += n
+    if block:
+        yield tuple(block)
+
+
+def judged(pages: DataFrame, rules: Iterable[Rule] = DEFAULT_RULES, default: str = "allow", id_col: str = "page_id", url_col: str = "url", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(page_id, host, path, rule, verdict) for each row of ``pages``, without a shuffle of the rows.
 
     ``rule`` is the listed rule that decides (null if none fits); ``verdict`` is that rule's, else that of the best
     pattern rule, else ``default``. A null URL, or one without ://, has empty host and path, fits no listed rule and
-    gets ``default``. Rows that repeat stay, other columns are ignored, an empty table gives no rows.
+    gets ``default``. Very long URLs are read whole. Rows that repeat stay, other columns are ignored, whatever their
+    names, an empty table gives no rows.
     """
     parts = pages.select(F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
-    frequency = token_frequencies(parts, rules)
-    cols = []
-    for at in range(0, len(rules), block_rules):
-        block = rules[at : at + block_rules]
-        seen = {t: frequency.get(t, 0) for r in block for t in r.literals}
-        cols.append(winner_column(F.col("host"), F.col("path"), block, seen, pages.sparkSession))
-    if not cols:
-        return parts.select("*", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
-    won = parts.withColumn("_won", F.array_min(F.filter(F.array(*cols), lambda w: w["rank"].isNotNull())))
+    todo = list(blocks(rules, block_bytes))
+    won = parts.withColumn("_won", F.lit(None).cast(RANKED))
+    for at, block in enumerate(todo):
+        frequency = token_frequencies(parts, block)
+        shared = pages.sparkSession.sparkContext.broadcast((block, frequency))
+        both = F.filter(F.array("_won", winner_column(F.col("host"), F.col("path"), shared)), lambda w: w["rank"].isNotNull())
+        won = won.select("page_id", "host", "path", F.array_min(both).alias("_won"))
+        if at < len(todo) - 1:
+            won = materialise(won)
+            shared.destroy()
     return won.select("page_id", "host", "path", F.col("_won.rule").alias("rule"), F.coalesce("_won.verdict", F.lit(default)).alias("verdict"))
 
 
