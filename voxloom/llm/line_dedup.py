@@ -51,11 +51,11 @@ def keep_bitmaps(docs: DataFrame, mode: str = "all", min_docs: int = 10, min_cha
     exploded = docs.select(F.col(doc_col).alias("doc"), F.xxhash64(text).alias("text_hash"), F.posexplode(lines_of(text)).alias("pos", "line"))
     keyed = exploded.withColumn("key", line_key(F.col("line"))).filter(F.char_length("key") >= min_chars)
     # sampling the ranges and both uses below read the hashes; texts are split only once
-    hashed = keyed.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"), F.coalesce(F.pmod(F.xxhash64("doc", "text_hash"), F.lit(n)), F.lit(0)).cast("int").alias("bucket"), "doc", "text_hash", "pos")
+    hashed = keyed.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"), F.pmod(F.xxhash64("doc"), F.lit(n)).cast("int").alias("bucket"), "doc", "text_hash", "pos")
     ordered = materialise(hashed).repartitionByRange("h1", "bucket").sortWithinPartitions("h1", "h2", "bucket", "doc", "text_hash", "pos")
     run = W.partitionBy("h1", "h2", "bucket").orderBy("doc", "text_hash", "pos")
-    before = F.lag(F.struct("doc", "text_hash")).over(run)
-    streamed = ordered.withColumn("opens", (before.isNull() | ~before.eqNullSafe(F.struct("doc", "text_hash"))).cast("int"))
+    before = F.lag(F.struct("doc")).over(run)
+    streamed = ordered.withColumn("opens", (before.isNull() | ~before.eqNullSafe(F.struct("doc"))).cast("int"))
     local = streamed.groupBy("h1", "h2", "bucket").agg(F.sum("opens").alias("docs"), F.count("*").alias("rows"), F.min(F.struct("doc", "text_hash", "pos")).alias("head"))
     over_key = W.partitionBy("h1", "h2")
     total = local.withColumn("all_docs", F.sum("docs").over(over_key)).withColumn("all_rows", F.sum("rows").over(over_key)).withColumn("first", F.min("head").over(over_key))
@@ -104,17 +104,17 @@ def apply(docs: DataFrame, bitmaps: DataFrame, doc_col: str = "doc_id", text_col
 
 
 ORACLE_SQL = r"""
-WITH l AS (
-  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, text FROM documents), l AS (
+  SELECT rid, doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
          generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
-  FROM documents
+  FROM d
 ), k AS (
   SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
                       'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l
 ), f AS (
-  SELECT key FROM k WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= 10
+  SELECT key FROM k WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) + max((doc_id IS NULL)::INT) >= 10
 ), m AS (SELECT k.*, f.key IS NOT NULL AS gone FROM k LEFT JOIN f ON k.key = f.key)
 SELECT doc_id, count(*)::BIGINT AS n_lines, (count(*) FILTER (WHERE gone))::BIGINT AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
-FROM m GROUP BY doc_id
+FROM m GROUP BY rid, doc_id
 """
