@@ -132,8 +132,8 @@ def test_url_rules_equal_sql_and_brute_force(spark):
     c = duckdb.connect()
     c.register("pages", df.drop("rule").toPandas())
     want = {r[0]: r[1:] for r in c.execute(url_filter.ORACLE_SQL).fetchall()}
-    for size in (url_filter.BLOCK_RULES, 3):
-        got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.judged(df, block_rules=size).collect()}
+    for size in (url_filter.BLOCK_BYTES, 900):
+        got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.judged(df, block_bytes=size).collect()}
         assert got == want
     everything = url_filter.Index(url_filter.DEFAULT_RULES, {})
     everything.always, everything.by_token = list(range(len(url_filter.DEFAULT_RULES))), {}
@@ -158,7 +158,7 @@ def test_neighbours_recall_and_scores(spark):
     x = rng.standard_normal((1200, 12))
     x[300:360] = x[10]  # exact copies
     df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
-    got = neighbours.nearest(df, F.col("vec_id") % 50 == 0, leaf=128, trees=6).toPandas()
+    got = neighbours.nearest(df, F.col("vec_id") % 50 == 0).toPandas()
     want = brute_nearest(np.arange(1200), x, range(0, 1200, 50), 5)
     hits = 0
     for q, rows in got.groupby("query_id"):
@@ -205,7 +205,7 @@ def test_pipeline_against_brute_force(spark, sf_dir):
     import corpus_pipeline
     from voxloom.llm import decontam
 
-    from .test_text_operators import brute_components, brute_fingerprint, brute_lines
+    from .test_text_operators import brute_lines, brute_near_copies
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     outs = []
@@ -220,9 +220,8 @@ def test_pipeline_against_brute_force(spark, sf_dir):
     assert len(good & set(first["doc_id"])) / len(good) > 0.98
     want = brute_lines(list(zip(first["doc_id"], first["text"], strict=True)), "all", 10)
     assert {d: t for d, t in zip(lined["doc_id"], lined["text"], strict=True)} == {d: v[2] for d, v in want.items()}
-    ids = lined["doc_id"].tolist()
-    comp = brute_components(ids, [brute_fingerprint(t) for t in lined["text"]])
-    assert set(single["doc_id"]) == {i for i in ids if comp[i] == i}
+    comp = brute_near_copies(lined["doc_id"].tolist(), lined["text"].tolist())
+    assert set(single["doc_id"]) == {i for i, c in comp.items() if c == i}
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").toPandas()
     matcher = decontam.Matcher(list(zip(items["item_id"].tolist(), items["text"], strict=True)))
     assert set(clean["doc_id"]) == {d for d, t in zip(single["doc_id"], single["text"], strict=True) if not matcher.hits(t)}
@@ -237,3 +236,79 @@ def test_language_of_texts_without_letters(spark):
     by = {r["doc_id"]: r["language"] for r in got.collect()}
     assert [by[i]["lang_pred"] for i in range(4)] == ["und", "und", "en", "en"] and by[0]["score"] == by[1]["score"] == 0
     assert [s["n_words"] for s in by[2]["spans"]] == [2]
+
+
+@pytest.mark.parametrize("kind", ["awkward", "empty"])
+def test_every_stage_takes_awkward_and_empty_tables(spark, sf_dir, request, kind):
+    import corpus_pipeline
+
+    docs = request.getfixturevalue(kind)
+    counts = []
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        out = common.materialise(stage(spark, docs, sf_dir))
+        assert out.columns == docs.columns and out.select("doc_id").subtract(docs.select("doc_id")).isEmpty()
+        counts.append(out.count())
+    packed = corpus_pipeline.packing_stage(spark, docs, sf_dir)
+    assert packed.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
+    assert counts[1] == docs.count() and counts[2] == (5 if kind == "awkward" else 0) and counts[3] == docs.count()
+
+
+def test_neighbours_recall_at_defaults(spark):
+    """Over 10,000 vectors without structure, the hardest kind, with a crowd of equal ones; nothing is compared whole."""
+    rng = np.random.default_rng(15)
+    x = rng.standard_normal((10_400, 32))
+    x[:700] = x[0]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>").repartition(4)
+    asked = list(range(0, 10_400, 100))
+    got = neighbours.nearest(df, F.col("vec_id") % 100 == 0).toPandas()
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    found = 0
+    for q in asked:
+        s = u @ u[q]
+        s[q] = -2
+        mine = got[got["query_id"] == q].sort_values("rank")
+        assert mine["rank"].tolist() == [1, 2, 3, 4, 5]
+        found += (mine["score"].to_numpy() >= np.sort(s)[-5] - 1e-9).sum()
+    assert found / (5 * len(asked)) >= 0.9
+    assert got[got["query_id"] == 300].sort_values("rank")["vec_id"].tolist() == [0, 1, 2, 3, 4]
+
+
+def test_neighbours_of_repeated_ids(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.9, 0.1]), (3, [0.1, 0.9]), (1, [1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = neighbours.nearest(df, F.col("vec_id") == 1).collect()
+    # two different rows of id 1, each with a result; the other one is a candidate like any
+    assert sorted((r["rank"], r["vec_id"]) for r in got) == [(1, 2), (1, 3), (2, 2), (2, 3), (3, 1), (3, 1)]
+
+
+def test_quality_fit_by_numpy(spark):
+    rng = np.random.default_rng(16)
+    d = len(quality.FEATURES)
+    y = rng.integers(0, 2, 300)
+    x = rng.standard_normal((300, d)) * rng.uniform(0.5, 2, d) + y[:, None] * rng.uniform(0, 0.3, d)
+    rows = spark.createDataFrame([(v, int(c)) for v, c in zip(x.tolist(), y, strict=True)], "features array<double>, label int").repartition(3)
+    model = quality.fit(rows)
+    pooled = sum(np.cov(x[y == c].T, bias=True) * (y == c).sum() for c in (0, 1)) / 300
+    t = []
+    for c in (0, 1):
+        n, mean = (y == c).sum(), x[y == c].mean(axis=0)
+        pool = max(quality.POOL, d / (n + d))
+        cov = (1 - quality.RIDGE) * ((1 - pool) * np.cov(x[y == c].T, bias=True) + pool * pooled) + quality.RIDGE * np.diag(np.diag(pooled)) + 1e-6 * np.eye(d)
+        z = x - mean
+        t.append(np.log(n / 300) - 0.5 * np.linalg.slogdet(cov)[1] - 0.5 * np.einsum("ij,jk,ik->i", z, np.linalg.inv(cov), z))
+    assert np.allclose(model.difference(x), t[1] - t[0])
+    # the calibration is the logistic curve of least loss: no other slope or shift near it does better
+    loss = lambda a, b: -np.log(np.where(y == 1, 1 / (1 + np.exp(-(a * (t[1] - t[0]) + b))), 1 - 1 / (1 + np.exp(-(a * (t[1] - t[0]) + b))))).sum()
+    best = loss(model.slope, model.shift)
+    assert all(best <= loss(model.slope + da, model.shift + db) + 0.5 for da in (-0.2, 0, 0.2) for db in (-0.4, 0, 0.4))
+
+
+def test_sharding_spread_on_real_tables(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    got = sharding.sharded(docs).toPandas()
+    sizes = got.merge(docs.select("doc_id", "text").toPandas(), on="doc_id").groupby("text")["size"].sum()
+    sums = np.zeros(40)
+    for size in sorted(sizes, reverse=True):  # greedy: the largest group to the emptiest shard
+        sums[sums.argmin()] += size
+    spread = got.groupby("shard")["size"].sum()
+    assert len(spread) == 40 and spread.max() <= sums.max() and spread.std(ddof=0) <= 1.001 * sums.std()

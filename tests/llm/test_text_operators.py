@@ -356,3 +356,80 @@ def test_near_copies_of_a_star_are_the_closure(spark):
     for part in (near_copies.PART, 8):
         got = {r["doc"]: r["component"] for r in near_copies.components(docs_of(spark, texts), part=part).collect()}
         assert got == dict(enumerate(closure))
+
+
+def brute_near_copies(ids, texts):
+    """The smallest id of each document's group, from all pairs of shingle sets."""
+    sets = [set(near_copies.shingle_set(t).tolist()) for t in texts]
+    up = {i: i for i in ids}
+
+    def top(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for a in range(len(ids)):
+        for b in range(a):
+            if sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = sorted((top(ids[a]), top(ids[b])))
+                up[y] = x
+    return {i: top(i) for i in ids}
+
+
+def test_near_copies_just_above_the_similarity_are_found(spark):
+    """Pairs of exactly 0.80 to 0.85, and as many just below: all of the first are linked, none of the others."""
+    random.seed(11)
+    texts, want = [], []
+    for pair in range(300):
+        n, edits = 400, 0
+        base = [f"p{pair}w{i}" for i in range(n)]
+        near = list(base)
+        while True:
+            a, b = (set(near_copies.shingle_set(" ".join(t)).tolist()) for t in (base, near))
+            j = len(a & b) / len(a | b)
+            if j <= 0.85 - 0.07 * (pair % 2):
+                break
+            near[3 + 11 * edits] = f"e{pair}x{edits}"
+            edits += 1
+        texts += [" ".join(base), " ".join(near)]
+        want.append(j >= 0.8)
+    assert 100 < sum(want) < 200
+    got = {r["doc"]: r["component"] for r in near_copies.components(docs_of(spark, texts)).collect()}
+    assert [got[2 * i] == got[2 * i + 1] for i in range(300)] == want
+
+
+def test_line_dedup_counts_ids(spark, tmp_path):
+    """Ten rows of one id share a line with another id: two documents, so nothing goes; and rows without an id are one."""
+    rows = [(1, f"shared\nown {i}") for i in range(10)] + [(2, "shared")] + [(i, "often") for i in range(3, 12)] + [(None, "often"), (None, "often\nx")]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    c = duckdb.connect()
+    c.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    order = lambda x: sorted(x, key=str)
+    want = order(c.execute(line_dedup.ORACLE_SQL).fetchall())
+    got = order(tuple(r) for r in queries.op10_line_dedup(spark, str(tmp_path)).select("doc_id", "n_lines", "n_dropped", "kept_sha256").collect())
+    assert got == want and sum(r[2] for r in got) == 11
+
+
+def test_decontamination_of_many_occurrences():
+    import time
+
+    item = "alpha beta gamma delta epsilon zeta"
+    m = decontam.Matcher([(1, item)])
+    began = time.time()
+    (hit,) = m.hits(" ".join([item, "x y z u v w"] * 20_000))
+    assert hit == (1, 0, 0, 6, 20_000) and time.time() - began < 6
+
+
+def test_clean_in_blocks(spark):
+    bench = spark.createDataFrame([(i, f"item{i} of the long benchmark number{i}") for i in range(6)], "item_id long, text string")
+    docs = docs_of(spark, [f"say item{i} of the long benchmark number{i} now" for i in range(6)] + ["clean text", None])
+    for limit in (decontam.BLOCK_CHARS, 60):
+        assert sorted(r["doc_id"] for r in decontam.clean(docs, bench, limit=limit).collect()) == [6, 7]
+
+
+def test_windows_bound_the_bytes():
+    from voxloom.llm.common import windows
+
+    b = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(["a" * 10, None, "b" * 95, "c" * 300, "", "d" * 60, "e" * 60])], names=["i", "t"])
+    got = [w.column(0).to_pylist() for w in windows(iter([b]), 110)]
+    assert got == [[0, 1, 2], [3], [4, 5], [6]]
