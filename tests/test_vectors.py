@@ -230,3 +230,14 @@ def test_margin_head_in_minibatches(spark):
     df = frame(spark, list(zip(y.tolist(), (np.eye(3, 8)[y] * 4 + rng.standard_normal((120, 8)) * 0.3).tolist(), strict=True)))
     head = T.margin_head(df, 3, width=4, epochs=8, rate=0.05, key="id", batch=40, cosine=True)
     assert head.losses[-1] < head.losses[0] * 0.8
+
+
+def test_nearest_centroids_in_blocks(spark):
+    rng = np.random.default_rng(15)
+    x = rng.standard_normal((9, 4))
+    cents = M.centroids(frame(spark, list(enumerate(x.tolist()))))
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    d = 1 - u @ u.T + np.diag([np.inf] * 9)
+    for block in (M.BLOCK, 8):
+        got = {r["label"]: r for r in M.nearest_centroids(cents, block=block).collect()}
+        assert len(got) == 9 and all(got[i]["nearest"] == str(d[i].argmin()) and got[i]["distance"] == pytest.approx(d[i].min()) for i in range(9))

@@ -47,11 +47,11 @@ def kmeans_sweep(rows: DataFrame, ks: list[int] | None, key: str, vector: str =
     x = rows.select(key, vector, array_to_vector(vector).alias("_x")).checkpoint()
     out = []
     for k in ks or sweep_range(x.count()):
-        models = [KMeans(k=k, seed=seed + s, featuresCol="_x", predictionCol="label").fit(x) for s in range(seeds)]
+        models = [KMeans(k=k, seed=seed + s, featuresCol="_x", predictionCol="_cluster").fit(x) for s in range(seeds)]
         best = min(models, key=lambda m: m.summary.trainingCost)
-        labelled = best.transform(x).select(key, vector, "label")
-        sil = M.silhouette(labelled, key, "label", vector).agg(F.avg("silhouette")).first()[0]
-        ch = M.calinski_harabasz(labelled, "label", vector).first()["score"]
+        labelled = best.transform(x).select(key, vector, "_cluster")
+        sil = M.silhouette(labelled, key, "_cluster", vector).agg(F.avg("silhouette")).first()[0]
+        ch = M.calinski_harabasz(labelled, "_cluster", vector).first()["score"]
         out.append((k, float(best.summary.trainingCost), sil, ch))
     top = [max((r[i] for r in out if r[i] is not None), default=None) for i in (2, 3)]
     marks = [next((r[0] for r in out if r[i] == t and t is not None), None) for i, t in zip((2, 3), top, strict=True)]

@@ -123,40 +123,44 @@ def centroids(rows: DataFrame, label: str = "label", vector: str = "vec") -> Dat
     return class_sums(rows, label, vector).select(label, "n", V.unit(F.col("sums")).alias("centroid"), "sums", "squares")
 
 
-def nearest_column(vector: Column, label: Column, block: pd.DataFrame, spark) -> Column:
-    """Of one block of classes: the nearest other centroid as (distance, nearest); null distance if the block has none."""
-    shared = spark.sparkContext.broadcast((block["label"].tolist(), np.stack(block["sums"].to_list())))
+def nearest_in(cents: DataFrame, label: str, block: pd.DataFrame) -> DataFrame:
+    """(label, nearest, distance) within one block of classes; a null distance if it has no other class. Ties go to the smaller label."""
+    shared = cents.sparkSession.sparkContext.broadcast((block["label"].tolist(), np.stack(block["sums"].to_list())))
 
-    @F.pandas_udf("struct<distance:double,nearest:string>")
-    def nearest(v: pd.Series, y: pd.Series) -> pd.DataFrame:
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names, c = shared.value
         order = sorted(range(len(names)), key=lambda i: names[i])
         names = [names[i] for i in order]
-        d = 1 - np.stack(v.to_list()) @ c[order].T
         place = {x: i for i, x in enumerate(names)}
-        own = np.array([place.get(x, -1) for x in y])
-        d[np.flatnonzero(own >= 0), own[own >= 0]] = np.inf
-        at = np.round(d, 12).argmin(axis=1)  # ties go to the smaller label
-        low = d[np.arange(len(d)), at]
-        none = np.isinf(low)
-        return pd.DataFrame({"distance": pd.Series(low, dtype=object).where(~none, None), "nearest": [None if x else str(names[i]) for x, i in zip(none, at, strict=True)]})
+        for rows in batches:
+            if not len(rows):
+                continue
+            d = 1 - np.stack(rows["centroid"].to_list()) @ c[order].T
+            own = np.array([place.get(x, -1) for x in rows[label]])
+            d[np.flatnonzero(own >= 0), own[own >= 0]] = np.inf
+            at = np.round(d, 12).argmin(axis=1)
+            low = d[np.arange(len(d)), at]
+            none = np.isinf(low)
+            yield pd.DataFrame({label: rows[label], "nearest": [None if x else str(names[i]) for x, i in zip(none, at, strict=True)], "distance": pd.Series(low, index=rows.index, dtype=object).where(~none, None)})
 
-    return nearest(vector, label)
+    kind = cents.schema[label].dataType.simpleString()
+    return cents.select(label, "centroid").mapInPandas(compare, f"`{label}` {kind}, nearest string, distance double")
 
 
-def nearest_centroids(cents: DataFrame, label: str = "label") -> DataFrame:
+def nearest_centroids(cents: DataFrame, label: str = "label", block: int = BLOCK) -> DataFrame:
     """(label, nearest, distance): the other class with the nearest centroid, ties to the smaller label; null for a single class.
 
     Every class is compared with blocks of classes, by the same bounded broadcast as rows are.
     """
     sums = cents.select(label, "n", F.col("centroid").alias("sums"))
-    passes = [cents.select(label, nearest_column(F.col("centroid"), F.col(label), b, cents.sparkSession).alias("p")) for b in class_blocks(sums, label)]
+    passes = [nearest_in(cents, label, b) for b in class_blocks(sums, label, block)]
     if not passes:
         return cents.select(label, F.lit(None).cast("string").alias("nearest"), F.lit(None).cast("double").alias("distance"))
-    none = float("inf")
-    found = reduce(DataFrame.unionByName, passes).select(label, F.coalesce("p.distance", F.lit(none)).alias("distance"), F.col("p.nearest").alias("nearest"))
-    best = found.groupBy(label).agg(F.min(F.struct("distance", "nearest")).alias("best"))
-    return best.select(label, F.col("best.nearest").alias("nearest"), F.when(F.col("best.distance") < none, F.col("best.distance")).alias("distance"))
+    found = reduce(DataFrame.unionByName, passes)
+    if len(passes) == 1:
+        return found
+    first = F.row_number().over(W.partitionBy(label).orderBy(F.asc_nulls_last("distance"), "nearest"))
+    return found.withColumn("_r", first).filter("_r = 1").drop("_r")
 
 
 def separability(rows: DataFrame, label: str = "label", vector: str = "vec") -> DataFrame:
