@@ -1,8 +1,10 @@
 import json
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from voxloom.operators import corpus, sampling
+from voxloom.operators import corpus, pooling, sampling
 from voxloom.sources import services, tables
 from voxloom.streaming import scoring
 
@@ -44,6 +46,37 @@ def test_embedder_batches_and_nulls(spark):
     assert got[1] is None and got[0] == got[3] != got[2] and len(got[0]) == 4
 
 
+def test_cache_keys_follow_content(spark):
+    a = spark.createDataFrame([(1, "x"), (2, None), (2, None)], "id long, text string")
+    again = a.repartition(3).orderBy(F.desc("id"))
+    assert tables.content_key(a) == tables.content_key(again)
+    others = [a.distinct(), a.withColumnRenamed("text", "t"), a.filter("id < 0"), a.withColumn("text", F.lit("x"))]
+    assert len({tables.content_key(x) for x in [a, *others]}) == 5
+
+
+TEXTS = [(1, "one three fiveee"), (2, ""), (3, None), (4, "word"), (5, " ".join("ab" * (i % 4) for i in range(300)))]
+
+
+def test_states_pooled_in_tasks_equal_pooled_rows(spark):
+    df = spark.createDataFrame(TEXTS, "id long, text string")
+    rows = services.hidden_states(df, services.WordStates(), "id", "text")
+    assert rows.filter("layer = 0 and attn is not null").isEmpty() and rows.filter("id = 5").count() == 900
+    got = {(r["id"], r["layer"], r["pool"]): r["vec"] for r in services.pooled_states(df, services.WordStates(), "id", "text").collect()}
+    assert {k[0] for k in got} == {1, 2, 4, 5} and len(got) == 4 * 3 * 4
+    for method in pooling.METHODS:
+        for r in pooling.attention(rows, ["id", "layer"], method).collect():
+            assert np.allclose(r["vec"], got[r["id"], r["layer"], method], atol=1e-5)
+    assert services.pooled_states(df.filter("id < 0"), services.WordStates(), "id", "text").isEmpty()
+
+
+def test_encoder_batches(spark):
+    df = spark.createDataFrame(TEXTS, "id long, text string")
+    rows = services.tokenized(df, services.WordLengths())
+    one, many = (services.encoded(rows, services.SumEncoder(8), batch=n).orderBy("id").collect() for n in (1, 256))
+    assert one == many and [sum(r["mask"]) for r in one] == [3, 1, 0, 1, 128] and {len(r["ids"]) for r in one} == {128}
+    assert one[0]["vector"][:2] == pytest.approx([(3 + 5 * 2 + 6 * 3) % 101 / 101, (3 + 10 + 18 + 3) % 101 / 101])
+
+
 def test_stream_scores_each_file_once(spark, tmp_path):
     folder, out, marks = (str(tmp_path / n) for n in ("in", "out", "marks"))
     first = spark.createDataFrame([(1, "A", "hello there", "hello here"), (2, "A", "x", " ")], scoring.PAIRS)

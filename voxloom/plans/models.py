@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
+from ..functions import vectors as V
 from ..operators import clustering as K
 from ..operators import metrics as M
 from ..operators import reduction as R
 from ..operators import training as T
-from ..sources.services import HashEmbedder, embedded
+from ..sources import tables
+from ..sources.services import CountEmbedder, SumEncoder, WordLengths, WordStates, embedded, encoded, pooled_states, tokenized
 from .base import DIALOGUES, dialogues, micro, query
-from .vectors import CENT_SQL, embeddings
+from .vectors import CENT_SQL, E_SQL, SEP_SQL, digest, embeddings, sql_digest
 
 
 @query("ML1 MTH5 MTH6")
@@ -34,7 +37,7 @@ def centroid_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.centroids(embeddings(spark, sf_dir)).select("label", F.col("centroid").alias("vec"))
 
 
-@query("ML3 AGG17")
+@query("ML3 AGG17 SNK11")
 def kmeans_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class centroids in 2 to min(30, classes - 1) clusters, ten seeds each."""
     return K.kmeans_sweep(centroid_rows(spark, sf_dir), None, "label")
@@ -46,7 +49,7 @@ def gmm_bic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.mixture_sweep(centroid_rows(spark, sf_dir))
 
 
-@query("ML5 M13")
+@query("ML5 M13 SNK11")
 def ward_linkage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.ward(centroid_rows(spark, sf_dir), "label")
 
@@ -94,7 +97,7 @@ def dbscan_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("eps").agg(F.count_distinct("cluster").alias("clusters"), F.count_if(F.col("cluster").isNull()).alias("noise"))
 
 
-@query("ML8 ML9 AGG16 POOL9")
+@query("ML8 ML9 AGG16 POOL9 SMP3")
 def mlp_arcface_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two backbones trained on labels below 8 in minibatches with a cosine rate, then judged on seen and unseen labels.
 
@@ -133,8 +136,54 @@ def cache_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.join(have, ["layer", "pool"], "left_anti")
 
 
-@query("SRC7", f"WITH {DIALOGUES} SELECT id, 16::BIGINT AS dim FROM dialogues")
+@query("SRC7", f"WITH {DIALOGUES} SELECT id, len(origin_text) AS chars, list_sum([(len(origin_text) * i % 17) * i FOR i IN range(1, 17)])::DOUBLE AS digest FROM dialogues")
 def embed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts through an injected embedder; here a stand-in."""
-    rows = embedded(dialogues(spark, sf_dir), HashEmbedder(16), "origin_text", batch=64)
-    return rows.select("id", F.size("vector").cast("long").alias("dim"))
+    """Texts through an injected embedder, 64 at a time, five tries; here a stand-in."""
+    rows = embedded(dialogues(spark, sf_dir), CountEmbedder(16), "origin_text", batch=64, tries=5)
+    return rows.select("id", F.char_length("origin_text").cast("long").alias("chars"), digest(V.as_double(F.col("vector"))).alias("digest"))
+
+
+@query("SRC8 M9 POOL1 POOL2 POOL3 POOL4", f"""WITH {DIALOGUES}, t AS (SELECT id, string_split(origin_text, ' ') AS ws FROM dialogues WHERE origin_text IS NOT NULL),
+n AS (SELECT id, unnest(range(0, len(ws))) AS p, length(unnest(ws)) AS n FROM t), h AS (SELECT id, layer, p, (1 + (n + p) % 5)::DOUBLE AS a, list_sum([((n * i + 3 * p + 7 * layer) % 17) / 17::DOUBLE * i FOR i IN range(1, 9)]) AS d FROM n, (SELECT unnest(range(0, 3)) AS layer)),
+s AS (SELECT *, a / (sum(a) OVER (PARTITION BY id, layer) + 1e-10) AS w FROM h WHERE layer > 0),
+k AS (SELECT id, layer, 'attn' AS pool, sum(w * d) AS digest FROM s GROUP BY ALL UNION ALL SELECT id, layer, 'comp', sum((1 - w) * d) / (sum(1 - w) + 1e-10) FROM s GROUP BY ALL
+  UNION ALL SELECT id, layer, 'inv', sum(d / (w + 1e-8)) / (sum(1 / (w + 1e-8)) + 1e-10) FROM s GROUP BY ALL UNION ALL SELECT id, layer, 'last', arg_max(d, p) FROM h GROUP BY ALL
+  UNION ALL SELECT id, 0, unnest(['attn', 'comp', 'inv']), arg_max(d, p) FROM h WHERE layer = 0 GROUP BY id)
+SELECT id, layer::INT AS layer, pool, round(digest, 6) AS digest FROM k""")
+def hidden_state_pools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hidden states of every turn from an injected provider, here a stand-in, pooled by layer in the task that has them."""
+    pooled = pooled_states(dialogues(spark, sf_dir), WordStates(3, 8), "id", "origin_text")
+    return pooled.select("id", "layer", "pool", micro(digest(F.col("vec")), "digest"))
+
+
+@query("SRC9 TOK1 M8 M10", f"""WITH {DIALOGUES}, t AS (SELECT id, speaker, string_split(origin_text, ' ')[1:128] AS ws FROM dialogues WHERE origin_text IS NOT NULL),
+s AS (SELECT id, speaker, len(ws) AS m, list_sum([length(ws[i]) * i FOR i IN range(1, len(ws) + 1)])::BIGINT AS s FROM t)
+SELECT id, speaker, m::BIGINT AS real_tokens, round(list_sum([((s + j * m) % 101 / 101::DOUBLE)::FLOAT::DOUBLE * (j + 1) FOR j IN range(0, 128)]), 6) AS digest FROM s""")
+def encoded_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as 128 tokens through an injected tokenizer and a batched encoder of 128 dimensions; both are stand-ins here."""
+    rows = tokenized(dialogues(spark, sf_dir).filter("origin_text is not null"), WordLengths(), "origin_text")
+    vectors = encoded(rows, SumEncoder(128), batch=256)
+    real = F.aggregate("mask", F.lit(0), lambda s, x: s + x).cast("long")
+    return vectors.select("id", "speaker", real.alias("real_tokens"), micro(digest(V.as_double(F.col("vector"))), "digest"))
+
+
+def shared_folder(rows: DataFrame) -> str:
+    K.checkpoint_folder(rows)
+    return rows.sparkSession.sparkContext.getCheckpointDir()
+
+
+@query("SRC5 SRC6 SNK8", f"WITH {E_SQL} SELECT vec_id, label, {sql_digest('v')} AS digest FROM e")
+def vector_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled vectors from a cache named by their content: written once to the shared folder, then read."""
+    rows = embeddings(spark, sf_dir)
+    held = tables.cached(spark, f"{shared_folder(rows)}/vectors-{tables.content_key(rows)}", lambda: rows)
+    return held.select("vec_id", "label", micro(digest(F.col("vec")), "digest"))
+
+
+@query("SNK7 AGG11", f"WITH {SEP_SQL} SELECT label, n::BIGINT AS n, round(intra, 6) AS intra_dist, nearest::VARCHAR AS nearest, round(sep, 6) AS separability FROM t")
+def metrics_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics by class as a CSV file with a header, read back."""
+    got = M.separability(embeddings(spark, sf_dir)).select("label", "n", micro(F.col("intra_dist"), "intra_dist"), "nearest", micro(F.col("separability"), "separability"))
+    path = f"{shared_folder(got)}/metrics-{uuid.uuid4().hex}"
+    tables.write_csv(got, path)
+    return spark.read.schema(got.schema).option("header", True).csv(path)

@@ -64,6 +64,13 @@ def label_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
     return roster.select("label", F.explode(F.sequence(F.lit(1), F.least("n", F.lit(25)).cast("int"))).alias("item"))
 
 
+@query("WIN3 AGG4", f"WITH {COUNTS} SELECT source, (sum(n) OVER (ORDER BY source) - n)::BIGINT AS first, (sum(n) OVER (ORDER BY source))::BIGINT AS past FROM c")
+def group_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each group's rows begin and end if groups follow each other by name: a running sum of counts, which are few."""
+    past = F.sum("n").over(W.orderBy("source").rowsBetween(W.unboundedPreceding, 0))
+    return S.counts(docs(spark, sf_dir), "source").select("source", (past - F.col("n")).alias("first"), past.alias("past"))
+
+
 @query("PRJ1 PRJ3 PRJ5 JN2 JN3 M6", """WITH roster(position, speaker, split, alias_of) AS (VALUES (0, 'user', 'train', 'user'), (1, 'assistant', 'train', 'assistant'), (2, 'system', 'gen', 'assistant')),
 l AS (SELECT *, (dense_rank() OVER (PARTITION BY split ORDER BY position) - 1)::INT AS label FROM roster)
 SELECT c.conv_id * 1000 + c.turn AS id, l.alias_of AS speaker, l.split, l.label FROM conversations c JOIN l ON c.role = l.speaker""")

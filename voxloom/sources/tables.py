@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -46,6 +48,14 @@ def cached(spark: SparkSession, path: str, make) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def content_key(rows: DataFrame) -> str:
+    """A name for what a table holds: its columns, the number of its rows, and sums of two hashes of them, in any order."""
+    both = [F.xxhash64(F.lit(i), *rows.columns) for i in (0, 1)]
+    sums = [F.sum(F.shiftright(h, 20)) for h in both]
+    got = rows.agg(F.count("*"), *sums, *[F.bit_xor(h) for h in both]).first()
+    return hashlib.sha256(repr((rows.dtypes, tuple(got))).encode()).hexdigest()[:32]
+
+
 def write_csv(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("header", True).csv(path)
 
