@@ -49,6 +49,28 @@ def test_silhouette_equals_brute_force_in_blocks(spark):
         assert got[i] == pytest.approx((b - a) / max(a, b), abs=1e-9)
 
 
+def test_weighted_sums_over_batches(spark):
+    rng = np.random.default_rng(5)
+    data = [(i % 3, "ab"[i % 2], None if i % 11 == 0 else float(w), None if i % 13 == 0 else v.tolist()) for i, (w, v) in enumerate(zip(rng.random(200), rng.standard_normal((200, 5)), strict=True))]
+    df = spark.createDataFrame(data, "a int, b string, attn double, vec array<double>").repartition(3)
+    want = {}
+    for a, b, w, v in data:
+        if v is not None:
+            sums = want.setdefault((a, b), [np.zeros(5), 0.0])
+            sums[0] += (w or 0) * np.array(v)
+            sums[1] += w or 0
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = P.by_position(df, F.col("attn"), ["a", "b"]).collect()
+        assert P.by_position(df.filter("a > 5"), F.col("attn"), ["a", "b"]).isEmpty()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == 6 * 5
+    for r in got:
+        x, w = want[r["a"], r["b"]]
+        assert r["wx"] == pytest.approx(x[r["dim"]]) and r["w"] == pytest.approx(w)
+
+
 def test_pooling_by_hand(spark):
     rows = spark.createDataFrame([(1, 1, 0, [1.0, 0.0], 0.25), (1, 1, 1, [0.0, 1.0], 0.75), (1, 0, 0, [1.0, 0.0], 0.25), (1, 0, 1, [0.0, 1.0], 0.75)], "s int, layer int, pos int, vec array<double>, attn double")
     want = {"last": (0, 1), "attn": (0.25, 0.75), "comp": (0.75, 0.25), "inv": (0.75, 0.25)}

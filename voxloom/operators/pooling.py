@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,9 +15,27 @@ METHODS = ("last", "attn", "comp", "inv")
 
 
 def by_position(rows: DataFrame, weight: Column, keys: list[str], vector: str = "vec") -> DataFrame:
-    """(keys, dim, value): sums over positions of weight * vector, one row per dimension; nothing is collected."""
-    cells = rows.select(*keys, weight.alias("w"), F.posexplode(V.as_double(F.col(vector))).alias("dim", "x"))
-    return cells.groupBy(*keys, "dim").agg(F.sum(F.col("w") * F.col("x")).alias("wx"), F.sum("w").alias("w"), F.count("*").alias("n"), F.sum("x").alias("x"))
+    """(keys, dim, wx, w): sums over positions of weight * vector, one row per dimension, and of the weights.
+
+    Each batch of rows becomes one row of sums per key before anything is exploded or shuffled. Null vectors and
+    weights add nothing; the vectors have one length.
+    """
+    lean = rows.select(F.xxhash64(*keys).alias("code"), F.struct(*keys).alias("keys"), F.coalesce(weight, F.lit(0.0)).cast("double").alias("w"), V.as_double(F.col(vector)).alias("v")).filter("v is not null")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            w = b.column(2).to_numpy(zero_copy_only=False)
+            x = b.column(3).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1) * w[:, None]
+            _, first, which, n = np.unique(b.column(0).to_numpy(), return_index=True, return_inverse=True, return_counts=True)
+            order, cuts = np.argsort(which, kind="stable"), np.cumsum(n) - n
+            sums = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * x.shape[1], pa.int32()), pa.array(np.add.reduceat(x[order], cuts, axis=0).ravel()))
+            yield pa.RecordBatch.from_arrays([b.column(1).take(pa.array(first)), pa.array(np.add.reduceat(w[order], cuts)), sums], names=["keys", "w", "s"])
+
+    kind = lean.schema["keys"].dataType.simpleString()
+    cells = lean.mapInArrow(run, f"keys {kind}, w double, s array<double>").select("keys.*", "w", F.posexplode("s").alias("dim", "x"))
+    return cells.groupBy(*keys, "dim").agg(F.sum("x").alias("wx"), F.sum("w").alias("w"))
 
 
 def vectors(cells: DataFrame, keys: list[str]) -> DataFrame:
@@ -32,13 +54,13 @@ def attention(rows: DataFrame, keys: list[str], method: str, layer: str = "layer
     """
     if method == "last":
         return last_token(rows, keys)
-    totals = rows.groupBy(*keys).agg(F.sum("attn").alias("total"))
-    share = F.col("attn") / (F.col("total") + 1e-10)
-    weight = {"attn": share, "comp": 1 - share, "inv": 1 / (share + 1e-8)}[method]
-    upper = rows.filter(F.col(layer) > 0).join(totals, keys)
-    norm = F.col("w") if method == "attn" else F.col("w") + 1e-10
-    # the first weights already sum to one; the derived ones are normalised anew
-    value = F.col("wx") if method == "attn" else F.col("wx") / norm
+    upper = rows.filter(F.col(layer) > 0)
+    weight = F.col("attn")  # their sum divides at the end, so no totals have to meet the rows first
+    if method != "attn":
+        upper = upper.join(upper.groupBy(*keys).agg(F.sum("attn").alias("total")), keys)
+        share = F.col("attn") / (F.col("total") + 1e-10)
+        weight = {"comp": 1 - share, "inv": 1 / (share + 1e-8)}[method]
+    value = F.col("wx") / (F.col("w") + 1e-10)
     pooled = vectors(by_position(upper, weight, keys).select(*keys, "dim", value.alias("value")), keys)
     return pooled.unionByName(last_token(rows.filter(F.col(layer) == 0), keys))
 

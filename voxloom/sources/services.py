@@ -111,14 +111,14 @@ class EchoClient:
 
 
 def with_retries(call, tries: int, wait: float):
-    """``call()``, again after ``wait`` times the attempt's number of seconds if it raises, ``tries`` times at most."""
+    """``call()``, again after ``wait`` seconds if it raises, ``tries`` times at most."""
     for attempt in range(1, tries + 1):
         try:
             return call()
         except Exception:
             if attempt == tries:
                 raise
-            time.sleep(wait * attempt)
+            time.sleep(wait)
 
 
 def embedded(rows: DataFrame, embedder: Embedder, text: str = "text", batch: int = 256, tries: int = 3, wait: float = 0.0, name: str = "vector") -> DataFrame:
