@@ -1,3 +1,6 @@
+import random
+from itertools import accumulate
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -23,6 +26,32 @@ def test_pair_similarity(spark, a, b, n, jaccard, edit, mean):
     x, y = F.col("a"), F.col("b")
     got = df.select(X.jaccard(x, y, n), X.edit_similarity(x, y), X.pair_similarity(x, y, n)).first()
     assert [round(v, 6) for v in got] == [jaccard, edit, mean]
+    assert [round(v, 6) for v in df.select(C.pair_scores(x, y, n).alias("s")).select("s.*").first()] == [jaccard, edit]
+
+
+def test_bitwise_edit_distance_equals_the_table():
+    draw = random.Random(7)
+    for size in (0, 1, 5, 63, 64, 65, 130):
+        for _ in range(12):
+            a, b = ("".join(draw.choices("ab我😀 ", k=draw.randint(0, size))) for _ in "ab")
+            row = list(range(len(b) + 1))
+            for i, x in enumerate(a, 1):
+                row = list(accumulate(range(len(b)), lambda left, j, row=row, x=x: min(left + 1, row[j + 1] + 1, row[j] + (x != b[j])), initial=i))
+            assert C.edit_distance(a, b) == row[-1] == C.edit_distance(b, a)
+
+
+def test_scored_once_and_blank_pairs_are_null(spark, capsys):
+    rows = [("abcd", "abce"), ("abcd", " \u3000"), (None, "abcd"), ("", "abcd"), ("我" * 3000, "我" * 2999 + "你")]
+    df = spark.createDataFrame(rows, "a string, b string").select(C.pair_similarity(F.col("a"), F.col("b")).alias("s"))
+    assert [r["s"] if r["s"] is None else round(r["s"], 4) for r in df.collect()] == [round((1 / 3 + 3 / 4) / 2, 4), None, None, None, round((1 / 2 + 2999 / 3000) / 2, 4)]
+    df.filter("s > 0.5").explain()
+    assert capsys.readouterr().out.count("ArrowEvalPython") == 1
+
+
+def test_white_space_is_pythons(spark):
+    assert sorted(X.SPACES) == [c for c in map(chr, range(0x110000)) if c.isspace()]
+    df = spark.createDataFrame([(f"{c}a{c}b{c}{c}",) for c in X.SPACES], "t string")
+    assert {tuple(r) for r in df.select(F.substring(X.strip(F.col("t")), 3, 9), F.char_length(X.strip(F.col("t"))), X.drop_spaces(F.col("t"))).collect()} == {("b", 3, "ab")}
 
 
 def test_multiset_jaccard(spark):

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import math
-import re
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,22 +14,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..session import shared_folder
 from . import metrics as M
 
 #: Class centroids that Ward linkage takes: it needs the distances of all pairs, 8 bytes each, in one task.
 WARD_ROWS = 5000
 
 
-def checkpoint_folder(rows: DataFrame) -> None:
-    """Set the checkpoint folder: the session's shared one, or for a local master only a temporary one."""
-    sc = rows.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        shared = rows.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not shared and not re.fullmatch(r"local(\[.*\])?", sc.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="voxloom-"))
-
-
 def sweep_range(rows: int) -> list[int]:
     """The numbers of clusters that are tried: 2 to 30, below the number of rows."""
     return list(range(2, min(31, rows)))
@@ -43,7 +32,7 @@ def kmeans_sweep(rows: DataFrame, ks: list[int] | None, key: str, vector: str =
     ``ks``: by default ``sweep_range`` of the rows. The last two columns mark the k with the largest value, ties to the
     smaller k.
     """
-    checkpoint_folder(rows)
+    shared_folder(rows.sparkSession)
     x = rows.select(key, vector, array_to_vector(vector).alias("_x")).checkpoint()
     out = []
     for k in ks or sweep_range(x.count()):
@@ -106,7 +95,7 @@ def diagonal_mixture(rows: DataFrame, k: int, vector: str = "vec", seed: int = 4
 
 def mixture_sweep(rows: DataFrame, ks: list[int] | None = None, vector: str = "vec", seed: int = 42) -> DataFrame:
     """(k, covariance, log_likelihood, bic, best) of Gaussian mixtures: full covariances where rows exceed k * (d + 1), else diagonal ones."""
-    checkpoint_folder(rows)
+    shared_folder(rows.sparkSession)
     x = rows.select(vector, array_to_vector(vector).alias("_x")).checkpoint()
     n, d = x.count(), x.select(F.size(vector).alias("d")).first()["d"]
     out = []
@@ -196,7 +185,7 @@ def close_pairs(rows: DataFrame, key: str, vector: str = "vec") -> DataFrame:
 
 def smallest_reachable(nodes: DataFrame, edges: DataFrame, key: str) -> DataFrame:
     """(key, component): the smallest key reachable, by rounds of neighbours' minima, each written to the checkpoint folder."""
-    checkpoint_folder(nodes)
+    shared_folder(nodes.sparkSession)
     both = edges.union(edges.select("b", "a")).toDF("u", "v").checkpoint()
     state = nodes.select(F.col(key).alias("u"), F.col(key).alias("component")).checkpoint()
     while True:

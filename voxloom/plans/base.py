@@ -38,9 +38,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def dialogues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, speaker, origin_text, para_text): conversation turns, with the next turn in place of a paraphrase."""
+def dialogues(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
+    """(id, speaker, origin_text, para_text): conversation turns, with the next turn in place of a paraphrase.
+
+    ``spread`` is for work whose time grows with the square of a text: the window's own shuffle then has
+    spark.sql.shuffle.partitions parts, which adaptive execution doesn't merge by their few bytes.
+    """
     turns = table(spark, sf_dir, "conversations")
+    if spread:
+        turns = turns.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "conv_id")
     return turns.select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("id"),
         F.col("role").alias("speaker"),

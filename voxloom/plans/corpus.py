@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,6 +11,8 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import corpus as C
 from ..operators.sampling import numbered
+from ..session import shared_folder
+from ..sources import tables
 from .base import DIALOGUES, dialogues, micro, query, sql_strip, table
 
 LINES_SQL = "lines AS (SELECT unnest(string_split(text, chr(10))) AS line FROM documents)"
@@ -53,17 +57,40 @@ def import_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.import_summary(dialogues(spark, sf_dir))
 
 
-@query("AGG5 SRC1", "WITH k AS (SELECT text, count(*) AS n FROM documents GROUP BY text) SELECT (count(*) FILTER (WHERE n > 1))::BIGINT AS duplicated_keys, coalesce(sum(n - 1) FILTER (WHERE n > 1), 0)::BIGINT AS surplus_rows FROM k")
+@query("AGG5", "WITH k AS (SELECT text, count(*) AS n FROM documents GROUP BY text) SELECT (count(*) FILTER (WHERE n > 1))::BIGINT AS duplicated_keys, coalesce(sum(n - 1) FILTER (WHERE n > 1), 0)::BIGINT AS surplus_rows FROM k")
 def dup_key_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.duplicate_stats(table(spark, sf_dir, "documents"), "text")
 
 
-@query("SRC1 SNK1 SNK2", "SELECT conv_id * 1000 + turn AS raw_id, role AS speaker, text AS origin_text FROM conversations")
-def raw_json_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns as raw JSON records (I, S, T), parsed by the record schema."""
+def raw_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as raw JSON records with the keys I, S and T, in the order of the table."""
     turns = table(spark, sf_dir, "conversations")
-    raw = turns.select(F.to_json(F.struct((F.col("conv_id") * 1000 + F.col("turn")).alias("I"), F.col("role").alias("S"), F.col("text").alias("T"))).alias("value"))
-    return C.parse_records(raw)
+    return turns.select(F.to_json(F.struct((F.col("conv_id") * 1000 + F.col("turn")).alias("I"), F.col("role").alias("S"), F.col("text").alias("T"))).alias("value"))
+
+
+@query("SRC1 M1", "SELECT conv_id * 1000 + turn AS raw_id, role AS speaker, text AS origin_text FROM conversations")
+def raw_json_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw JSON records, parsed by the record schema."""
+    return C.parse_records(raw_records(spark, sf_dir))
+
+
+@query("SNK1 SNK2 AGG7 M1 M2", """SELECT row_number() OVER (ORDER BY conv_id, turn)::BIGINT AS id, coalesce(role, '') AS speaker, text AS origin_text, true AS pending FROM conversations""")
+def imported_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw records as a new dialogue table, written in place of any older one and read back; ids follow the records' order."""
+    records = raw_records(spark, sf_dir).select(F.from_json("value", tables.RECORD).alias("r")).select("r.*")
+    path = f"{shared_folder(spark)}/dialogues-{uuid.uuid4().hex}"
+    tables.write_table(tables.as_dialogues(records), path)
+    return spark.read.parquet(path).select("id", "speaker", "origin_text", (F.col("para_text").isNull() & F.col("similarity").isNull()).alias("pending"))
+
+
+@query("SNK6 FIL7", f"WITH {DIALOGUES} SELECT '[ID: ' || id || '] [' || r || '] ' || speaker || ': ' || coalesce(origin_text, '') AS report FROM (SELECT *, {reason_sql('origin_text')} AS r FROM (SELECT id, speaker, CASE WHEN id % 3 = 0 THEN ' ……' WHEN id % 3 = 1 THEN '——' ELSE origin_text END AS origin_text FROM dialogues)) WHERE r IS NOT NULL AND r <> 'too_short'")
+def report_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of what cleaning removes as a text file, read back; turns whose id isn't 2 modulo 3 say nothing."""
+    said = F.when(F.col("id") % 3 == 0, " ……").when(F.col("id") % 3 == 1, "——").otherwise(F.col("origin_text"))
+    rows = dialogues(spark, sf_dir).select("id", "speaker", said.alias("origin_text"))
+    path = f"{shared_folder(spark)}/report-{uuid.uuid4().hex}"
+    tables.write_report(C.removal_report(rows.filter(X.removal_reason(F.col("origin_text")) != "too_short")).select("report"), path)
+    return spark.read.text(path).withColumnRenamed("value", "report")
 
 
 PAIRS_SQL = f"""{DIALOGUES}, p AS (SELECT id, speaker, origin_text AS a, para_text AS b FROM dialogues
@@ -75,7 +102,7 @@ s AS (SELECT id, speaker, CASE WHEN len(ga) = 0 AND len(gb) = 0 THEN 1.0 ELSE le
 
 
 def text_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = dialogues(spark, sf_dir).select("id", "speaker", F.col("origin_text").alias("a"), F.col("para_text").alias("b"))
+    cut = dialogues(spark, sf_dir, spread=True).select("id", "speaker", F.col("origin_text").alias("a"), F.col("para_text").alias("b"))
     return cut.filter(F.col("b").isNotNull() & (X.strip(F.col("a")) != "") & (X.strip(F.col("b")) != ""))
 
 
@@ -85,13 +112,12 @@ def ascii_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scores_of(pairs: DataFrame) -> DataFrame:
-    a, b = F.col("a"), F.col("b")
-    scored = pairs.select("id", X.jaccard(a, b).alias("jaccard"), X.edit_similarity(a, b).alias("edit"))
+    scored = pairs.select("id", C.pair_scores(F.col("a"), F.col("b")).alias("s")).select("id", "s.*")
     return scored.select("id", micro(F.col("jaccard"), "jaccard"), micro(F.col("edit"), "edit"), micro((F.col("jaccard") + F.col("edit")) / 2, "similarity"))
 
 
 def stats_of(pairs: DataFrame) -> DataFrame:
-    return C.similarity_stats(pairs.select("speaker", X.scored_pair(F.col("a"), F.col("b")).alias("similarity")), "speaker")
+    return C.similarity_stats(pairs.select("speaker", C.pair_similarity(F.col("a"), F.col("b")).alias("similarity")), "speaker")
 
 
 @query("STR1 STR2 STR4 STR5 STR6 STR7 FIL6 M3")
@@ -122,7 +148,7 @@ gb AS (SELECT id, g, count(*) AS n FROM (SELECT id, unnest([b[i:i+2] FOR i IN ra
 j AS (SELECT coalesce(ga.id, gb.id) AS id, coalesce(ga.n, 0) AS x, coalesce(gb.n, 0) AS y FROM ga FULL JOIN gb ON ga.id = gb.id AND ga.g = gb.g)
 SELECT p.id, round(coalesce(s.v, 1.0), 6) AS multiset_jaccard FROM p LEFT JOIN (SELECT id, sum(least(x, y))::DOUBLE / sum(greatest(x, y)) AS v FROM j GROUP BY id) s ON p.id = s.id""")
 def multiset_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = dialogues(spark, sf_dir).filter("para_text is not null").select("id", F.col("origin_text").alias("a"), F.col("para_text").alias("b"))
+    pairs = dialogues(spark, sf_dir, spread=True).filter("para_text is not null").select("id", F.col("origin_text").alias("a"), F.col("para_text").alias("b"))
     return C.multiset_jaccard(pairs, 3).select("id", micro(F.col("score"), "multiset_jaccard"))
 
 
@@ -168,7 +194,7 @@ def pending_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def updated_by(pairs: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = pairs.select("id", X.scored_pair(F.col("a"), F.col("b")).alias("similarity"))
+    scores = pairs.select("id", C.pair_similarity(F.col("a"), F.col("b")).alias("similarity"))
     current = dialogues(spark, sf_dir).withColumn("similarity", F.lit(None).cast("double"))
     out = C.updated(current, scores, "id", "similarity")
     return out.select("id", micro(F.col("similarity"), "similarity"), F.col("similarity").isNull().alias("still_pending"))

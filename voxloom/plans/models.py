@@ -12,6 +12,7 @@ from ..operators import clustering as K
 from ..operators import metrics as M
 from ..operators import reduction as R
 from ..operators import training as T
+from ..session import shared_folder
 from ..sources import tables
 from ..sources.services import CountEmbedder, SumEncoder, WordLengths, WordStates, embedded, encoded, pooled_states, tokenized
 from .base import DIALOGUES, dialogues, micro, query
@@ -167,16 +168,11 @@ def encoded_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.select("id", "speaker", real.alias("real_tokens"), micro(digest(V.as_double(F.col("vector"))), "digest"))
 
 
-def shared_folder(rows: DataFrame) -> str:
-    K.checkpoint_folder(rows)
-    return rows.sparkSession.sparkContext.getCheckpointDir()
-
-
 @query("SRC5 SRC6 SNK8", f"WITH {E_SQL} SELECT vec_id, label, {sql_digest('v')} AS digest FROM e")
 def vector_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled vectors from a cache named by their content: written once to the shared folder, then read."""
     rows = embeddings(spark, sf_dir)
-    held = tables.cached(spark, f"{shared_folder(rows)}/vectors-{tables.content_key(rows)}", lambda: rows)
+    held = tables.cached(spark, f"{shared_folder(spark)}/vectors-{tables.content_key(rows)}", lambda: rows)
     return held.select("vec_id", "label", micro(digest(F.col("vec")), "digest"))
 
 
@@ -184,6 +180,6 @@ def vector_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
 def metrics_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metrics by class as a CSV file with a header, read back."""
     got = M.separability(embeddings(spark, sf_dir)).select("label", "n", micro(F.col("intra_dist"), "intra_dist"), "nearest", micro(F.col("separability"), "separability"))
-    path = f"{shared_folder(got)}/metrics-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/metrics-{uuid.uuid4().hex}"
     tables.write_csv(got, path)
     return spark.read.schema(got.schema).option("header", True).csv(path)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import zipfile
@@ -34,6 +35,17 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for materialised stages: the session's spark.checkpoint.dir, else, for a local master only, a temporary one."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="voxloom-"))
+    return sc.getCheckpointDir()
+
+
 def local_session(cores: str | int = 8, partitions: int = 8, memory: str = "8g", **conf: str) -> SparkSession:
     """A local session with the settings that tests and benches use."""
     builder = SparkSession.builder.master(f"local[{cores}]").appName("voxloom")

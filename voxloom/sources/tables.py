@@ -56,6 +56,11 @@ def content_key(rows: DataFrame) -> str:
     return hashlib.sha256(repr((rows.dtypes, tuple(got))).encode()).hexdigest()[:32]
 
 
+def write_table(rows: DataFrame, path: str) -> None:
+    """A table written anew in place of any older one; tasks that fail leave nothing of theirs, and _SUCCESS marks the whole."""
+    rows.write.mode("overwrite").parquet(path)
+
+
 def write_csv(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("header", True).csv(path)
 

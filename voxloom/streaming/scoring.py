@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions import text as X
+from ..operators import corpus as C
 
 PAIRS = "id long, speaker string, origin_text string, para_text string"
 
@@ -17,7 +17,7 @@ def pending_pairs(spark: SparkSession, folder: str, schema: str = PAIRS, files_p
 
 def scored(pairs: DataFrame, n: int = 3) -> DataFrame:
     """Pairs with their similarity; blank ones get null and are marked, so that no later run asks for them again."""
-    s = X.scored_pair(F.col("origin_text"), F.col("para_text"), n)
+    s = C.pair_similarity(F.col("origin_text"), F.col("para_text"), n)
     return pairs.withColumn("similarity", s).withColumn("skipped", F.col("similarity").isNull())
 
 
