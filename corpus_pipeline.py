@@ -2,6 +2,10 @@
 
 Every stage's rows are written as Parquet and read again as the next stage's ``docs``. All stages but the last
 return the columns of ``documents``; the last returns the pieces of packed token sequences.
+
+In every stage a null text counts as an empty one, texts are read whole however long, repeated rows are judged each (only
+near-dedup drops them), other columns pass through whatever their names, and an empty table gives no rows. Rows with
+a null id are kept by line dedup, near-dedup and decontamination, and are packed.
 """
 
 from __future__ import annotations
@@ -18,7 +22,10 @@ LEAST_QUALITY = 0.3
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose quality score, by a model learned from the labelled ones, is at least ``LEAST_QUALITY``."""
+    """Documents whose quality score, by a model learned from the labelled ones, is at least ``LEAST_QUALITY``.
+
+    Without labelled documents every score is 0.5 and all stay; an empty text is scored by its zero counts.
+    """
     model = quality.train_texts(docs, table(spark, sf_dir, "labels"))
     return docs.filter(model.score_text(F.col("text")) >= LEAST_QUALITY)
 
@@ -31,18 +38,21 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies: five-word shingles, a similarity of 0.8 or more."""
+    """The document with the smallest id of each group of near copies: five-word shingles, a similarity of 0.8 or more.
+
+    Of rows that repeat the survivor's id one stays; ties can't arise, as ids order the group.
+    """
     ship(spark)
     return near_copies.keep_one(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark item is found."""
+    """Documents in which no benchmark item is found; without items all stay."""
     return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of packed sequences."""
+    """The pieces of packed sequences; an empty text is one piece, its end token."""
     ship(spark)
     return packing.packed(docs)
 
