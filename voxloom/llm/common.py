@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import re
-import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -15,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import shared_folder, ship
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -38,17 +36,6 @@ def id_remainder(doc_id: str | Column, modulus: int) -> Column:
     return F.crc32(col.cast("string")) % modulus
 
 
-def checkpoint_root(spark: SparkSession) -> str:
-    """The shared checkpoint folder: the session's own if set, else, for a local master only, a temporary one."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if not shared and not re.fullmatch(r"local(\[.*\])?", sc.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="voxloom-"))
-    return sc.getCheckpointDir()
-
-
 class Stage:
     """A materialised intermediate result: Parquet in the shared checkpoint folder.
 
@@ -57,7 +44,7 @@ class Stage:
 
     def __init__(self, df: DataFrame):
         self.spark = df.sparkSession
-        self.path = f"{checkpoint_root(self.spark)}/stage-{uuid.uuid4().hex}"
+        self.path = f"{shared_folder(self.spark)}/stage-{uuid.uuid4().hex}"
         df.write.parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 

@@ -41,8 +41,8 @@ def keep_bitmaps(docs: DataFrame, mode: str = "all", min_docs: int = 10, min_cha
     position stays and later ones go (``min_docs`` is then not used). ``drop_runs`` is the run-length
     compressed bitmap: runs (first, last) of line numbers from 0 that go, all others stay; documents that
     aren't returned keep every line. A document is a row's (doc_col, text): rows that repeat both are one document and
-    share a bitmap. Null ids form documents of their own, null and empty texts are one empty line, and an
-    empty table gives no rows. Other columns of ``docs`` are not read.
+    share a bitmap. Null ids form documents of their own, null and empty texts are one empty line, very long texts
+    are split whole, and an empty table gives no rows. Other columns of ``docs`` are not read.
     """
     if mode not in ("all", "first"):
         raise ValueError(f"mode must be all or first, not {mode!r}")
