@@ -253,6 +253,18 @@ def test_every_stage_takes_awkward_and_empty_tables(spark, sf_dir, request, kind
     assert counts[1] == docs.count() and counts[2] == (5 if kind == "awkward" else 0) and counts[3] == docs.count()
 
 
+def test_every_stage_keeps_rows_without_an_id(spark, sf_dir, awkward):
+    import corpus_pipeline
+
+    nameless = awkward.filter("doc_id < 3").withColumn("doc_id", F.lit(None).cast("long"))
+    docs = awkward.unionByName(nameless).withColumn("node", F.lit(1)).withColumn("key", F.lit("k"))
+    lost = nameless.count()
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        docs = common.materialise(stage(spark, docs, sf_dir))
+        assert {"node", "key"} <= set(docs.columns) and docs.filter("doc_id is null").count() == lost
+    assert corpus_pipeline.packing_stage(spark, docs, sf_dir).filter("doc_id is null").count() >= lost
+
+
 def test_neighbours_recall_at_defaults(spark):
     """Over 10,000 vectors without structure, the hardest kind, with a crowd of equal ones; nothing is compared whole."""
     rng = np.random.default_rng(15)
