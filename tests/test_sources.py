@@ -144,3 +144,21 @@ def test_pilot_report_by_hand(spark):
     assert (r["success_rate"], r["length_change"], r["cache_rate"]) == (0.5, -25.0, 20.0)
     assert (r["input_tokens_for_all"], r["output_tokens_for_all"], r["seconds_for_all"]) == (500, 1000, 4.0)
     assert r["mean_similarity"] == round((1 + (0 + 0.5) / 2) / 2, 6)
+
+
+def test_settings_have_defaults_and_required_keys():
+    given = {"api": {"base_url": "u", "api_key": "k-1", "model": "m", "more": 1}, "prompt": {"system": "s"}}
+    got = services.read_settings(json.dumps(given))
+    assert (got.api.temperature, got.api.max_tokens, got.prompt.user_template, got.processing) == (0.7, 4096, "{lines}", services.Processing(50, 3, 5, 3))
+    assert services.read_settings(json.dumps(given | {"processing": {"batch_size": 75}})).processing.batch_size == 75
+    for key, error in (("", ValueError), ("sk-xxxx", ValueError)):
+        with pytest.raises(error):
+            services.read_settings(json.dumps(given | {"api": given["api"] | {"api_key": key}}))
+    with pytest.raises(KeyError, match="prompt.system"):
+        services.read_settings(json.dumps(given | {"prompt": {}}))
+
+
+def test_concurrency_bounds_the_tasks(spark):
+    rows = spark.range(40).select("id", F.lit("A").alias("speaker"), F.lit("abcd").alias("origin_text"))
+    out = corpus.paraphrased(rows, services.EchoClient(), batch_size=5, concurrency=3)
+    assert out.rdd.getNumPartitions() == 3 and out.filter("status = 'ok'").count() == 40

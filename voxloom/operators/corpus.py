@@ -218,7 +218,7 @@ def spread_sample(rows: DataFrame, batch: str, order: Column, total: int) -> Dat
     return rows.withColumn("_turn", turn).filter(F.col("_turn") <= each).orderBy(batch, "_turn").limit(total).drop("_turn")
 
 
-def paraphrased(rows: DataFrame, client, batch_size: int = 75, retries: int = 3, delay: float = 0.0) -> DataFrame:
+def paraphrased(rows: DataFrame, client, batch_size: int = 75, retries: int = 3, delay: float = 0.0, concurrency: int | None = None) -> DataFrame:
     """One row per dialogue (batch, id, status, attempts, text, errors), through an injected client.
 
     Rows with a blank speaker or no text never reach the client: their status is ``unusable``. Others go in batches of
@@ -226,6 +226,7 @@ def paraphrased(rows: DataFrame, client, batch_size: int = 75, retries: int = 3,
     strict prompt, after ``delay`` seconds; after ``RateLimited`` after ``delay`` times the number of the attempt; after
     any other error after ``delay``. ``errors`` are the responses that failed, as "attempt: reason: response" (the
     dead-letter log). ``client`` has ``paraphrase(lines, strict) -> str`` and may raise; it is pickled to the tasks.
+    At most ``concurrency`` batches are with the client at a time, if that is given: so many tasks there are.
     """
     line = X.prompt_line(F.col("speaker"), F.col("origin_text"))
     keyed = rows.select("id", "speaker", line.alias("line")).withColumn("usable", F.col("line").isNotNull())
@@ -257,7 +258,8 @@ def paraphrased(rows: DataFrame, client, batch_size: int = 75, retries: int = 3,
         out["errors"] = [errors] * len(out)
         return out.astype({"attempts": "int32"})
 
-    return turned.groupBy("usable", "batch").applyInPandas(attempt, BATCH_RESULT)
+    dealt = turned if concurrency is None else turned.repartition(concurrency, "usable", "batch")
+    return dealt.groupBy("usable", "batch").applyInPandas(attempt, BATCH_RESULT)
 
 
 class RateLimited(Exception):

@@ -13,6 +13,7 @@ from ..operators import corpus as C
 from ..operators.sampling import numbered
 from ..session import shared_folder
 from ..sources import tables
+from ..sources.services import EchoClient, read_settings
 from .base import DIALOGUES, dialogues, micro, query, sql_strip, table
 
 LINES_SQL = "lines AS (SELECT unnest(string_split(text, chr(10))) AS line FROM documents)"
@@ -302,20 +303,20 @@ def spread_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.spread_sample(named, "batch", F.col("id"), 10).select("batch", "id")
 
 
-@query("EXT1 SNK9 STR12 STR13")
-def paraphrase_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Paraphrase batches through an injected client; rows that can't be used come back with their reason."""
-    from ..sources.services import EchoClient
+#: Settings of the stand-in client, which needs no address or key.
+SETTINGS = """{"api": {"base_url": "none", "api_key": "none", "model": "echo"}, "prompt": {"system": "Paraphrase."}, "processing": {"batch_size": 25, "retry_delay": 0}}"""
 
-    return C.paraphrased(dialogues(spark, sf_dir), EchoClient(), batch_size=25)
 
+@query("EXT1 SNK9 STR12 STR13 M14")
+def paraphrase_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paraphrase batches through an injected client; rows that can't be used come back with their reason."""
+    p = read_settings(SETTINGS).processing
+    return C.paraphrased(dialogues(spark, sf_dir), EchoClient(), p.batch_size, p.max_retries, p.retry_delay, p.concurrency)
 
 
 @query("EXT3 EXT1 AGG14")
 def pilot_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A pilot of the first 30 batches through an injected client, without a write; the number of batches is the operator."""
-    from ..sources.services import EchoClient
-
     pending = dialogues(spark, sf_dir).filter("para_text is null").orderBy("id").limit(30 * 25)
     done = C.paraphrased(pending, EchoClient(), batch_size=25)
     joined = done.join(pending.select("id", "origin_text"), "id").filter("status <> 'unusable'")

@@ -7,8 +7,10 @@ never from this package. The classes here are deterministic stand-ins for tests
 from __future__ import annotations
 
 import hashlib
+import json
 import time
 from collections.abc import Iterator
+from dataclasses import MISSING, dataclass, fields
 from typing import Protocol
 
 import numpy as np
@@ -20,6 +22,58 @@ from pyspark.sql import functions as F
 from ..operators.pooling import METHODS, pad_tokens
 
 
+@dataclass(frozen=True)
+class Api:
+    """How a paraphrase service is reached. The defaults here and below are fixed values."""
+
+    base_url: str
+    api_key: str
+    model: str
+    temperature: float = 0.7
+    max_tokens: int = 4096
+    reasoning: dict | None = None
+
+    def __post_init__(self) -> None:
+        if not self.api_key.rsplit("-", 1)[-1].strip("x "):
+            raise ValueError("api.api_key must be a real key")
+
+
+@dataclass(frozen=True)
+class Processing:
+    batch_size: int = 50
+    max_retries: int = 3
+    retry_delay: float = 5
+    concurrency: int = 3
+
+
+@dataclass(frozen=True)
+class Prompt:
+    system: str
+    user_template: str = "{lines}"
+    strict: str = ""
+
+
+@dataclass(frozen=True)
+class Settings:
+    api: Api
+    prompt: Prompt
+    processing: Processing = Processing()
+
+
+def read_settings(text: str) -> Settings:
+    """Settings from JSON with the parts api, prompt and, if wanted, processing; a KeyError names what is missing, other keys are ignored."""
+    data = json.loads(text)
+
+    def part(kind: type, name: str):
+        given = data[name] if name != "processing" else data.get(name, {})
+        lacking = [f.name for f in fields(kind) if f.default is MISSING and f.name not in given]
+        if lacking:
+            raise KeyError(f"{name}.{lacking[0]}")
+        return kind(**{f.name: given[f.name] for f in fields(kind) if f.name in given})
+
+    return Settings(part(Api, "api"), part(Prompt, "prompt"), part(Processing, "processing"))
+
+
 class Embedder(Protocol):
     def embed(self, texts: list[str]) -> list[list[float]]: ...
 
