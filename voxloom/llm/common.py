@@ -101,6 +101,22 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return stars.union(stage.df.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
+def spread_join(left: DataFrame, right: DataFrame, key: str, rows: str, share: int = 1000) -> DataFrame:
+    """``left`` with the columns of ``right``, which has one row for each key of ``left`` (null too) and, in ``rows``, its number there.
+
+    A key of more than one in ``share`` of all rows is hot. There are fewer than ``share`` of them at any size, so their rows
+    of ``right`` are broadcast, and no task of the join that remains meets a hot key. Both sides are read twice.
+    """
+    right = materialise(right)
+    total = right.agg(F.sum(rows)).first()[0] or 0
+    other, number = fresh("_key", [*left.columns, *right.columns]), F.col(rows) * share
+    named = right.withColumnRenamed(key, other)
+    hot, same = F.broadcast(named.filter(number > total)), F.col(key).eqNullSafe(F.col(other))
+    busy = left.join(hot, same).drop(other, rows)
+    rest = left.join(hot.select(other), same, "left_anti").join(named.filter(number <= total), same).drop(other, rows)
+    return busy.unionByName(rest)
+
+
 def fresh(name: str, taken: Iterable[str]) -> str:
     """A column name that none of ``taken`` has, ignoring case."""
     used = {c.lower() for c in taken}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, language_id, line_dedup, neighbours, packing, quality, sharding, simhash, token_counts, url_filter
+from . import decontam, language_id, line_dedup, neighbours, packing, quality, sharding, simhash, token_counts, url_filter, vector_codes
 from .common import id_remainder, materialise, table
 
 
@@ -59,6 +59,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compressed(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_url_filter": op2_url_filter,
@@ -70,5 +74,6 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_neighbours": op9_neighbours,
     "op10_line_dedup": op10_line_dedup,
+    "op11_vector_codes": op11_vector_codes,
 }
-ORACLE_SQL = {"op2_url_filter": url_filter.ORACLE_SQL, "op10_line_dedup": line_dedup.ORACLE_SQL}
+ORACLE_SQL = {"op2_url_filter": url_filter.ORACLE_SQL, "op10_line_dedup": line_dedup.ORACLE_SQL, "op11_vector_codes": vector_codes.ORACLE_SQL}
