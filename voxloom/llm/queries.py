@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, language_id, line_dedup, neighbours, packing, quality, sharding, simhash, token_counts, url_filter, vector_codes
+from . import decontam, language_id, line_dedup, neighbours, packing, phrases, quality, sharding, simhash, token_counts, url_filter, vector_codes
 from .common import id_remainder, materialise, table
 
 
@@ -63,6 +63,10 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.compressed(table(spark, sf_dir, "embeddings"))
 
 
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mined(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_url_filter": op2_url_filter,
@@ -75,5 +79,11 @@ QUERIES = {
     "op9_neighbours": op9_neighbours,
     "op10_line_dedup": op10_line_dedup,
     "op11_vector_codes": op11_vector_codes,
+    "op12_phrases": op12_phrases,
+}
+ORACLE_SQL = {
+    "op2_url_filter": url_filter.ORACLE_SQL,
+    "op10_line_dedup": line_dedup.ORACLE_SQL,
+    "op11_vector_codes": vector_codes.ORACLE_SQL,
+    "op12_phrases": phrases.ORACLE_SQL,
 }
-ORACLE_SQL = {"op2_url_filter": url_filter.ORACLE_SQL, "op10_line_dedup": line_dedup.ORACLE_SQL, "op11_vector_codes": vector_codes.ORACLE_SQL}
