@@ -94,5 +94,6 @@ def test_pairs_need_both_ids():
 def test_empty_table_and_no_phrases(spark, empty):
     assert phrases.mined(empty).count() == 0
     assert phrases.mined(spark.createDataFrame([("en", "a b c")], "lang string, text string")).count() == 0
-    with pytest.raises(ValueError, match="two words"):
-        phrases.mined(empty, max_words=1)
+    for wrong in ({"max_words": 1}, {"size": 0}, {"size": phrases.CHUNK + 1}):
+        with pytest.raises(ValueError, match="two words"):
+            phrases.mined(empty, **wrong)

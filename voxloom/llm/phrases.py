@@ -2,15 +2,16 @@
 
 1. Tasks turn texts into chunks: the distinct words of about ``CHUNK`` consecutive words of a language, and the sequence of
    their places. Everything global happens on distinct words and pairs of a chunk, so a very frequent one is one row a chunk.
-2. Words of at least ``min_count`` occurrences get a global id; it is joined to the chunks' distinct words and replaces them.
-3. Level k names pairs: adjacent (k-1)-gram ids of a chunk that are both frequent are a candidate k-gram. Pairs are counted
-   over all chunks, the frequent ones get an id (``names``: id, a, b, f), and that is joined back for the next level.
+2. Words of at least ``min_count`` occurrences get a global id, that of the first chunk and place that has them; it is joined
+   to the chunks and replaces them.
+3. Level k names pairs: adjacent (k-1)-gram ids of a chunk that are both frequent are a candidate k-gram. One shuffle by
+   pair counts it over all chunks and names it (``named``: id, a, b, f); the names go back to their chunks for the next level.
 4. A name's pair is also its two parents, the phrase without its last and without its first word. Following them gives the
    counts of all beginnings and ends (``grams``), so that cuts need no search by text, and tells which phrases a longer one
    contains: counts don't grow with length, so one that is one word longer stands for all longer ones.
 
-No part is counted in fewer texts than there are: a chunk that ends within a piece repeats the words that phrases of its
-own last words need, but counts only phrases that begin before them.
+A chunk that ends within a piece repeats the words that phrases of its own last words need, but counts only phrases that
+begin before them, so no phrase is lost or counted twice.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ from .common import ASCII_LOWER, ASCII_UPPER, lean, materialise, spread_join, wi
 MAX_WORDS, MIN_COUNT, COVER, TOP = 3, 10, 50, 2000
 #: Words of a task's chunks, and bytes of text that are cut into words at a time.
 CHUNK, WINDOW_BYTES = 1 << 21, 1 << 20
+#: Bits of a place in a chunk, which is below CHUNK and the words of a window, and of a chunk's number in its task.
+PLACE_BITS, NUMBER_BITS = 22, 18
 #: Parts in which the first phrases of a language are found before they meet.
 SALTS = 64
 #: What separates pieces, and a byte that no UTF-8 text has to stand for it.
@@ -101,7 +104,7 @@ def chunks(docs: DataFrame, lang_col: str, text_col: str, max_words: int, size:
         return pa.RecordBatch.from_arrays(columns, names=["chunk", "lang", "n", "own", "codes", "words", "counts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, held, total, taken = TaskContext.get().partitionId() << 33, {}, 0, 0
+        number, held, total, taken = TaskContext.get().partitionId() << NUMBER_BITS, {}, 0, 0
         for b in windows(batches, WINDOW_BYTES):
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()), strict=True):
                 for words in words_in_windows(text.as_py() or b"", WINDOW_BYTES):
@@ -142,41 +145,60 @@ def pair_codes(codes: np.ndarray, own: int, ids: np.ndarray) -> tuple[np.ndarray
     return out, ids[pairs // len(ids)], ids[pairs % len(ids)], np.bincount(place[at < own], minlength=len(pairs))
 
 
-def paired(named: DataFrame, last: bool) -> DataFrame:
-    """Chunks with the global ids of their places (found: place, id) to chunks of the next level, without codes if it is the last."""
+SEQUENCE = "chunk long, n int, own int, codes binary, ids array<long>"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(b.num_rows):
-                n, own, found = b.column(1)[i].as_py(), b.column(2)[i].as_py(), b.column(4)[i].values
-                codes = unpacked(b.column(3)[i], n)
-                ids = np.full(int(codes.max(initial=0)) + 1, -1, np.int64)
-                ids[found.field(0).to_numpy() + 1] = found.field(1).to_numpy()
-                codes, left, right, counts = pair_codes(codes, own, ids)
-                if len(left):
-                    columns = [b.column(0).slice(i, 1), pa.array([len(codes)], pa.int32()), pa.array([own], pa.int32()), pa.array([None if last else packed(codes)], pa.binary())]
-                    yield pa.RecordBatch.from_arrays([*columns, *map(long_list, (left, right, counts))], names=["chunk", "n", "own", "codes", "a", "b", "counts"])
 
-    return named.select("chunk", "n", "own", "codes", "found").mapInArrow(lean(run), "chunk long, n int, own int, codes binary, a array<long>, b array<long>, counts array<long>")
+def sequence(chunk: int, own: int, codes: np.ndarray, ids: np.ndarray) -> pa.Table:
+    """A chunk as one row: codes, and the global id of each code's place (-1: none)."""
+    columns = [pa.array([chunk], pa.int64()), pa.array([len(codes)], pa.int32()), pa.array([own], pa.int32()), pa.array([packed(codes)], pa.binary()), long_list(ids)]
+    return pa.Table.from_arrays(columns, names=["chunk", "n", "own", "codes", "ids"])
 
 
-def exploded(level: DataFrame, *columns: str) -> DataFrame:
-    """(chunk, place, *columns, c): one row for each distinct word or pair of a chunk."""
-    zipped = F.arrays_zip(*[F.col(c) for c in columns if c != "lang"], "counts")
-    kept = level.select("chunk", *([F.col("lang")] if "lang" in columns else []), F.posexplode(zipped).alias("place", "x"))
-    return kept.select("chunk", "place", *[F.col(c) if c == "lang" else F.col(f"x.{c}").alias(c) for c in columns], F.col("x.counts").alias("c"))
+def fields(rows: pa.Table | pa.RecordBatch, i: int) -> tuple[int, int, np.ndarray, np.ndarray]:
+    """(chunk, own, codes, ids) of a row."""
+    r = {c: rows.column(c)[i] for c in ("chunk", "n", "own", "codes")}
+    ids = rows.column("ids")[i].values.to_numpy() if "ids" in rows.schema.names else np.zeros(0, np.int64)
+    return r["chunk"].as_py(), r["own"].as_py(), unpacked(r["codes"], r["n"].as_py()), ids
 
 
-def named(rows: DataFrame, keys: list[str], min_count: int) -> DataFrame:
-    """(id, *keys, f) of keys of at least ``min_count`` occurrences. Ids are fixed as they are written."""
-    counted = rows.groupBy(*keys).agg(F.sum("c").alias("f")).filter(F.col("f") >= min_count)
-    return materialise(counted.select(F.monotonically_increasing_id().alias("id"), *keys, "f"))
+def renamed(level: DataFrame, found: DataFrame, pairs: bool) -> DataFrame:
+    """The next level's chunks: places of words, or of pairs (``pairs``) of ``level``, with the ids that ``found`` (at, id) gives them."""
+
+    def join(chunk: pa.Table, named: pa.Table) -> pa.Table:
+        if not chunk.num_rows or not named.num_rows:
+            return sequence(0, 0, np.zeros(0, np.int32), np.zeros(0, np.int64)).slice(0, 0)
+        number, own, codes, ids = fields(chunk, 0)
+        if pairs:
+            codes = pair_codes(codes, own, ids)[0]
+        fresh_ids = np.full(int(codes.max(initial=0)) + 1, -1, np.int64)
+        fresh_ids[(named.column("at").to_numpy() & ((1 << PLACE_BITS) - 1)) + 1] = named.column("id").to_numpy()
+        return sequence(number, own, np.where(fresh_ids[codes] >= 0, codes, 0).astype(np.int32), fresh_ids)
+
+    keyed = found.select(F.shiftright("at", PLACE_BITS).alias("chunk"), "at", "id")
+    kept = level.select("chunk", "n", "own", "codes", *(["ids"] if pairs else []))
+    return kept.groupBy("chunk").cogroup(keyed.groupBy("chunk")).applyInArrow(join, SEQUENCE)
+
 
+def pairs_of(level: DataFrame) -> DataFrame:
+    """(at, a, b, c): each chunk's distinct pairs of adjacent ids, where they are, and their number."""
 
-def with_ids(level: DataFrame, rows: DataFrame, names: DataFrame, keys: list[str]) -> DataFrame:
-    """Chunks with ``found``: the global ids of those of their places that have one."""
-    found = rows.join(names, keys).select("chunk", "place", "id").groupBy("chunk").agg(F.collect_list(F.struct("place", "id")).alias("found"))
-    return level.select("chunk", "n", "own", "codes").join(found, "chunk")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                chunk, own, codes, ids = fields(b, i)
+                _, left, right, counts = pair_codes(codes, own, ids)
+                at = (chunk << PLACE_BITS) + np.arange(len(left))
+                for k in range(0, len(left), 1 << 16):
+                    yield pa.RecordBatch.from_arrays([pa.array(c[k : k + (1 << 16)]) for c in (at, left, right, counts)], names=["at", "a", "b", "c"])
+
+    return level.mapInArrow(lean(run), "at long, a long, b long, c long")
+
+
+def named(rows: DataFrame, keys: list[str], min_count: int) -> DataFrame:
+    """(at, id, *keys, f) of rows whose keys have at least ``min_count`` occurrences; the smallest ``at`` is the id."""
+    same = W.partitionBy(*keys)
+    counted = rows.withColumn("f", F.sum("c").over(same)).withColumn("id", F.min("at").over(same))
+    return materialise(counted.filter(F.col("f") >= min_count).select("at", "id", *keys, "f"))
 
 
 def parents(names: DataFrame, side: str, shorter: DataFrame, columns: list[str]) -> DataFrame:
@@ -215,19 +237,26 @@ def mined(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", max_w
     occurrences is left out. Rows that repeat count each, very long texts are cut where a chunk ends without losing a
     phrase, and an empty table gives no rows. Other columns are ignored, whatever their names.
     """
-    if max_words < 2:
-        raise ValueError("a phrase has at least two words")
-    level = materialise(chunks(docs, lang_col, text_col, max_words, size))
-    counted = level.groupBy("lang").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda x, y: x + y)).alias("n"))
-    rows, keys = exploded(level, "lang", "words").withColumnRenamed("words", "word"), ["lang", "word"]
-    names = named(rows, keys, min_count)
+    if max_words < 2 or not 1 <= size <= CHUNK:
+        raise ValueError(f"a phrase has at least two words, a chunk at most {CHUNK}")
+    first = materialise(chunks(docs, lang_col, text_col, max_words, size))
+    counted = first.groupBy("lang").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda x, y: x + y)).alias("n"))
+    words = first.select("chunk", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("place", "x"))
+    at = F.shiftleft("chunk", PLACE_BITS) + F.col("place")
+    rows = named(words.select(at.alias("at"), "lang", F.col("x.words").alias("word"), F.col("x.counts").alias("c")), ["lang", "word"], min_count)
     none = F.array().cast("array<long>")
-    shorter = names.select("id", "lang", F.col("word").alias("text"), F.col("word").alias("last"), "f", none.alias("begins"), none.alias("ends"))
-    found: list[DataFrame] = []
+    shorter = rows.filter("at = id").select("id", "lang", F.col("word").alias("text"), F.col("word").alias("last"), "f", none.alias("begins"), none.alias("ends"))
+    level, found = renamed(first, rows, False), []
     for k in range(2, max_words + 1):
-        level = materialise(paired(with_ids(level, rows, names, keys), k == max_words))
-        rows, keys = exploded(level, "a", "b"), ["a", "b"]
-        names = named(rows, keys, min_count)
+        if k == max_words:
+            # the last level names nothing in the chunks: counts by pair are enough
+            total = pairs_of(level).groupBy("a", "b").agg(F.sum("c").alias("f"), F.min("at").alias("id"))
+            names = materialise(total.filter(F.col("f") >= min_count).select("id", "a", "b", "f"))
+        else:
+            level = materialise(level)
+            rows = named(pairs_of(level), ["a", "b"], min_count)
+            names = rows.filter("at = id").select("id", "a", "b", "f")
+            level = renamed(level, rows, True)
         if found:
             longer = names.select(F.col("a").alias("id"), "f").union(names.select("b", "f")).groupBy("id").agg(F.max("f").alias("longest"))
             covered = 100 * F.coalesce("longest", F.lit(0)) >= cover * F.col("f")
