@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, language_id, line_dedup, neighbours, packing, phrases, quality, sharding, simhash, token_counts, url_filter, vector_codes
+from . import decontam, language_id, line_dedup, minhash, neighbours, packing, phrases, quality, sharding, simhash, token_counts, url_filter, vector_codes
 from .common import id_remainder, materialise, table
 
 
@@ -67,6 +67,11 @@ def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.mined(table(spark, sf_dir, "documents"))
 
 
+def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash.components(table(spark, sf_dir, "documents"))
+    return found.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("doc").eqNullSafe(F.col("component")).alias("kept"))
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_url_filter": op2_url_filter,
@@ -80,6 +85,7 @@ QUERIES = {
     "op10_line_dedup": op10_line_dedup,
     "op11_vector_codes": op11_vector_codes,
     "op12_phrases": op12_phrases,
+    "op13_minhash": op13_minhash,
 }
 ORACLE_SQL = {
     "op2_url_filter": url_filter.ORACLE_SQL,
