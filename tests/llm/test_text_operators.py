@@ -420,6 +420,67 @@ def test_decontamination_of_many_occurrences():
     assert hit == (1, 0, 0, 6, 20_000) and time.time() - began < 6
 
 
+def brute_hits(texts, items):
+    """Whether any item lies in a text within its budget of edits, by a whole table of distances for each pair."""
+    out = []
+    for text in texts:
+        words = np.array(decontam.words_of(text), object)
+        steps = np.arange(len(words) + 1)
+        hit = False
+        for item in items:
+            pattern = decontam.words_of(item)
+            row = np.zeros(len(words) + 1, np.int64)
+            for i, w in enumerate(pattern):
+                best = np.minimum(row[:-1] + (words != w), row[1:] + 1) if len(words) else np.zeros(0, np.int64)
+                row = np.minimum.accumulate(np.r_[i + 1, best] - steps) + steps
+            hit |= bool(pattern) and bool(row.min() <= decontam.budget(len(pattern)))
+        out.append(hit)
+    return out
+
+
+def library_ids(texts):
+    library = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
+    return [[*library.encode(t or "", add_special_tokens=False).ids, packing.END_ID] for t in texts]
+
+
+def test_brute_hits_equal_brute_distance():
+    random.seed(4)
+    items = [" ".join(random.choices("abc", k=random.randint(3, 8))) for _ in range(9)]
+    texts = [" ".join(random.choices("abcd", k=random.randint(0, 20))) for _ in range(40)]
+    want = [any(brute_distance(decontam.words_of(x), decontam.words_of(t)) <= decontam.budget(len(x.split())) for x in items) for t in texts]
+    assert brute_hits(texts, items) == want and any(want) and not all(want)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_keep_one_where_ids_repeat_with_other_texts(spark, seed):
+    """No text is lost that has no copy among the kept rows, and no two kept rows are copies."""
+    rng = random.Random(seed)
+    base = [f"w{i}" for i in range(40)]
+    a, b, c = (" ".join(rng.choices(base, k=60)) for _ in range(3))
+    near = lambda t, i: " ".join([*t.split()[:i], "other", *t.split()[i + 1 :]])
+    rows = [(3, a), (7, a), (7, b), (9, c), (9, near(c, 20)), (5, near(b, 0)), (7, b), (3, c.upper()), (11, "short text"), (11, None), (12, ""), (11, "Short  text"), (None, a), (None, a)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, t1 string").repartition(4)
+    got = [tuple(r)[:2] for r in near_copies.keep_one(df).collect()]
+    named = [r for r in rows if r[0] is not None]
+    sets = [set(near_copies.shingle_set(t).tolist()) for _, t in named]
+    comp = list(range(len(named)))
+    for _ in comp:
+        for i in comp:
+            for j, s in enumerate(sets):
+                if sets[i] == s or len(sets[i] & s) >= 0.8 * len(sets[i] | s):
+                    comp[i] = comp[j] = min(comp[i], comp[j])
+    groups = {}
+    for i, r in zip(comp, named, strict=True):
+        groups.setdefault(i, []).append(r)
+    kept = [r for r in got if r[0] is not None]
+    assert len(kept) == len(groups) and all(sum(r in g for r in kept) == 1 for g in groups.values())
+    assert all(any(r in g and r[0] == min(x[0] for x in g) for r in kept) for g in groups.values())
+    assert sorted(r[1] for r in got if r[0] is None) == [a, a]
+    by_row = {tuple(r) for r in near_copies.components(df).filter("doc is not null").distinct().collect()}
+    assert by_row == {(r[0], min(x[0] for x in g)) for g in groups.values() for r in g}
+
+
 def test_clean_in_blocks(spark):
     bench = spark.createDataFrame([(i, f"item{i} of the long benchmark number{i}") for i in range(6)], "item_id long, text string")
     docs = docs_of(spark, [f"say item{i} of the long benchmark number{i} now" for i in range(6)] + ["clean text", None])

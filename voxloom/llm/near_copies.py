@@ -65,7 +65,7 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, doc_col: str, text_col: str) -> DataFrame:
-    """(doc, w1, w2, fp, n, keys): hashes of the words, SimHash and size of the shingle set, keys."""
+    """(doc, t1, t2, w1, w2, fp, n, keys): hashes of text and words, SimHash and size of the shingle set, keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in windows(batches, WINDOW_BYTES):
@@ -77,10 +77,15 @@ def sketches(docs: DataFrame, doc_col: str, text_col: str) -> DataFrame:
                 ints[:, i] = np.array([*words_hash(text), fp, len(s)], np.uint64).view(np.int64)
                 keys[i] = band_keys(s)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * BANDS, pa.int32()), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, ints), lists], names=["doc", "w1", "w2", "fp", "n", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), *map(pa.array, ints), lists], names=["doc", "t1", "t2", "w1", "w2", "fp", "n", "keys"])
 
-    kept = docs.select(F.col(doc_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    return kept.mapInArrow(lean(run), "doc long, w1 long, w2 long, fp long, n long, keys array<long>")
+    kept = docs.select(F.col(doc_col).cast("long").alias("doc"), F.col(text_col).alias("text"), *text_hashes(text_col))
+    return kept.mapInArrow(lean(run), "doc long, t1 long, t2 long, w1 long, w2 long, fp long, n long, keys array<long>")
+
+
+def text_hashes(text_col: str) -> list[Column]:
+    """What tells different texts of one id apart, (t1, t2)."""
+    return [F.xxhash64(F.lit(seed), text_col).alias(name) for seed, name in enumerate(("t1", "t2"))]
 
 
 def words_hash(text: str | None) -> tuple[int, int]:
@@ -89,22 +94,16 @@ def words_hash(text: str | None) -> tuple[int, int]:
 
 
 def sets_of(docs: DataFrame, nodes: DataFrame, doc_col: str, text_col: str) -> DataFrame:
-    """(node, shingles) of the documents named by ``nodes`` (node, w1, w2)."""
+    """(node, shingles) of ``nodes`` (node, doc, t1, t2), each read from one row with its id and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in windows(batches, WINDOW_BYTES):
-            texts = [t.as_py() for t in b.column(1)]
-            words = np.array([words_hash(t) for t in texts], np.uint64).view(np.int64).reshape(-1, 2)
-            own = np.flatnonzero((words[:, 0] == b.column(2).to_numpy()) & (words[:, 1] == b.column(3).to_numpy()))
-            if len(own):
-                sets = [shingle_set(texts[i]).view(np.int64) for i in own]
-                ends = np.r_[0, np.cumsum([len(x) for x in sets])]
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(own)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets)))], names=["node", "shingles"])
-
-    texts = docs.select(F.col(doc_col).cast("long").alias("node"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
-    named = texts.join(nodes.select("node", "w1", "w2"), "node")
-    # an id may repeat, with the same text or with others; the set is that of the node's own words
-    once = named.dropDuplicates(["node", "w1", "w2", "h"]).select("node", "text", "w1", "w2")
+            sets = [shingle_set(t.as_py()).view(np.int64) for t in b.column(1)]
+            ends = np.r_[0, np.cumsum([len(x) for x in sets])]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets)))], names=["node", "shingles"])
+
+    texts = docs.select(F.col(doc_col).cast("long").alias("doc"), F.col(text_col).alias("text"), *text_hashes(text_col))
+    once = texts.join(nodes.select("node", "doc", "t1", "t2"), ["doc", "t1", "t2"]).dropDuplicates(["doc", "t1", "t2"]).select("node", "text")
     return once.mapInArrow(lean(run), "node long, shingles array<long>")
 
 
@@ -249,7 +248,7 @@ def relabelled(members: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def linked(docs: DataFrame, nodes: DataFrame, doc_col: str, text_col: str, similarity: float, part: int) -> DataFrame:
-    """(node, component) of those of nodes (node, w1, w2, fp, n, keys) that have links, by verified links."""
+    """(node, component) of those of nodes (node, doc, t1, t2, fp, n, keys) that have links, by verified links."""
     pair = "a long, b long, la long, lb long"
     keyed = nodes.filter("n > 0").select("node", "fp", "n", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("total"), F.min("node").alias("low")).filter("total > 1")
@@ -270,33 +269,49 @@ def linked(docs: DataFrame, nodes: DataFrame, doc_col: str, text_col: str, simil
 
 
 def classes(docs: DataFrame, doc_col: str, text_col: str, similarity: float, part: int) -> tuple[DataFrame, DataFrame]:
-    """The sketches (doc, w1, w2, ...) of all rows, and (w1, w2, node, component) of each distinct sequence of words."""
+    """The sketches (doc, t1, t2, w1, w2, ...) of all rows, and (w1, w2, doc, t1, t2, component) of each distinct sequence of words.
+
+    Each sequence is a node with a number of its own, whatever ids hold it; (doc, t1, t2) is the smallest row that does.
+    """
     seen = materialise(sketches(docs, doc_col, text_col))
-    nodes = materialise(seen.filter("doc is not null").groupBy("w1", "w2").agg(F.min("doc").alias("node"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("keys").alias("keys")))
+    firsts = [F.first(c).alias(c) for c in ("fp", "n", "keys")]
+    words = seen.filter("doc is not null").groupBy("w1", "w2").agg(F.min(F.struct("doc", "t1", "t2")).alias("low"), *firsts)
+    nodes = materialise(words.select(F.monotonically_increasing_id().alias("node"), "w1", "w2", "low.*", "fp", "n", "keys"))
     comps = linked(docs, nodes, doc_col, text_col, similarity, part)
-    return seen, nodes.join(comps, "node", "left").select("w1", "w2", "node", F.coalesce("component", "node").alias("component"))
+    return seen, nodes.join(comps, "node", "left").select("w1", "w2", "doc", "t1", "t2", F.coalesce("component", "node").alias("component"))
+
+
+def lowest(of_words: DataFrame) -> DataFrame:
+    """(component, low): the smallest row (doc, t1, t2) of each component."""
+    return of_words.groupBy("component").agg(F.min(F.struct("doc", "t1", "t2")).alias("low"))
 
 
 def components(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, part: int = PART) -> DataFrame:
     """(doc, component) for each row of ``docs``: component is the smallest id of its group of near copies.
 
     Words are as in simhash.py; a text of fewer than five words is one shingle, and texts without words are copies
-    of each other. Very long texts are compared whole. Rows that repeat stay; different texts of one id are one
-    document. A null id takes no part: its row's component is that of an equal text, else null. Other columns are
+    of each other. Very long texts are compared whole. Rows that repeat stay; different texts of one id are different
+    documents. A null id takes no part: its row's component is that of an equal text, else null. Other columns are
     ignored; an empty table gives no rows.
     """
     seen, of_words = classes(docs, doc_col, text_col, similarity, part)
-    return seen.select("doc", "w1", "w2").join(of_words.select("w1", "w2", "component"), ["w1", "w2"], "left").select("doc", "component")
+    named = of_words.join(lowest(of_words), "component").select("w1", "w2", F.col("low.doc").alias("component"))
+    return seen.select("doc", "w1", "w2").join(named, ["w1", "w2"], "left").select("doc", "component")
 
 
 def keep_one(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, part: int = PART) -> DataFrame:
-    """``docs`` with one row for each group of near copies: that whose id names the component.
+    """``docs`` with one row for each group of near copies: one with the smallest id.
 
-    Of rows that repeat that id one stays. Rows with a null id can't name a group; they all stay. Columns stay as they
-    are, whatever their names. Only the ids of survivors are shuffled beside the texts, which meet them in one join.
+    An id may repeat with other texts, which are documents of their own: a survivor is a row's id and text. Of rows that
+    repeat both one stays, and of two texts of the smallest id in one group one, by their hashes. Rows with a null id can't
+    stand for a group; they all stay. Columns stay as they are, whatever their names. An empty table gives no rows.
+    Only the survivors' ids and hashes are shuffled beside the texts, which meet them in one join.
     """
-    name = fresh("_survivor", docs.columns)
+    names = {c: fresh(f"_{c}", docs.columns) for c in ("t1", "t2")}
+    survivor = fresh("_survivor", [*docs.columns, *names.values()])
     _, of_words = classes(docs, doc_col, text_col, similarity, part)
-    kept = of_words.filter("node = component").select(F.col("node").alias(name)).distinct()
-    named = docs.join(kept, F.col(doc_col).cast("long") == F.col(name), "left_semi").dropDuplicates([doc_col])
-    return named.unionByName(docs.filter(F.col(doc_col).isNull()))
+    kept = lowest(of_words).select(F.struct("low.*").alias(survivor))
+    hashed = docs.select("*", *[c.alias(name) for c, name in zip(text_hashes(text_col), names.values(), strict=True)])
+    same = [F.col(doc_col).cast("long") == F.col(f"{survivor}.doc"), *[F.col(name) == F.col(f"{survivor}.{c}") for c, name in names.items()]]
+    named = hashed.join(kept, reduce(Column.__and__, same), "left_semi").dropDuplicates([doc_col, *names.values()])
+    return named.drop(*names.values()).unionByName(docs.filter(F.col(doc_col).isNull()))
