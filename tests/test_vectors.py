@@ -263,3 +263,22 @@ def test_nearest_centroids_in_blocks(spark):
     for block in (M.BLOCK, 8):
         got = {r["label"]: r for r in M.nearest_centroids(cents, block=block).collect()}
         assert len(got) == 9 and all(got[i]["nearest"] == str(d[i].argmin()) and got[i]["distance"] == pytest.approx(d[i].min()) for i in range(9))
+
+
+def test_blocks_of_classes_change_nothing_where_keys_repeat(spark):
+    """Equal keys, labels and vectors are rows of their own, however many passes the classes take."""
+    rng = np.random.default_rng(3)
+    y = rng.integers(0, 7, 60).tolist()
+    x = rng.standard_normal((60, 4)).tolist()
+    rows = [(i % 5, y[i], x[i]) for i in range(60)] + [(1, y[0], x[0]), (1, y[0], x[0]), (None, y[0], x[0]), (None, y[1], x[1])]
+    df = spark.createDataFrame(rows, "id long, label int, vec array<double>")
+    near = lambda d: sorted((str(r["id"]), r["label"], round(r["silhouette"], 9)) for r in d.collect())
+    whole = near(M.silhouette(df, "id"))
+    assert len(whole) == 64 and near(M.silhouette(df, "id", block=2)) == whole == near(M.silhouette(df, "id", block=8))
+    w = spark.createDataFrame([(k, rng.standard_normal(4).tolist()) for k in range(7)], "class int, w array<double>")
+    flat = lambda d: sorted((str(r["id"]), r["label"], *[round(v["logit"], 9) for v in sorted(r["logits"])]) for r in d.collect())
+    whole = flat(M.row_logits(df, w, "id"))
+    assert len(whole) == 64 and flat(M.row_logits(df, w, "id", block=2)) == whole == flat(M.row_logits(df, w, "id", block=8))
+    cents = M.centroids(df, "label")
+    places = lambda d: sorted((r["label"], r["nearest"], round(r["distance"], 9)) for r in d.collect())
+    assert places(M.nearest_centroids(cents, block=2)) == places(M.nearest_centroids(cents))

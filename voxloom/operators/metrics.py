@@ -7,18 +7,21 @@ more passes over the rows, each in tasks of its own.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..functions.text import let
+from ..session import materialised
 
 #: Numbers of a block of class sums, at most.
 BLOCK = 4_000_000
@@ -76,13 +79,32 @@ def class_blocks(sums: DataFrame, label: str, block: int = BLOCK) -> Iterator[pd
         yield pd.DataFrame(part, columns=["label", "n", "sums"])
 
 
-def block_column(vector: Column, label: Column, block: pd.DataFrame, spark) -> Column:
+def by_blocks(rows: DataFrame, blocks: Iterator, scored: Callable[[DataFrame, Broadcast], DataFrame], row: str) -> list[DataFrame]:
+    """``scored(rows, block)`` for each block, with rows numbered in ``row``, as several of them bring a row's parts together.
+
+    One block is one lazy pass. Of several each is a pass of its own, written before the next block is sent, so that the
+    driver and the executors hold one block at a time.
+    """
+    spark, first, second = rows.sparkSession, next(blocks, None), next(blocks, None)
+    if first is None:
+        return []
+    numbered = rows.withColumn(row, F.monotonically_increasing_id())
+    if second is None:
+        return [scored(numbered, spark.sparkContext.broadcast(first))]
+    kept, parts = materialised(numbered), []
+    for block in chain([first, second], blocks):
+        shared = spark.sparkContext.broadcast(block)
+        parts.append(materialised(scored(kept, shared)))
+        shared.destroy()
+    return parts
+
+
+def block_column(vector: Column, label: Column, shared: Broadcast) -> Column:
     """Of one block of classes: similarity to and size of the own class (null if not in it), smallest mean distance to another."""
-    shared = spark.sparkContext.broadcast((block["label"].tolist(), block["n"].to_numpy(float), np.stack(block["sums"].to_list())))
 
     @F.pandas_udf(SILHOUETTE)
     def compare(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        names, n, sums = shared.value
+        names, n, sums = shared.value["label"].tolist(), shared.value["n"].to_numpy(float), np.stack(shared.value["sums"].to_list())
         at = {x: i for i, x in enumerate(names)}
         for v, y in batches:
             if not len(v):
@@ -102,20 +124,23 @@ def block_column(vector: Column, label: Column, block: pd.DataFrame, spark) -> C
 
 
 def silhouette(rows: DataFrame, key: str, label: str = "label", vector: str = "vec", block: int = BLOCK) -> DataFrame:
-    """(key, label, silhouette) by cosine distance: 0 for a class of one row, null if there is one class only."""
-    spark = rows.sparkSession
-    unit = rows.select(key, label, V.unit(F.col(vector)).alias("unit"))
-    sums = class_sums(rows, label, vector)
+    """(key, label, silhouette) of each row by cosine distance: 0 for a class of one row, null if there is one class only.
+
+    Keys may repeat: rows are told apart by a number of their own, however many blocks of classes there are.
+    """
+    unit = rows.select(F.col(key).alias("key"), F.col(label).alias("label"), V.unit(F.col(vector)).alias("unit"))
     square = V.dot(F.col("unit"), F.col("unit")).alias("square")
-    passes = [unit.select(key, label, square, block_column(F.col("unit"), F.col(label), b, spark).alias("p")) for b in class_blocks(sums, label, block)]
+    one = lambda part, shared: part.select("row", "key", "label", square, block_column(F.col("unit"), F.col("label"), shared).alias("p"))
+    passes = by_blocks(unit, class_blocks(class_sums(rows, label, vector), label, block), one, "row")
     if not passes:
-        return unit.select(key, label, F.lit(None).cast("double").alias("silhouette"))
-    scored = reduce(DataFrame.unionByName, passes).select(key, label, "square", F.col("p.own").alias("own"), F.col("p.own_n").alias("n"), F.col("p.other").alias("b"))
+        return unit.select(F.col("key").alias(key), F.col("label").alias(label), F.lit(None).cast("double").alias("silhouette"))
+    scored = reduce(DataFrame.unionByName, passes).select("row", "key", "label", "square", F.col("p.own").alias("own"), F.col("p.own_n").alias("n"), F.col("p.other").alias("b"))
     if len(passes) > 1:
-        scored = scored.groupBy(key, label).agg(F.max("square").alias("square"), F.max("own").alias("own"), F.max("n").alias("n"), F.min("b").alias("b"))
+        same = [F.first(c).alias(c) for c in ("key", "label", "square")]
+        scored = scored.groupBy("row").agg(*same, F.max("own").alias("own"), F.max("n").alias("n"), F.min("b").alias("b"))
     a = ((F.col("n") - 1) - (F.col("own") - F.col("square"))) / F.greatest(F.col("n") - 1, F.lit(1))
     value = F.when(F.col("b").isNull(), None).when(F.col("n") == 1, 0.0).otherwise(F.coalesce(F.try_divide(F.col("b") - a, F.greatest(F.col("b"), a)), F.lit(0.0)))
-    return scored.select(key, label, value.alias("silhouette"))
+    return scored.select(F.col("key").alias(key), F.col("label").alias(label), value.alias("silhouette"))
 
 
 def centroids(rows: DataFrame, label: str = "label", vector: str = "vec") -> DataFrame:
@@ -123,12 +148,11 @@ def centroids(rows: DataFrame, label: str = "label", vector: str = "vec") -> Dat
     return class_sums(rows, label, vector).select(label, "n", V.unit(F.col("sums")).alias("centroid"), "sums", "squares")
 
 
-def nearest_in(cents: DataFrame, label: str, block: pd.DataFrame) -> DataFrame:
+def nearest_in(cents: DataFrame, label: str, shared: Broadcast) -> DataFrame:
     """(label, nearest, distance) within one block of classes; a null distance if it has no other class. Ties go to the smaller label."""
-    shared = cents.sparkSession.sparkContext.broadcast((block["label"].tolist(), np.stack(block["sums"].to_list())))
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, c = shared.value
+        names, c = shared.value["label"].tolist(), np.stack(shared.value["sums"].to_list())
         order = sorted(range(len(names)), key=lambda i: names[i])
         names = [names[i] for i in order]
         place = {x: i for i, x in enumerate(names)}
@@ -153,7 +177,7 @@ def nearest_centroids(cents: DataFrame, label: str = "label", block: int = BLOCK
     Every class is compared with blocks of classes, by the same bounded broadcast as rows are.
     """
     sums = cents.select(label, "n", F.col("centroid").alias("sums"))
-    passes = [nearest_in(cents, label, b) for b in class_blocks(sums, label, block)]
+    passes = by_blocks(cents, class_blocks(sums, label, block), lambda part, shared: nearest_in(part, label, shared), "_row")
     if not passes:
         return cents.select(label, F.lit(None).cast("string").alias("nearest"), F.lit(None).cast("double").alias("distance"))
     found = reduce(DataFrame.unionByName, passes)
@@ -199,38 +223,43 @@ def centred(rows: DataFrame, fitted_on: DataFrame, vector: str = "vec") -> DataF
     return rows.crossJoin(F.broadcast(mean_vector(fitted_on, vector))).withColumn(vector, V.subtract(F.col(vector), F.col("mean"))).drop("mean")
 
 
+def weight_blocks(weights: DataFrame, block: int) -> list[DataFrame]:
+    """Weights (class, w) of unit length in blocks of about ``block`` numbers; classes are dealt by hash."""
+    sides = weights.select("class", V.unit(F.col("w")).alias("w"))
+    size = weights.select(F.max(F.size("w")).alias("d"), F.count("*").alias("n")).first()
+    n = max(1, -(-(size["n"] or 0) * (size["d"] or 1) // block))
+    return [sides.filter(F.pmod(F.xxhash64("class"), F.lit(n)) == at) for at in range(n)] if n > 1 else [sides]
+
+
 def margin_logits(rows: DataFrame, weights: DataFrame, key: str, label: str = "label", vector: str = "vec", scale: float = 30.0, margin: float = 0.5, block: int = BLOCK) -> DataFrame:
     """(key, label, class, logit) of each row and class of ``weights`` (class, w).
 
     Both sides are normalised once, before they meet. Weights are broadcast in blocks of classes of at most ``block``
-    numbers; more classes take more passes over the rows, not more memory.
+    numbers; more classes take more passes over the rows.
     """
-    sides = weights.select("class", V.unit(F.col("w")).alias("w"))
-    width = sides.select(F.max(F.size("w")).alias("d"), F.count("*").alias("n")).first()
-    blocks = max(1, -(-(width["n"] or 0) * (width["d"] or 1) // block))
     units = rows.select(key, label, V.unit(F.col(vector)).alias("unit"))
-    target = F.col("class") == F.col(label)
-    parts = []
-    for at in range(blocks):
-        part = sides if blocks == 1 else sides.filter(F.pmod(F.xxhash64("class"), F.lit(blocks)) == at)
-        grid = units.crossJoin(F.broadcast(part))
-        parts.append(grid.select(key, label, "class", V.margin_logit(V.dot(F.col("unit"), F.col("w")), target, scale, margin).alias("logit")))
-    return reduce(DataFrame.unionByName, parts)
+    logit = V.margin_logit(V.dot(F.col("unit"), F.col("w")), F.col("class") == F.col(label), scale, margin).alias("logit")
+    return reduce(DataFrame.unionByName, [units.crossJoin(F.broadcast(part)).select(key, label, "class", logit) for part in weight_blocks(weights, block)])
 
 
 def row_logits(rows: DataFrame, weights: DataFrame, key: str, label: str = "label", vector: str = "vec", scale: float = 30.0, margin: float = 0.5, block: int = BLOCK) -> DataFrame:
-    """(key, label, logits): one array of (class, logit) a row, for losses and predictions, without a row per class.
+    """(key, label, logits) of each row: one array of (class, logit), for losses and predictions, without a row per class.
 
-    The weights must fit one block; more classes go through ``margin_logits``.
+    Keys may repeat. Weights of several blocks take a pass each; the arrays of a row, which has a number of its own, are
+    joined by one shuffle. An array holds all classes, so they must be few enough for a row.
     """
-    size = weights.select(F.sum(F.size("w")).alias("n")).first()["n"] or 0
-    if size > block:
-        logits = margin_logits(rows, weights, key, label, vector, scale, margin, block)
-        return logits.groupBy(key, label).agg(F.collect_list(F.struct("class", "logit")).alias("logits"))
-    sides = weights.select("class", V.unit(F.col("w")).alias("w")).agg(F.collect_list(F.struct("class", "w")).alias("classes"))
-    units = rows.select(key, label, V.unit(F.col(vector)).alias("unit")).crossJoin(F.broadcast(sides))
-    one = lambda c: F.struct(c["class"].alias("class"), V.margin_logit(V.dot(F.col("unit"), c["w"]), c["class"] == F.col(label), scale, margin).alias("logit"))
-    return units.select(key, label, F.transform("classes", one).alias("logits"))
+    blocks = weight_blocks(weights, block)
+    units = rows.select(F.col(key).alias("key"), F.col(label).alias("label"), V.unit(F.col(vector)).alias("unit"))
+    if len(blocks) > 1:
+        units = materialised(units.withColumn("row", F.monotonically_increasing_id()))
+    one = lambda c: F.struct(c["class"].alias("class"), V.margin_logit(V.dot(F.col("unit"), c["w"]), c["class"] == F.col("label"), scale, margin).alias("logit"))
+    sides = [part.agg(F.collect_list(F.struct("class", "w")).alias("classes")) for part in blocks]
+    parts = [units.crossJoin(F.broadcast(s)).withColumn("logits", F.transform("classes", one)).drop("classes", "unit") for s in sides]
+    joined = parts[0]
+    if len(parts) > 1:
+        logits = F.flatten(F.collect_list("logits")).alias("logits")
+        joined = reduce(DataFrame.unionByName, parts).groupBy("row").agg(F.first("key").alias("key"), F.first("label").alias("label"), logits)
+    return joined.select(F.col("key").alias(key), F.col("label").alias(label), "logits")
 
 
 def cross_entropy(logits: DataFrame, key: str, label: str = "label") -> DataFrame:

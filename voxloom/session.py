@@ -7,10 +7,11 @@ import os
 import re
 import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 PACKAGE = Path(__file__).resolve().parent
 _shipped: set[str] = set()
@@ -46,6 +47,13 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def materialised(df: DataFrame) -> DataFrame:
+    """``df`` as Parquet in the shared folder, read back: its lineage is cut, and a lost executor loses none of it."""
+    path = f"{shared_folder(df.sparkSession)}/rows-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def local_session(cores: str | int = 8, partitions: int = 8, memory: str = "8g", **conf: str) -> SparkSession:
     """A local session with the settings that tests and benches use."""
     builder = SparkSession.builder.master(f"local[{cores}]").appName("voxloom")
