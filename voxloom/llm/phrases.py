@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, ASCII_UPPER, lean, materialise, spread_join, windows
+from .common import ASCII_LOWER, ASCII_UPPER, Stage, lean, materialise, spread_join, windows
 
 MAX_WORDS, MIN_COUNT, COVER, TOP = 3, 10, 50, 2000
 #: Words of a task's chunks, and bytes of text that are cut into words at a time.
@@ -194,11 +194,14 @@ def pairs_of(level: DataFrame) -> DataFrame:
     return level.mapInArrow(lean(run), "at long, a long, b long, c long")
 
 
-def named(rows: DataFrame, keys: list[str], min_count: int) -> DataFrame:
-    """(at, id, *keys, f) of rows whose keys have at least ``min_count`` occurrences; the smallest ``at`` is the id."""
+def named(rows: DataFrame, keys: list[str], min_count: int) -> Stage:
+    """(at, id, *keys, f) of rows whose keys have at least ``min_count`` occurrences; the smallest ``at`` is the id.
+
+    Only that row holds keys and count, as the others just tell their chunk its id.
+    """
     same = W.partitionBy(*keys)
-    counted = rows.withColumn("f", F.sum("c").over(same)).withColumn("id", F.min("at").over(same))
-    return materialise(counted.filter(F.col("f") >= min_count).select("at", "id", *keys, "f"))
+    counted = rows.withColumn("f", F.sum("c").over(same)).withColumn("id", F.min("at").over(same)).filter(F.col("f") >= min_count)
+    return Stage(counted.select("at", "id", *[F.when(F.col("at") == F.col("id"), F.col(c)).alias(c) for c in (*keys, "f")]))
 
 
 def parents(names: DataFrame, side: str, shorter: DataFrame, columns: list[str]) -> DataFrame:
@@ -239,24 +242,33 @@ def mined(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", max_w
     """
     if max_words < 2 or not 1 <= size <= CHUNK:
         raise ValueError(f"a phrase has at least two words, a chunk at most {CHUNK}")
-    first = materialise(chunks(docs, lang_col, text_col, max_words, size))
-    counted = first.groupBy("lang").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda x, y: x + y)).alias("n"))
-    words = first.select("chunk", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("place", "x"))
+    first = Stage(chunks(docs, lang_col, text_col, max_words, size))
+    counted = materialise(first.df.groupBy("lang").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda x, y: x + y)).alias("n")))
+    words = first.df.select("chunk", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("place", "x"))
     at = F.shiftleft("chunk", PLACE_BITS) + F.col("place")
     rows = named(words.select(at.alias("at"), "lang", F.col("x.words").alias("word"), F.col("x.counts").alias("c")), ["lang", "word"], min_count)
     none = F.array().cast("array<long>")
-    shorter = rows.filter("at = id").select("id", "lang", F.col("word").alias("text"), F.col("word").alias("last"), "f", none.alias("begins"), none.alias("ends"))
-    level, found = renamed(first, rows, False), []
+    shorter = materialise(rows.df.filter("at = id").select("id", "lang", F.col("word").alias("text"), F.col("word").alias("last"), "f", none.alias("begins"), none.alias("ends")))
+    held, found = [Stage(renamed(first.df, rows.df, False))], []
+    first.drop()
+    rows.drop()
+    level = held[0].df
     for k in range(2, max_words + 1):
         if k == max_words:
             # the last level names nothing in the chunks: counts by pair are enough
-            total = pairs_of(level).groupBy("a", "b").agg(F.sum("c").alias("f"), F.min("at").alias("id"))
-            names = materialise(total.filter(F.col("f") >= min_count).select("id", "a", "b", "f"))
+            total = pairs_of(level).groupBy("a", "b").agg(F.sum("c").alias("f")).filter(F.col("f") >= min_count)
+            names = materialise(total.select(F.monotonically_increasing_id().alias("id"), "a", "b", "f"))
         else:
-            level = materialise(level)
             rows = named(pairs_of(level), ["a", "b"], min_count)
-            names = rows.filter("at = id").select("id", "a", "b", "f")
-            level = renamed(level, rows, True)
+            names = materialise(rows.df.filter("at = id").select("id", "a", "b", "f"))
+            level, held = renamed(level, rows.df, True), [*held, rows]
+        if k + 1 != max_words:
+            # before the last level chunks are renamed as they are read
+            after = [] if k == max_words else [Stage(level)]
+            for stage in held:
+                stage.drop()
+            held = after
+            level = held[0].df if held else None
         if found:
             longer = names.select(F.col("a").alias("id"), "f").union(names.select("b", "f")).groupBy("id").agg(F.max("f").alias("longest"))
             covered = 100 * F.coalesce("longest", F.lit(0)) >= cover * F.col("f")
