@@ -84,6 +84,22 @@ def test_parsed_responses(spark, response, status, texts):
     assert C.client_lines(response, ["A", "B"]) == (status, texts or [])
 
 
+def test_responses_are_judged_alike_in_plans_and_tasks(spark):
+    rng = random.Random(3)
+    speakers = [[rng.choice(["A", "B", "旅：者"]) for _ in range(rng.randint(1, 4))] for _ in range(300)]
+    ends = ["x", " y ", "", "  ", "：z"]
+    answers = ["\n".join(rng.choice([who, who, who, "C"]) + rng.choice(["：", "：", "：", ":"]) + rng.choice(ends) for who in row) + rng.choice(["", "", "\n\n", "\nA：more"]) for row in speakers]
+    df = spark.createDataFrame(list(zip(range(300), speakers, answers, strict=True)), "id int, speakers array<string>, response string")
+    got = {r["id"]: (r["status"], r["texts"] or []) for r in C.parsed_responses(df).collect()}
+    assert got == {i: C.client_lines(a, s) for i, (s, a) in enumerate(zip(speakers, answers, strict=True))}
+    assert {s for s, _ in got.values()} == {"ok", "count_mismatch", "speaker_mismatch", "empty_text"}
+
+
+@pytest.mark.parametrize(("text", "n"), [('"好"', 1), ("“好”", 3), ("  a b　", 2), ("，。！？；：（）【】《》、·…—", 0), ("a-b", 3), (None, 0), ("", 0)])
+def test_meaningful_length(spark, text, n):
+    assert spark.createDataFrame([(text,)], "t string").select(X.meaningful_length(F.col("t"))).first()[0] == n
+
+
 def test_prompt_line_needs_a_speaker(spark):
     df = spark.createDataFrame([(" A ", "x\r\ny "), ("  ", "x"), ("A", None)], "s string, t string")
     assert [r[0] for r in df.select(X.prompt_line(F.col("s"), F.col("t"))).collect()] == ["A：x y", None, None]

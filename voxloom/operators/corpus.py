@@ -231,7 +231,7 @@ def paraphrased(rows: DataFrame, client, batch_size: int = 75, retries: int = 3,
     line = X.prompt_line(F.col("speaker"), F.col("origin_text"))
     keyed = rows.select("id", "speaker", line.alias("line")).withColumn("usable", F.col("line").isNotNull())
     # numbered apart, so that batches are full whatever the ids and the unusable rows
-    turned = numbered(keyed, "id", "usable").select("*", F.floor((F.col("number") - 1) / batch_size).alias("batch"))
+    turned = numbered(keyed, [F.asc("id")], "usable").select("*", F.floor((F.col("number") - 1) / batch_size).alias("batch"))
 
     def attempt(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id")
@@ -268,15 +268,8 @@ class RateLimited(Exception):
 
 def client_lines(answer: str, speakers: list[str]) -> tuple[str, list[str]]:
     """Status and texts of one response; the rules of ``parsed_responses``, where a task must decide on a retry."""
-    lines = [x for x in answer.split("\n") if x.strip()]
-    if len(lines) != len(speakers):
-        return "count_mismatch", []
-    out = []
-    for line, who in zip(lines, speakers, strict=True):
-        head = f"{who.strip()}："
-        if not line.startswith(head):
-            return "speaker_mismatch", []
-        if not line[len(head) :].strip():
-            return "empty_text", []
-        out.append(line[len(head) :].strip())
-    return "ok", out
+    lines = [line for line in answer.split("\n") if line.strip()]
+    said = [line.removeprefix(f"{who.strip()}：").strip() if line.startswith(f"{who.strip()}：") else None for line, who in zip(lines, speakers, strict=False)]
+    states = ["count_mismatch"] if len(lines) != len(speakers) else ["speaker_mismatch" if text is None else "ok" if text else "empty_text" for text in said]
+    status = next((s for s in states if s != "ok"), "ok")
+    return status, said if status == "ok" else []

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import sample_key
+from ..session import materialised
 
 #: Least row count of a tier and the sample it gets, largest first.
 TIERS = ((10_000, 1000), (1000, 150), (200, 50))
@@ -27,20 +28,62 @@ def ordered(rows: DataFrame, by: str, key: str, seed: int, name: str = "turn") -
     return placed.withColumn(name, F.col("_begin") + F.col("_row")).drop("_k", "_b", "_g", "_p", "_begin", "_row")
 
 
-def numbered(rows: DataFrame, key: str, by: str | None = None, name: str = "number", span: int = 4096) -> DataFrame:
-    """``rows`` numbered from 1 in the order of a whole-number key, within ``by`` if given; other columns stay.
+def apart(rows: DataFrame) -> str:
+    """A beginning of names that no column of ``rows`` has."""
+    p = "_"
+    while any(c.startswith(p) for c in rows.columns):
+        p += "_"
+    return p
 
-    Rows are counted per stretch of ``span`` keys and numbered within those from where the stretch begins, so neither a
-    large group nor the whole table is sorted by one task. Keys may have gaps and repeat (repeated rows in any order).
+
+def placed(rows: DataFrame, keys: list[Column], p: str) -> DataFrame:
+    """``rows`` written in the order of ``keys``, with the range partition (part) and the place in it (row) of each, names after ``p``.
+
+    Ranges come from a sample of the keys, so partitions are even whatever the keys are; only rows of equal keys share one.
     """
-    group = F.lit(0) if by is None else F.col(by)
-    keyed = rows.withColumn("_g", group).withColumn("_p", F.floor(F.col(key) / span))
-    sizes = keyed.groupBy("_g", "_p").agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(W.partitionBy("_g").orderBy("_p").rowsBetween(W.unboundedPreceding, -1))
-    begins = sizes.select(F.col("_g").alias("_h"), F.col("_p").alias("_q"), F.coalesce(before, F.lit(0)).alias("_begin"))
-    row = F.row_number().over(W.partitionBy("_g", "_p").orderBy(key))
-    placed = keyed.withColumn("_row", row).join(begins, F.col("_g").eqNullSafe(F.col("_h")) & F.col("_p").eqNullSafe(F.col("_q")))
-    return placed.withColumn(name, F.col("_begin") + F.col("_row")).drop("_g", "_p", "_h", "_q", "_begin", "_row")
+    ranged = rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    kept = materialised(ranged.withColumn(f"{p}at", F.monotonically_increasing_id()))
+    return kept.withColumn(f"{p}part", F.shiftright(f"{p}at", 33)).withColumn(f"{p}row", F.col(f"{p}at").bitwiseAND((1 << 33) - 1)).drop(f"{p}at")
+
+
+def before_parts(sizes: DataFrame, p: str = "_") -> DataFrame:
+    """(part, begin): the sum of ``n`` over the parts before each, of rows (part, n): as many as there are partitions."""
+    total, out = 0, []
+    for part, n in sorted(map(tuple, sizes.collect())):
+        out.append((part, total))
+        total += n
+    return F.broadcast(sizes.sparkSession.createDataFrame(out, f"{p}part long, {p}begin long"))
+
+
+def numbered(rows: DataFrame, order: list[Column], by: str | None = None, name: str = "number") -> DataFrame:
+    """``rows`` numbered from 1 in the order of any columns, within ``by`` if given; other columns stay.
+
+    Two passes: rows are range-partitioned by group and order and sorted there, and a number is the row's place in its
+    partition plus the rows of its group in the partitions before. So neither a large group nor the whole table is sorted by one
+    task; what meets is one count for each group and partition that holds some of it. Keys may be of any type and size, have
+    gaps, be null and repeat (equal rows in any order). Each run writes the rows once, in the session's shared folder.
+    """
+    p = apart(rows)
+    part, row, begin = f"{p}part", f"{p}row", f"{p}begin"
+    if by is None:
+        done = placed(rows, order, p)
+        joined = done.join(before_parts(done.groupBy(part).agg(F.count("*").alias("n")), p), part)
+    else:
+        done, group, there = placed(rows, [F.col(by).asc(), *order], p), f"{p}group", f"{p}there"
+        sizes = done.groupBy(F.col(by).alias(group), F.col(part).alias(there)).agg(F.count("*").alias("n"), F.min(row).alias("first"))
+        before = F.sum("n").over(W.partitionBy(group).orderBy(there).rowsBetween(W.unboundedPreceding, -1))
+        begins = sizes.select(group, there, (F.coalesce(before, F.lit(0)) - F.col("first")).alias(begin))
+        joined = done.join(begins, F.col(by).eqNullSafe(F.col(group)) & (F.col(part) == F.col(there))).drop(group, there)
+    return joined.withColumn(name, F.col(begin) + F.col(row) + 1).drop(part, row, begin)
+
+
+def running_total(rows: DataFrame, order: list[Column], value: str, name: str) -> DataFrame:
+    """``rows`` with the sum of a whole-number column up to and with each row, in the order of ``order``: in parts, as ``numbered``."""
+    p = apart(rows)
+    done = placed(rows, order, p)
+    begins = before_parts(done.groupBy(f"{p}part").agg(F.coalesce(F.sum(value), F.lit(0)).alias("n")), p)
+    within = F.sum(value).over(W.partitionBy(f"{p}part").orderBy(f"{p}row").rowsBetween(W.unboundedPreceding, 0))
+    return done.join(begins, f"{p}part").withColumn(name, F.col(f"{p}begin") + F.coalesce(within, F.lit(0))).drop(f"{p}part", f"{p}row", f"{p}begin")
 
 
 def sample(rows: DataFrame, by: str, key: str, n: int | Column, seed: int = 42) -> DataFrame:
@@ -56,12 +99,8 @@ def counts(rows: DataFrame, by: str) -> DataFrame:
 
 
 def ranked(rows: DataFrame, by: str) -> DataFrame:
-    """(by, n, rank): groups by descending count, ties by name. One row per group meets in the window, not one per row.
-
-    As for ``labels``, ``split_groups`` and ``pk_batches``, groups are speakers: one task ranks them, so that many millions
-    of groups are more than it is meant for.
-    """
-    return counts(rows, by).withColumn("rank", F.row_number().over(W.orderBy(F.desc("n"), by)))
+    """(by, n, rank): groups by descending count, ties by name; numbered in parts, however many groups there are."""
+    return numbered(counts(rows, by), [F.desc("n"), F.asc(by)], name="rank")
 
 
 def tier_size(n: Column) -> Column:
@@ -72,16 +111,16 @@ def tier_size(n: Column) -> Column:
     return out
 
 
-def labels(groups: DataFrame, by: str, order: Column) -> DataFrame:
+def labels(groups: DataFrame, order: list[Column]) -> DataFrame:
     """Dense labels from 0 for a roster of groups."""
-    return groups.withColumn("label", (F.row_number().over(W.orderBy(order)) - 1).cast("int"))
+    return numbered(groups, order, name="label").withColumn("label", (F.col("label") - 1).cast("int"))
 
 
 def split_groups(groups: DataFrame, order: list[Column], ratio: float) -> DataFrame:
     """The first floor(ratio * groups) groups are train, the others val: whole groups by rank."""
-    everything = W.partitionBy()
-    rank = F.row_number().over(W.orderBy(*order))
-    return groups.withColumn("split", F.when(rank <= F.floor(F.count("*").over(everything) * ratio), "train").otherwise("val"))
+    ranks = numbered(groups, order, name="_rank")
+    cut = groups.agg(F.floor(F.count("*") * ratio).alias("_cut"))
+    return ranks.crossJoin(F.broadcast(cut)).withColumn("split", F.when(F.col("_rank") <= F.col("_cut"), "train").otherwise("val")).drop("_rank", "_cut")
 
 
 def split_within(rows: DataFrame, by: str, key: str, ratio: float, seed: int = 42) -> DataFrame:
@@ -106,8 +145,9 @@ def split_fixed(rows: DataFrame, by: str, key: str, train: int, val: int, seed:
 
 def pk_batches(rows: DataFrame, by: str, key: str, p: int, k: int, seed: int = 42) -> DataFrame:
     """(batch, group, item, key): groups shuffled, ``p`` per batch (an incomplete last batch is left out), ``k`` items each, cycling."""
-    groups = counts(rows, by).withColumn("_r", F.row_number().over(W.orderBy(sample_key(seed, F.col(by)), by)) - 1)
-    whole = groups.withColumn("_all", F.count("*").over(W.partitionBy())).filter(F.col("_r") < F.floor(F.col("_all") / p) * p)
+    sizes = materialised(counts(rows, by))
+    groups = numbered(sizes, [sample_key(seed, F.col(by)), F.asc(by)], name="_r").withColumn("_r", F.col("_r") - 1)
+    whole = groups.crossJoin(F.broadcast(sizes.agg(F.count("*").alias("_all")))).filter(F.col("_r") < F.floor(F.col("_all") / p) * p)
     wanted = whole.select(by, F.floor(F.col("_r") / p).alias("batch"), F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("item"), "n")
     turned = ordered(rows, by, key, seed).select(by, F.col(key), F.col("turn"))
     return wanted.withColumn("turn", (F.pmod("item", "n") + 1)).join(turned, [by, "turn"]).select("batch", by, "item", key)
@@ -116,14 +156,14 @@ def pk_batches(rows: DataFrame, by: str, key: str, p: int, k: int, seed: int = 4
 def triplets(rows: DataFrame, by: str, key: str, n: int, seed: int = 42) -> DataFrame:
     """(draw, anchor, positive, negative): uniform group, two of its rows, and a row of another group, by hashing the draw."""
     turned = ordered(rows, by, key, seed).select(F.col(by).alias("g"), F.col(key).alias("k"), "turn")
-    groups = counts(rows, by).filter("n >= 2").withColumn("at", F.row_number().over(W.orderBy(by)) - 1).withColumn("all", F.count("*").over(W.partitionBy())).select(F.col(by).alias("g"), "n", "at", "all")
+    groups = materialised(numbered(counts(rows, by).filter("n >= 2"), [F.asc(by)], name="at").select(F.col(by).alias("g"), "n", (F.col("at") - 1).alias("at")))
     pick = lambda salt, m: F.pmod(F.xxhash64("draw", F.lit(salt), F.lit(seed)), m)
     total = groups.agg(F.count("*").alias("total"))
     draws = rows.sparkSession.range(n).withColumnRenamed("id", "draw").crossJoin(F.broadcast(total)).filter("total > 1")
     draws = draws.withColumn("at", pick(1, F.col("total"))).withColumn("other", F.pmod(F.col("at") + 1 + pick(2, F.col("total") - 1), F.col("total")))
     own = groups.select("at", F.col("g").alias("own"), F.col("n").alias("own_n"))
     away = groups.select(F.col("at").alias("other"), F.col("g").alias("away"), F.col("n").alias("away_n"))
-    drawn = draws.join(F.broadcast(own), "at").join(F.broadcast(away), "other")
+    drawn = draws.join(own, "at").join(away, "other")
     drawn = drawn.withColumn("a", pick(3, F.col("own_n")) + 1).withColumn("p", F.pmod(F.col("a") + pick(4, F.col("own_n") - 1), F.col("own_n")) + 1).withColumn("m", pick(5, F.col("away_n")) + 1)
     for col, group, name in (("a", "own", "anchor"), ("p", "own", "positive"), ("m", "away", "negative")):
         drawn = drawn.join(turned.select(F.col("g").alias(group), F.col("turn").cast("long").alias(col), F.col("k").alias(name)), [group, col])

@@ -84,13 +84,14 @@ def imported_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path).select("id", "speaker", "origin_text", (F.col("para_text").isNull() & F.col("similarity").isNull()).alias("pending"))
 
 
-@query("SNK6 FIL7", f"WITH {DIALOGUES} SELECT '[ID: ' || id || '] [' || r || '] ' || speaker || ': ' || coalesce(origin_text, '') AS report FROM (SELECT *, {reason_sql('origin_text')} AS r FROM (SELECT id, speaker, CASE WHEN id % 3 = 0 THEN ' ……' WHEN id % 3 = 1 THEN '——' ELSE origin_text END AS origin_text FROM dialogues)) WHERE r IS NOT NULL AND r <> 'too_short'")
+@query("SNK6 FIL7", f"""WITH {DIALOGUES} SELECT '[ID: ' || id || '] [' || CASE WHEN r = 'too_short' THEN 'too_short(' || length({sql_strip('origin_text')}) || ')' ELSE r END || '] ' || speaker || ': ' || replace(replace(coalesce(origin_text, ''), chr(10), '\\n'), chr(13), '\\r') AS report
+  FROM (SELECT *, {reason_sql('origin_text')} AS r FROM (SELECT id, speaker, CASE WHEN id % 3 = 0 THEN ' ……' WHEN id % 3 = 1 THEN '——' WHEN id % 5 = 0 THEN chr(10) || left(origin_text, 3) || chr(13) ELSE origin_text END AS origin_text FROM dialogues)) WHERE r IS NOT NULL""")
 def report_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The report of what cleaning removes as a text file, read back; turns whose id isn't 2 modulo 3 say nothing."""
-    said = F.when(F.col("id") % 3 == 0, " ……").when(F.col("id") % 3 == 1, "——").otherwise(F.col("origin_text"))
-    rows = dialogues(spark, sf_dir).select("id", "speaker", said.alias("origin_text"))
+    """The report of what cleaning removes as a text file, read back; some turns say nothing, or little between line ends."""
+    short = F.concat(F.lit("\n"), F.substring("origin_text", 1, 3), F.lit("\r"))
+    said = F.when(F.col("id") % 3 == 0, " ……").when(F.col("id") % 3 == 1, "——").when(F.col("id") % 5 == 0, short).otherwise(F.col("origin_text"))
     path = f"{shared_folder(spark)}/report-{uuid.uuid4().hex}"
-    tables.write_report(C.removal_report(rows.filter(X.removal_reason(F.col("origin_text")) != "too_short")).select("report"), path)
+    tables.write_report(C.removal_report(dialogues(spark, sf_dir).select("id", "speaker", said.alias("origin_text"))).select("report"), path)
     return spark.read.text(path).withColumnRenamed("value", "report")
 
 
@@ -161,13 +162,13 @@ g AS (SELECT *, list_distinct([a[i:i+2] FOR i IN range(1, length(a) - 1)]) AS ga
 SELECT doc_id, line, round(CASE WHEN len(ga) = 0 AND len(gb) = 0 THEN 1.0 ELSE len(list_intersect(ga, gb))::DOUBLE / len(list_distinct(list_concat(ga, gb))) END, 6) AS jaccard FROM g""")
 def line_by_line_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    docs = numbered(docs, "doc_id")
+    docs = numbered(docs, [F.asc("doc_id")])
     other = docs.select((F.col("number") - 1).alias("number"), F.col("text").alias("other"))
     return C.line_pairs(docs.join(other, "number"), "text", "other").select("doc_id", F.col("line").cast("long").alias("line"), micro(X.jaccard(F.col("a"), F.col("b")), "jaccard"))
 
 
 @query("STR8 STR9 STR10", rf"""SELECT doc_id, length(regexp_replace(text, '[\s\p{{Z}}\x1c-\x1f\x85]', '', 'g'))::BIGINT AS solid, length(translate(text, 'aeiou', ''))::BIGINT AS no_vowels,
-  length(translate(regexp_replace(text, '[\s\p{{Z}}\x1c-\x1f\x85]', '', 'g'), '{X.CJK_MARKS}', ''))::BIGINT AS meaningful, length(trim(text, ' '))::BIGINT AS trimmed FROM documents""")
+  length(translate(regexp_replace(text, '[\s\p{{Z}}\x1c-\x1f\x85]', '', 'g'), '，。！？；："（）【】《》、·…—', ''))::BIGINT AS meaningful, length(trim(text, ' '))::BIGINT AS trimmed FROM documents""")
 def strip_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.col("text")
     n = lambda c: F.char_length(c).cast("long")
@@ -224,7 +225,7 @@ r AS (SELECT speaker, batch, ids, speakers, CASE WHEN batch % 5 = 4 THEN answer[
 
 def batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Batches of ten turns of a speaker with a made-up response: some lines lack, name another speaker, or are blank."""
-    rows = numbered(dialogues(spark, sf_dir), "id", "speaker").withColumn("batch", F.floor((F.col("number") - 1) / 10))
+    rows = numbered(dialogues(spark, sf_dir), [F.asc("id")], "speaker").withColumn("batch", F.floor((F.col("number") - 1) / 10))
     said = F.when(F.col("id") % 11 == 0, F.lit(" ")).otherwise(X.strip(F.replace(F.col("origin_text"), F.lit("\n"), F.lit(" "))))
     line = F.concat(F.when(F.col("id") % 7 == 0, F.lit("x")).otherwise(F.col("speaker")), F.lit("："), said)
     grouped = rows.groupBy("speaker", "batch").agg(F.array_sort(F.collect_list(F.struct("id", F.lit(None).cast("string").alias("z"), line.alias("line"), F.col("speaker").alias("who"), F.col("origin_text").alias("text")))).alias("rows"))
@@ -294,11 +295,11 @@ def filled_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dialogues(spark, sf_dir).select("id", X.filled("Rewrite:\n{lines}\n{strict}", lines=F.col("speaker"), strict=strict).alias("prompt"))
 
 
-@query("TOP3", f"""WITH {DIALOGUES}, n AS (SELECT *, floor((row_number() OVER (PARTITION BY speaker ORDER BY id) - 1) / 10)::BIGINT AS batch FROM dialogues WHERE id < 8000), c AS (SELECT DISTINCT speaker, batch FROM n),
+@query("TOP3", f"""WITH {DIALOGUES}, n AS (SELECT *, floor((row_number() OVER (PARTITION BY speaker ORDER BY id) - 1) / 10)::BIGINT AS batch FROM dialogues), c AS (SELECT DISTINCT speaker, batch FROM n),
 b AS (SELECT speaker || ':' || batch AS b, id FROM n), t AS (SELECT *, row_number() OVER (PARTITION BY b ORDER BY id) AS turn FROM b) SELECT b AS batch, id FROM t WHERE turn <= ceil(10.0 / (SELECT count(*) FROM c)) ORDER BY b, turn LIMIT 10""")
 def spread_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """At most ten rows spread over the batches of a pilot: the limit is the operator."""
-    rows = numbered(dialogues(spark, sf_dir).filter("id < 8000"), "id", "speaker")
+    rows = numbered(dialogues(spark, sf_dir), [F.asc("id")], "speaker")
     named = rows.select(F.concat_ws(":", "speaker", F.floor((F.col("number") - 1) / 10).cast("string")).alias("batch"), "id")
     return C.spread_sample(named, "batch", F.col("id"), 10).select("batch", "id")
 

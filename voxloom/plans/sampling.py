@@ -22,7 +22,7 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("AGG4 TOP1 FIL4 SRT1", f"WITH {COUNTS} SELECT source, n, rank, CASE WHEN rank <= 8 THEN 'train' ELSE 'test' END AS split FROM r WHERE rank <= 10")
 def speaker_counts_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten largest groups, the first 80 % of them for training: the limit is the operator."""
-    top = S.ranked(docs(spark, sf_dir), "source").filter(F.col("rank") <= 10)
+    top = S.ranked(docs(spark, sf_dir), "source").withColumn("rank", F.col("rank").cast("int")).filter("rank <= 10").orderBy("rank")
     return top.withColumn("split", F.when(F.col("rank") <= 8, "train").otherwise("test"))
 
 
@@ -60,15 +60,15 @@ def permutation_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("WIN2b", f"WITH {COUNTS}, l AS (SELECT source, n, (row_number() OVER (ORDER BY source) - 1)::INT AS label FROM c) SELECT label, unnest(range(1, least(n, 25) + 1))::INT AS item FROM l")
 def label_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A label per row that a sample of 25 per group holds, from counts alone."""
-    roster = S.labels(S.counts(docs(spark, sf_dir), "source"), "source", F.col("source").asc())
+    roster = S.labels(S.counts(docs(spark, sf_dir), "source"), [F.col("source").asc()])
     return roster.select("label", F.explode(F.sequence(F.lit(1), F.least("n", F.lit(25)).cast("int"))).alias("item"))
 
 
 @query("WIN3 AGG4", f"WITH {COUNTS} SELECT source, (sum(n) OVER (ORDER BY source) - n)::BIGINT AS first, (sum(n) OVER (ORDER BY source))::BIGINT AS past FROM c")
 def group_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where each group's rows begin and end if groups follow each other by name: a running sum of counts, which are few."""
-    past = F.sum("n").over(W.orderBy("source").rowsBetween(W.unboundedPreceding, 0))
-    return S.counts(docs(spark, sf_dir), "source").select("source", (past - F.col("n")).alias("first"), past.alias("past"))
+    """Where each group's rows begin and end if groups follow each other by name: a running sum of counts."""
+    sums = S.running_total(S.counts(docs(spark, sf_dir), "source"), [F.col("source").asc()], "n", "past")
+    return sums.select("source", (F.col("past") - F.col("n")).alias("first"), "past")
 
 
 @query("PRJ1 PRJ3 PRJ5 JN2 JN3 M6", """WITH roster(position, speaker, split, alias_of) AS (VALUES (0, 'user', 'train', 'user'), (1, 'assistant', 'train', 'assistant'), (2, 'system', 'gen', 'assistant')),

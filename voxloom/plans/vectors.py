@@ -10,6 +10,7 @@ from ..functions import vectors as V
 from ..operators import metrics as M
 from ..operators import pooling as P
 from ..operators import reduction as R
+from ..operators.sampling import numbered
 from .base import micro, query, table
 
 E_SQL = "e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), u AS (SELECT vec_id, label, v, [x / greatest(sqrt(list_dot_product(v, v)), 1e-10) FOR x IN v] AS n FROM e)"
@@ -85,8 +86,10 @@ PAIR_SQL = "p AS (SELECT vec_id, label, embedding::DOUBLE[] AS a, (lead(embeddin
 
 
 def vector_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = embeddings(spark, sf_dir)
-    return e.select("vec_id", "label", F.col("vec").alias("a"), F.lead("vec").over(W.partitionBy("label").orderBy("vec_id")).alias("b")).filter("b is not null")
+    """Each vector (a) with its label's next one (b): by numbers, as a window over a label would be one task."""
+    e = numbered(embeddings(spark, sf_dir), [F.asc("vec_id")], "label")
+    after = e.select(F.col("label").alias("same"), (F.col("number") - 1).alias("at"), F.col("vec").alias("b"))
+    return e.join(after, F.col("label").eqNullSafe(F.col("same")) & (F.col("number") == F.col("at"))).select("vec_id", "label", F.col("vec").alias("a"), "b")
 
 
 @query("MTH3 JN1", f"WITH {PAIR_SQL} SELECT vec_id, label, {sql_digest('r')} AS digest, round(sqrt(list_dot_product(r, r)), 6) AS length FROM q")
@@ -147,11 +150,13 @@ def arcface_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.agg(micro(F.avg((F.col("predicted") == F.col("label")).cast("int")), "accuracy"), micro(F.avg("loss"), "mean_loss"))
 
 
-@query("MTH9", """WITH s AS (SELECT vec_id, label, embedding::DOUBLE[] AS a, (lead(embedding) OVER (PARTITION BY label ORDER BY vec_id))::DOUBLE[] AS p FROM embeddings), n AS (SELECT vec_id - 1 AS vec_id, label AS other, embedding::DOUBLE[] AS n FROM embeddings),
+@query("MTH9", """WITH s AS (SELECT vec_id, label, embedding::DOUBLE[] AS a, (lead(embedding) OVER (PARTITION BY label ORDER BY vec_id))::DOUBLE[] AS p FROM embeddings), n AS (SELECT vec_id, lead(label) OVER (ORDER BY vec_id) AS other, (lead(embedding) OVER (ORDER BY vec_id))::DOUBLE[] AS n FROM embeddings),
 t AS (SELECT a, p, n FROM s JOIN n ON s.vec_id = n.vec_id WHERE p IS NOT NULL AND label <> other) SELECT round(avg(greatest(0, list_distance(a, p) - list_distance(a, n) + 0.3)), 6) AS loss FROM t""")
 def triplet_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = vector_pairs(spark, sf_dir)
-    other = embeddings(spark, sf_dir).select((F.col("vec_id") - 1).alias("vec_id"), F.col("label").alias("other"), F.col("vec").alias("negative"))
+    """Anchor, the next of its label, and the next of all, where that has another label."""
+    pairs, e = vector_pairs(spark, sf_dir), numbered(embeddings(spark, sf_dir), [F.asc("vec_id")])
+    after = e.select((F.col("number") - 1).alias("number"), F.col("label").alias("other"), F.col("vec").alias("negative"))
+    other = e.select("vec_id", "number").join(after, "number").drop("number")
     rows = pairs.join(other, "vec_id").filter("label <> other").select(F.col("a").alias("anchor"), F.col("b").alias("positive"), "negative")
     return M.triplet_loss(rows).select(micro(F.col("loss"), "loss"))
 
@@ -170,8 +175,8 @@ h AS (SELECT sample_id, layer, pos, v, 1.0 / (1 + pos) AS attn, (pos % 4 <> 0)::
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors as token states: labels are sentences, three layers, made-up attention and mask."""
     e = embeddings(spark, sf_dir).withColumn("layer", F.col("vec_id") % 3)
-    pos = F.row_number().over(W.partitionBy("label", "layer").orderBy("vec_id"))
-    return e.select(F.col("label").alias("sample_id"), "layer", pos.alias("pos"), "vec").withColumn("attn", 1.0 / (1 + F.col("pos"))).withColumn("mask", (F.col("pos") % 4 != 0).cast("int"))
+    placed = numbered(e.withColumn("sentence", F.struct("label", "layer")), [F.asc("vec_id")], "sentence", "pos")
+    return placed.select(F.col("label").alias("sample_id"), "layer", F.col("pos").cast("int").alias("pos"), "vec").withColumn("attn", 1.0 / (1 + F.col("pos"))).withColumn("mask", (F.col("pos") % 4 != 0).cast("int"))
 
 
 def pool_sql(weight: str, norm: str) -> str:

@@ -5,9 +5,10 @@ from __future__ import annotations
 import hashlib
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators.sampling import before_parts
+
 RECORD = "I string, S string, T string"
 
 
@@ -24,8 +25,7 @@ def as_dialogues(records: DataFrame) -> DataFrame:
     """
     rows = records.select(F.monotonically_increasing_id().alias("_at"), F.coalesce("S", F.lit("")).alias("speaker"), F.col("T").alias("origin_text"))
     placed = rows.withColumn("_part", F.shiftright("_at", 33)).withColumn("_row", F.col("_at").bitwiseAND((1 << 33) - 1))
-    before = F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
-    begins = placed.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(before, F.lit(0)).alias("_begin"))
+    begins = before_parts(placed.groupBy("_part").agg(F.count("*").alias("n")))
     return placed.join(begins, "_part").select((F.col("_begin") + F.col("_row") + 1).alias("id"), "speaker", "origin_text", F.lit(None).cast("string").alias("para_text"), F.lit(None).cast("double").alias("similarity"))
 
 
@@ -66,8 +66,10 @@ def write_csv(rows: DataFrame, path: str) -> None:
 
 
 def write_report(lines: DataFrame, path: str) -> None:
-    """One text column as lines of text."""
-    lines.write.mode("overwrite").text(path)
+    """One text column as lines of text, one a row: line ends within a text are written as \\n and \\r."""
+    column = lines.columns[0]
+    escaped = F.replace(F.replace(F.col(column), F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit("\\r"))
+    lines.select(escaped.alias(column)).write.mode("overwrite").text(path)
 
 
 def write_speakers(rows: DataFrame, path: str) -> None:
