@@ -1,5 +1,7 @@
 import math
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -202,21 +204,93 @@ def test_kmeans_sweep_finds_blobs(spark):
     assert K.sweep_range(10) == list(range(2, 10)) and K.sweep_range(100)[-1] == 30
 
 
-def test_auto_shrinkage_by_numpy(spark):
-    rng = np.random.default_rng(10)
-    x = rng.standard_normal((30, 6)) @ np.diag([3, 1, 1, 0.5, 1, 1])
-    x -= x.mean(axis=0)
+def shrunk_by_numpy(x, y):
+    """The within-class covariance with each class shrunk by Ledoit and Wolf's formula on scaled components."""
     n, d = x.shape
-    cov = x.T @ x / n
-    mu = np.trace(cov) / d
-    beta = sum(((np.outer(r, r) - cov) ** 2).sum() for r in x) / n / n / d
-    delta = ((cov - mu * np.eye(d)) ** 2).sum() / d
-    outer, squares = R.moments(spark.createDataFrame([(v,) for v in x.tolist()], "vec array<double>"), "vec")
-    assert np.allclose(outer / n, cov) and R.ledoit_wolf(outer / n, squares / n, n) == pytest.approx(min(beta, delta) / delta)
-    df = frame(spark, [(i % 3, v) for i, v in enumerate((x + np.repeat(np.eye(3, 6) * 4, 10, axis=0)[np.argsort(np.tile(range(3), 10), kind="stable").argsort()]).tolist())])
+    out = np.zeros((d, d))
+    for c in np.unique(y):
+        z = x[y == c] - x[y == c].mean(axis=0)
+        scale = z.std(axis=0)
+        scale[scale == 0] = 1
+        z = z / scale
+        cov, m = z.T @ z / len(z), len(z)
+        mu = np.trace(cov) / d
+        delta = ((cov - mu * np.eye(d)) ** 2).sum() / d
+        beta = min(sum(((np.outer(r, r) - cov) ** 2).sum() for r in z) / m / m / d, delta)
+        rate = beta / delta if delta > 0 else 0.0
+        out += m / n * scale[:, None] * ((1 - rate) * cov + rate * mu * np.eye(d)) * scale[None, :]
+    return out
+
+
+@pytest.mark.parametrize("width", [7, R.STRIPE])
+def test_shrunk_covariance_of_classes(spark, width):
+    rng = np.random.default_rng(8)
+    y = np.r_[np.zeros(60, int), rng.integers(1, 9, 140)]
+    x = rng.standard_normal((200, 6)) @ np.diag([1, 2, 3, 1, 1, 5.0]) + rng.standard_normal((9, 6))[y] * 4
+    x[y == 3, 2] = 1.5
+    df = frame(spark, list(zip(y.tolist(), x.tolist(), strict=True))).repartition(5)
+    stats, n, d, mean, between, classes = R.class_stats(df, "label", "vec")
+    means = np.stack([x[y == c].mean(axis=0) for c in range(9)])
+    assert (n, d, classes) == (200, 6, 9) and np.allclose(mean, x.mean(axis=0))
+    assert np.allclose(between, sum((y == c).sum() / 200 * np.outer(v - x.mean(axis=0), v - x.mean(axis=0)) for c, v in enumerate(means)))
+    assert np.allclose(R.shrunk_within(df, "label", "vec", stats, n, d, width), shrunk_by_numpy(x, y))
     assert R.discriminant(df, 2, shrinkage="auto").scalings.shape == (6, 2)
 
 
+def jobs(spark, run):
+    group = f"count-{time.time_ns()}"
+    spark.sparkContext.setJobGroup(group, "counted")
+    run()
+    n = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    spark.sparkContext.setJobGroup("", "")
+    return n
+
+
+def test_shrinkage_takes_as_many_jobs_for_any_number_of_classes(spark):
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((400, 4)).tolist()
+    took = [jobs(spark, lambda k=k: R.discriminant(frame(spark, [(i % k, v) for i, v in enumerate(x)]), 2, shrinkage="auto")) for k in (3, 100)]
+    assert took[0] > 0 and abs(took[1] - took[0]) <= 2
+
+
+def svd_by_numpy(x, y, tolerance=1e-4):
+    classes, n = np.unique(y), len(x)
+    means = np.stack([x[y == c].mean(axis=0) for c in classes])
+    p = np.array([(y == c).mean() for c in classes])
+    z = np.concatenate([x[y == c] - m for c, m in zip(classes, means, strict=True)])
+    scale = z.std(axis=0)
+    scale[scale == 0] = 1
+    _, s, v = np.linalg.svd(z / scale / (n - len(classes)) ** 0.5, full_matrices=False)
+    rank = (s > tolerance).sum()
+    w = (v[:rank] / scale).T / s[:rank]
+    _, s, v = np.linalg.svd(np.sqrt(n * p / (len(classes) - 1))[:, None] * (means - p @ means) @ w, full_matrices=False)
+    return w @ v.T[:, : (s > tolerance * s[0]).sum()], x.mean(axis=0)
+
+
+@pytest.mark.parametrize(("rows", "d"), [(40, 60), (300, 5), (12, 30)])
+def test_svd_discriminant_equals_numpy(spark, rows, d):
+    """Also with fewer rows than dimensions, a dimension that is a copy of another, and a constant one."""
+    rng = np.random.default_rng(d)
+    y = rng.integers(0, 3, rows)
+    x = rng.standard_normal((rows, d)) + 3 * rng.standard_normal((3, d))[y]
+    x[:, 1], x[:, 2] = x[:, 0], 7.0
+    df = frame(spark, list(zip(y.tolist(), x.tolist(), strict=True))).repartition(6)
+    fitted = R.svd_discriminant(df, 5)
+    want, mean = svd_by_numpy(x, y)
+    assert fitted.scalings.shape == want.shape and np.allclose(fitted.mean, mean)
+    got, full = (x - mean) @ fitted.scalings, (x - mean) @ want
+    # equal up to signs
+    assert np.allclose(np.abs(got), np.abs(full), atol=1e-6)
+
+
+def test_triangle_by_a_tree(spark):
+    x = np.random.default_rng(6).standard_normal((90, 7)) * np.logspace(0, -9, 7)
+    df = frame(spark, [(0, v) for v in x.tolist()]).repartition(11)
+    r = R.triangle(df, "vec", 7, fan_in=3)
+    assert np.allclose(np.linalg.svd(r, compute_uv=False), np.linalg.svd(x, compute_uv=False), rtol=1e-7)
+
+
+
 def test_unit_vectors_of_many_dimensions(spark):
     rng = np.random.default_rng(11)
     x = rng.standard_normal((50, 1024))

@@ -68,6 +68,14 @@ def lda_auto_shrinkage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.consistency(e.withColumn("vec", R.projected(F.col("vec"), fitted.scalings, fitted.mean))).select("label", "n", micro(F.col("consistency"), "consistency"))
 
 
+@query("ML2")
+def lda_svd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As lda_transform, by singular values instead of a shrunk covariance."""
+    e = embeddings(spark, sf_dir)
+    fitted = R.svd_discriminant(e.filter("label < 8"), 4)
+    return M.consistency(e.withColumn("vec", R.projected(F.col("vec"), fitted.scalings, fitted.mean))).select("label", "n", micro(F.col("consistency"), "consistency"))
+
+
 @query("ML10 SMP2 MTH9")
 def triplet_head(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A head trained on drawn triplets of labels below 8: loss before and after, consistency of seen and unseen labels."""
