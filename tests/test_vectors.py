@@ -204,6 +204,37 @@ def test_kmeans_sweep_finds_blobs(spark):
     assert K.sweep_range(10) == list(range(2, 10)) and K.sweep_range(100)[-1] == 30
 
 
+def test_sweeps_take_as_many_jobs_for_many_cells(spark):
+    rng = np.random.default_rng(10)
+    x = np.concatenate([rng.standard_normal((40, 3)) * 0.3 + c for c in np.eye(3) * 6])
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "id int, vec array<double>").repartition(3)
+    few, many = (jobs(spark, lambda s=s, ks=ks: K.kmeans_sweep(df, ks, "id", seeds=s)) for s, ks in ((1, [3]), (10, list(range(2, 12)))))
+    assert many <= few + 60  # rounds of the slowest cell, two jobs each; a hundred cells one after another take over 600
+    sweep = K.kmeans_sweep(df, [2, 3, 4], "id").toPandas().set_index("k")
+    assert sweep.loc[3, "best_silhouette"] and sweep.loc[3, "best_ch"]
+    label = ((x[:, None] - np.stack([x[i : i + 40].mean(axis=0) for i in (0, 40, 80)])[None]) ** 2).sum(axis=2).argmin(axis=1)
+    assert sweep.loc[3, "inertia"] == pytest.approx(sum(((x[label == c] - x[label == c].mean(axis=0)) ** 2).sum() for c in range(3)))
+    labelled = frame(spark, list(zip(label.tolist(), x.tolist(), strict=True)))
+    assert sweep.loc[3, "silhouette"] == pytest.approx(M.silhouette(labelled, "id").agg(F.avg("silhouette")).first()[0])
+    assert sweep.loc[3, "calinski_harabasz"] == pytest.approx(M.calinski_harabasz(labelled).first()["score"])
+    assert K.kmeans_sweep(df.filter("id < 0"), None, "id").count() == 0 and K.mixture_sweep(df.filter("id < 0")).count() == 0
+
+
+def test_whole_covariances_by_numpy(spark):
+    rng = np.random.default_rng(12)
+    parts = [rng.standard_normal((80, 2)) @ [[2, 0], [1.5, 0.5]] + 50, rng.standard_normal((60, 2)) @ [[0.4, 0.3], [0, 1]] + [70, 40]]
+    x = np.concatenate(parts)
+    df = spark.createDataFrame([(v,) for v in x.tolist()], "vec array<double>")
+    logs = []
+    for p in parts:
+        cov, z = np.cov(p.T, bias=True), x - p.mean(axis=0)
+        logs.append(np.log(len(p) / 140) - 0.5 * (np.log(np.linalg.det(2 * np.pi * cov)) + (z @ np.linalg.inv(cov) * z).sum(axis=1)))
+    got = K.mixtures(df, [(2, True), (2, False), (1, True)], "vec", tolerance=1e-7)
+    assert got[2, True] == pytest.approx(np.logaddexp(*logs).mean(), abs=1e-4)
+    one = np.cov(x.T, bias=True)
+    assert got[1, True] == pytest.approx(-0.5 * (np.log(np.linalg.det(2 * np.pi * one)) + 2), abs=1e-4) and got[2, False] < got[2, True]
+
+
 def shrunk_by_numpy(x, y):
     """The within-class covariance with each class shrunk by Ledoit and Wolf's formula on scaled components."""
     n, d = x.shape

@@ -1,21 +1,24 @@
-"""Clusterings with Spark ML, mixtures, Ward linkage of class centroids, and density clusters as connected components."""
+"""Clusterings: k-means and mixtures of many cells in the same passes, Ward linkage of class centroids, density clusters."""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import GaussianMixture, KMeans
-from pyspark.ml.functions import array_to_vector
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..session import shared_folder
-from . import metrics as M
+from ..session import materialised, shared_folder
+from .reduction import STRIPE, in_stripes, stripes_added
+
+#: Rows of a block in a task, and rows from which k-means draws its first centres.
+BLOCK, SAMPLE = 2048, 4096
 
 #: Class centroids that Ward linkage takes: it needs the distances of all pairs, 8 bytes each, in one task.
 WARD_ROWS = 5000
@@ -26,86 +29,261 @@ def sweep_range(rows: int) -> list[int]:
     return list(range(2, min(31, rows)))
 
 
+Cell = tuple[int, int]
+
+
+def in_tasks(rows: DataFrame, vector: str, sums: Callable[[np.ndarray], list[np.ndarray]]) -> np.ndarray:
+    """The sum over all rows of what ``sums`` gives for a block of vectors, flat: tasks add blocks, then stripes of tasks meet."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for b in batches:
+            for at in range(0, b.num_rows, BLOCK):
+                part = b.column(0).slice(at, BLOCK)
+                flat = np.concatenate([np.ravel(x) for x in sums(part.flatten().to_numpy(zero_copy_only=False).reshape(len(part), -1))])
+                total = flat if total is None else total + flat
+        if total is not None:
+            yield in_stripes(total, STRIPE)
+
+    return stripes_added(rows.select(vector).mapInArrow(run, "stripe long, x binary"), STRIPE)
+
+
+def by_cluster(x: np.ndarray, label: np.ndarray, k: int) -> np.ndarray:
+    """(k, 1 + d): numbers and sums of the rows of each cluster."""
+    one = np.zeros((len(x), k))
+    one[np.arange(len(x)), label] = 1
+    return np.concatenate([one.sum(axis=0)[:, None], one.T @ x], axis=1)
+
+
+def squares_to(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return np.maximum((x * x).sum(axis=1)[:, None] - 2 * x @ centres.T + (centres * centres).sum(axis=1), 0)
+
+
+def first_centres(sample: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """k-means++ over a sample: each next centre is drawn by its squared distance to those before."""
+    rng = np.random.default_rng(seed)
+    at = [int(rng.integers(len(sample)))]
+    low = squares_to(sample, sample[at])[:, 0]
+    while len(at) < k:
+        total = low.sum()
+        at.append(int(rng.choice(len(sample), p=low / total)) if total > 0 else int(rng.integers(len(sample))))
+        low = np.minimum(low, squares_to(sample, sample[at[-1:]])[:, 0])
+    return sample[at].copy()
+
+
+def lloyd(rows: DataFrame, cells: list[Cell], key: str, vector: str = "vec", rounds: int = 300, tolerance: float = 1e-4, sample: int = SAMPLE) -> dict[Cell, np.ndarray]:
+    """Centres of k-means for each cell (k, seed): all cells in the same passes, until each has settled.
+
+    A round is one pass in which tasks assign their rows in every cell that still moves and add them by cluster; the
+    driver has the centres only. First centres are drawn from ``sample`` rows, those of the smallest hashes of ``key``; all
+    else takes all rows. A cell has settled when its centres move by at most ``tolerance`` of the mean variance, squared and
+    summed. A cluster without rows keeps its centre. A table without rows has no centres.
+    """
+    spark = rows.sparkSession
+    start = np.array([r[0] for r in rows.orderBy(F.xxhash64(key), key).limit(sample).select(vector).collect()], float)
+    centres = {c: first_centres(start, c[0], c[1]) for c in cells} if len(start) else {}
+    moving, spread = list(centres), 0.0
+    for turn in range(rounds):
+        if not moving:
+            break
+        shared = spark.sparkContext.broadcast([centres[c] for c in moving])
+
+        def sums(x: np.ndarray, shared=shared) -> list[np.ndarray]:
+            moments = [np.array([len(x)]), x.sum(axis=0), (x * x).sum(axis=0)]
+            return moments + [by_cluster(x, squares_to(x, at).argmin(axis=1), len(at)) for at in shared.value]
+
+        flat, d = in_tasks(rows, vector, sums), start.shape[1]
+        shared.destroy()
+        if not turn:
+            spread = float((flat[1 + d : 1 + 2 * d] / flat[0] - (flat[1 : 1 + d] / flat[0]) ** 2).mean())
+        at, still = 1 + 2 * d, []
+        for c in moving:
+            total = flat[at : at + c[0] * (1 + d)].reshape(c[0], 1 + d)
+            at += total.size
+            new = np.where(total[:, :1] > 0, total[:, 1:] / np.maximum(total[:, :1], 1), centres[c])
+            if ((new - centres[c]) ** 2).sum() > tolerance * spread:
+                still.append(c)
+            centres[c] = new
+        moving = still
+    return centres
+
+
+def inertias(rows: DataFrame, centres: dict[Cell, np.ndarray], vector: str = "vec") -> dict[Cell, float]:
+    """The summed squared distances to the nearest centre, of all cells in one pass."""
+    shared = rows.sparkSession.sparkContext.broadcast(list(centres.values()))
+    flat = in_tasks(rows, vector, lambda x: [np.array([squares_to(x, c).min(axis=1).sum() for c in shared.value])])
+    shared.destroy()
+    return dict(zip(centres, flat.tolist(), strict=True))
+
+
+def judged(rows: DataFrame, centres: list[np.ndarray], vector: str = "vec") -> list[tuple[float | None, float | None]]:
+    """(mean silhouette by cosine distance, Calinski-Harabasz score) of the clusters about each set of centres, in two passes.
+
+    Null with fewer than two clusters, as in ``metrics``; a cluster of one row counts 0.
+    """
+    spark = rows.sparkSession
+    unit = lambda x: x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-10)
+    shared = spark.sparkContext.broadcast(centres)
+
+    def sums(x: np.ndarray) -> list[np.ndarray]:
+        labels = [squares_to(x, c).argmin(axis=1) for c in shared.value]
+        return [np.array([len(x), (x * x).sum()])] + [by_cluster(np.concatenate([x, unit(x)], axis=1), label, len(c)) for label, c in zip(labels, shared.value, strict=True)]
+
+    flat, at, parts, scores = in_tasks(rows, vector, sums), 2, [], []
+    if not len(flat):
+        return [(None, None)] * len(centres)
+    n, square, d = flat[0], flat[1], centres[0].shape[1]
+    for c in centres:
+        total = flat[at : at + len(c) * (1 + 2 * d)].reshape(len(c), 1 + 2 * d)
+        at += total.size
+        used = total[total[:, 0] > 0]
+        means = used[:, 1 : 1 + d] / used[:, :1]
+        within, between = square - (used[:, :1] * means**2).sum(), (used[:, :1] * (means - used[:, 1 : 1 + d].sum(axis=0) / n) ** 2).sum()
+        k = len(used)
+        scores.append(float(between / (k - 1) / (within / (n - k))) if 1 < k < n and within > 0 else None)
+        parts.append((c, total[:, 0], total[:, 1 + d :]))
+    shared.destroy()
+    stats = spark.sparkContext.broadcast(parts)
+
+    def silhouettes(x: np.ndarray) -> list[np.ndarray]:
+        u, out, at = unit(x), [], np.arange(len(x))
+        own_square = (u * u).sum(axis=1)
+        for c, size, total in stats.value:
+            label = squares_to(x, c).argmin(axis=1)
+            near = u @ total.T
+            far = np.where(size > 0, 1 - near / np.maximum(size, 1), np.inf)
+            own = size[label]
+            a = ((own - 1) - (near[at, label] - own_square)) / np.maximum(own - 1, 1)
+            far[at, label] = np.inf
+            b = far.min(axis=1)
+            high = np.maximum(a, b)
+            out.append(np.where((own > 1) & (high > 0) & np.isfinite(b), (b - a) / np.where(high > 0, high, 1), 0.0).sum())
+        return [np.array(out)]
+
+    got = in_tasks(rows, vector, silhouettes) / n
+    stats.destroy()
+    return [(float(s) if (p[1] > 0).sum() > 1 else None, ch) for s, p, ch in zip(got, parts, scores, strict=True)]
+
+
 def kmeans_sweep(rows: DataFrame, ks: list[int] | None, key: str, vector: str = "vec", seeds: int = 10, seed: int = 42) -> DataFrame:
     """(k, inertia, silhouette, calinski_harabasz, best_silhouette, best_ch) of the best of several seeded runs for each k.
 
     ``ks``: by default ``sweep_range`` of the rows. The last two columns mark the k with the largest value, ties to the
-    smaller k.
+    smaller k. All runs share their passes: there are as many jobs as the slowest run has rounds, and three more passes.
     """
-    shared_folder(rows.sparkSession)
-    x = rows.select(key, vector, array_to_vector(vector).alias("_x")).checkpoint()
-    out = []
-    for k in ks or sweep_range(x.count()):
-        models = [KMeans(k=k, seed=seed + s, featuresCol="_x", predictionCol="_cluster").fit(x) for s in range(seeds)]
-        best = min(models, key=lambda m: m.summary.trainingCost)
-        labelled = best.transform(x).select(key, vector, "_cluster")
-        sil = M.silhouette(labelled, key, "_cluster", vector).agg(F.avg("silhouette")).first()[0]
-        ch = M.calinski_harabasz(labelled, "_cluster", vector).first()["score"]
-        out.append((k, float(best.summary.trainingCost), sil, ch))
+    x = materialised(rows.select(key, F.col(vector).cast("array<double>").alias(vector)).filter(F.col(vector).isNotNull()))
+    ks = ks or sweep_range(x.count())
+    centres = lloyd(x, [(k, seed + s) for k in ks for s in range(seeds)], key, vector)
+    cost = inertias(x, centres, vector)
+    best = [min((c for c in centres if c[0] == k), key=lambda c: (cost[c], c[1])) for k in ks if centres]
+    marks = judged(x, [centres[c] for c in best], vector) if best else []
+    out = [(c[0], cost[c], *m) for c, m in zip(best, marks, strict=True)]
     top = [max((r[i] for r in out if r[i] is not None), default=None) for i in (2, 3)]
-    marks = [next((r[0] for r in out if r[i] == t and t is not None), None) for i, t in zip((2, 3), top, strict=True)]
-    return rows.sparkSession.createDataFrame([(*r, r[0] == marks[0], r[0] == marks[1]) for r in out], "k int, inertia double, silhouette double, calinski_harabasz double, best_silhouette boolean, best_ch boolean")
+    ends = [next((r[0] for r in out if r[i] == t and t is not None), None) for i, t in zip((2, 3), top, strict=True)]
+    return rows.sparkSession.createDataFrame([(*r, r[0] == ends[0], r[0] == ends[1]) for r in out], "k int, inertia double, silhouette double, calinski_harabasz double, best_silhouette boolean, best_ch boolean")
 
 
-def diagonal_mixture(rows: DataFrame, k: int, vector: str = "vec", seed: int = 42, rounds: int = 100, tolerance: float = 1e-3, floor: float = 1e-6) -> float:
-    """The mean log likelihood per row of a Gaussian mixture with diagonal covariances, fitted by EM from k-means clusters.
+@dataclass
+class Mixture:
+    """Weights (k), means (k, d), and covariances: variances (k, d), or whole (k, d, d)."""
+
+    weights: np.ndarray
+    means: np.ndarray
+    spread: np.ndarray
+
+    def logs(self, x: np.ndarray) -> np.ndarray:
+        """(rows, k): log of weight times density."""
+        d = x.shape[1]
+        if self.spread.ndim == 2:
+            away = [((x - m) ** 2 / v).sum(axis=1) + np.log(v).sum() for m, v in zip(self.means, self.spread, strict=True)]
+        else:
+            away = []
+            for m, c in zip(self.means, self.spread, strict=True):
+                factor = np.linalg.cholesky(c)
+                away.append((np.linalg.solve(factor, (x - m).T) ** 2).sum(axis=0) + 2 * np.log(np.diag(factor)).sum())
+        return np.log(self.weights) - 0.5 * (np.stack(away, axis=1) + d * np.log(2 * np.pi))
+
+
+def weighted_moments(x: np.ndarray, share: np.ndarray, full: bool) -> list[np.ndarray]:
+    """Sums by component of weights, vectors, and squares or outer products."""
+    squares = np.stack([(x * s[:, None]).T @ x for s in share.T]) if full else share.T @ (x * x)
+    return [share.sum(axis=0), share.T @ x, squares]
+
+
+def fitted(flat: np.ndarray, k: int, d: int, full: bool, n: float, floor: float) -> Mixture:
+    many = flat[:k] + 10 * np.finfo(float).eps
+    means = flat[k : k + k * d].reshape(k, d) / many[:, None]
+    if full:
+        squares = flat[k + k * d :].reshape(k, d, d) / many[:, None, None]
+        spread = squares - means[:, :, None] * means[:, None, :] + floor * np.eye(d)
+    else:
+        spread = np.maximum(flat[k + k * d :].reshape(k, d) / many[:, None] - means**2, 0) + floor
+    return Mixture(many / n, means, spread)
 
-    Each round is one pass: tasks add weights, sums and squares per component (k * (2d + 1) numbers), Spark adds those
-    of tasks.
+
+def mixtures(rows: DataFrame, cells: list[tuple[int, bool]], key: str, vector: str = "vec", seed: int = 42, rounds: int = 100, tolerance: float = 1e-3, floor: float = 1e-6) -> dict[tuple[int, bool], float]:
+    """The mean log likelihood per row of Gaussian mixtures (k, whole covariances) by EM from k-means clusters, all in the same passes.
+
+    A pass adds weights, sums and squares per component for every cell that hasn't settled (its gain fell to
+    ``tolerance``): k * (d + 1) numbers and as many squares, or k * d * d outer products, a task and cell.
     """
-    d = rows.select(F.size(vector).alias("d")).first()["d"]
-    model = KMeans(k=k, seed=seed, featuresCol="_x", predictionCol="_c").fit(rows.select(array_to_vector(vector).alias("_x")))
-    centres = np.array(model.clusterCenters())
-    state, before = None, -np.inf
-    for _ in range(rounds):
-
-        def partial(batches: Iterator[pd.DataFrame], state=state) -> Iterator[pd.DataFrame]:
-            total = np.zeros((k, 2 * d + 1))
-            fit = np.zeros(2)
-            for b in batches:
-                if not len(b):
-                    continue
-                x = np.stack(b["v"].to_list())
-                if state is None:  # the clusters themselves
-                    share = np.eye(k)[((x[:, None, :] - centres[None]) ** 2).sum(axis=2).argmin(axis=1)]
+    spark, d = rows.sparkSession, rows.select(F.size(vector).alias("d")).first()["d"]
+    centres = lloyd(rows, sorted({(k, seed) for k, _ in cells}), key, vector)
+    size = lambda c: c[0] * (1 + d + (d * d if c[1] else d))
+    shift = rows.limit(1).select(vector).first()[0]
+    offset = np.array(shift, float)
+    state: dict[tuple[int, bool], Mixture | None] = dict.fromkeys(cells)
+    likely, moving = dict.fromkeys(cells, -np.inf), list(cells)
+    for _ in range(rounds + 1):
+        shared = spark.sparkContext.broadcast([(c, state[c]) for c in moving])
+
+        def sums(x: np.ndarray, shared=shared) -> list[np.ndarray]:
+            out = [np.array([len(x)])]
+            for (k, full), mixture in shared.value:
+                if mixture is None:  # the clusters themselves
+                    share, norm = np.eye(k)[squares_to(x, centres[k, seed]).argmin(axis=1)], np.zeros(1)
                 else:
-                    weight, mean, var = state
-                    logs = np.log(weight) - 0.5 * (np.log(2 * np.pi * var).sum(axis=1) + ((x[:, None, :] - mean) ** 2 / var).sum(axis=2))
+                    logs = mixture.logs(x - offset)
                     high = logs.max(axis=1, keepdims=True)
                     norm = high[:, 0] + np.log(np.exp(logs - high).sum(axis=1))
                     share = np.exp(logs - norm[:, None])
-                    fit += norm.sum(), 0
-                fit[1] += len(x)
-                total += np.concatenate([share.sum(axis=0)[:, None], share.T @ x, share.T @ (x * x)], axis=1)
-            flat = np.r_[fit, total.ravel()]
-            yield pd.DataFrame({"at": np.arange(len(flat)), "x": flat})
-
-        got = rows.select(F.col(vector).alias("v")).mapInPandas(partial, "at long, x double").groupBy("at").agg(F.sum("x").alias("x")).toPandas().sort_values("at")["x"].to_numpy()
-        n, sums = got[1], got[2:].reshape(k, 2 * d + 1)
-        if state is not None:
-            now = got[0] / n
-            if abs(now - before) < tolerance:
-                return float(now)
-            before = now
-        many = sums[:, :1] + 10 * np.finfo(float).eps
-        mean = sums[:, 1 : 1 + d] / many
-        state = (many[:, 0] / n, mean, np.maximum(sums[:, 1 + d :] / many - mean**2, 0) + floor)
-    return float(before)
+                out += [np.array([norm.sum()]), *weighted_moments(x - offset, share, full)]
+            return out
+
+        flat, at, still = in_tasks(rows, vector, sums), 1, []
+        shared.destroy()
+        for c in moving:
+            now, known = flat[at] / flat[0], state[c] is not None
+            state[c] = fitted(flat[at + 1 : at + 1 + size(c)], c[0], d, c[1], flat[0], floor)
+            at += 1 + size(c)
+            if not known or abs(now - likely[c]) >= tolerance:
+                still.append(c)
+            likely[c] = now if known else -np.inf
+        moving = still
+        if not moving:
+            break
+    return {c: float(v) for c, v in likely.items()}
+
+
+def diagonal_mixture(rows: DataFrame, k: int, vector: str = "vec", seed: int = 42, rounds: int = 100, tolerance: float = 1e-3, floor: float = 1e-6) -> float:
+    """The mean log likelihood per row of a mixture with diagonal covariances."""
+    return mixtures(rows.select(vector), [(k, False)], vector, vector, seed, rounds, tolerance, floor)[k, False]
 
 
 def mixture_sweep(rows: DataFrame, ks: list[int] | None = None, vector: str = "vec", seed: int = 42) -> DataFrame:
-    """(k, covariance, log_likelihood, bic, best) of Gaussian mixtures: full covariances where rows exceed k * (d + 1), else diagonal ones."""
-    shared_folder(rows.sparkSession)
-    x = rows.select(vector, array_to_vector(vector).alias("_x")).checkpoint()
-    n, d = x.count(), x.select(F.size(vector).alias("d")).first()["d"]
+    """(k, covariance, log_likelihood, bic, best) of Gaussian mixtures: full covariances where rows exceed k * (d + 1), else diagonal ones.
+
+    All mixtures share their passes, so that there are as many jobs as the slowest has rounds.
+    """
+    x = materialised(rows.select(F.col(vector).cast("array<double>").alias(vector)).filter(F.col(vector).isNotNull()))
+    n = x.count()
+    d = x.select(F.size(vector).alias("d")).first()["d"] if n else 0
+    cells = [(k, n > k * (d + 1)) for k in ks or sweep_range(n)]
+    likely = mixtures(x, cells, vector, vector, seed) if n and cells else {}
     out = []
-    for k in ks or sweep_range(n):
-        full = n > k * (d + 1)
-        if full:
-            ll = float(GaussianMixture(k=k, seed=seed, featuresCol="_x", maxIter=100).fit(x).summary.logLikelihood)
-        else:
-            ll = n * diagonal_mixture(x, k, vector, seed)
+    for k, full in likely:
         parameters = k - 1 + k * d + k * (d * (d + 1) // 2 if full else d)
+        ll = n * likely[k, full]
         out.append((k, "full" if full else "diag", ll, parameters * math.log(n) - 2 * ll))
     low = min((r[3] for r in out), default=None)
     first = next((r[0] for r in out if r[3] == low), None)
