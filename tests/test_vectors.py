@@ -13,6 +13,7 @@ from voxloom.operators import pooling as P
 from voxloom.operators import reduction as R
 from voxloom.operators import sampling as S
 from voxloom.operators import training as T
+from voxloom.sources import artefacts
 
 
 def frame(spark, rows):
@@ -387,3 +388,49 @@ def test_blocks_of_classes_change_nothing_where_keys_repeat(spark):
     cents = M.centroids(df, "label")
     places = lambda d: sorted((r["label"], r["nearest"], round(r["distance"], 9)) for r in d.collect())
     assert places(M.nearest_centroids(cents, block=2)) == places(M.nearest_centroids(cents))
+
+
+def test_heads_of_a_grid_train_together_as_alone(spark):
+    rng = np.random.default_rng(16)
+    y = rng.integers(0, 3, 90)
+    df = frame(spark, list(zip(y.tolist(), (np.eye(3, 8)[y] * 4 + rng.standard_normal((90, 8)) * 0.3).tolist(), strict=True)))
+    cells = [("linear", 4), ("1h-256", 3), ("linear", 6)]
+    how = {"epochs": 3, "rate": 0.01, "key": "id", "batch": 50, "cosine": True}
+    both = T.margin_heads(df, 3, cells, **how)
+    split = T.margin_heads(df, 3, cells, limit=100, **how)
+    alone = T.margin_head(df, 3, "1h-256", 3, **how)
+    for a, b in ((both.heads["1h-256", 3], alone), *zip(both.heads.values(), split.heads.values(), strict=True)):
+        assert all(np.allclose(x, z) for x, z in zip([*a.layers, a.classes], [*b.layers, b.classes], strict=True)) and np.allclose(a.losses, b.losses)
+    one, three = (jobs(spark, lambda c=c: T.margin_heads(df, 3, c, **how)) for c in (cells[:1], cells))
+    assert one == three
+    z = T.embedded_by(df, both.heads)
+    assert z.count() == 270 and z.select("cell").distinct().count() == 3
+    got = values(M.group_silhouettes(z, "cell"), "cell", "silhouette")
+    for (arch, width), head in both.heads.items():
+        own = df.withColumn("vec", head.embed(F.col("vec")))
+        assert got[f"{arch}-{width}"] == pytest.approx(M.silhouette(own, "id").agg(F.avg("silhouette")).first()[0])
+
+
+def test_training_goes_on_from_an_artefact(spark, tmp_path):
+    rng = np.random.default_rng(17)
+    y = rng.integers(0, 4, 80)
+    df = frame(spark, list(zip(y.tolist(), rng.standard_normal((80, 6)).tolist(), strict=True)))
+    cells, how = [("linear", 4), ("1h-256", 5)], {"epochs": 6, "key": "id", "batch": 40, "cosine": True}
+    whole = T.margin_heads(df, 4, cells, **how)
+    path = f"{tmp_path}/heads"
+    with pytest.raises(FileNotFoundError):
+        artefacts.load(spark, path)
+    artefacts.save(spark, T.margin_heads(df, 4, cells, until=3, **how), path)
+    found = artefacts.load(spark, path)
+    assert found.epoch == 3 and {len(h.classes) for h in found.heads.values()} == {4} and artefacts.versions(spark, path) == [3]
+    done = T.margin_heads(df, 4, cells, after=found, **how)
+    assert done.epoch == 6
+    for c in cells:
+        a, b = whole.heads[c], done.heads[c]
+        assert all(np.allclose(x, z, rtol=1e-9) for x, z in zip([*a.layers, a.classes], [*b.layers, b.classes], strict=True)) and len(b.losses) == 6
+    artefacts.save(spark, done, path)
+    assert artefacts.versions(spark, path) == [3, 6] and artefacts.load(spark, path, 3).epoch == 3
+    # a version that is there stays, and a writer that died beside it is not seen
+    (tmp_path / "heads" / ".dead").mkdir()
+    artefacts.save(spark, whole, path)
+    assert artefacts.versions(spark, path) == [3, 6] and not [p for p in (tmp_path / "heads").iterdir() if p.name.startswith(".") and p.name not in (".dead",) and p.is_dir()]

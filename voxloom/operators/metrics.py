@@ -143,6 +143,24 @@ def silhouette(rows: DataFrame, key: str, label: str = "label", vector: str = "v
     return scored.select(F.col("key").alias(key), F.col("label").alias(label), value.alias("silhouette"))
 
 
+def group_silhouettes(rows: DataFrame, group: str, label: str = "label", vector: str = "vec") -> DataFrame:
+    """(group, silhouette): the mean silhouette of each group's rows among its own classes, as ``silhouette`` has it; all groups in one pass.
+
+    A row meets the class sums of its group, one array, so classes times dimensions must be few enough for a row.
+    """
+    unit = rows.select(F.col(group).alias("g"), F.col(label).alias("y"), V.unit(F.col(vector)).alias("u"))
+    sums = class_sums(unit.withColumn("key", F.struct("g", "y")), "key", "u", normal=False)
+    classes = sums.groupBy(F.col("key.g").alias("g2")).agg(F.collect_list(F.struct(F.col("key.y").alias("y"), "n", "sums")).alias("classes"))
+    near = F.transform("classes", lambda c: F.struct((c["y"] == F.col("y")).alias("own"), c["n"].alias("n"), V.dot(F.col("u"), c["sums"]).alias("dot")))
+    joined = unit.join(classes, F.col("g").eqNullSafe(F.col("g2"))).select("g", V.dot(F.col("u"), F.col("u")).alias("square"), near.alias("near"))
+    other = F.array_min(F.transform(F.filter("near", lambda c: ~c["own"]), lambda c: 1 - c["dot"] / c["n"])).alias("b")
+    flat = joined.select("g", "square", F.get(F.filter("near", lambda c: c["own"]), F.lit(0)).alias("own"), other)
+    n = F.col("own.n")
+    a = ((n - 1) - (F.col("own.dot") - F.col("square"))) / F.greatest(n - 1, F.lit(1))
+    value = F.when(F.col("b").isNull(), None).when(n == 1, 0.0).otherwise(F.coalesce(F.try_divide(F.col("b") - a, F.greatest(F.col("b"), a)), F.lit(0.0)))
+    return flat.groupBy(F.col("g").alias(group)).agg(F.avg(value).alias("silhouette"))
+
+
 def centroids(rows: DataFrame, label: str = "label", vector: str = "vec") -> DataFrame:
     """(label, n, centroid): the normalised sum of a class's unit vectors."""
     return class_sums(rows, label, vector).select(label, "n", V.unit(F.col("sums")).alias("centroid"), "sums", "squares")

@@ -1,7 +1,8 @@
 """Heads trained by gradient steps: tasks add gradients over their rows, the driver holds the weights only.
 
 Weights have (dimensions * width + classes * width) numbers, whatever the number of rows. Every epoch is one Spark job
-over all rows or a minibatch drawn by hash; a task sends its sum of gradients in stripes, which tasks add in turn.
+over all rows or a minibatch drawn by hash, for all heads of a grid together; a task sends its sums of gradients in
+stripes, which tasks add in turn. A training can stop after any epoch and go on from its artefact (sources/artefacts.py).
 """
 
 from __future__ import annotations
@@ -15,10 +16,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialised
 from .reduction import STRIPE, in_stripes, stripes_added
 from .sampling import triplets
 
-#: Backbones by name: widths of hidden layers.
+#: Weights of the heads that a task computes gradients of at a time.
+WEIGHTS = 1 << 24
+
+#: Backbones by name, and the widths of their hidden layers.
 ARCHS = {"linear": (), "1h-256": (256,), "1h-512": (512,), "2h-1k": (1024, 512), "1h-2k": (2048,)}
 
 
@@ -105,47 +110,103 @@ def fresh_head(d: int, classes: int, arch: str, width: int, seed: int) -> Head:
     return Head([rng.standard_normal((a, b)) * (2 / a) ** 0.5 for a, b in zip(dims, dims[1:], strict=False)], rng.standard_normal((classes, width)))
 
 
-def added(rows: DataFrame, gradient: Callable[[pd.DataFrame], tuple[float, list[np.ndarray]]]) -> tuple[float, np.ndarray]:
-    """(mean loss, mean gradient, flat) over rows; ``gradient`` gives the sums of a batch."""
+def added(rows: DataFrame, gradient: Callable[[pd.DataFrame], tuple[np.ndarray, list[np.ndarray]]], heads: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """(mean losses, mean gradients, flat) over rows; ``gradient`` gives the sums of a batch, of so many heads."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        loss, n, total = 0.0, 0, None
+        n, total = 0, None
         for b in batches:
             if b.num_rows:
-                part, grads = gradient(b.to_pandas())
-                flat = np.concatenate([g.ravel() for g in grads])
-                loss, n, total = loss + part, n + b.num_rows, flat if total is None else total + flat
+                losses, grads = gradient(b.to_pandas())
+                flat = np.concatenate([np.ravel(losses), *[g.ravel() for g in grads]])
+                n, total = n + b.num_rows, flat if total is None else total + flat
         if total is not None:
-            yield in_stripes(np.r_[loss, n, total], STRIPE)
+            yield in_stripes(np.r_[n, total], STRIPE)
 
     got = stripes_added(rows.mapInArrow(partial, "stripe long, x binary"), STRIPE)
     if not len(got):
-        return 0.0, np.zeros(0)
-    return float(got[0] / got[1]), got[2:] / got[1]
+        return np.zeros(0), np.zeros(0)
+    return got[1 : 1 + heads] / got[0], got[1 + heads :] / got[0]
 
 
-def margin_head(rows: DataFrame, classes: int, arch: str = "linear", width: int = 32, epochs: int = 10, rate: float = 1e-2, label: str = "label", vector: str = "vec", seed: int = 42, key: str | None = None, batch: int | None = None, cosine: bool = False) -> Head:
-    """Train by Adam; labels are 0 to classes - 1.
+Cell = tuple[str, int]
+
+
+@dataclass
+class Training:
+    """Heads of a grid by (backbone, width), the optimiser of each, and how many epochs are done."""
+
+    heads: dict[Cell, Head]
+    adams: dict[Cell, Adam]
+    epoch: int = 0
+
+
+def grids(cells: list[Cell], sizes: dict[Cell, int], limit: int) -> list[list[Cell]]:
+    """Cells in groups of at most ``limit`` weights (a larger one alone): a task holds a group's gradients at a time."""
+    out, held = [], 0
+    for c in cells:
+        if not out or held + sizes[c] > limit:
+            out.append([])
+            held = 0
+        out[-1].append(c)
+        held += sizes[c]
+    return out
+
+
+def margin_heads(rows: DataFrame, classes: int, cells: list[Cell], epochs: int = 500, rate: float = 1e-3, label: str = "label", vector: str = "vec", seed: int = 42, key: str | None = None, batch: int | None = None, cosine: bool = False, after: Training | None = None, until: int | None = None, limit: int = WEIGHTS) -> Training:
+    """Train a head for each cell by Adam; labels are 0 to classes - 1. All cells share each epoch's pass over the rows.
 
     An epoch's gradient is that of all rows, or with ``batch`` of a minibatch: about so many rows, drawn by a hash of
-    ``key`` and the epoch. ``cosine`` lets the rate fall to zero along a cosine over the epochs.
+    ``key`` and the epoch. ``cosine`` lets the rate fall to zero along a cosine over the epochs. ``after`` is a training to go on with,
+    ``until`` the epoch to stop after: what is drawn depends on the epoch alone, so a training that stopped ends as one that didn't.
     """
+    spark = rows.sparkSession
     sizes = rows.agg(F.max(F.size(vector)).alias("d"), F.count("*").alias("n")).first()
-    head = fresh_head(sizes["d"], classes, arch, width, seed)
-    data = rows.select(*([F.col(key).alias("k")] if key else []), F.col(label).cast("int").alias("y"), F.col(vector).alias("v"))
-    adam = Adam([*head.layers, head.classes], rate, epochs if cosine else None)
-    for epoch in range(epochs):
-        shared = rows.sparkSession.sparkContext.broadcast(head)
+    if after is None:
+        heads = {c: fresh_head(sizes["d"], classes, c[0], c[1], seed) for c in cells}
+        after = Training(heads, {c: Adam([*h.layers, h.classes], rate, epochs if cosine else None) for c, h in heads.items()})
+    data = materialised(rows.select(*([F.col(key).alias("k")] if key else []), F.col(label).cast("int").alias("y"), F.col(vector).alias("v")))
+    groups = grids(list(after.heads), {c: sum(w.size for w in a.weights) for c, a in after.adams.items()}, limit)
+    for epoch in range(after.epoch, min(epochs, until or epochs)):
         drawn = data
         if batch and key:
             share = F.shiftrightunsigned(F.xxhash64("k", F.lit(epoch), F.lit(seed)), 11) / float(1 << 53)
             drawn = data.filter(share < batch / max(sizes["n"], 1))
-        loss, flat = added(drawn, lambda b, shared=shared: shared.value.gradient(np.stack(b["v"].to_list()), b["y"].to_numpy()))
-        shared.unpersist()
-        if len(flat):
-            head.losses.append(loss)
-            adam.step(flat)
-    return head
+        for group in groups:
+            shared = spark.sparkContext.broadcast([after.heads[c] for c in group])
+
+            def gradients(b: pd.DataFrame, shared=shared) -> tuple[np.ndarray, list[np.ndarray]]:
+                x, y = np.stack(b["v"].to_list()), b["y"].to_numpy()
+                each = [head.gradient(x, y) for head in shared.value]
+                return np.array([e[0] for e in each]), [g for e in each for g in e[1]]
+
+            losses, flat = added(drawn, gradients, len(group))
+            shared.destroy()
+            at = 0
+            for c, loss in zip(group if len(flat) else [], losses, strict=True):
+                size = sum(w.size for w in after.adams[c].weights)
+                after.heads[c].losses.append(float(loss))
+                after.adams[c].step(flat[at : at + size])
+                at += size
+        after.epoch = epoch + 1
+    return after
+
+
+def margin_head(rows: DataFrame, classes: int, arch: str = "linear", width: int = 32, epochs: int = 10, rate: float = 1e-2, label: str = "label", vector: str = "vec", seed: int = 42, key: str | None = None, batch: int | None = None, cosine: bool = False) -> Head:
+    """One head, trained as by ``margin_heads``."""
+    return margin_heads(rows, classes, [(arch, width)], epochs, rate, label, vector, seed, key, batch, cosine).heads[arch, width]
+
+
+def embedded_by(rows: DataFrame, heads: dict[Cell, Head], vector: str = "vec", name: str = "cell") -> DataFrame:
+    """``rows`` once for each head, with its name (backbone-width) and the unit vector it gives, in one pass.
+
+    Vectors of narrower heads are filled with zeros, which changes no dot product, so that all have one length.
+    """
+    wide = max((w for _, w in heads), default=0)
+    filled = lambda v, w: F.concat(v, F.array_repeat(F.lit(0.0), wide - w)) if w < wide else v
+    each = F.array(*[F.struct(F.lit(f"{a}-{w}").alias(name), filled(head.embed(F.col(vector)), w).alias(vector)) for (a, w), head in heads.items()])
+    kept = [c for c in rows.columns if c != vector]
+    return rows.select(*kept, F.explode(each).alias("_each")).select(*kept, f"_each.{name}", f"_each.{vector}")
 
 
 def triplet_gradient(head: Head, x: list[np.ndarray], margin: float) -> tuple[float, list[np.ndarray]]:
@@ -169,19 +230,23 @@ def triplet_gradient(head: Head, x: list[np.ndarray], margin: float) -> tuple[fl
 
 
 def triplet_head(rows: DataFrame, key: str, arch: str = "linear", width: int = 32, epochs: int = 10, draws: int = 512, rate: float = 1e-3, margin: float = 0.3, label: str = "label", vector: str = "vec", seed: int = 42) -> Head:
-    """Train a backbone on ``draws`` triplets an epoch: two rows of one label and one of another, drawn by ``sampling.triplets``."""
+    """Train a backbone on ``draws`` triplets an epoch: two rows of one label and one of another, drawn by ``sampling.triplets``.
+
+    Rows are numbered once; all epochs' triplets are drawn and meet their vectors in one go, written by epoch.
+    """
     d = rows.select(F.size(vector).alias("d")).first()["d"]
     head = fresh_head(d, 1, arch, width, seed)
     adam = Adam(head.layers, rate)
-    vectors = rows.select(F.col(key).alias("_k"), F.col(vector).alias("_v"))
+    vectors = materialised(rows.select(F.col(key).alias("row"), F.col(label).alias("class"), F.col(vector).alias("x")))
+    drawn = triplets(vectors, "class", "row", draws * epochs, seed)
+    for name, short in (("anchor", "a"), ("positive", "p"), ("negative", "n")):
+        drawn = drawn.join(vectors.select(F.col("row").alias(name), F.col("x").alias(short)), name)
+    drawn = materialised(drawn.select(F.floor(F.col("draw") / draws).alias("epoch"), "a", "p", "n"))
     for epoch in range(epochs):
-        drawn = triplets(rows, label, key, draws, seed + epoch)
-        for name, short in (("anchor", "a"), ("positive", "p"), ("negative", "n")):
-            drawn = drawn.join(vectors.select(F.col("_k").alias(name), F.col("_v").alias(short)), name)
         shared = rows.sparkSession.sparkContext.broadcast(head)
-        loss, flat = added(drawn.select("a", "p", "n"), lambda b, shared=shared: triplet_gradient(shared.value, [np.stack(b[c].to_list()) for c in "apn"], margin))
-        shared.unpersist()
+        losses, flat = added(drawn.filter(F.col("epoch") == epoch).select("a", "p", "n"), lambda b, shared=shared: triplet_gradient(shared.value, [np.stack(b[c].to_list()) for c in "apn"], margin))
+        shared.destroy()
         if len(flat):
-            head.losses.append(loss)
+            head.losses.append(float(losses[0]))
             adam.step(flat)
     return head

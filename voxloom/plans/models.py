@@ -11,12 +11,13 @@ from ..functions import vectors as V
 from ..operators import clustering as K
 from ..operators import metrics as M
 from ..operators import reduction as R
+from ..operators import sampling as S
 from ..operators import training as T
-from ..session import shared_folder
-from ..sources import tables
+from ..session import materialised, shared_folder
+from ..sources import artefacts, tables
 from ..sources.services import CountEmbedder, SumEncoder, WordLengths, WordStates, embedded, encoded, pooled_states, tokenized
 from .base import DIALOGUES, dialogues, micro, query
-from .vectors import CENT_SQL, E_SQL, SEP_SQL, digest, embeddings, sql_digest
+from .vectors import CENT_SQL, E_SQL, SEP_SQL, SIL_SQL, digest, embeddings, sql_digest
 
 
 @query("ML1 MTH5 MTH6")
@@ -106,35 +107,61 @@ def dbscan_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("eps").agg(F.count_distinct("cluster").alias("clusters"), F.count_if(F.col("cluster").isNull()).alias("noise"))
 
 
+#: The grid of heads: every backbone in three widths.
+GRID = [(arch, width) for arch in T.ARCHS for width in (32, 64, 128)]
+
+
+def splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of labels below 8 as train and val, four to one within a label, and of the others as gen."""
+    e = embeddings(spark, sf_dir)
+    seen = S.split_within(e.filter("label < 8"), "label", "vec_id", 0.8)
+    return seen.unionByName(e.filter("label >= 8").withColumn("split", F.lit("gen")))
+
+
+def grid_scores(spark: SparkSession, sf_dir: str, epochs: int) -> DataFrame:
+    """(cell, split, silhouette, loss) of all heads of the grid, trained together on the train rows."""
+    rows = materialised(splits(spark, sf_dir))
+    trained = T.margin_heads(rows.filter("split = 'train'"), 8, GRID, epochs, key="vec_id", batch=512, cosine=True)
+    z = T.embedded_by(rows, trained.heads).withColumn("group", F.struct("cell", "split"))
+    losses = spark.createDataFrame([(f"{a}-{w}", h.losses[-1] if h.losses else None) for (a, w), h in trained.heads.items()], "cell string, loss double")
+    return M.group_silhouettes(z, "group").select("group.cell", "group.split", "silhouette").join(F.broadcast(losses), "cell")
+
+
 @query("ML8 ML9 AGG16 POOL9 SMP3")
 def mlp_arcface_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two backbones trained on labels below 8 in minibatches with a cosine rate, then judged on seen and unseen labels.
+    """Five backbones in three widths, trained together in minibatches with a cosine rate and judged by split: 20 epochs of the operator's 500."""
+    return grid_scores(spark, sf_dir, 20)
 
-    The grid is cut to two of five backbones, one width and five epochs, as each epoch is a Spark job.
-    """
-    e = embeddings(spark, sf_dir)
-    out = None
-    for arch in ("linear", "1h-256"):
-        head = T.margin_head(e.filter("label < 8"), 8, arch, width=16, epochs=5, key="vec_id", batch=256, cosine=True)
-        z = e.withColumn("vec", head.embed(F.col("vec"))).withColumn("group", F.struct(F.when(F.col("label") < 8, "train").otherwise("gen").alias("split"), "label"))
-        row = M.consistency(z, "group").groupBy(F.col("group.split").alias("split")).agg(F.avg("consistency").alias("consistency")).select(F.lit(arch).alias("arch"), "split", "consistency", F.lit(head.losses[-1]).alias("loss"))
-        out = row if out is None else out.unionByName(row)
-    return out
-
-
-@query("JN8 TOP2 SRT1 M11", """WITH g AS (SELECT p.pool, l.layer, m.method, round(((l.layer * 7 + length(p.pool) * 3 + length(m.method)) % 13 - 4) / 10.0, 6) AS val_sil, round(((l.layer * 5 + length(p.pool) + length(m.method) * 2) % 11 - 5) / 10.0, 6) AS gen_sil
-  FROM (VALUES ('last'), ('attn'), ('comp'), ('inv')) p(pool), (SELECT unnest(range(0, 29)) AS layer) l, (VALUES ('lda'), ('linear-32'), ('linear-64'), ('mlp-32'), ('mlp-64')) m(method))
-SELECT pool, layer::INT AS layer, method, val_sil::DOUBLE AS val_sil, gen_sil::DOUBLE AS gen_sil, CASE WHEN val_sil > 0 AND gen_sil > 0 THEN '***' ELSE '' END AS flag FROM g ORDER BY val_sil DESC, pool, layer, method LIMIT 20""")
+
+@query("JN8 TOP2 SRT1 M11 ML9")
 def experiment_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best 20 of a grid of pools, layers and methods with made-up metrics: the limit is the operator."""
-    pools = spark.createDataFrame([(p,) for p in ("last", "attn", "comp", "inv")], "pool string")
-    methods = spark.createDataFrame([(m,) for m in ("lda", "linear-32", "linear-64", "mlp-32", "mlp-64")], "method string")
-    grid = pools.crossJoin(F.broadcast(spark.range(29).select(F.col("id").cast("int").alias("layer")))).crossJoin(F.broadcast(methods))
-    n = lambda c: F.length(c)
-    val = F.round(((F.col("layer") * 7 + n("pool") * 3 + n("method")) % 13 - 4) / 10.0, 6)
-    gen = F.round(((F.col("layer") * 5 + n("pool") + n("method") * 2) % 11 - 5) / 10.0, 6)
-    scored = grid.withColumn("val_sil", val).withColumn("gen_sil", gen).withColumn("flag", F.when((F.col("val_sil") > 0) & (F.col("gen_sil") > 0), "***").otherwise(""))
-    return scored.orderBy(F.desc("val_sil"), "pool", "layer", "method").limit(20)
+    """The grid's heads by silhouette of unseen rows, then of unseen labels; the limit of 20 is the operator."""
+    scores = grid_scores(spark, sf_dir, 5).groupBy("cell").pivot("split", ["train", "val", "gen"]).agg(F.first("silhouette"))
+    flag = F.when((F.col("val") > 0) & (F.col("gen") > 0), "***").otherwise("").alias("flag")
+    return scores.select("cell", F.col("train").alias("train_sil"), F.col("val").alias("val_sil"), F.col("gen").alias("gen_sil"), flag).orderBy(F.desc("val_sil"), "cell").limit(20)
+
+
+@query("TOP2 SRT1 AGG10 AGG8", f"""WITH {SIL_SQL}, p AS (SELECT a.label, avg(list_dot_product(a.n, b.n)) AS m FROM u a JOIN u b ON a.label = b.label AND a.vec_id < b.vec_id GROUP BY 1),
+m AS (SELECT label, round(avg(s), 6) + 0.0 AS sil FROM f GROUP BY label) SELECT m.label, sil, round(m, 6) + 0.0 AS cons, CASE WHEN sil > 0 AND m > 0 THEN '***' ELSE '' END AS flag FROM m JOIN p ON m.label = p.label ORDER BY sil DESC, m.label LIMIT 20""")
+def speaker_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 labels of the highest mean silhouette, with their consistency: the limit is the operator."""
+    e = embeddings(spark, sf_dir)
+    sil = M.silhouette(e, "vec_id").groupBy("label").agg(micro(F.avg("silhouette"), "sil"))
+    both = sil.join(M.consistency(e).filter("consistency is not null"), "label")
+    flag = F.when((F.col("sil") > 0) & (F.col("consistency") > 0), "***").otherwise("").alias("flag")
+    return both.select("label", "sil", micro(F.col("consistency"), "cons"), flag).orderBy(F.desc("sil"), "label").limit(20)
+
+
+@query("SNK10 ML12 ML9")
+def resumed_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two heads trained for six epochs with a stop after three: published, loaded and gone on with; their last losses and classes."""
+    rows, path = embeddings(spark, sf_dir).filter("label < 8"), f"{shared_folder(spark)}/heads-{uuid.uuid4().hex}"
+    how = {"epochs": 6, "key": "vec_id", "batch": 256, "cosine": True}
+    artefacts.save(spark, T.margin_heads(rows, 8, [("linear", 32), ("1h-256", 32)], until=3, **how), path)
+    done = T.margin_heads(rows, 8, [], after=artefacts.load(spark, path), **how)
+    artefacts.save(spark, done, path)
+    last = artefacts.load(spark, path)
+    return spark.createDataFrame([(a, w, len(h.classes), last.epoch, len(h.losses), h.losses[-1]) for (a, w), h in last.heads.items()], "arch string, width int, classes int, epoch int, losses int, last_loss double")
 
 
 @query("EXT0 SET3", "WITH g AS (SELECT layer, pool FROM (SELECT unnest(range(0, 5)) AS layer) l, (VALUES ('last'), ('attn')) p(pool)) SELECT layer::BIGINT AS layer, pool FROM g WHERE NOT (pool = 'attn' AND layer >= 3)  EXCEPT SELECT DISTINCT vec_id % 3, 'last' FROM embeddings")
