@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from .common import ASCII_LOWER, ASCII_UPPER, Stage, lean, materialise, spread_join, windows
 
 MAX_WORDS, MIN_COUNT, COVER, TOP = 3, 10, 50, 2000
-#: Words of a task's chunks, and bytes of text that are cut into words at a time.
-CHUNK, WINDOW_BYTES = 1 << 21, 1 << 20
+#: Words of a chunk, chunks' worth of words that a task holds over all languages, and bytes of text cut into words at a time.
+CHUNK, HELD, WINDOW_BYTES = 1 << 21, 4, 1 << 20
 #: Bits of a place in a chunk, which is below CHUNK and the words of a window, and of a chunk's number in its task.
 PLACE_BITS, NUMBER_BITS = 22, 18
 #: Parts in which the first phrases of a language are found before they meet.
@@ -56,9 +56,19 @@ class Places(dict):
 class Chunk:
     places: Places = field(default_factory=Places)
     codes: array = field(default_factory=lambda: array("i"))
+    letters: int = 0
 
-    def add(self, words: list[bytes]) -> None:
+    def add(self, words: list[bytes]) -> int:
+        """Add words, and return by how much the chunk's weight grew."""
+        before, known = self.weight(), len(self.places)
         self.codes.extend(map(self.places.__getitem__, words))
+        if len(self.places) > known:
+            self.letters += sum(map(len, words))
+        return self.weight() - before
+
+    def weight(self) -> int:
+        """Words, or an eighth of the bytes of texts with new words where those are more."""
+        return max(len(self.codes), self.letters // 8)
 
     def cut(self, context: int) -> tuple[int, list[bytes]]:
         """How many words are the chunk's own, and the last ones, at most ``context``, with which the next one begins."""
@@ -81,11 +91,13 @@ def words_in_windows(text: bytes, limit: int) -> Iterator[list[bytes]]:
 
 
 def packed(codes: np.ndarray) -> bytes:
-    return pa.compress(codes.astype("<i4").tobytes(), "zstd", asbytes=True)
+    """Codes compressed by byte planes: low bytes first, then the next."""
+    return pa.compress(codes.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes(), "zstd", asbytes=True)
 
 
 def unpacked(data: pa.Scalar, n: int) -> np.ndarray:
-    return np.frombuffer(pa.decompress(data.as_buffer(), 4 * n, "zstd", asbytes=True), "<i4")
+    planes = np.frombuffer(pa.decompress(data.as_buffer(), 4 * n, "zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, n).T).view("<i4").ravel()
 
 
 def long_list(values: np.ndarray) -> pa.Array:
@@ -104,26 +116,26 @@ def chunks(docs: DataFrame, lang_col: str, text_col: str, max_words: int, size:
         return pa.RecordBatch.from_arrays(columns, names=["chunk", "lang", "n", "own", "codes", "words", "counts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, held, total, taken = TaskContext.get().partitionId() << NUMBER_BITS, {}, 0, 0
+        number, held, total = TaskContext.get().partitionId() << NUMBER_BITS, {}, 0
         for b in windows(batches, WINDOW_BYTES):
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()), strict=True):
                 for words in words_in_windows(text.as_py() or b"", WINDOW_BYTES):
                     if not words:
                         continue
-                    held.setdefault(lang, Chunk()).add(words)
-                    total, taken = total + len(words), taken + sum(map(len, words))
-                    if total >= size or taken >= 8 * size:
-                        rest = {}
-                        for name, c in held.items():
-                            own, last = c.cut(max_words - 1)
-                            yield row(number, name, c, own)
-                            number += 1
-                            if last:
-                                rest[name] = Chunk()
-                                rest[name].add(last)
-                        held, total, taken = rest, 0, 0
+                    chunk = held.setdefault(lang, Chunk())
+                    total += chunk.add(words)
+                    full = list(held) if total >= HELD * size else [lang] if chunk.weight() >= size else []
+                    for name in full:
+                        c = held.pop(name)
+                        total -= c.weight()
+                        own, last = c.cut(max_words - 1)
+                        yield row(number, name, c, own)
+                        number += 1
+                        if last:
+                            held[name] = Chunk()
+                            total += held[name].add(last)
                 if lang in held:
-                    held[lang].add([BREAK])
+                    total += held[lang].add([BREAK])
         for name, c in held.items():
             yield row(number, name, c, len(c.codes))
             number += 1
