@@ -12,8 +12,8 @@ from ..functions import text as X
 from ..operators import corpus as C
 from ..operators.sampling import numbered
 from ..session import shared_folder
-from ..sources import tables
-from ..sources.services import EchoClient, read_settings
+from ..sources import service_runs, tables
+from ..sources.services import EchoClient, Processing, read_settings
 from .base import DIALOGUES, dialogues, micro, query, sql_strip, table
 
 LINES_SQL = "lines AS (SELECT unnest(string_split(text, chr(10))) AS line FROM documents)"
@@ -324,3 +324,39 @@ def pilot_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     batch = joined.groupBy("batch").agg(F.count("*").cast("int").alias("lines"), (F.min("status") == "ok").alias("success"), F.array_sort(F.collect_list(F.struct("id", "origin_text", "text"))).alias("r"))
     runs = batch.select("success", "lines", (40 + F.col("lines") * 12).alias("prompt_tokens"), (F.col("lines") * 9).alias("completion_tokens"), F.lit(1.0).alias("elapsed"), F.col("r.origin_text").alias("origins"), F.col("r.text").alias("paras"))
     return C.pilot_report(runs, corpus_rows=5000, batch_size=25, system_words=120)
+
+
+class Stops:
+    """A client that fails where a line has a mark, to show what a run keeps."""
+
+    def __init__(self, mark: str | None = None):
+        self.mark = mark
+
+    def paraphrase(self, lines: list[str], strict: bool) -> str:
+        if self.mark and any(self.mark in line for line in lines):
+            raise OSError("no answer")
+        return EchoClient().paraphrase(lines, strict)
+
+
+def two_runs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
+    """Dialogues and the folder of two runs over them: the first gets no answer for batches with a question, the second for all."""
+    rows, folder = dialogues(spark, sf_dir).withColumn("para_text", F.lit(None).cast("string")), f"{shared_folder(spark)}/service-{uuid.uuid4().hex}"
+    how = Processing(batch_size=25, max_retries=2, retry_delay=0, concurrency=4)
+    for mark in ("?", None):
+        service_runs.run(rows, Stops(mark), folder, how)
+    return rows, folder
+
+
+@query("EXT1 SNK9 SNK5 STR12 STR13 M14", rf"""WITH {DIALOGUES}, l AS (SELECT id, {sql_strip("replace(replace(origin_text, chr(10), ' '), chr(13), '')")} AS said, {sql_strip('speaker')} AS who FROM dialogues)
+SELECT id, CASE WHEN who <> '' AND said <> '' THEN said END AS para_text FROM l""")
+def resumed_paraphrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every dialogue's text after a run that stopped and one that went on."""
+    rows, folder = two_runs(spark, sf_dir)
+    return service_runs.with_texts(rows, folder).select("id", "para_text")
+
+
+@query("SNK9 EXT1")
+def dead_letter_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The responses that failed in those two runs, by reason and attempt."""
+    _, folder = two_runs(spark, sf_dir)
+    return service_runs.dead_letters(spark, folder).groupBy("reason", "attempt").agg(F.count("*").alias("n"), F.count_distinct("batch").alias("batches"))
