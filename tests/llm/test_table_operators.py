@@ -328,3 +328,75 @@ def test_sharding_spread_on_real_tables(spark, sf_dir):
         sums[sums.argmin()] += size
     spread = got.groupby("shard")["size"].sum()
     assert len(spread) == 40 and spread.max() <= sums.max() and spread.std(ddof=0) <= 1.001 * sums.std()
+
+
+@pytest.mark.parametrize(
+    ("line", "fits", "fails"),
+    [
+        ("||ads.example^", ["ads.example/", "x.ads.example/a", "ADS.example/b", "ads.example"], ["bads.example/", "ads.example.org/", "y/ads.example/"]),
+        ("/banner/*/img^", ["h.com/banner/1/img/2", "h.com/BANNER/a/b/img"], ["h.com/banner/img/", "h.com/banner/1/imgs"]),
+        ("|http://one.com/a", ["one.com/a", "one.com/abc"], ["two.one.com/a", "one.com/b"]),
+        (".swf|", ["h.com/x.swf"], ["h.com/x.swf/y"]),
+        ("@@||good.org/path", ["good.org/path/1", "sub.good.org/paths"], ["good.org/other"]),
+        ("track*er", ["h.com/tracker", "trackmeister.net/"], ["h.com/trace"]),
+    ],
+)
+def test_lines_of_a_filter_list(line, fits, fails):
+    rule = url_filter.filter_rule(line)
+    index, everywhere = url_filter.Index((rule,), {}), url_filter.Index((rule,), {})
+    everywhere.always, everywhere.by_token = [0], {}
+    for text in fits + fails:
+        host, slash, path = text.partition("/")
+        host = host.lower()
+        assert (index.best(host, slash + path) is not None) == (everywhere.best(host, slash + path) is not None) == (text in fits), text
+    assert rule.verdict == ("allow" if line.startswith("@@") else "block")
+
+
+def test_lines_without_a_rule():
+    assert [url_filter.filter_rule(x) for x in ("", "! note", "[Adblock]", "site.com##.ad", "||a.com^$third-party", "*", "||^")] == [None] * 7
+
+
+def test_a_filter_list_of_many_rules_tries_few(spark, sf_dir):
+    """12,000 rules from a table: verdicts as by trying all, an exception wins, and a URL tries few expressions."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    urls = [r["url"] for r in pages.select("url").collect()]
+    hosts = sorted({u.split("://", 1)[1].split("/", 1)[0] for u in urls if u and "://" in u})
+    lines = [f"||host{i}.example^" for i in range(6000)] + [f"/path{i}/*/item{i % 50}^" for i in range(5900)] + ["! comment"] * 3
+    lines += [f"||{h}^" for h in hosts[::3]] + [f"@@||{h}/en/" for h in hosts[::6]] + ["/de/*.html|", "||" + hosts[0] + "^"]
+    rules = list(url_filter.rules_of(spark.createDataFrame([(x,) for x in lines] + [(None,)], "value string")))
+    assert len(rules) == len({x for x in lines if not x.startswith("!")})
+    got = {r["page_id"]: r["verdict"] for r in url_filter.judged(pages, rules, block_bytes=500_000).collect()}
+    hosted = url_filter.judged(pages, ())
+    index, parts = url_filter.Index(tuple(rules), url_filter.token_frequencies(hosted, tuple(rules))), hosted.collect()
+    everywhere = url_filter.Index(tuple(r for r in rules if "host" not in r.name[:6] and "/path" not in r.name), {})
+    everywhere.always, everywhere.by_token = list(range(len(everywhere.rules))), {}
+    for r in parts:
+        won, all_won = index.best(r["host"], r["path"]), everywhere.best(r["host"], r["path"])
+        assert (won and won[0]) == (all_won and all_won[0]) and got[r["page_id"]] == (won[2] if won else "allow")
+    assert {"allow", "block"} == set(got.values()) and index.tried / len(parts) < 10 and len(index.compiled) < 500
+
+
+def test_edges_back_to_a_hub_are_thinned(spark):
+    seen, limit = np.zeros(1 << neighbours.SLOT_BITS, np.uint16), 40
+    v, new = np.r_[np.full(100_000, 7), np.arange(1000)], np.r_[np.ones(100_000, bool), np.zeros(1000, bool)]
+    kept = neighbours.counted(v, new, seen, limit)
+    assert kept[:100_000].sum() == limit and kept[100_000:].sum() > 990
+    assert neighbours.counted(v[:50], new[:50], seen, limit).sum() == 0
+    assert len(neighbours.counted(v[:0], new[:0], seen, limit)) == 0
+
+
+def test_a_star_of_vectors_finds_its_neighbours(spark):
+    """One vector is near all others, which are far from each other."""
+    rng = np.random.default_rng(21)
+    x = rng.standard_normal((1500, 48))
+    x[:, 0] += 3
+    x[0] = np.eye(1, 48)[0]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = neighbours.nearest(df, F.col("vec_id") % 50 == 0).toPandas()
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hits = 0
+    for q, part in got.groupby("query_id"):
+        s = u @ u[q]
+        s[q] = -2
+        hits += (part["score"] >= np.sort(s)[-5] - 1e-9).sum()
+    assert hits / (5 * 30) >= 0.9

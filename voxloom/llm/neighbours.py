@@ -24,7 +24,7 @@ from itertools import count
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -33,9 +33,9 @@ from .common import Stage, lean, materialise
 TREES, LEAF, PER_BLOCK, SAMPLE = 6, 128, 10, 8192
 DEGREE, PICK, PER_JOIN, SETTLED = 40, 20, 8, 0.1
 BEAM, DEPTH, EXPAND = 128, 96, 32
-#: Rows that a task merges at a time.
-ROWS = 40_000
-NODE = "node long, code binary, nbrs array<long>, sims array<float>, fresh array<boolean>, worst float, asks array<struct<v:long,new:boolean>>"
+#: Rows that a task merges at a time, and bits of the counters by which it thins edges that go back.
+ROWS, SLOT_BITS = 40_000, 20
+NODE = "node long, code binary, nbrs array<long>, sims array<float>, fresh array<boolean>, worst float, asks array<struct<v:long,new:boolean,back:boolean>>"
 SENT = "u long, vs array<long>, ss array<float>"
 BEAMS = "q long, code binary, ids array<long>, sims array<float>, done array<boolean>, front array<long>"
 
@@ -178,6 +178,7 @@ def merged(degree: int, pick: int) -> Callable[[Iterator[pa.RecordBatch]], Itera
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent_back = np.zeros(1 << SLOT_BITS, np.uint16)
         for t in by_runs(batches):
             t = t.combine_chunks()
             node, sent = t.column("node").to_numpy(), t.column("sent").to_numpy()
@@ -206,7 +207,8 @@ def merged(degree: int, pick: int) -> Callable[[Iterator[pa.RecordBatch]], Itera
             full = sizes >= degree
             worst[full] = s[(np.cumsum(sizes) - 1)[full]]
             asks = gathered(u, fresh, pick) | gathered(u, ~fresh, pick)
-            wanted = pa.StructArray.from_arrays([pa.array(v[asks]), pa.array(fresh[asks])], names=["v", "new"])
+            back = counted(v[asks], fresh[asks], sent_back, 2 * pick)
+            wanted = pa.StructArray.from_arrays([pa.array(v[asks]), pa.array(fresh[asks]), pa.array(back)], names=["v", "new", "back"])
             asked = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.bincount(at[asks], minlength=len(own)))], pa.int32()), wanted)
             cols = [pa.array(node[own]), t.column("code").combine_chunks().take(pa.array(own)), lists(v, sizes, pa.int64()), lists(s, sizes, pa.float32()), lists(fresh, sizes, pa.bool_()), pa.array(worst), asked]
             yield pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in NODE.split(", ")])
@@ -221,6 +223,24 @@ def gathered(row: np.ndarray, fresh: np.ndarray, pick: int) -> np.ndarray:
     return fresh & (before - np.repeat(before[start], length) < pick)
 
 
+def counted(v: np.ndarray, new: np.ndarray, seen: np.ndarray, limit: int) -> np.ndarray:
+    """Which edges also go back from their end: of those to one node, new or old, about the first ``limit`` of a task.
+
+    Without it a node that is everyone's neighbour would be sent to by all of them. ``seen`` counts edges by hashed ends, so
+    memory is bounded; ends that share a slot share its limit, which only thins a sample.
+    """
+    mixed = (v.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + new.astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
+    slot = (mixed >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+    order = np.argsort(slot, kind="stable")
+    start, size = groups(slot[order])
+    before = np.empty(len(slot), np.int64)
+    before[order] = np.arange(len(slot)) - np.repeat(start, size)
+    before += seen[slot]
+    ends = slot[order][start]
+    seen[ends] = np.minimum(seen[ends] + size, limit)
+    return before < limit
+
+
 def update(graph: DataFrame, sent: DataFrame, degree: int, pick: int) -> DataFrame:
     own = graph.select("node", F.lit(0).alias("sent"), "code", "nbrs", "sims", "fresh")
     new = sent.select(F.col("u").alias("node"), F.lit(1).alias("sent"), F.lit(None).cast("binary").alias("code"), F.col("vs").alias("nbrs"), F.col("ss").alias("sims"), F.lit(None).cast("array<boolean>").alias("fresh"))
@@ -291,7 +311,7 @@ def local_joins(pick: int, per_join: int) -> Callable[[Iterator[pa.RecordBatch]]
 def descended(graph: DataFrame, degree: int, pick: int, per_join: int, turn: int) -> DataFrame:
     """The graph after one round of NN-descent."""
     edges = graph.select(F.col("node").alias("u"), "code", "worst", F.inline("asks"))
-    back = edges.select(F.col("v").alias("centre"), F.lit(1).alias("back"), F.xxhash64("u", "v", F.lit(turn)).alias("turn"), F.col("u").alias("member"), "new", "code", "worst")
+    back = edges.filter("back").select(F.col("v").alias("centre"), F.lit(1).alias("back"), F.xxhash64("u", "v", F.lit(turn)).alias("turn"), F.col("u").alias("member"), "new", "code", "worst")
     known = graph.select(F.col("node").alias("v"), "code", "worst")
     ahead = edges.select("u", "v", "new").join(known, "v").select(F.col("u").alias("centre"), F.lit(0).alias("back"), F.lit(0).cast("long").alias("turn"), F.col("v").alias("member"), "new", "code", "worst")
     met = ahead.unionByName(back).repartition("centre").sortWithinPartitions("centre", "back", "turn")
@@ -303,13 +323,14 @@ def neighbour_graph(nodes: DataFrame, seed: int = 7, trees: int = TREES, leaf: i
     none = lambda kind: F.array().cast(kind)
     bare = nodes.select("node", "code", none("array<long>").alias("nbrs"), none("array<float>").alias("sims"), none("array<boolean>").alias("fresh"))
     graph = Stage(update(bare, seeds(nodes, nodes.count(), seed, trees, leaf, PER_BLOCK, SAMPLE), degree, pick))
+    new = F.sum(F.aggregate("fresh", F.lit(0), lambda n, x: n + x.cast("int")))
     for turn in count():
-        better = Stage(descended(graph.df, degree, pick, per_join, turn))
+        # counted as the round is written
+        seen = Observation()
+        better = Stage(descended(graph.df, degree, pick, per_join, turn).observe(seen, F.coalesce(new, F.lit(0)).alias("new"), F.coalesce(F.sum(F.size("nbrs")), F.lit(0)).alias("all")))
         graph.drop()
         graph = better
-        new = F.aggregate("fresh", F.lit(0), lambda n, x: n + x.cast("int"))
-        n = graph.df.agg(F.coalesce(F.sum(new), F.lit(0)).alias("new"), F.coalesce(F.sum(F.size("nbrs")), F.lit(0)).alias("all")).first()
-        if n["new"] <= settled * n["all"]:
+        if seen.get["new"] <= settled * seen.get["all"]:
             return graph.df
 
 

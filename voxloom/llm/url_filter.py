@@ -18,21 +18,22 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, materialise
+from .common import ASCII_LOWER, ASCII_UPPER, ascii_lower, materialise
 
 #: Bytes of a block of rules: their names, patterns and literals, and about ``RULE_BYTES`` for each rule beside.
 BLOCK_BYTES, RULE_BYTES = 32_000_000, 200
 #: A token of a URL: a run of ASCII letters and digits, or of other characters that are not ASCII.
 TOKEN = r"[0-9A-Za-z\x80-\U0010FFFF]+"
 _TOKEN = re.compile(TOKEN)
+_LOWER = str.maketrans(ASCII_UPPER, ASCII_LOWER)
 
 
 @dataclass(frozen=True)
 class Rule:
     """``pattern`` is matched from the start of host + path; ``literals`` are whole tokens of what it matches.
 
-    ``fixed``: a listed rule, that is reported and beats all that aren't; of several the longest ``name`` wins,
-    then block, then the smaller name. A rule without literals is tried on every URL.
+    ``fixed``: a listed rule, that is reported and beats all that aren't; then come exceptions; of several the longest
+    ``name`` wins, then block, then the smaller name. A rule without literals is tried on every URL.
     """
 
     name: str
@@ -40,12 +41,13 @@ class Rule:
     pattern: str
     literals: tuple[str, ...]
     fixed: bool = True
+    exception: bool = False
 
 
 def listed(rule: str, verdict: str) -> Rule:
     """A rule host/path: its host and all subdomains, where the path starts with the rule's path."""
     host, slash, path = rule.partition("/")
-    host = host.translate(str.maketrans({c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}))
+    host = host.translate(_LOWER)
     tokens = _TOKEN.findall(host)
     inner = _TOKEN.findall(path)
     if inner and _TOKEN.fullmatch(path[-1]):
@@ -59,6 +61,43 @@ def keyword(token_a: str, token_b: str, verdict: str = "block") -> Rule:
     return Rule(f"{token_a}-{token_b}", verdict, rf"(?:[^/]*\.)?{re.escape(token_a)}-{re.escape(token_b)}(?:\.|/|\Z)", (token_a, token_b), fixed=False)
 
 
+#: What ^ stands for in a filter list: the end, or a character that neither a word nor a name can have.
+SEPARATOR = r"(?:[^0-9A-Za-z_.%\-\x80-\U0010FFFF]|\Z)"
+
+
+def filter_rule(line: str) -> Rule | None:
+    """A line of a filter list: ``||`` for a host or its subdomains, ``|`` for either end, ``*``, ``^``, and ``@@`` for exceptions.
+
+    Case doesn't count. A scheme at the start is left out, as host and path are matched. Comments, rules that hide parts
+    of pages and rules with options, which depend on the page that asks, are None.
+    """
+    text = line.strip()
+    if not text or text[0] in "![" or "##" in text or "#@#" in text or "$" in text:
+        return None
+    exception, text = text.startswith("@@"), text.removeprefix("@@")
+    label, text = text.startswith("||"), text.removeprefix("||")
+    start, text = label or text.startswith("|"), text.removeprefix("|") if not label else text
+    end, body = text.endswith("|"), text.removesuffix("|").translate(_LOWER)
+    scheme = re.match(r"(?:https?|\*)://", body)
+    if scheme and not label:
+        start, body = start or scheme[0] != "*://", body[scheme.end() :]
+    if not body.strip("*^"):
+        return None
+    pattern = "".join(".*" if c == "*" else SEPARATOR if c == "^" else re.escape(c) for c in body)
+    head = r"(?:[^/]*\.)?" if label else "" if start else ".*?"
+    # a token is whole where nothing can go on at its ends
+    whole = [m[0] for m in _TOKEN.finditer(body) if (body[m.start() - 1] != "*" if m.start() else start) and (body[m.end()] != "*" if m.end() < len(body) else end)]
+    return Rule(line.strip(), "allow" if exception else "block", f"(?i:{head}{pattern}{r'\Z' if end else ''})", tuple(dict.fromkeys(whole)), fixed=False, exception=exception)
+
+
+def rules_of(lines: DataFrame, column: str = "value") -> Iterator[Rule]:
+    """The rules of a filter list that is a table of lines (as ``spark.read.text`` gives it), one after another; repeats once."""
+    for r in lines.select(column).filter(F.col(column).isNotNull()).distinct().toLocalIterator():
+        rule = filter_rule(r[0])
+        if rule is not None:
+            yield rule
+
+
 LISTED = (listed("net/", "block"), listed("example.net/en/", "allow"), listed("example.com/de/", "block"), listed("org/fr/", "allow"))
 #: Labels of advertising, adult, gambling, pharmacy and spam hosts.
 LABELS = (("ads", "track"), ("adult", "x"), ("casino", "win"), ("cheap", "pills"), ("free", "bets"), ("spam", "farm"))
@@ -91,7 +130,10 @@ class Index:
     def __init__(self, rules: tuple[Rule, ...], frequency: dict[str, int]):
         self.by_token: dict[str, list[int]] = {}
         self.always: list[int] = []
-        self.rules = [(r.name, r.verdict, re.compile(r.pattern, re.DOTALL), r.fixed) for r in rules]
+        self.tried = 0
+        # expressions are compiled when a URL first fetches their rule
+        self.rules = [(r.name, r.verdict, r.pattern, r.fixed, r.exception) for r in rules]
+        self.compiled: dict[int, re.Pattern] = {}
         for i, r in enumerate(rules):
             if r.literals:
                 self.by_token.setdefault(min(r.literals, key=lambda t: (frequency.get(t, 0), t)), []).append(i)
@@ -101,13 +143,18 @@ class Index:
     def best(self, host: str, path: str) -> tuple | None:
         """(rank, name or None, verdict) of the winning rule; a smaller rank wins."""
         text = host + path
-        found = {i for t in set(_TOKEN.findall(text)) for i in self.by_token.get(t, ())}
+        tokens = _TOKEN.findall(text)
+        found = {i for t in {*tokens, *[t.translate(_LOWER) for t in tokens]} for i in self.by_token.get(t, ())}
         won = None
         for i in (*found, *self.always):
-            name, verdict, pattern, fixed = self.rules[i]
-            rank = (not fixed, -len(name), verdict != "block", name)
-            if (won is None or rank < won[0]) and pattern.match(text):
-                won = (rank, name if fixed else None, verdict)
+            name, verdict, pattern, fixed, exception = self.rules[i]
+            rank = (not fixed, not exception, -len(name), verdict != "block", name)
+            if won is None or rank < won[0]:
+                self.tried += 1
+                if i not in self.compiled:
+                    self.compiled[i] = re.compile(pattern, re.DOTALL)
+                if self.compiled[i].match(text):
+                    won = (rank, name if fixed else None, verdict)
         return won
 
 
@@ -124,8 +171,8 @@ def winner_column(host: Column, path: Column, shared) -> Column:
             rows = []
             for h, p in zip(hosts, paths, strict=True):
                 w = index.best(h, p)
-                # a rank as text: fixed first, then the longest name, block before allow, the smaller name
-                rows.append((None, None, None) if w is None else (f"{int(w[0][0])}{10**6 + w[0][1]:07d}{int(w[0][2])}{w[0][3]}", w[1], w[2]))
+                # a rank as text: fixed first, then exceptions, the longest name, block before allow, the smaller name
+                rows.append((None, None, None) if w is None else (f"{int(w[0][0])}{int(w[0][1])}{10**6 + w[0][2]:07d}{int(w[0][3])}{w[0][4]}", w[1], w[2]))
             yield pd.DataFrame(rows, columns=["rank", "rule", "verdict"])
 
     return judge(host, path)
