@@ -12,7 +12,7 @@ from ..functions import text as X
 from ..operators import corpus as C
 from ..operators.sampling import numbered
 from ..session import shared_folder
-from ..sources import service_runs, tables
+from ..sources import json_arrays, service_runs, tables
 from ..sources.services import EchoClient, Processing, read_settings
 from .base import DIALOGUES, dialogues, micro, query, sql_strip, table
 
@@ -75,6 +75,17 @@ def raw_json_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.parse_records(raw_records(spark, sf_dir))
 
 
+@query("SRC1 SNK1 SNK2 M1 M2", """SELECT row_number() OVER (ORDER BY conv_id, turn)::BIGINT AS id, coalesce(role, '') AS speaker, text AS origin_text FROM conversations""")
+def json_array_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns written as files that are JSON arrays, read back by byte ranges as a new dialogue table; ids follow files and places."""
+    turns = table(spark, sf_dir, "conversations").repartitionByRange("conv_id", "turn").sortWithinPartitions("conv_id", "turn")
+    path = f"{shared_folder(spark)}/arrays-{uuid.uuid4().hex}"
+    json_arrays.write_arrays(turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("I"), F.col("role").alias("S"), F.col("text").alias("T")), path)
+    records = numbered(json_arrays.array_records(spark, path), [F.asc(c) for c in ("file", "block", "place")], name="id")
+    parsed = records.select("id", F.from_json("value", tables.RECORD).alias("r"))
+    return parsed.select("id", F.coalesce("r.S", F.lit("")).alias("speaker"), F.col("r.T").alias("origin_text"))
+
+
 @query("SNK1 SNK2 AGG7 M1 M2", """SELECT row_number() OVER (ORDER BY conv_id, turn)::BIGINT AS id, coalesce(role, '') AS speaker, text AS origin_text, true AS pending FROM conversations""")
 def imported_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw records as a new dialogue table, written in place of any older one and read back; ids follow the records' order."""
