@@ -434,3 +434,54 @@ def test_training_goes_on_from_an_artefact(spark, tmp_path):
     (tmp_path / "heads" / ".dead").mkdir()
     artefacts.save(spark, whole, path)
     assert artefacts.versions(spark, path) == [3, 6] and not [p for p in (tmp_path / "heads").iterdir() if p.name.startswith(".") and p.name not in (".dead",) and p.is_dir()]
+
+
+def components_of(pairs, nodes):
+    up = {n: n for n in nodes}
+
+    def top(n):
+        while up[n] != n:
+            up[n] = up[up[n]]
+            n = up[n]
+        return n
+
+    for a, b in pairs:
+        x, y = top(a), top(b)
+        up[max(x, y)] = min(x, y)
+    return {n: top(n) for n in nodes}
+
+
+def test_spanning_forest_by_brute_force():
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal((60, 3))
+    x[7] = x[3]
+    x[9] = 0
+    u = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-10)
+    d = np.round(1 - u @ u.T, 9)
+    i, j, w = K.spanning(u, 0.2)
+    assert np.allclose(w, d[i, j]) and len(w) < 60
+    for eps in (0.0, 0.01, 0.05, 0.2):
+        want = components_of([(a, b) for a in range(60) for b in range(a) if d[a, b] <= eps], range(60))
+        assert components_of([(a, b) for a, b, v in zip(i.tolist(), j.tolist(), w, strict=True) if v <= eps], range(60)) == want
+    assert [len(v) for v in K.spanning(u[:1], 0.2)] == [0, 0, 0] and [len(v) for v in K.spanning(u[:0], 0.2)] == [0, 0, 0]
+
+
+@pytest.mark.parametrize(("n", "clusters", "pivots", "part"), [(20_000, 400, None, 512), (900, 5, 7, 32), (300, 1, 1, 40)])
+def test_join_of_directions_within_a_radius(spark, n, clusters, pivots, part):
+    """Components as by all pairs, with few pairs compared where vectors are clustered."""
+    rng = np.random.default_rng(n)
+    centres = rng.standard_normal((clusters, 24))
+    x = centres[rng.integers(0, clusters, n)] + rng.standard_normal((n, 24)) * 0.12
+    x[5] = x[6]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())] + [(None, x[0].tolist()), (n + 5, None)], "id long, vec array<double>").repartition(6)
+    forest, compared = K.near_forest(df, "id", 0.02, pivots=pivots, part=part)
+    got = [tuple(r) for r in forest.collect()]
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    assert all(round(1 - float(u[a] @ u[b]), 9) == pytest.approx(d, abs=2e-9) and d <= 0.02 for a, b, d in got)
+    pairs = []
+    for at in range(0, n, 2000):
+        a, b = np.nonzero(np.round(1 - u[at : at + 2000] @ u.T, 9) <= 0.02)
+        pairs += [(int(p) + at, int(q)) for p, q in zip(a, b, strict=True) if p + at < q]
+    assert components_of([(a, b) for a, b, _ in got], range(n)) == components_of(pairs, range(n))
+    if n == 20_000:
+        assert compared.agg(F.sum("compared")).first()[0] < 0.1 * n * (n - 1) / 2

@@ -351,14 +351,95 @@ def elbow(levels: DataFrame, order: str, value: str) -> DataFrame:
     return out.withColumn("is_elbow", F.coalesce(F.col("second").isNotNull() & (F.col(order) == best), F.lit(False)))
 
 
-def close_pairs(rows: DataFrame, key: str, vector: str = "vec") -> DataFrame:
-    """(a, b, distance) of all pairs by cosine. Meant for class centroids, which are few; their number is checked."""
-    n = rows.count()
-    if n > 5000:
-        raise ValueError(f"{n} rows: close_pairs is for class centroids")
-    u = rows.select(F.col(key).alias("a"), V.unit(F.col(vector)).alias("x"))
-    w = u.select(F.col("a").alias("b"), F.col("x").alias("y"))
-    return u.join(F.broadcast(w), F.col("a") < F.col("b")).select("a", "b", F.round(1 - V.dot(F.col("x"), F.col("y")), 9).alias("distance"))
+def spanning(x: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The edges (i, j, distance) of a minimum spanning forest of unit rows by cosine distance, of at most ``limit``.
+
+    For every smaller limit its edges up to that connect the same rows as all pairs do. Prim's way: a row at a time joins
+    the tree, against all others at once.
+    """
+    n = len(x)
+    near, parent, out = np.full(n, np.inf), np.zeros(n, np.int64), np.ones(n, bool)
+    edges, at = [], 0
+    for _ in range(n - 1):
+        out[at] = False
+        d = np.round(1 - x @ x[at], 9)
+        closer = out & (d < near)
+        near[closer], parent[closer] = d[closer], at
+        at = int(np.where(out, near, np.inf).argmin()) if out.any() else at
+        if not np.isfinite(near[at]) or not out[at]:
+            at = int(out.argmax())
+            continue
+        if near[at] <= limit:
+            edges.append((int(parent[at]), at, float(near[at])))
+    if not edges:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    i, j, d = zip(*edges, strict=True)
+    return np.array(i), np.array(j), np.array(d)
+
+
+def near_forest(rows: DataFrame, key: str, limit: float, vector: str = "vec", pivots: int | None = None, part: int = 512) -> tuple[DataFrame, DataFrame]:
+    """(a, b, distance): pairs within ``limit`` by cosine that connect what all such pairs connect, at ``limit`` and below; and (compared).
+
+    A join of directions within a radius. Rows belong to the cell of their nearest pivot; for unit vectors a cosine distance
+    of e is a length of sqrt(2 e), so the triangle inequality tells in which other cells a row can have neighbours: those it
+    is at most that length beyond the radius of, and whose border with its own cell is within that length. It is sent to
+    those of smaller number, so that each pair meets once. A cell is compared in parts of at most ``part`` rows, pair by pair
+    of parts, and a pair of parts yields a spanning forest, at most one edge a row: a dense cluster emits no
+    quadratic number of pairs. ``pivots``, by default one for 32 rows and at most 1024, are drawn far from each other out of
+    ``SAMPLE`` rows and sent to all tasks; they only decide how much is compared. ``compared`` is the number of pairs that were, one row a part pair.
+    """
+    spark = rows.sparkSession
+    unit = materialised(rows.select(F.col(key).alias("k"), V.unit(F.col(vector)).alias("x")).filter("x is not null and k is not null"))
+    n = unit.count()
+    kind = unit.schema["k"].dataType.simpleString()
+    sample = np.array([r[0] for r in unit.orderBy(F.xxhash64("k"), "k").limit(SAMPLE).select("x").collect()])
+    if not len(sample):
+        return spark.createDataFrame([], f"a {kind}, b {kind}, distance double"), spark.createDataFrame([], "compared long")
+    centres = np.unique(first_centres(sample, min(pivots or max(1, min(1024, n // 32)), len(sample)), 42), axis=0)
+    apart = np.sqrt(squares_to(centres, centres))
+    reach = float(np.sqrt(2 * (limit + 1e-9))) + 1e-9
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+            d = np.sqrt(squares_to(x, centres))
+            cell = d.argmin(axis=1) if len(x) else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cell, pa.int64()), pa.array(d[np.arange(len(x)), cell])], names=["k", "x", "cell", "d"])
+
+    celled = materialised(unit.mapInArrow(own, f"k {kind}, x array<double>, cell long, d double"))
+    radius = np.full(len(centres), -np.inf)
+    for r in celled.groupBy("cell").agg(F.max("d").alias("d")).collect():
+        radius[r["cell"]] = r["d"]
+
+    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, cell = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1), b.column(2).to_numpy()
+            d, mine = np.sqrt(squares_to(x, centres)), b.column(3).to_numpy()[:, None]
+            border = (d * d - mine * mine) / np.maximum(2 * apart[cell], 1e-12) if len(x) else d
+            # rounding of lengths is far below the slack
+            to = (np.arange(len(centres)) < cell[:, None]) & (d <= radius + reach + 1e-7) & (border <= reach + 1e-7)
+            i, c = np.nonzero(to)
+            i, c = np.r_[np.arange(len(x)), i], np.r_[cell, c]
+            at = pa.array(i)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(c, pa.int64())], names=["k", "x", "cell"])
+
+    members = celled.mapInArrow(sent, f"k {kind}, x array<double>, cell long")
+    sizes = members.groupBy("cell").agg(F.ceil(F.count("*") / part).alias("parts"))
+    # as many rows as there are pivots
+    placed = members.join(F.broadcast(sizes), "cell").withColumn("p", F.pmod(F.xxhash64("k", F.lit(3)), "parts"))
+    met = placed.withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    met = met.select("k", "x", "cell", F.least("p", "q").alias("lo"), F.greatest("p", "q").alias("hi"))
+
+    def forest(key: tuple, t: pa.Table) -> pa.Table:
+        x = t.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
+        i, j, d = spanning(x, limit)
+        keys, n = t.column("k").combine_chunks(), t.num_rows
+        none = pa.nulls(1, keys.type)
+        a, b = (pa.concat_arrays([keys.take(pa.array(at, pa.int64())), none]) for at in (i, j))
+        return pa.table({"a": a, "b": b, "distance": pa.array([*d.tolist(), None], pa.float64()), "compared": pa.array([*[None] * len(d), n * (n - 1) // 2], pa.int64())})
+
+    found = materialised(met.groupBy("cell", "lo", "hi").applyInArrow(forest, f"a {kind}, b {kind}, distance double, compared long"))
+    return found.filter("a is not null").select("a", "b", "distance"), found.filter("compared is not null").select("compared")
 
 
 def smallest_reachable(nodes: DataFrame, edges: DataFrame, key: str) -> DataFrame:
@@ -379,11 +460,13 @@ def smallest_reachable(nodes: DataFrame, edges: DataFrame, key: str) -> DataFram
 def density_clusters(rows: DataFrame, eps: list[float], key: str, vector: str = "vec") -> DataFrame:
     """(eps, key, cluster) with two points as a core: components of the graph of pairs within ``eps``; null is noise.
 
-    All values of ``eps`` are one graph of nodes (eps, key), settled in the same rounds.
+    All values of ``eps`` are one graph of nodes (eps, key), settled in the same rounds. Its edges are a spanning forest of
+    the pairs within the largest, by ``near_forest``; rows without a key or vector take no part.
     """
     each = F.explode(F.array(*[F.lit(float(e)) for e in eps])).alias("eps")
-    nodes = rows.select(each, F.col(key).alias("k")).select(F.struct("eps", "k").alias("node"))
-    pairs = close_pairs(rows, key, vector).select("a", "b", "distance", each).filter("distance <= eps")
+    known = rows.filter(F.col(key).isNotNull() & F.col(vector).isNotNull())
+    nodes = known.select(each, F.col(key).alias("k")).select(F.struct("eps", "k").alias("node"))
+    pairs = near_forest(known, key, max(eps), vector)[0].select("a", "b", "distance", each).filter("distance <= eps")
     edges = pairs.select(F.struct("eps", F.col("a").alias("k")).alias("a"), F.struct("eps", F.col("b").alias("k")).alias("b"))
     comp = smallest_reachable(nodes, edges, "node")
     size = comp.groupBy("component").agg(F.count("*").alias("n"))

@@ -107,6 +107,19 @@ def dbscan_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("eps").agg(F.count_distinct("cluster").alias("clusters"), F.count_if(F.col("cluster").isNull()).alias("noise"))
 
 
+NEAR = [0.55, 0.6, 0.65]
+
+
+@query("ML6", f"""WITH RECURSIVE {E_SQL}, eps AS (SELECT unnest({NEAR}) AS eps), d AS (SELECT a.vec_id AS a, b.vec_id AS b, round(1 - list_dot_product(a.n, b.n), 9) AS d FROM u a JOIN u b ON a.vec_id <> b.vec_id),
+g AS (SELECT eps, a, b FROM d, eps WHERE d <= eps), reach(eps, a, b) AS (SELECT DISTINCT eps, a, a FROM g UNION SELECT r.eps, r.a, g.b FROM reach r JOIN g ON r.eps = g.eps AND r.b = g.a),
+k AS (SELECT eps, a, min(b) AS c FROM reach GROUP BY ALL), n AS (SELECT eps, count(DISTINCT c) AS clusters, count(*) AS held FROM k GROUP BY eps)
+SELECT eps.eps, coalesce(clusters, 0)::BIGINT AS clusters, ((SELECT count(*) FROM e) - coalesce(held, 0))::BIGINT AS noise FROM eps LEFT JOIN n ON n.eps = eps.eps""")
+def dbscan_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Density clusters of all vectors, not of class centroids, at three radii."""
+    found = K.density_clusters(embeddings(spark, sf_dir), NEAR, "vec_id")
+    return found.groupBy("eps").agg(F.count_distinct("cluster").alias("clusters"), F.count_if(F.col("cluster").isNull()).alias("noise"))
+
+
 #: The grid of heads: every backbone in three widths.
 GRID = [(arch, width) for arch in T.ARCHS for width in (32, 64, 128)]
 
