@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..session import materialised, shared_folder
+from ..session import materialised
 from .reduction import STRIPE, in_stripes, stripes_added
 
 #: Rows of a block in a task, and rows from which k-means draws its first centres.
@@ -443,18 +443,19 @@ def near_forest(rows: DataFrame, key: str, limit: float, vector: str = "vec", pi
 
 
 def smallest_reachable(nodes: DataFrame, edges: DataFrame, key: str) -> DataFrame:
-    """(key, component): the smallest key reachable, by rounds of neighbours' minima, each written to the checkpoint folder."""
-    shared_folder(nodes.sparkSession)
-    both = edges.union(edges.select("b", "a")).toDF("u", "v").checkpoint()
-    state = nodes.select(F.col(key).alias("u"), F.col(key).alias("component")).checkpoint()
+    """(key, component): the smallest key reachable, by rounds of neighbours' minima, each written to the shared folder."""
+    both = materialised(edges.union(edges.select("b", "a")).toDF("u", "v"))
+    # nodes without an edge are settled from the start
+    linked = both.select("u").distinct()
+    state = materialised(linked.select("u", F.col("u").alias("component")))
     while True:
-        low = both.join(state.withColumnRenamed("u", "v"), "v").groupBy("u").agg(F.min("component").alias("low"))
-        new = state.join(low, "u", "left").select("u", F.least("component", F.coalesce("low", "component")).alias("component"))
-        jumped = new.join(new.select(F.col("u").alias("component"), F.col("component").alias("next")), "component", "left").select("u", F.coalesce("next", "component").alias("component")).checkpoint()
-        moved = jumped.join(state.withColumnRenamed("component", "was"), "u").filter("component <> was").isEmpty()
-        state = jumped
-        if moved:
-            return state.withColumnRenamed("u", key)
+        low = both.join(state.select(F.col("u").alias("v"), "component"), "v").groupBy("u").agg(F.min("component").alias("low"))
+        new = materialised(state.join(low, "u").select("u", F.least("component", "low").alias("component"), F.col("component").alias("was")))
+        jumped = new.join(new.select(F.col("u").alias("component"), F.col("component").alias("next")), "component")
+        done = materialised(jumped.select("u", F.col("next").alias("component"), "was"))
+        state = done.select("u", "component")
+        if done.filter("component <> was").isEmpty():
+            return nodes.join(state.withColumnRenamed("u", key), key, "left").select(key, F.coalesce("component", key).alias("component"))
 
 
 def density_clusters(rows: DataFrame, eps: list[float], key: str, vector: str = "vec") -> DataFrame:
