@@ -265,7 +265,8 @@ def hits(docs: DataFrame, items: DataFrame, doc_col: str = "doc_id", text_col: s
 def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", rate: float = RATE, limit: int = BLOCK_CHARS) -> DataFrame:
     """The rows of ``docs`` without any hit, with their columns, whatever their names.
 
-    Rows as in ``hits``: null and empty texts stay, repeated rows stay or go together, an empty table stays empty.
+    Null and empty texts hold no item and stay, whatever their ids; very long texts are searched whole; repeated rows stay
+    or go together; without items all rows stay, and an empty table stays empty.
     """
     for items_of, last in in_turn(blocks(items, item_col, item_text_col, limit)):
         block = Block(docs.sparkSession, items_of, rate)

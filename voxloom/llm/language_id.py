@@ -148,7 +148,9 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sampl
     """A model from rows with a text and a language.
 
     Where a language has more than ``sample_docs`` rows, a share of them that is expected to hold that many is
-    taken by the hash of the whole row's text and id, so that copies of one text are sampled like any rows.
+    taken by the hash of the whole row's text and id, so that copies of one text are sampled like any rows. Of a
+    language's trigrams the ``max_grams`` most frequent are kept (about 8 MB of counts a language); a language that has more of them,
+    as those of very many letters do, is judged by those alone.
     """
     known = docs.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
     sizes = {r["lang"]: r["n"] for r in known.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).collect()}

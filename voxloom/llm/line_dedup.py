@@ -86,7 +86,8 @@ def keep_runs(n_lines: Column, runs: Column) -> Column:
 def apply(docs: DataFrame, bitmaps: DataFrame, doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with its text column replaced by the kept lines, and columns n_lines, n_dropped and keep_runs.
 
-    Clashing columns of ``docs`` get new values; all others, whatever their names, stay. No row is lost.
+    Clashing columns of ``docs`` get new values; all others, whatever their names, stay. No row is lost, and an empty table
+    gives no rows.
     """
     right = {c: fresh(f"_bm_{c}", docs.columns) for c in ("doc", "text_hash", "n_dropped", "drop_runs")}
     marks = bitmaps.select([F.col(c).alias(name) for c, name in right.items()])

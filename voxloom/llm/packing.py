@@ -137,8 +137,9 @@ def packed(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text", tok
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, tier, step_id (and ids).
 
     ``tokenizer`` names a file of the public tokenizers. Every row of ``docs`` is packed, repeated ones as well; a
-    null or empty text is its end id alone; a very long text fills sequences of its own. ``tier`` is the length a
-    sequence is padded to. Other columns are ignored. An empty table gives no rows.
+    null or empty text is its end id alone; a very long text fills sequences of its own; rows with a null id are packed
+    and stay null. ``tier`` is the length a sequence is padded to. Sequences depend on the order of a partition's rows, so a task that
+    is tried again gives the same ones where its input comes in the same order, as files do. Other columns are ignored. An empty table gives no rows.
     """
     kept = docs.select(F.col(doc_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return kept.mapInArrow(lean(packer(tokenizer, step_tokens, with_ids)), SCHEMA + (", ids array<int>" if with_ids else ""))

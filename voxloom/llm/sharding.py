@@ -147,8 +147,8 @@ def sharded(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text", sh
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard) for each row of ``docs``.
 
     The law is "bytes": shards of nearly equal bytes, where documents with equal texts share a shard. A null text
-    counts as empty. Rows that repeat stay, each with a slot of its own; other columns are ignored; an empty table
-    gives no rows. ``parameters`` are those of ``assign``.
+    counts as empty, a null id is an id like any other, a very long text is one item that may fill a shard by itself. Rows
+    that repeat stay, each with a slot of its own; other columns are ignored; an empty table gives no rows. ``parameters`` are those of ``assign``.
     """
     lean = materialise(docs.select(F.col(doc_col).cast("long").alias("doc_id"), *group_sizes(docs, text_col)))
     groups = materialise(lean.groupBy("g1", "g2").agg(F.sum("size").alias("bytes")))

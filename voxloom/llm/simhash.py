@@ -216,7 +216,8 @@ def components(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text",
     Two rows are linked if their fingerprints differ in at most two bits. Null, empty and blank texts have
     fingerprint zero and are linked like any other. Rows that repeat an id stay, one result row each; a null
     id takes part as itself only in its row's fingerprint, and its component is that of its fingerprint (null
-    if no row with an id is reachable). Other columns are ignored. An empty table gives no rows.
+    if no row with an id is reachable). Very long texts are read whole, some words at a time. Other columns are ignored. An
+    empty table gives no rows.
     """
     fps = materialise(fingerprints(docs, doc_col, text_col, width))
     nodes = materialise(fps.groupBy("fp").agg(F.min("doc").alias("node")).filter("node is not null"))
