@@ -485,3 +485,27 @@ def test_join_of_directions_within_a_radius(spark, n, clusters, pivots, part):
     assert components_of([(a, b) for a, b, _ in got], range(n)) == components_of(pairs, range(n))
     if n == 20_000:
         assert compared.agg(F.sum("compared")).first()[0] < 0.1 * n * (n - 1) / 2
+
+
+def test_space_that_explains_half_of_another_table_is_removed(spark):
+    rng = np.random.default_rng(31)
+    x, other = rng.standard_normal((40, 5)), rng.standard_normal((60, 5)) @ np.diag([5, 4, 1, 1, 0.5])
+    df, second = frame(spark, [(0, v) for v in x.tolist()]), frame(spark, [(0, v) for v in other.tolist()])
+    out, k = R.without_space_of(df, second.select("vec"), 0.5)
+    values_, axes = np.linalg.eigh(np.cov(other.T))
+    axes, share = axes[:, ::-1].T, values_[::-1] / values_.sum()
+    want = int(np.searchsorted(np.cumsum(share), 0.5)) + 1
+    got = np.array([r["vec"] for r in out.orderBy("id").collect()])
+    assert k == want and np.allclose(got, x - (x @ axes[:k].T) @ axes[:k])
+
+
+def test_a_head_projects_by_its_layers(spark):
+    rng = np.random.default_rng(32)
+    head = T.fresh_head(4, 3, "1h-256", 6, 5)
+    assert [w.shape for w in head.layers] == [(4, 256), (256, 6)] and head.classes.shape == (3, 6)
+    x = rng.standard_normal((7, 4))
+    z = np.maximum(x @ head.layers[0], 0) @ head.layers[1]
+    assert np.allclose(head.forward(x)[-1], z)
+    got = np.array([r[0] for r in frame(spark, [(0, v) for v in x.tolist()]).orderBy("id").select(head.embed(F.col("vec"))).collect()])
+    assert np.allclose(got, z / np.linalg.norm(z, axis=1, keepdims=True))
+    assert [len(T.fresh_head(4, 2, arch, 8, 1).layers) for arch in T.ARCHS] == [1, 2, 2, 3, 2]
