@@ -12,7 +12,7 @@ from ..functions import text as X
 from ..operators import corpus as C
 from ..operators.sampling import numbered
 from ..session import shared_folder
-from ..sources import json_arrays, service_runs, tables
+from ..sources import json_arrays, service_runs, tables, versions
 from ..sources.services import EchoClient, Processing, read_settings
 from .base import DIALOGUES, dialogues, micro, query, sql_strip, table
 
@@ -219,11 +219,48 @@ def update_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return updated_by(text_pairs(spark, sf_dir), spark, sf_dir)
 
 
-@query("SNK5 JN1 JN4", f"""WITH {PAIRS_SQL} SELECT d.id, round((s.jaccard + s.edit) / 2, 6) AS similarity, s.id IS NULL AS still_pending FROM dialogues d LEFT JOIN s ON d.id = s.id""")
+UPDATED_SQL = f"""WITH {PAIRS_SQL} SELECT d.id, round((s.jaccard + s.edit) / 2, 6) AS similarity, s.id IS NULL AS still_pending FROM dialogues d LEFT JOIN s ON d.id = s.id"""
+
+
+@query("SNK5 JN1 JN4", UPDATED_SQL)
 def update_similarity_ascii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return updated_by(ascii_pairs(spark, sf_dir), spark, sf_dir)
 
 
+def versioned_dialogues(spark: SparkSession, sf_dir: str) -> str:
+    """Where a table of dialogues with versions was made, sliced and bucketed by id."""
+    path = f"{shared_folder(spark)}/versions-{uuid.uuid4().hex}"
+    versions.create(dialogues(spark, sf_dir).withColumn("similarity", F.lit(None).cast("double")), path, "id", slices=8, buckets=8)
+    return path
+
+
+@query("SNK5 JN1 JN4", UPDATED_SQL)
+def update_in_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Similarities set in a table with versions: touched slices are written anew, no row of the table is shuffled."""
+    path = versioned_dialogues(spark, sf_dir)
+    scores = ascii_pairs(spark, sf_dir).select("id", C.pair_similarity(F.col("a"), F.col("b")).alias("similarity"))
+    versions.updated(spark, path, scores)
+    return versions.opened(spark, path).select("id", micro(F.col("similarity"), "similarity"), F.col("similarity").isNull().alias("still_pending"))
+
+
+@query("SNK4 FIL7 JN4", f"WITH {DIALOGUES} SELECT id, speaker FROM dialogues WHERE ({reason_sql('origin_text')}) IS NULL AND left(origin_text, 1) <> 'T'")
+def delete_in_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that cleaning removes, and turns that begin with T, deleted by id from a table with versions."""
+    path = versioned_dialogues(spark, sf_dir)
+    rows = versions.opened(spark, path)
+    gone = X.removal_reason(F.col("origin_text")).isNotNull() | F.col("origin_text").startswith("T")
+    versions.deleted(spark, path, rows.filter(gone).select("id"))
+    return versions.opened(spark, path).select("id", "speaker")
+
+
+@query("SNK3 FIL3", f"WITH {DIALOGUES} SELECT id, speaker FROM dialogues WHERE speaker = 'user'")
+def speaker_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One speaker's rows from a table laid out by speaker: the filter prunes the folders of all others."""
+    path = f"{shared_folder(spark)}/speakers-{uuid.uuid4().hex}"
+    tables.write_speakers(dialogues(spark, sf_dir).select("id", "speaker"), path)
+    return spark.read.parquet(path).filter(F.col("speaker") == "user").select("id", "speaker")
+
+
 @query("STR12 STR15", rf"""WITH {DIALOGUES} SELECT id, {sql_strip('speaker')} || '：' || {sql_strip("replace(replace(origin_text, chr(10), ' '), chr(13), '')")} AS line, left(replace(origin_text, chr(10), ' '), 80) AS preview FROM dialogues""")
 def format_prompt_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dialogues(spark, sf_dir).select("id", X.prompt_line(F.col("speaker"), F.col("origin_text")).alias("line"), X.preview(F.col("origin_text")).alias("preview"))

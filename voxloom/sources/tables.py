@@ -73,5 +73,8 @@ def write_report(lines: DataFrame, path: str) -> None:
 
 
 def write_speakers(rows: DataFrame, path: str) -> None:
-    """A table laid out by speaker, so that one speaker's rows are found by pruning."""
-    rows.repartition("speaker").write.mode("overwrite").partitionBy("speaker").parquet(path)
+    """A table laid out by speaker, so that one speaker's rows are found by pruning.
+
+    Ranges go by speaker and then by a hash of the row, so a speaker with many rows is written by several tasks.
+    """
+    rows.repartitionByRange("speaker", F.xxhash64(*rows.columns)).write.mode("overwrite").partitionBy("speaker").parquet(path)
