@@ -14,7 +14,7 @@ from ..operators import reduction as R
 from ..operators import sampling as S
 from ..operators import training as T
 from ..session import materialised, shared_folder
-from ..sources import artefacts, tables
+from ..sources import artefacts, caches, tables
 from ..sources.services import CountEmbedder, SumEncoder, WordLengths, WordStates, embedded, encoded, pooled_states, tokenized
 from .base import DIALOGUES, dialogues, micro, query
 from .vectors import CENT_SQL, E_SQL, SEP_SQL, SIL_SQL, digest, embeddings, sql_digest
@@ -216,7 +216,7 @@ def encoded_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.select("id", "speaker", real.alias("real_tokens"), micro(digest(V.as_double(F.col("vector"))), "digest"))
 
 
-@query("SRC5 SRC6 SNK8", f"WITH {E_SQL} SELECT vec_id, label, {sql_digest('v')} AS digest FROM e")
+@query("SRC5 SNK8", f"WITH {E_SQL} SELECT vec_id, label, {sql_digest('v')} AS digest FROM e")
 def vector_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled vectors from a cache named by their content: written once to the shared folder, then read."""
     rows = embeddings(spark, sf_dir)
@@ -224,6 +224,39 @@ def vector_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.select("vec_id", "label", micro(digest(F.col("vec")), "digest"))
 
 
+@query("SRC6 TOK1 SPL2 SET1", f"""WITH {DIALOGUES}, l AS (SELECT speaker, row_number() OVER (ORDER BY speaker) - 1 AS label FROM (SELECT DISTINCT speaker FROM dialogues)),
+t AS (SELECT id, label, string_split(origin_text, ' ')[1:128] AS ws, CASE WHEN id // 1000 % 20 < 14 THEN 'train' WHEN id // 1000 % 20 < 17 THEN 'val_acc' ELSE 'val' END AS s FROM dialogues JOIN l USING (speaker) WHERE origin_text IS NOT NULL),
+u AS (SELECT *, s AS split FROM t UNION ALL SELECT *, 'all_train' FROM t WHERE s <> 'val'), k AS (SELECT count(DISTINCT label) AS train_speakers FROM t WHERE s <> 'val')
+SELECT split, label::INT AS label, count(*)::BIGINT AS n, sum(len(ws))::BIGINT AS real_tokens, sum(list_sum([length(ws[i]) * i FOR i IN range(1, len(ws) + 1)]))::BIGINT AS digest, any_value(train_speakers)::BIGINT AS train_speakers FROM u, k GROUP BY split, label""")
+def token_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as token sequences, labelled by speaker and split by conversation, saved as a cache and read by split."""
+    turns = dialogues(spark, sf_dir).filter("origin_text is not null")
+    labelled = turns.join(S.labels(dialogues(spark, sf_dir).select("speaker").distinct(), [F.asc("speaker")]), "speaker")
+    at = F.floor(F.col("id") / 1000) % 20
+    split = F.when(at < 14, "train").when(at < 17, "val_acc").otherwise("val")
+    path = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
+    caches.save_tokens(tokenized(labelled, WordLengths(), "origin_text").withColumn("split", split).withColumnRenamed("ids", "tokens"), path)
+    cache, out = caches.load_tokens(spark, path), None
+    for name in (*caches.SPLITS, "all_train"):
+        part = cache.split(name).withColumn("split", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    places = F.aggregate(F.transform("tokens", lambda x, i: x * (i + 1)), F.lit(0).cast("long"), lambda s, x: s + x)
+    real = F.aggregate("mask", F.lit(0).cast("long"), lambda s, x: s + x)
+    sums = out.groupBy("split", "label").agg(F.count("*").alias("n"), F.sum(real).alias("real_tokens"), F.sum(places).alias("digest"))
+    return sums.crossJoin(F.broadcast(cache.train_speakers()))
+
+
+@query("EXT0 SET3", """WITH c AS (SELECT DISTINCT label AS layer, CASE WHEN vec_id % 3 = 0 THEN 'attn' ELSE 'last' END AS pool FROM embeddings),
+m AS (SELECT min(layer) AS layers FROM (SELECT 0 AS layer UNION ALL SELECT layer + 1 FROM c WHERE pool = 'last') x WHERE layer NOT IN (SELECT layer FROM c WHERE pool = 'last' AND layer IS NOT NULL))
+SELECT layers::BIGINT AS layers, count(g.layer)::BIGINT AS gaps FROM m LEFT JOIN (SELECT layer, pool FROM (SELECT unnest(range(0, (SELECT layers FROM m)::BIGINT)) AS layer) l, (VALUES ('last'), ('attn'), ('comp')) p(pool) EXCEPT SELECT layer, pool FROM c) g ON true GROUP BY layers""")
+def cache_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many layers a cache of vectors holds without a gap, and how many cells of three poolings it lacks there."""
+    pool = F.when(F.col("vec_id") % 3 == 0, "attn").otherwise("last")
+    cells = materialised(embeddings(spark, sf_dir).select(F.col("label").alias("layer"), pool.alias("pool")).distinct())
+    gaps = caches.cell_gaps(cells, ["last", "attn", "comp"]).agg(F.count("*").alias("gaps"))
+    return caches.layer_count(cells).crossJoin(gaps)
+
+
 @query("SNK7 AGG11", f"WITH {SEP_SQL} SELECT label, n::BIGINT AS n, round(intra, 6) AS intra_dist, nearest::VARCHAR AS nearest, round(sep, 6) AS separability FROM t")
 def metrics_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metrics by class as a CSV file with a header, read back."""
