@@ -85,7 +85,7 @@ def test_odd_tables(spark, tmp_path):
     assert got == {(None, 1), (4, 9), ((1 << 62) + 1, 4)} and versions.opened(spark, path).count() == 4
     with pytest.raises(versions.VersionConflict):
         versions.create(odd, path, "id", 3, 2)
-    with pytest.raises(Exception, match="columns of the table"):
+    with pytest.raises(ValueError, match="columns of the table"):
         versions.updated(spark, path, spark.createDataFrame([(4, 9)], "id long, other int"))
 
 

@@ -3,18 +3,22 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import re
 import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 PACKAGE = Path(__file__).resolve().parent
 _shipped: set[str] = set()
+_stages: ContextVar[str | None] = ContextVar("stages", default=None)
 
 
 def ship(spark: SparkSession) -> SparkSession:
@@ -47,9 +51,32 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def materialised(df: DataFrame) -> DataFrame:
-    """``df`` as Parquet in the shared folder, read back: its lineage is cut, and a lost executor loses none of it."""
-    path = f"{shared_folder(df.sparkSession)}/rows-{uuid.uuid4().hex}"
+def stage_folder(spark: SparkSession) -> str:
+    """Where materialised stages go: the innermost ``own_stages``, else the shared folder."""
+    return _stages.get() or shared_folder(spark)
+
+
+@contextlib.contextmanager
+def own_stages(spark: SparkSession) -> Iterator[str]:
+    """Stages that are materialised inside lie in a folder of their own, which is deleted at the end, after an error too.
+
+    It gives the folder that stages had before. A result is lazy and reads its stages, so it must be written before the end:
+    with ``materialised(result, folder)`` or as a table of its own.
+    """
+    outer = stage_folder(spark)
+    inner = f"{outer}/own-{uuid.uuid4().hex}"
+    token = _stages.set(inner)
+    try:
+        yield outer
+    finally:
+        _stages.reset(token)
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(inner)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def materialised(df: DataFrame, folder: str | None = None) -> DataFrame:
+    """``df`` as Parquet in the stages' folder, read back: its lineage is cut, and a lost executor loses none of it."""
+    path = f"{folder or stage_folder(df.sparkSession)}/rows-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -17,14 +17,13 @@ import json
 import uuid
 from dataclasses import asdict, dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.sampling import apart
-from ..session import materialised
+from ..session import materialised, own_stages
 
 
 class VersionConflict(RuntimeError):
@@ -115,12 +114,14 @@ def create(rows: DataFrame, path: str, key: str, slices: int = 64, buckets: int
     ``slices`` is what an update can leave alone, ``buckets`` how many tasks join and rewrite; files number their product. Slices
     have about equal rows: their cuts are quantiles of the ids. Columns keep their names, whatever they are; an empty table has no slice.
     """
-    spark, held = rows.sparkSession, materialised(rows)
-    at = held.select(F.col(key).cast("double").alias("x")).approxQuantile("x", [i / slices for i in range(1, slices)], 0.1 / slices)
-    v = Version(1, key, f"{apart(rows)}slice", buckets, sorted(set(at)), rows.schema.json(), {})
+    spark = rows.sparkSession
     if versions(spark, path):
         raise VersionConflict(f"there is a table at {path}")
-    folders = _written(sliced(held, v).repartition(buckets, key), path, v)
+    with own_stages(spark):
+        held = materialised(rows)
+        at = held.select(F.col(key).cast("double").alias("x")).approxQuantile("x", [i / slices for i in range(1, slices)], 0.1 / slices)
+        v = Version(1, key, f"{apart(rows)}slice", buckets, sorted(set(at)), rows.schema.json(), {})
+        folders = _written(sliced(held, v).repartition(buckets, key), path, v)
     return _publish(spark, path, Version(**asdict(v) | {"folders": folders}))
 
 
@@ -182,12 +183,14 @@ def updated(spark: SparkSession, path: str, changes: DataFrame) -> Version:
     Of changes that repeat an id the greatest counts, column by column in their order; ids that the table lacks change nothing.
     Without changes there is a new version of the same files.
     """
-    v, held = version(spark, path), materialised(changes)
-    rows, slices = _touched(spark, path, v, held)
-    unknown = set(changes.columns) - set(rows.columns)
-    if unknown or len(changes.columns) < 2:
-        raise AnalysisException(f"changes need {v.key} and columns of the table, not {sorted(unknown)}")
-    return _replaced(spark, path, v, update_plan(rows, v, held), slices)
+    v = version(spark, path)
+    known = {f["name"] for f in json.loads(v.schema)["fields"]}
+    if not set(changes.columns) <= known or v.key not in changes.columns or len(changes.columns) < 2:
+        raise ValueError(f"changes need {v.key} and columns of the table, not {sorted(changes.columns)}")
+    with own_stages(spark):
+        held = materialised(changes)
+        rows, slices = _touched(spark, path, v, held)
+        return _replaced(spark, path, v, update_plan(rows, v, held), slices)
 
 
 def delete_plan(rows: DataFrame, v: Version, ids: DataFrame) -> DataFrame:
@@ -198,9 +201,11 @@ def delete_plan(rows: DataFrame, v: Version, ids: DataFrame) -> DataFrame:
 
 def deleted(spark: SparkSession, path: str, ids: DataFrame) -> Version:
     """Delete the rows of some ids (the column of the table's key). Returns the version without them."""
-    v, held = version(spark, path), materialised(ids)
-    rows, slices = _touched(spark, path, v, held)
-    return _replaced(spark, path, v, delete_plan(rows, v, held), slices)
+    v = version(spark, path)
+    with own_stages(spark):
+        held = materialised(ids)
+        rows, slices = _touched(spark, path, v, held)
+        return _replaced(spark, path, v, delete_plan(rows, v, held), slices)
 
 
 def forget(spark: SparkSession, path: str, keep: int = 1) -> None:
