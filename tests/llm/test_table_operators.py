@@ -400,3 +400,22 @@ def test_a_star_of_vectors_finds_its_neighbours(spark):
         s[q] = -2
         hits += (part["score"] >= np.sort(s)[-5] - 1e-9).sum()
     assert hits / (5 * 30) >= 0.9
+
+
+def test_pipeline_leaves_its_result_alone_behind(spark, sf_dir):
+    from pathlib import Path
+
+    import corpus_pipeline
+    from voxloom.session import shared_folder
+
+    folder = Path(shared_folder(spark).removeprefix("file:"))
+    before = set(folder.iterdir())
+    rows = corpus_pipeline.run(spark, sf_dir)
+    left = set(folder.iterdir()) - before
+    assert len(left) == 1 and left.pop().name.startswith("stage-")
+    docs = corpus_pipeline.table(spark, sf_dir, "documents")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = corpus_pipeline.Stage(stage(spark, docs, sf_dir)).df
+    cut = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+    assert 0 < rows.count() == docs.count() and rows.agg({"length": "sum"}).first() == docs.agg({"length": "sum"}).first()
+    assert {r["doc_id"] for r in rows.select(cut).collect()} == {r["doc_id"] for r in docs.select(cut).collect()}

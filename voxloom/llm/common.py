@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import shared_folder, ship
+from ..session import ship, stage_folder
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -39,12 +39,13 @@ def id_remainder(doc_id: str | Column, modulus: int) -> Column:
 class Stage:
     """A materialised intermediate result: Parquet in the shared checkpoint folder.
 
-    It cuts lineage and survives lost executors, as every executor can read the folder.
+    It cuts lineage and survives lost executors, as every executor can read the folder. Within ``own_stages`` it goes with
+    those, unless a ``folder`` outside is given.
     """
 
-    def __init__(self, df: DataFrame):
+    def __init__(self, df: DataFrame, folder: str | None = None):
         self.spark = df.sparkSession
-        self.path = f"{shared_folder(self.spark)}/stage-{uuid.uuid4().hex}"
+        self.path = f"{folder or stage_folder(self.spark)}/stage-{uuid.uuid4().hex}"
         df.write.parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
