@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxloom.llm import decontam, line_dedup, near_copies, packing, quality
-from voxloom.llm.common import materialise, table
-from voxloom.session import ship
+from voxloom.llm.common import Stage, table
+from voxloom.session import own_stages, ship
 
 #: Documents below this score of the quality classifier go.
 LEAST_QUALITY = 0.3
@@ -70,7 +70,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The stages one after another. What a stage wrote on its way goes when it ends, and its rows when the next stage's are written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir))
+        with own_stages(spark) as outside:
+            kept = Stage(stage(spark, docs, sf_dir), outside)
+        if before is not None:
+            before.drop()
+        docs, before = kept.df, kept
     return docs
