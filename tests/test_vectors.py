@@ -487,6 +487,30 @@ def test_join_of_directions_within_a_radius(spark, n, clusters, pivots, part):
         assert compared.agg(F.sum("compared")).first()[0] < 0.1 * n * (n - 1) / 2
 
 
+@pytest.mark.parametrize("copies", [False, True])
+def test_rows_without_structure_are_compared_at_most_once(spark, copies):
+    """Blocks of one table, at three levels: components as by all pairs, no pair of blocks compared twice, few edges whatever is near."""
+    rng = np.random.default_rng(8)
+    n, levels = 2400, [0.5, 0.55, 0.6]
+    x = rng.standard_normal((n, 64))
+    if copies:
+        x[400:2000] = x[0]
+    df = spark.createDataFrame(list(enumerate(x.tolist())), "id long, vec array<double>").repartition(5)
+    forest, compared = K.near_forest(df, "id", levels[-1], levels=levels)
+    got, blocks = [tuple(r) for r in forest.collect()], compared.count()
+    assert blocks == 15 and compared.agg(F.sum("compared")).first()[0] < n * (n + 5 * 512) / 2
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    d = np.round(1 - u @ u.T, 9)
+    labels = {}
+    for eps in levels:
+        labels[eps] = components_of([(int(a), int(b)) for a, b in zip(*np.nonzero(np.triu(d <= eps, 1)), strict=True)], range(n))
+        assert components_of([(a, b) for a, b, v in got if v <= eps], range(n)) == labels[eps]
+    assert len(got) < 3 * 5 * n
+    if copies:
+        found = {(r["eps"], r["id"]): r["cluster"] for r in K.density_clusters(df, levels, "id", "vec").collect()}
+        assert all(found[eps, a] == (c if sum(v == c for v in labels[eps].values()) > 1 else None) for eps in levels for a, c in list(labels[eps].items())[::50])
+
+
 def test_space_that_explains_half_of_another_table_is_removed(spark):
     rng = np.random.default_rng(31)
     x, other = rng.standard_normal((40, 5)), rng.standard_normal((60, 5)) @ np.diag([5, 4, 1, 1, 0.5])

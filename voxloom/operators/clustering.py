@@ -16,10 +16,15 @@ from pyspark.sql import functions as F
 from ..functions import vectors as V
 from ..session import materialised
 from .reduction import STRIPE, in_stripes, stripes_added
+from .sampling import numbered
 
 #: Rows of a block in a task, and rows from which k-means draws its first centres.
 BLOCK, SAMPLE = 2048, 4096
 
+#: Rows and pairs that a task compares at a time, blocks that a table is cut into at least where they have so many rows, bytes of
+#: a block's vectors, and tasks of a pass over blocks at most.
+PIECE, PAIRS, SHARES, HELD, TASKS = 512, 1 << 20, 12, 1 << 24, 2000
+
 #: Class centroids that Ward linkage takes: it needs the distances of all pairs, 8 bytes each, in one task.
 WARD_ROWS = 5000
 
@@ -377,18 +382,95 @@ def spanning(x: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray, np.nd
     return np.array(i), np.array(j), np.array(d)
 
 
-def near_forest(rows: DataFrame, key: str, limit: float, vector: str = "vec", pivots: int | None = None, part: int = 512) -> tuple[DataFrame, DataFrame]:
-    """(a, b, distance): pairs within ``limit`` by cosine that connect what all such pairs connect, at ``limit`` and below; and (compared).
+def merged(label: np.ndarray, u: np.ndarray, v: np.ndarray) -> list[int]:
+    """Makes components u[i] and v[i] one in ``label``, in place, and gives the places i that joined two."""
+    up: dict[int, int] = {}
+
+    def top(c: int) -> int:
+        while c in up:
+            up[c] = up.get(up[c], up[c])
+            c = up[c]
+        return c
+
+    joined = []
+    for at, (p, q) in enumerate(zip(u.tolist(), v.tolist(), strict=True)):
+        p, q = top(p), top(q)
+        if p != q:
+            up[max(p, q)] = min(p, q)
+            joined.append(at)
+    if up:
+        to = np.arange(label.max() + 1)
+        for c in up:
+            to[c] = top(c)
+        label[:] = to[label]
+    return joined
+
+
+def linked(s: np.ndarray, rows: np.ndarray, cols: np.ndarray, labels: np.ndarray, levels: list[float]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, distance) of pairs with the cosines ``s`` that join components of a level, which ``labels`` (levels, rows) then has as one."""
+    for k, limit in enumerate(levels):
+        at = np.flatnonzero(s >= 1 - limit - 1e-8)
+        i, j, d = rows[at // len(cols)], cols[at % len(cols)], np.round(1 - s.ravel()[at], 9)
+        while True:
+            apart = (d <= limit) & (labels[k, i] != labels[k, j])
+            i, j, d = i[apart], j[apart], d[apart]
+            if not len(i):
+                break
+            # one pair of each component on either side: few rounds, however many pairs
+            u, v = labels[k, i], labels[k, j]
+            few = np.unique(np.concatenate([np.unique(u, return_index=True)[1], np.unique(v, return_index=True)[1]]))
+            few = few[merged(labels[k], u[few], v[few])]
+            for m in range(k + 1, len(levels)):
+                merged(labels[m], labels[m, i[few]], labels[m, j[few]])
+            yield i[few], j[few], d[few]
+
+
+def joined_block(x: np.ndarray, cell: np.ndarray, split: int, labels: np.ndarray, levels: list[float], near: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """The edges (i, j, distance) that join components between rows before ``split`` and from it on (0: all with all), and how many pairs were compared.
+
+    Rows are unit vectors by cell on each side; ``near`` tells which cells can have neighbours in which. ``labels`` holds the
+    components that are known at each level and is changed in place. Rows of one component at the smallest level are never
+    compared with the largest one of the other side again, if they are in it: that could join nothing.
+    """
+    n, ends, out, compared = len(x), split or len(x), [], 0
+    alone = near.mean() < 0.5
+    cuts = np.flatnonzero(np.diff(cell[:ends])) + 1 if alone else np.zeros(0, np.int64)
+    cuts = np.unique(np.r_[0, cuts, np.arange(0, ends, PIECE), ends])
+    for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        left, right = np.arange(lo, hi), np.arange(split or lo, n)
+        if alone:
+            right = right[near[np.unique(cell[lo:hi])].any(axis=0)[cell[right]]]
+        if not len(right):
+            continue
+        large = np.bincount(labels[0, right]).argmax()
+        inside = labels[0, left] == large
+        for rows, others in ((left[~inside], right), (left[inside], right[labels[0, right] != large])):
+            wide = max(1, PAIRS // max(len(rows), 1))
+            for at in range(0, len(others) if len(rows) else 0, wide):
+                cols = others[at : at + wide]
+                compared += len(rows) * len(cols)
+                out += linked(x[rows] @ x[cols].T, rows, cols, labels, levels)
+    if not out:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), compared
+    i, j, d = (np.concatenate(c) for c in zip(*out, strict=True))
+    return i, j, d, compared
+
+
+def near_forest(rows: DataFrame, key: str, limit: float, vector: str = "vec", pivots: int | None = None, part: int | None = None, levels: list[float] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(a, b, distance): pairs within ``limit`` by cosine that connect what all such pairs connect, at each of ``levels`` (by default ``limit``); and (compared).
 
     A join of directions within a radius. Rows belong to the cell of their nearest pivot; for unit vectors a cosine distance
-    of e is a length of sqrt(2 e), so the triangle inequality tells in which other cells a row can have neighbours: those it
-    is at most that length beyond the radius of, and whose border with its own cell is within that length. It is sent to
-    those of smaller number, so that each pair meets once. A cell is compared in parts of at most ``part`` rows, pair by pair
-    of parts, and a pair of parts yields a spanning forest, at most one edge a row: a dense cluster emits no
-    quadratic number of pairs. ``pivots``, by default one for 32 rows and at most 1024, are drawn far from each other out of
-    ``SAMPLE`` rows and sent to all tasks; they only decide how much is compared. ``compared`` is the number of pairs that were, one row a part pair.
+    of e is a length of sqrt(2 e), so the triangle inequality tells which cells can have neighbours in which, by their radii.
+    Rows in the order of cells are cut into blocks of ``part`` rows. A block is first joined in itself, then each pair of
+    blocks with cells that can meet, one task each, from the components that its blocks have by then: rows of one component
+    needn't be compared, and only edges that join two are emitted, so neither a dense cluster nor many neighbours make
+    quadratically many. What has no such structure is compared whole: all pairs at most once, a block pair held at a time.
+
+    ``pivots``, by default one for 32 rows and at most 1024, are drawn far from each other out of ``SAMPLE`` rows; they only
+    decide how much is compared. ``part`` is by default a share of ``SHARES``, and at most ``HELD`` bytes. ``compared`` is the number of pairs
+    that were, one row a block or pair of blocks.
     """
-    spark = rows.sparkSession
+    spark, levels = rows.sparkSession, sorted({limit, *(levels or [])})
     unit = materialised(rows.select(F.col(key).alias("k"), V.unit(F.col(vector)).alias("x")).filter("x is not null and k is not null"))
     n = unit.count()
     kind = unit.schema["k"].dataType.simpleString()
@@ -396,50 +478,92 @@ def near_forest(rows: DataFrame, key: str, limit: float, vector: str = "vec", pi
     if not len(sample):
         return spark.createDataFrame([], f"a {kind}, b {kind}, distance double"), spark.createDataFrame([], "compared long")
     centres = np.unique(first_centres(sample, min(pivots or max(1, min(1024, n // 32)), len(sample)), 42), axis=0)
-    apart = np.sqrt(squares_to(centres, centres))
     reach = float(np.sqrt(2 * (limit + 1e-9))) + 1e-9
+    part = part or min(max(PIECE, -(-n // SHARES)), max(PIECE, HELD // (8 * sample.shape[1])))
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
-            d = np.sqrt(squares_to(x, centres))
-            cell = d.argmin(axis=1) if len(x) else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cell, pa.int64()), pa.array(d[np.arange(len(x)), cell])], names=["k", "x", "cell", "d"])
-
-    celled = materialised(unit.mapInArrow(own, f"k {kind}, x array<double>, cell long, d double"))
-    radius = np.full(len(centres), -np.inf)
-    for r in celled.groupBy("cell").agg(F.max("d").alias("d")).collect():
-        radius[r["cell"]] = r["d"]
-
-    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x, cell = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1), b.column(2).to_numpy()
-            d, mine = np.sqrt(squares_to(x, centres)), b.column(3).to_numpy()[:, None]
-            border = (d * d - mine * mine) / np.maximum(2 * apart[cell], 1e-12) if len(x) else d
-            # rounding of lengths is far below the slack
-            to = (np.arange(len(centres)) < cell[:, None]) & (d <= radius + reach + 1e-7) & (border <= reach + 1e-7)
-            i, c = np.nonzero(to)
-            i, c = np.r_[np.arange(len(x)), i], np.r_[cell, c]
-            at = pa.array(i)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(c, pa.int64())], names=["k", "x", "cell"])
-
-    members = celled.mapInArrow(sent, f"k {kind}, x array<double>, cell long")
-    sizes = members.groupBy("cell").agg(F.ceil(F.count("*") / part).alias("parts"))
-    # as many rows as there are pivots
-    placed = members.join(F.broadcast(sizes), "cell").withColumn("p", F.pmod(F.xxhash64("k", F.lit(3)), "parts"))
-    met = placed.withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    met = met.select("k", "x", "cell", F.least("p", "q").alias("lo"), F.greatest("p", "q").alias("hi"))
-
-    def forest(key: tuple, t: pa.Table) -> pa.Table:
-        x = t.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
-        i, j, d = spanning(x, limit)
-        keys, n = t.column("k").combine_chunks(), t.num_rows
+            for at in range(0, b.num_rows, BLOCK):
+                held = b.slice(at, BLOCK)
+                x = held.column(1).flatten().to_numpy(zero_copy_only=False).reshape(held.num_rows, -1)
+                d = np.sqrt(squares_to(x, centres))
+                cell = d.argmin(axis=1)
+                yield pa.RecordBatch.from_arrays([held.column(0), held.column(1), pa.array(cell, pa.int64()), pa.array(d[np.arange(len(x)), cell])], names=["k", "x", "cell", "d"])
+
+    celled = numbered(unit.mapInArrow(own, f"k {kind}, x array<double>, cell long, d double"), [F.asc("cell"), F.xxhash64("k"), F.asc("k")])
+    radius, size = np.full(len(centres), -np.inf), np.zeros(len(centres), np.int64)
+    for r in celled.groupBy("cell").agg(F.max("d").alias("d"), F.count("*").alias("n")).collect():
+        radius[r["cell"]], size[r["cell"]] = r["d"], r["n"]
+    # rounding of lengths is far below the slack
+    near = np.sqrt(squares_to(centres, centres)) <= radius[:, None] + radius + reach + 2e-7
+    blocks, end = -(-n // part), np.cumsum(size)
+    begin = np.arange(blocks)[:, None] * part
+    held = ((end - size < begin + part) & (end > begin) & (size > 0)).astype(float)
+    pairs = [(i, j) for i, j in zip(*(a.tolist() for a in np.nonzero(held @ near @ held.T)), strict=True) if i < j]
+    shared = spark.sparkContext.broadcast(near)
+
+    def sides(t: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+        """A group's rows by block and cell, their vectors and cells."""
+        t = t.sort_by([("block", "ascending"), ("cell", "ascending"), ("number", "ascending")]).combine_chunks()
+        return t, t.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1), t.column("cell").to_numpy()
+
+    def edges(t: pa.Table, i: np.ndarray, j: np.ndarray, d: np.ndarray, compared: int) -> dict[str, pa.Array]:
+        keys = t.column("k").combine_chunks()
         none = pa.nulls(1, keys.type)
         a, b = (pa.concat_arrays([keys.take(pa.array(at, pa.int64())), none]) for at in (i, j))
-        return pa.table({"a": a, "b": b, "distance": pa.array([*d.tolist(), None], pa.float64()), "compared": pa.array([*[None] * len(d), n * (n - 1) // 2], pa.int64())})
-
-    found = materialised(met.groupBy("cell", "lo", "hi").applyInArrow(forest, f"a {kind}, b {kind}, distance double, compared long"))
-    return found.filter("a is not null").select("a", "b", "distance"), found.filter("compared is not null").select("compared")
+        return {"a": a, "b": b, "distance": pa.array([*d.tolist(), None], pa.float64()), "compared": pa.array([*[None] * len(d), compared], pa.int64())}
+
+    found, members = f"a {kind}, b {kind}, distance double, compared long", f"k {kind}, x array<double>, cell long, number long, block long"
+
+    def within(t: pa.Table) -> pa.Table:
+        t, x, cell = sides(t)
+        labels = np.tile(np.arange(t.num_rows), (len(levels), 1))
+        got = edges(t, *joined_block(x, cell, 0, labels, levels, shared.value))
+        kept = t.append_column("labels", pa.ListArray.from_arrays(np.arange(t.num_rows + 1, dtype=np.int32) * len(levels), pa.array(labels.T.ravel(), pa.int64())))
+        # the rows with their labels, and the edges beside them
+        return pa.concat_tables([kept.select(["k", "x", "cell", "number", "block", "labels"]), pa.table(got)], promote_options="default")
+
+    def between(t: pa.Table) -> pa.Table:
+        t, x, cell = sides(t)
+        split = int((t.column("block").to_numpy() == t.column("lo").to_numpy()).sum())
+        labels = t.column("labels").combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1).T.copy()
+        labels[:, split:] += part
+        return pa.table(edges(t, *joined_block(x, cell, split, labels, levels, shared.value)))
+
+    # numbers of partitions are given, as adaptive execution would merge tasks by their few bytes
+    dealt = celled.select("k", "x", "cell", "number", F.floor((F.col("number") - 1) / part).alias("block")).repartition(min(blocks, TASKS), "block")
+    first = materialised(dealt.groupBy("block").applyInArrow(within, f"{members}, labels array<long>, {found}"))
+    links = first.filter("k is null").select("a", "b", "distance", "compared")
+    if pairs:
+        tiles = spark.createDataFrame([(b, i, j) for i, j in pairs for b in (i, j)], "block long, lo long, hi long")
+        met = first.filter("k is not null").select("k", "x", "cell", "number", "block", "labels").join(F.broadcast(tiles), "block").repartition(min(len(pairs), TASKS), "lo", "hi")
+        links = links.unionByName(materialised(met.groupBy("lo", "hi").applyInArrow(between, found)))
+    return links.filter("a is not null").select("a", "b", "distance"), links.filter("compared is not null").select("compared")
+
+
+def starred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (eps, a, b) as others that connect the same: from each node straight to one of its component among ``PAIRS`` edges."""
+
+    def stars(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(held).combine_chunks()
+        n, kinds = t.num_rows, [t.column(c).combine_chunks() for c in ("a", "b")]
+        keys, level = pa.concat_arrays(kinds).dictionary_encode(), t.column("eps").combine_chunks().dictionary_encode()
+        known = len(keys.dictionary)
+        node = keys.indices.to_numpy().astype(np.int64) + np.tile(level.indices.to_numpy().astype(np.int64), 2) * known
+        label = np.arange(known * len(level.dictionary))
+        merged(label, node[:n], node[n:])
+        at = np.flatnonzero(label != np.arange(len(label)))
+        columns = [level.dictionary.take(pa.array(at // known)), keys.dictionary.take(pa.array(at % known)), keys.dictionary.take(pa.array(label[at] % known))]
+        return pa.RecordBatch.from_arrays(columns, names=["eps", "a", "b"])
+
+    held, rows = [], 0
+    for b in batches:
+        held, rows = [*held, b], rows + b.num_rows
+        if rows >= PAIRS:
+            yield stars(held)
+            held, rows = [], 0
+    if rows:
+        yield stars(held)
 
 
 def smallest_reachable(nodes: DataFrame, edges: DataFrame, key: str) -> DataFrame:
@@ -462,13 +586,16 @@ def density_clusters(rows: DataFrame, eps: list[float], key: str, vector: str =
     """(eps, key, cluster) with two points as a core: components of the graph of pairs within ``eps``; null is noise.
 
     All values of ``eps`` are one graph of nodes (eps, key), settled in the same rounds. Its edges are a spanning forest of
-    the pairs within the largest, by ``near_forest``; rows without a key or vector take no part.
+    the pairs within the largest, by ``near_forest``, made short by ``starred``, so that rounds are few; rows without a key or vector take no part.
     """
     each = F.explode(F.array(*[F.lit(float(e)) for e in eps])).alias("eps")
     known = rows.filter(F.col(key).isNotNull() & F.col(vector).isNotNull())
     nodes = known.select(each, F.col(key).alias("k")).select(F.struct("eps", "k").alias("node"))
-    pairs = near_forest(known, key, max(eps), vector)[0].select("a", "b", "distance", each).filter("distance <= eps")
-    edges = pairs.select(F.struct("eps", F.col("a").alias("k")).alias("a"), F.struct("eps", F.col("b").alias("k")).alias("b"))
+    pairs = near_forest(known, key, max(eps), vector, levels=eps)[0].select("a", "b", "distance", each).filter("distance <= eps")
+    kind = pairs.schema["a"].dataType.simpleString()
+    dealt = pairs.select("eps", "a", "b").repartition(-(-pairs.count() // PAIRS) or 1, "a")
+    short = dealt.mapInArrow(starred, f"eps double, a {kind}, b {kind}")
+    edges = short.select(F.struct("eps", F.col("a").alias("k")).alias("a"), F.struct("eps", F.col("b").alias("k")).alias("b"))
     comp = smallest_reachable(nodes, edges, "node")
     size = comp.groupBy("component").agg(F.count("*").alias("n"))
     return comp.join(size, "component").select("node.eps", F.col("node.k").alias(key), F.when(F.col("n") >= 2, F.col("component.k")).alias("cluster"))
