@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from voxloom.operators import corpus, pooling, sampling
+from voxloom.plans.catalog import CATALOG
 from voxloom.sources import services, tables
 from voxloom.streaming import scoring
 
@@ -19,6 +20,20 @@ def test_json_records(spark, tmp_path):
     assert rows.filter("para_text is null and similarity is null").count() == 3
 
 
+def test_imported_ids_follow_turns_over_files(spark, tmp_path):
+    """Spark reads larger files first, whatever their names."""
+    turns = [(c, t, "user", f"{c}.{t}" * (1 if c < 4 else 9000)) for c in range(6) for t in range(3)]
+    for c in (0, 1, 2, 3, 4, 5):
+        part = spark.createDataFrame([t for t in turns if t[0] == c], "conv_id long, turn int, role string, text string")
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "conversations.parquet"))
+    spark.conf.set("spark.sql.files.openCostInBytes", "256m")
+    try:
+        got = CATALOG["imported_table"].run(spark, str(tmp_path)).orderBy("id").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert [(r["id"], r["origin_text"]) for r in got] == [(i + 1, t[3]) for i, t in enumerate(turns)]
+
+
 def test_cache_is_written_once(spark, tmp_path):
     calls = []
 

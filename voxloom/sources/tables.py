@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.sampling import before_parts
+from ..operators.sampling import before_parts, numbered
 
 RECORD = "I string, S string, T string"
 
@@ -17,12 +17,15 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(RECORD).option("multiLine", True).json(path)
 
 
-def as_dialogues(records: DataFrame) -> DataFrame:
-    """Records as new rows of the dialogue table; ids go up in the order of the file's records, from 1.
+def as_dialogues(records: DataFrame, order: list[Column] | None = None) -> DataFrame:
+    """Records as new rows of the dialogue table; ids go up from 1 in the order of the file's records, or in ``order``.
 
-    Spark reads a file's records in order, so numbers that grow within and over partitions keep it; they are then
-    closed up by counts per partition.
+    Spark reads one file's records in order, so numbers that grow within and over partitions keep it; they are then
+    closed up by counts per partition. Several files are read by size, not by name, so they need an ``order``.
     """
+    if order:
+        rows = numbered(records, order, name="id").select("id", F.coalesce("S", F.lit("")).alias("speaker"), F.col("T").alias("origin_text"))
+        return rows.select("*", F.lit(None).cast("string").alias("para_text"), F.lit(None).cast("double").alias("similarity"))
     rows = records.select(F.monotonically_increasing_id().alias("_at"), F.coalesce("S", F.lit("")).alias("speaker"), F.col("T").alias("origin_text"))
     placed = rows.withColumn("_part", F.shiftright("_at", 33)).withColumn("_row", F.col("_at").bitwiseAND((1 << 33) - 1))
     begins = before_parts(placed.groupBy("_part").agg(F.count("*").alias("n")))
