@@ -3,6 +3,7 @@ import math
 import time
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -523,6 +524,20 @@ def test_space_that_explains_half_of_another_table_is_removed(spark):
     assert k == want and np.allclose(got, x - (x @ axes[:k].T) @ axes[:k])
 
 
+def test_removed_space_is_written_and_nulls_stay(spark):
+    """No Python pass is left for what follows; batches are cut, and the second of them begins with a null."""
+    x = np.random.default_rng(33).standard_normal((2 * R.ROWS + 5, 4))
+    df = spark.createDataFrame([(i, v if i != R.ROWS else None) for i, v in enumerate(x.tolist())], "id long, vec array<double>").coalesce(1)
+    out, k = R.without_space_of(df, df.filter("vec is not null"), 0.3)
+    assert not any(w in out._jdf.queryExecution().toString() for w in ("MapInArrow", "ArrowEvalPython"))
+    got = {r["id"]: r["vec"] for r in out.collect()}
+    axes = R.principal_components(df.filter("vec is not null"), 4)[0][:k]
+    assert got.pop(R.ROWS) is None and all(np.allclose(v, x[i] - x[i] @ axes.T @ axes) for i, v in got.items()) and len(got) == len(x) - 1
+    sizes = []
+    assert np.allclose(np.stack(R.by_rows(pd.Series(list(x)), lambda v: (sizes.append(len(v)), 2 * v)[1]).to_list()), 2 * x)
+    assert sizes == [R.ROWS, R.ROWS, 5]
+
+
 def test_a_head_projects_by_its_layers(spark):
     rng = np.random.default_rng(32)
     head = T.fresh_head(4, 3, "1h-256", 6, 5)
