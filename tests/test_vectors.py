@@ -538,6 +538,26 @@ def test_removed_space_is_written_and_nulls_stay(spark):
     assert sizes == [R.ROWS, R.ROWS, 5]
 
 
+def test_heads_see_a_few_rows_at_a_time(spark):
+    """Gradients, and rows as all heads give them: large batches are cut before any head sees them."""
+    n, least = 2 * T.ROWS + 7, T.ROWS
+    x = np.random.default_rng(34).standard_normal((n, 3))
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "id long, vec array<double>").coalesce(1)
+
+    def gradient(b):
+        assert len(b) <= least
+        v = np.stack(b["vec"].to_list())
+        return ((float(k * len(v)), [k * v.sum(axis=0), np.array([[float(k)]]) * len(v)]) for k in (1, 2))
+
+    losses, flat = T.added(df, gradient, 2)
+    assert np.allclose(losses, [1, 2]) and np.allclose(flat, [*x.mean(axis=0), 1, *(2 * x.mean(axis=0)), 2])
+    heads = {("linear", 2): T.fresh_head(3, 2, "linear", 2, 1), ("1h-256", 4): T.fresh_head(3, 2, "1h-256", 4, 2)}
+    z = T.embedded_by(df, heads)
+    assert "ArrowEvalPython" not in z._jdf.queryExecution().toString()
+    got = {(r["cell"], r["id"]): r["vec"] for r in z.collect()}
+    assert len(got) == 2 * n and all(np.allclose(got[f"{a}-{w}", i][:w], h.units(x[i : i + 1])[0]) and len(got[f"{a}-{w}", i]) == 4 for (a, w), h in heads.items() for i in range(0, n, 50))
+
+
 def test_a_head_projects_by_its_layers(spark):
     rng = np.random.default_rng(32)
     head = T.fresh_head(4, 3, "1h-256", 6, 5)
