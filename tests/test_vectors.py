@@ -14,6 +14,7 @@ from voxloom.operators import pooling as P
 from voxloom.operators import reduction as R
 from voxloom.operators import sampling as S
 from voxloom.operators import training as T
+from voxloom.plans.catalog import CATALOG
 from voxloom.sources import artefacts
 
 
@@ -412,6 +413,59 @@ def test_heads_of_a_grid_train_together_as_alone(spark):
         assert got[f"{arch}-{width}"] == pytest.approx(M.silhouette(own, "id").agg(F.avg("silhouette")).first()[0])
 
 
+@pytest.mark.parametrize("n, batch", [(300, 40), (300, 1), (2200, 1500)])
+def test_minibatches_train_as_by_hand(spark, monkeypatch, n, batch):
+    """Heads taken through the minibatches of all epochs in tasks, or an epoch a job where they are large, equal steps one by one."""
+    rng = np.random.default_rng(35)
+    x, y = rng.standard_normal((n, 6)), rng.integers(0, 4, n)
+    df = frame(spark, list(zip(y.tolist(), x.tolist(), strict=True))).repartition(3)
+    cells, epochs = [("linear", 4), ("1h-256", 3), ("linear", 6)], 3 if batch > T.ROWS else 11
+    monkeypatch.setattr(T, "HELD", 80)  # so that windows have several epochs or one, and batches end within them
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = T.margin_heads(df, 4, cells, epochs, 0.01, key="id", batch=batch, cosine=True)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    share = lambda e: F.shiftrightunsigned(F.xxhash64("id", F.lit(e), F.lit(42)), 11) / float(1 << 53)
+    drawn = np.array([list(r) for r in df.orderBy("id").select(*[(share(e) < batch / n).alias(f"e{e}") for e in range(epochs)]).collect()])
+    assert drawn.any() and (batch > 1 or not drawn.any(axis=0).all())
+    for arch, width in cells:
+        head = T.fresh_head(6, 4, arch, width, 42)
+        adam = T.Adam([*head.layers, head.classes], 0.01, epochs)
+        for rows in drawn.T:
+            if rows.any():
+                loss, grads = head.gradient(x[rows], y[rows])
+                head.losses.append(loss / rows.sum())
+                adam.step(np.concatenate([g.ravel() for g in grads]) / rows.sum())
+        one = got.heads[arch, width]
+        assert got.epoch == epochs and got.adams[arch, width].step_no == adam.step_no and np.allclose(one.losses, head.losses)
+        for a, b in ((one.layers, head.layers), ([one.classes], [head.classes]), (got.adams[arch, width].first, adam.first), (got.adams[arch, width].second, adam.second)):
+            assert all(np.allclose(v, w) for v, w in zip(a, b, strict=True))
+    lean = T.margin_heads(df, 4, cells[:1], epochs, 0.01, key="id", batch=batch, cosine=True, moments=False)
+    assert np.allclose(lean.heads[cells[0]].layers[0], got.heads[cells[0]].layers[0]) and np.allclose(lean.heads[cells[0]].losses, got.heads[cells[0]].losses)
+
+
+def test_minibatches_take_as_many_jobs_for_any_number_of_epochs(spark):
+    rng = np.random.default_rng(36)
+    df = frame(spark, list(zip(rng.integers(0, 3, 60).tolist(), rng.standard_normal((60, 4)).tolist(), strict=True)))
+    took = [jobs(spark, lambda n=n: T.margin_heads(df, 3, [("linear", 4)], n, key="id", batch=20)) for n in (3, 40)]
+    assert took[0] == took[1]
+
+
+@pytest.mark.parametrize("name", ["experiment_leaderboard"])
+def test_grid_queries_train_all_epochs(spark, sf_dir, monkeypatch, name):
+    """The operator's 500 epochs, each a minibatch of 512 rows; one head here, so that it is quick."""
+    seen, train = [], T.margin_heads
+
+    def watched(rows, classes, cells, *args, **how):
+        out = train(rows, classes, cells[:1], *args, **how)
+        seen.append((len(cells), how["batch"], out.epoch, *[len(h.losses) for h in out.heads.values()]))
+        return out
+
+    monkeypatch.setattr(T, "margin_heads", watched)
+    assert CATALOG[name].run(spark, sf_dir).count() > 0 and seen == [(15, 512, 500, 500)]
+
+
 def test_training_goes_on_from_an_artefact(spark, tmp_path):
     rng = np.random.default_rng(17)
     y = rng.integers(0, 4, 80)
