@@ -452,7 +452,7 @@ def test_minibatches_take_as_many_jobs_for_any_number_of_epochs(spark):
     assert took[0] == took[1]
 
 
-@pytest.mark.parametrize("name", ["experiment_leaderboard"])
+@pytest.mark.parametrize("name", ["experiment_leaderboard", "mlp_arcface_grid"])
 def test_grid_queries_train_all_epochs(spark, sf_dir, monkeypatch, name):
     """The operator's 500 epochs, each a minibatch of 512 rows; one head here, so that it is quick."""
     seen, train = [], T.margin_heads
